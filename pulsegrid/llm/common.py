@@ -126,3 +126,15 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         raise RuntimeError("component search did not settle")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
+
+
+#: Rows an Arrow batch may have on its way to a Python worker; whole texts of any length must fit there.
+BATCH_ROWS = 512
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow in batches that stay small with long texts (the session's own limit holds if it is lower)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)

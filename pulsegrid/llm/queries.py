@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, quality_rules, sharding
+from pulsegrid.llm import mixing, packing, quality_rules, sharding, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -22,12 +22,33 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def vocabulary(name: str) -> str:
+    """A file of a public tokenizer, where its package lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_bpe() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op6_fair_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op6_fair_mix, op8_token_counts)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
