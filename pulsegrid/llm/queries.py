@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, packing, quality_rules, sharding, token_counts
+from pulsegrid.llm import language_mix, mixing, mpeg_audio, packing, quality_mil, quality_rules, sharding, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -47,8 +47,27 @@ def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
+def op7_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_mix.held_out()
+    names, model = language_mix.learn(docs.where(~held))
+    found = language_mix.identify(docs, names, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "proportions")
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.media(table(spark, sf_dir, "documents"), with_media=False, with_offsets=False)
+
+
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), language_mix.held_out()
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = quality_mil.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op6_fair_mix, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
