@@ -167,7 +167,9 @@ LABELLED: tuple[tuple[float, ...], ...] = (
     (6, 0.0, 18, 0.0, 40, 0.0, 0, 0, 0, 1), (64, 0.0, 17, 0.0, 4, 1.0, 0, 0, 0, 1), (22, 0.0, 9, 0.1, 26, 0.0, 0, 0, 0, 1), (0, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
     (0, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 8, 0.0, 0, 0, 0, 0), (40, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
     (5, 1.0, 6, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 15, 0.9, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 30, 0.8, 4, 1.0, 0, 0, 0, 0), (2, 1.0, 3, 0.0, 4, 0.5, 0, 0, 0, 0),
-    (3, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0, 0), (5, 1.0, 7, 0.0, 0, 0.0, 0, 0, 0, 0), (20, 0.6, 12, 0.5, 9, 0.7, 0, 0, 0, 0), (2, 0.0, 4, 0.5, 3, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0, 0), (5, 1.0, 7, 0.0, 0, 0.0, 0, 0, 0, 0), (20, 0.6, 12, 0.5, 9, 0.7, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 55, 0.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0), (30, 0.0, 10, 0.9, 70, 0.0, 0, 0, 0, 0), (2, 0.5, 14, 0.6, 12, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 4, 0.5, 3, 0.0, 0, 0, 0, 0),
 )
 
 
