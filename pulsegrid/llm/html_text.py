@@ -161,6 +161,9 @@ LABELLED: tuple[tuple[float, ...], ...] = (
     (9, 0.0, 12, 0.0, 70, 0.0, 1, 0, 1, 1), (12, 0.0, 70, 0.0, 40, 0.0, 1, 0, 0, 1), (70, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 90, 0.0, 1, 0, 0, 1),
     (2, 0.0, 90, 0.05, 11, 0.0, 1, 0, 0, 1), (1, 1.0, 4, 0.0, 1, 0.0, 1, 0, 0, 1), (4, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 1), (30, 0.0, 6, 0.8, 3, 0.0, 1, 0, 0, 1),
     (0, 0.0, 25, 0.0, 0, 0.0, 1, 0, 0, 1), (50, 0.0, 8, 1.0, 12, 0.0, 1, 0, 0, 1), (6, 0.8, 3, 0.0, 11, 0.0, 1, 0, 1, 1), (0, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 1),
+    (8, 1.0, 12, 0.0, 40, 0.0, 1, 0, 0, 1), (5, 1.0, 3, 0.0, 0, 0.0, 1, 0, 0, 1), (3, 1.0, 30, 1.0, 2, 1.0, 1, 0, 0, 1), (8, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (3, 0.0, 5, 0.5, 2, 0.5, 1, 0, 0, 1), (30, 0.5, 12, 0.6, 1, 1.0, 1, 0, 0, 1), (2, 1.0, 1, 0.0, 1, 1.0, 1, 0, 0, 1), (20, 1.0, 40, 0.9, 0, 0.0, 1, 0, 0, 1),
+    (4, 1.0, 6, 1.0, 1, 0.0, 1, 0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (2, 0.0, 9, 0.7, 12, 1.0, 1, 0, 0, 1), (7, 1.0, 18, 0.4, 5, 1.0, 1, 0, 0, 1),
     # pages without marks: text by length and links, short blocks by their neighbours
     (1, 1.0, 8, 0.0, 55, 0.0, 0, 0, 1, 1), (8, 0.0, 55, 0.0, 60, 0.1, 0, 0, 0, 1), (55, 0.0, 60, 0.1, 20, 0.0, 0, 0, 0, 1), (60, 0.1, 20, 0.0, 33, 0.0, 0, 0, 0, 1),
     (33, 0.0, 5, 0.0, 48, 0.0, 0, 0, 0, 1), (48, 0.0, 7, 0.0, 64, 0.0, 0, 0, 1, 1), (5, 0.0, 28, 0.2, 3, 1.0, 0, 0, 0, 1), (0, 0.0, 120, 0.0, 0, 0.0, 0, 0, 0, 1),
