@@ -56,9 +56,9 @@ def source_plan(sizes: DataFrame, weights: Sequence[float], budget_share: float,
     return s.select("_s", "source_size", "weight", "target", "_budget", "_until")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", extra: Sequence[Column] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a document: key, size, source_size, target of its source, and ``taken`` words of the mix."""
-    rows = docs.select(F.col(key).alias("_key"), words(text).alias("size"), F.col(source).alias("_source"), *extra)
+    rows = docs.select(F.col(key).alias("_key"), words(text).alias("size"), F.col(source).alias("_source"))
     # null sorts last: '0' before a name, '1' for null, is a key in code point order
     rows = rows.withColumn("_s", F.when(F.col("_source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_source")))).drop("_source")
     rows = rows.withColumn("_h", F.xxhash64(F.lit("mix"), null_safe("_key"), "size"))
@@ -80,6 +80,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     reached = offers.join(F.broadcast(starts), "_range").where(F.col("_start") < F.floor("_budget"))
     cut = reached.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("_budget") - ahead)).cast("long"))
     taken = cut.where("_take > 0").groupBy("_row").agg(F.sum("_take").alias("taken"))
-    names = [c for c in queued.columns if not c.startswith("_") and c != "weight"]
     out = queued.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select(F.col("_key").alias(key), *names, "taken")
+    return out.select(F.col("_key").alias(key), "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, once for each epoch that takes them (in part, too)."""
+    rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
+    taken = mix(rows, weights, budget_share, epochs, "_mix_row", text, source).where("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_mix_times")
+    out = rows.join(taken.select("_mix_row", times), "_mix_row")
+    return out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -182,11 +182,12 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
             cuts = [ids[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), at.tolist(), length.tolist(), strict=True)]
             columns = [b.column(0).take(pa.array(doc)), pa.array(at), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array(stream // window), pa.array(stream % window)]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(c, "<u4").astype(np.int64) for c in cuts], pa.list_(pa.int64())))
+                values = np.frombuffer(b"".join(cuts), "<u4").astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(columns, names_out)
 
     names_out = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids
+    schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
     pieces = map_arrow(queued.select("_key", "_s", "_start", "n_tokens", "ids"), run, schema)
     return pieces.withColumnRenamed("key", key)

@@ -134,3 +134,9 @@ def quality_rules(docs: DataFrame, policy: Policy = WEB, key: str = "doc_id", te
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask).cast("long")) != 0
     out = apply_policy(rows.withColumn("base_failed", base), policy)
     return out.withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+
+
+def keep(docs: DataFrame, policy: Policy = WEB, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that pass both the base rules and the policy."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
+    return quality_rules(whole, policy, key="_doc", text="_text").where("kept").select("_doc.*")

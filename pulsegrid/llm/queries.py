@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import html_text, language_mix, mixing, mpeg_audio, packing, quality_mil, quality_rules, sharding, token_counts
+from pulsegrid.llm import html_text, language_mix, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
@@ -71,7 +75,7 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
