@@ -139,4 +139,6 @@ def quality_rules(docs: DataFrame, policy: Policy = WEB, key: str = "doc_id", te
 def keep(docs: DataFrame, policy: Policy = WEB, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that pass both the base rules and the policy."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
-    return quality_rules(whole, policy, key="_doc", text="_text").where("kept").select("_doc.*")
+    # the row number keeps the filter above the measurements: pushed below, it would repeat them inside its condition
+    found = quality_rules(whole, policy, key="_doc", text="_text").withColumn("_row", F.monotonically_increasing_id())
+    return found.where("kept AND _row >= 0").select("_doc.*")
