@@ -1,15 +1,14 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""All registered queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pulsegrid.plans import signal_queries  # noqa: F401  registers its queries
+from pulsegrid.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
