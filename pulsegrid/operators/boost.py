@@ -134,6 +134,14 @@ def _place(nodes: Sequence[Node]) -> Column:
     return build(0)
 
 
+def _bin(x: Column, cut: np.ndarray) -> Column:
+    """How many cuts a value reaches; 0 where it is missing."""
+    if not len(cut):
+        return F.lit(0)
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in cut]), lambda t: x >= t))
+    return F.when(x.isNull(), 0).otherwise(reached)
+
+
 def fit(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting | None = None, weight: Column | None = None) -> Model:
     """Fits on all rows of df with a target. The driver sees sums per node, feature and bin only."""
     s = settings or Boosting()
@@ -141,8 +149,7 @@ def fit(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting |
     points = [i / BINS for i in range(1, BINS)]
     q = rows.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in columns], (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_base")).first()
     cuts = [np.unique(np.array(q[c] or [], float)) for c in columns]
-    bins = [F.size(F.filter(F.array(*[F.lit(float(t)) for t in cut]), lambda t, c=c: F.col(c) >= t)) if len(cut) else F.lit(0) for c, cut in zip(columns, cuts, strict=True)]
-    bins = [F.when(F.col(c).isNull(), 0).otherwise(b) for c, b in zip(columns, bins, strict=True)]
+    bins = [_bin(F.col(c), cut) for c, cut in zip(columns, cuts, strict=True)]
     rows = rows.withColumn("_bins", F.array(*bins)).persist()
     model = Model(float(q["_base"] or 0.0))
     try:

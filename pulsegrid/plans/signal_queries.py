@@ -279,6 +279,8 @@ def interp_resample(spark, sf_dir):
 BASIC = S + f""", q AS (SELECT subject_id, win, ir, red, ir * ir - lag(ir) {O} * lead(ir) {O} AS te_ir, red * red - lag(red) {O} * lead(red) {O} AS te_red FROM w),
 f AS (SELECT subject_id, win, max(ir) - min(ir) AS amp_ir, max(red) - min(red) AS amp_red, avg(te_ir) AS teo_ir, avg(te_red) AS teo_red, avg(ir) AS dc_ir, avg(red) AS dc_red FROM q GROUP BY ALL),
 m AS (SELECT subject_id, count(*) AS n_windows, avg(amp_ir) AS amp_ir, avg(amp_red) AS amp_red, avg(teo_ir) AS teo_ir, avg(teo_red) AS teo_red, avg(dc_ir) AS dc_ir, avg(dc_red) AS dc_red FROM f GROUP BY ALL)"""
+#: Decimals compared: means of decimal samples end on a 5 in the last place if cut too early.
+PLACES = {"amp_ir": 8, "amp_red": 8, "teo_ir": 6, "teo_red": 6, "dc_ir": 8, "dc_red": 8}
 FEATURES = ["amp_ir", "amp_red", "teo_ir", "teo_red", "dc_ir", "dc_red"]
 
 
@@ -292,23 +294,24 @@ def subject_means(spark, sf_dir):
     return window_features(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_windows"), *[F.avg(c).alias(c) for c in FEATURES])
 
 
-@query(BASIC + " SELECT subject_id, n_windows, " + ", ".join(f"round({c}, 7) AS {c}" for c in FEATURES) + " FROM m")
+@query(BASIC + " SELECT subject_id, n_windows, " + ", ".join(f"round({c}, {PLACES[c]}) AS {c}" for c in FEATURES) + " FROM m")
 def subject_average(spark, sf_dir):
-    return subject_means(spark, sf_dir).select("subject_id", "n_windows", *[F.round(c, 7).alias(c) for c in FEATURES])
+    return subject_means(spark, sf_dir).select("subject_id", "n_windows", *[F.round(c, PLACES[c]).alias(c) for c in FEATURES])
 
 
-@query(BASIC + " SELECT subject_id, unnest(['amp', 'teo', 'dc']) AS feature, round(unnest([amp_red, teo_red, dc_red]), 7) AS red_value, round(unnest([amp_ir, teo_ir, dc_ir]), 7) AS ir_value FROM m")
+@query(BASIC + " SELECT subject_id, unnest(['amp', 'teo', 'dc']) AS feature, unnest([round(amp_red, 8), round(teo_red, 6), round(dc_red, 8)]) AS red_value, unnest([round(amp_ir, 8), round(teo_ir, 6), round(dc_ir, 8)]) AS ir_value FROM m")
 def feature_table_unpivot(spark, sf_dir):
     m = subject_means(spark, sf_dir)
+    m = m.select("subject_id", *[F.round(c, PLACES[c]).alias(c) for c in FEATURES])
     long = m.unpivot("subject_id", FEATURES, "name", "value").withColumn("feature", F.split("name", "_")[0]).withColumn("channel", F.split("name", "_")[1])
     wide = long.groupBy("subject_id", "feature").pivot("channel", ["red", "ir"]).agg(F.first("value"))
-    return wide.select("subject_id", "feature", F.round("red", 7).alias("red_value"), F.round("ir", 7).alias("ir_value"))
+    return wide.select("subject_id", "feature", F.col("red").alias("red_value"), F.col("ir").alias("ir_value"))
 
 
-@query(BASIC + " SELECT subject_id, round(amp_red / nullif(amp_ir, 0), 6) AS amp_ratio, round(teo_red / nullif(teo_ir, 0), 6) AS teo_ratio, round(dc_red - dc_ir, 7) AS dc_diff, round(amp_ir, 7) AS amp_ir FROM m")
+@query(BASIC + " SELECT subject_id, round(amp_red / nullif(amp_ir, 0), 6) AS amp_ratio, round(teo_red / nullif(teo_ir, 0), 6) AS teo_ratio, round(dc_red - dc_ir, 8) AS dc_diff, round(amp_ir, 8) AS amp_ir FROM m")
 def features24(spark, sf_dir):
     m = subject_means(spark, sf_dir)
-    return m.select("subject_id", r6(scalars.safe_ratio("amp_red", "amp_ir"), "amp_ratio"), r6(scalars.safe_ratio("teo_red", "teo_ir"), "teo_ratio"), F.round(F.col("dc_red") - F.col("dc_ir"), 7).alias("dc_diff"), F.round("amp_ir", 7).alias("amp_ir"))
+    return m.select("subject_id", r6(scalars.safe_ratio("amp_red", "amp_ir"), "amp_ratio"), r6(scalars.safe_ratio("teo_red", "teo_ir"), "teo_ratio"), F.round(F.col("dc_red") - F.col("dc_ir"), 8).alias("dc_diff"), F.round("amp_ir", 8).alias("amp_ir"))
 
 
 @query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, round(epoch_us(ts) / 1e6 - first_value(epoch_us(ts) / 1e6) OVER (PARTITION BY subject_id ORDER BY seq), 3) AS rel_s FROM s")
