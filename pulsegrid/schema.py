@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-READINGS = T.StructType.fromDDL("subject_id BIGINT, seq BIGINT, ts DOUBLE, ir DOUBLE, red DOUBLE")
-WINDOWS = T.StructType.fromDDL("subject_id BIGINT, win INT, n INT, ir ARRAY<DOUBLE>, red ARRAY<DOUBLE>")
-SUBJECTS = T.StructType.fromDDL("id BIGINT, name STRING, age INT, gender STRING, glucose_level DOUBLE, created_at TIMESTAMP")
-RUNS = T.StructType.fromDDL("id BIGINT, subject_id BIGINT, status STRING, started_at TIMESTAMP, completed_at TIMESTAMP, log STRING")
-PREDICTIONS = T.StructType.fromDDL("id BIGINT, subject_id BIGINT, pipeline_run_id BIGINT, predicted DOUBLE, actual DOUBLE, features MAP<STRING,DOUBLE>, created_at TIMESTAMP")
-NODES = T.StructType.fromDDL("tree INT, node INT, feature STRING, threshold DOUBLE, yes INT, no INT, leaf DOUBLE, gain DOUBLE, cover DOUBLE")
+_LONG, _INT, _DOUBLE, _TEXT, _TIME = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampType()
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+READINGS = _table(subject_id=_LONG, seq=_LONG, ts=_DOUBLE, ir=_DOUBLE, red=_DOUBLE)
+WINDOWS = _table(subject_id=_LONG, win=_INT, n=_INT, ir=T.ArrayType(_DOUBLE), red=T.ArrayType(_DOUBLE))
+SUBJECTS = _table(id=_LONG, name=_TEXT, age=_INT, gender=_TEXT, glucose_level=_DOUBLE, created_at=_TIME)
+RUNS = _table(id=_LONG, subject_id=_LONG, status=_TEXT, started_at=_TIME, completed_at=_TIME, log=_TEXT)
+PREDICTIONS = _table(id=_LONG, subject_id=_LONG, pipeline_run_id=_LONG, predicted=_DOUBLE, actual=_DOUBLE, features=T.MapType(_TEXT, _DOUBLE), created_at=_TIME)
+NODES = _table(tree=_INT, node=_INT, feature=_TEXT, threshold=_DOUBLE, yes=_INT, no=_INT, leaf=_DOUBLE, gain=_DOUBLE, cover=_DOUBLE)
 
 #: Fixed header spellings, lower case and trimmed, by canonical column.
 ALIASES = {
