@@ -40,15 +40,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text and bucket that occurs in it: text, bucket, count; ordered by text."""
-    # three blanks keep the texts apart: no counted trigram spans one
+    # blanks keep the texts apart: no counted trigram spans two, and each belongs to the text of its middle byte
     parts = [x.lower().encode("utf-8", "replace").translate(_FOLD) for x in texts]
-    raw = np.frombuffer(b"   ".join(parts) + b"   ", np.uint8)
-    owner = np.repeat(np.arange(len(parts), dtype=np.int64), [len(x) + 3 for x in parts])
+    raw = np.frombuffer(b"   ".join([b"", *parts, b""]), np.uint8)
+    owner = np.concatenate([np.zeros(3, np.int64), np.repeat(np.arange(len(parts), dtype=np.int64), [len(x) + 3 for x in parts])])
     a, b, c = raw[:-2], raw[1:-1], raw[2:]
     use = (b != 32) & ((a != 32) | (c != 32))
     code = a.astype(np.uint32) << 16 | b.astype(np.uint32) << 8 | c
     hashed = ((code[use] * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
-    cell, n = np.unique(owner[:-2][use] * BUCKETS + hashed, return_counts=True)
+    cell, n = np.unique(owner[1:-1][use] * BUCKETS + hashed, return_counts=True)
     return cell // BUCKETS, cell % BUCKETS, n
 
 

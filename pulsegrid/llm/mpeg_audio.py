@@ -3,7 +3,7 @@
 ``encode`` stores bytes losslessly in a variable-bitrate stream: an ID3v2 tag, a frame with the table of a variable
 bitrate (Xing), and frames of silence (all side information zero) whose ancillary bytes, which decoders skip, hold the
 payload. Every frame has a checksum. ``parse`` reads any layer I, II or III stream: it skips ID3v2 tags, finds frame
-headers again after damage (a header counts only if the next one, or the end, follows at its distance), reads Xing,
+headers again after damage (a header counts if the next one or the end follows at its distance, or its checksum is right), reads Xing,
 Info and VBRI tables, verifies the CRC-16 of header and side information, and gives the exact duration (samples over
 sampling rate, as integers) and the byte offset of every frame for seeking.
 
@@ -167,7 +167,8 @@ def parse(data: bytes) -> Stream:
     while p < n:
         h = read_header(data[p : p + 4])
         after = p + h.size if h else 0
-        if h and after <= n and (after == n or data[after : after + 3] in (b"TAG", b"ID3") or read_header(data[after : after + 4])):
+        follows = h and after <= n and (after == n or data[after : after + 3] in (b"TAG", b"ID3") or read_header(data[after : after + 4]))
+        if follows or h and after <= n and h.protected and h.layer == 3 and _checked(data, p, h):
             if not out.frames and out.table is None and (found := read_table(data[p:after], h)):
                 out.table = found
             else:

@@ -288,8 +288,11 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
 def similar(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, class_id (the smallest key of its class), class_size, n_copies, n_links, n_text_links."""
     found = materialize(join(docs, threshold, tolerance, size, key, text), "join-result")
-    names = found.groupBy("class_row").agg(F.min("_key").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(names, "class_row").select(F.col("_key").alias(key), "class_id", "class_size", "n_copies", "n_links", "n_text_links")
+    # most documents are alone in their class: only the others are looked up, so that a large class is no hot join key
+    names = found.groupBy("class_row").agg(F.min("_key").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    alone = F.col("class_size").isNull()
+    out = found.join(small(materialize(names, "join-names")), "class_row", "left").withColumn("class_id", F.when(alone, F.col("_key")).otherwise(F.col("class_id")))
+    return out.select(F.col("_key").alias(key), "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_copies", "n_links", "n_text_links")
 
 
 def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
