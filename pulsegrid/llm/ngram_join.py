@@ -302,14 +302,15 @@ def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: flo
     keep = found.join(best, "_row", "left_semi").select("_key", "_text_key").withColumn("_kept", F.lit(True))
     # rows are told apart by key and text: what only dropped rows have goes, what a kept row has stays once
     pairs = found.groupBy("_key", "_text_key").agg(F.count("*").alias("_rows"))
-    same = lambda a, b: a["_key"].eqNullSafe(b["_key"]) & (a["_text_key"] == b["_text_key"])
-    state = pairs.join(keep.select(F.col("_key").alias("_k"), F.col("_text_key").alias("_t"), "_kept"), pairs["_key"].eqNullSafe(F.col("_k")) & (pairs["_text_key"] == F.col("_t")), "left")
-    state = state.select("_key", "_text_key", "_rows", F.coalesce("_kept", F.lit(False)).alias("_kept")).where("NOT _kept OR _rows > 1")
+    kept = keep.select(F.col("_key").alias("_k"), F.col("_text_key").alias("_t"), "_kept")
+    state = pairs.join(kept, pairs["_key"].eqNullSafe(F.col("_k")) & (pairs["_text_key"] == F.col("_t")), "left")
+    state = state.select(F.col("_key").alias("_jaccard_key"), F.col("_text_key").alias("_jaccard_text"), "_rows", F.coalesce("_kept", F.lit(False)).alias("_kept")).where("NOT _kept OR _rows > 1")
     state = materialize(state, "join-drops")
-    marked = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).withColumn("_key", F.col(key))
-    left = lambda rows: marked.join(small(rows), same(marked, rows), "left_anti")
-    out = left(state).select(*docs.columns)
+    own_text = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
+    match = lambda rows: docs[key].eqNullSafe(rows["_jaccard_key"]) & (own_text == rows["_jaccard_text"])
+    out = docs.join(small(state), match(state), "left_anti")
     again = state.where("_kept")
     if again.limit(1).count():
-        out = out.unionByName(marked.join(small(again), same(marked, again), "left_semi").dropDuplicates(["_key", "_text_key"]).select(*docs.columns))
+        repeated = docs.join(small(again), match(again), "left_semi")
+        out = out.unionByName(repeated.withColumn("_jaccard_text", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).dropDuplicates([key, "_jaccard_text"]).select(*docs.columns))
     return out
