@@ -253,3 +253,14 @@ def sweep(df: DataFrame, columns: Sequence[str], target: str, parameter: str, va
     best = each.agg(F.min_by("setting", F.struct("mae", "setting")).alias("_best"))
     value = F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("setting"))
     return each.crossJoin(F.broadcast(best)).select(value.alias("value"), "mae", "mae_std", "rmse", (F.col("setting") == F.col("_best")).alias("best"))
+
+
+def learning_curve(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting | None = None, fold: str = "fold", points: int = 10) -> DataFrame:
+    """Mean fold errors (unweighted) of fits on growing shares of the rows, taken in hash order."""
+    share = F.pmod(F.xxhash64(F.lit("curve"), target, *columns), F.lit(1000))
+    out = None
+    for i in range(1, points + 1):
+        part = df.where(share < 1000 * i // points)
+        row = cross_validate(part, columns, target, [settings or Boosting()], fold, weighted=False).agg(F.lit(i / points).alias("share"), F.sum("n").alias("n"), F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("mae_std"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -83,3 +83,20 @@ def node_importance(nodes: DataFrame) -> DataFrame:
     """Per feature: splits, total and mean gain, mean cover."""
     inner = nodes.where("yes IS NOT NULL")
     return inner.groupBy("feature").agg(F.count("*").alias("weight"), F.sum("gain").alias("total_gain"), F.avg("gain").alias("importance"), F.avg("cover").alias("cover"))
+
+
+def selected(importances: DataFrame, mask: dict[str, int] | None = None, top: int | None = None, least_share: float | None = None, value: str = "importance") -> DataFrame:
+    """Features to keep: those of a 0/1 mask (in its order, missing ones at importance 0), the top n, or by share."""
+    if mask is not None:
+        wanted = [(i, f) for i, (f, on) in enumerate(mask.items()) if on]
+        rows = importances.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("feature")) for i, f in wanted])).alias("r")).select("r.*")
+        return rows.join(importances, "feature", "left").select("place", "feature", F.coalesce(value, F.lit(0.0)).alias(value))
+    rows = importances if least_share is None else at_least(importances, least_share, value)
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(value), "feature")) - 1)
+    return (ranked if top is None else ranked.where(F.col("place") < top)).select("place", "feature", value)
+
+
+def single_point(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Signed, absolute and percentage error and zone of each prediction that has a reference."""
+    e = F.col(predicted) - F.col(actual)
+    return df.select("*", e.alias("error"), F.abs(e).alias("abs_error"), (100 * scalars.safe_ratio(F.abs(e), F.abs(F.col(actual)))).alias("percent_error"), scalars.clarke_zone(actual, predicted).alias("zone"))

@@ -166,3 +166,79 @@ def vector24(averages: DataFrame, dialect: str = "offline") -> DataFrame:
 
 def rejection_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("rejections").alias("reason_key", "n")).groupBy("reason_key").agg(F.sum("n").alias("n"))
+
+
+def stage_diagnostics(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Per window and filter stage: skewness, kurtosis, SNR (Welch, 0.5 to 4 Hz), crossings and perfusion of both channels, and their perfusion ratio."""
+    s = settings or Settings()
+    fs = s.sampling.hertz
+
+    def measures(x: np.ndarray, dc: float) -> tuple:
+        g1, g2 = kernels.moments(x, False)
+        c = x - x.mean()
+        crossings = int((c[1:] * c[:-1] < 0).sum())
+        return g1, g2, kernels.band_snr(*kernels.welch(x, fs, 1024), 0.5, 4.0, 0.0), crossings / 2 / (len(x) / fs), 100 * float(np.ptp(x)) / abs(dc) if dc else None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for sid, win, ir, red in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True):
+                a, b = (np.asarray(v, float)[None] for v in (ir, red))
+                try:
+                    both = filtered(a, s), filtered(b, s)
+                except ValueError:  # too short for the filters
+                    continue
+                for stage in both[0]:
+                    m = [measures(x[stage][0], float(raw.mean())) for x, raw in zip(both, (a, b), strict=True)]
+                    rows.append((sid, win, stage, *m[0], *m[1], m[1][4] / m[0][4] if m[0][4] else None))
+            yield pd.DataFrame(rows, columns=["subject_id", "win", "stage", *[f"{c}_{n}" for c in ("ir", "red") for n in ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion")], "r_ratio"])
+
+    numbers = ", ".join(f"{c}_{n} double" for c in ("ir", "red") for n in ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion"))
+    return windows.select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, f"subject_id long, win long, stage string, {numbers}, r_ratio double")
+
+
+def channel_summary(norm: np.ndarray, raw: np.ndarray, fs: float) -> dict[str, float | None]:
+    """Nine features of a whole normalised signal: rate, mean width and height of its peaks, area, shape, quality."""
+    peaks = kernels.find_peaks(norm, 0.4 * fs, 0.1)
+    quality = signal_quality(norm, raw, fs)
+    gaps = np.diff(peaks) / fs
+    return {
+        "hr": float(60 / gaps.mean()) if len(gaps) else None, "width": float(np.mean([kernels.half_width(norm, int(p)) for p in peaks])) / fs if len(peaks) else None,
+        "sys_amp": float(norm[peaks].mean()) if len(peaks) else None, "area": float(norm.sum() - (norm[0] + norm[-1]) / 2), "skew": quality["skewness"], "kurt": quality["kurtosis"],
+        "pi": 100 * float(np.ptp(raw)) / float(raw.mean()) if raw.mean() else None, "zcr": quality["zcr_hz"], "snr": quality["snr_db"],
+    }
+
+
+def beat_morphology(mean: np.ndarray, rate: float, raw: np.ndarray) -> dict[str, float | None]:
+    """Seven features of the ensemble beat."""
+    g1, g2 = kernels.moments(mean, False)
+    return {
+        "hr_global": 60 * rate / len(mean), "width_avg": kernels.half_width(mean, int(mean.argmax())) / rate, "area_avg": float(mean.sum() - (mean[0] + mean[-1]) / 2),
+        "amp_avg": float(np.ptp(mean)), "skew_avg": g1, "kurt_avg": g2, "pi_global": 100 * float(np.ptp(raw)) / float(raw.mean()) if raw.mean() else None,
+    }
+
+
+def summaries(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Per window and channel: the nine features of the signal and the seven of its ensemble beat (NULL without one)."""
+    s = settings or Settings()
+    nine, seven = ("hr", "width", "sys_amp", "area", "skew", "kurt", "pi", "zcr", "snr"), ("hr_global", "width_avg", "area_avg", "amp_avg", "skew_avg", "kurt_avg", "pi_global")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for sid, win, *both in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True):
+                for name, values in zip(("ir", "red"), both, strict=True):
+                    raw = np.asarray(values, float)
+                    try:
+                        norm = filtered(raw[None], s)["norm"][0]
+                    except ValueError:  # too short for the filters
+                        continue
+                    found = beats.peak_to_peak(norm, s.sampling.hertz, s.beats) if s.dialect == "service" else beats.detect(norm, s.sampling.hertz, s.beats)
+                    beat = beats.ensemble(norm, found, s.sampling.hertz, s.beats)
+                    rows.append({"subject_id": sid, "win": win, "channel": name, **channel_summary(norm, raw, s.sampling.hertz), **(beat_morphology(beat[0], beat[2], raw) if beat else {})})
+            yield pd.DataFrame(rows).reindex(columns=["subject_id", "win", "channel", *nine, *seven]).astype(dict.fromkeys(nine + seven, float))
+
+    schema = "subject_id long, win long, channel string, " + ", ".join(f"{n} double" for n in nine + seven)
+    from pulsegrid.schema import no_nan
+
+    return no_nan(windows.select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, schema))

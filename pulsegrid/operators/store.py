@@ -66,3 +66,29 @@ def predicted_vs_actual(subjects: DataFrame, predictions: DataFrame) -> DataFram
 def latest(predictions: DataFrame, subject_id: int | None = None, limit: int = 50) -> DataFrame:
     rows = predictions if not subject_id else predictions.where(F.col("subject_id") == subject_id)
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def report(rows: DataFrame, key: str = "subject_id", order: str = "win") -> DataFrame:
+    """One JSON document a subject: its windows in order (a subject's windows, not its samples)."""
+    doc = F.struct(*[c for c in rows.columns if c != key])
+    grouped = rows.groupBy(key).agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_list(F.struct(order, doc.alias("w")))).alias("_w"))
+    return grouped.select(key, "n_windows", F.to_json(F.struct(F.col("_w.w").alias("windows")), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files below a path: path, size, time."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
+
+
+def latest_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The folder whose newest matching file is the newest of all."""
+    files = listing(spark, path, pattern).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    return files.agg(F.max_by("folder", F.struct("modificationTime", "folder")).alias("folder"))
+
+
+def replaced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Of two listings: files that are fresh, replaced, unchanged or gone."""
+    b = before.select("path", F.col("length").alias("_old"), F.col("modificationTime").alias("_then"))
+    both = b.join(after, "path", "full")
+    state = F.when(F.col("_then").isNull(), "fresh").when(F.col("modificationTime").isNull(), "gone").when((F.col("_then") < F.col("modificationTime")) | (F.col("_old") != F.col("length")), "replaced").otherwise("unchanged")
+    return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))

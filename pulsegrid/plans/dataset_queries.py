@@ -345,3 +345,20 @@ def boosted_trees(spark, sf_dir):
     return evaluate.metrics(scored, "y", "yhat", ["l_suppkey"])
 
 
+
+
+@query(IMP + " SELECT 0 AS place, 'Brand#3' AS feature, coalesce((SELECT importance FROM i WHERE feature = 'Brand#3'), 0) AS importance UNION ALL SELECT 2, 'none', 0 UNION ALL SELECT 3, 'Brand#1', coalesce((SELECT importance FROM i WHERE feature = 'Brand#1'), 0)")
+def feature_mask(spark, sf_dir):
+    return evaluate.selected(importance(spark, sf_dir), {"Brand#3": 1, "Brand#2": 0, "none": 1, "Brand#1": 1})
+
+
+@query(PRED + f" SELECT o_orderkey, round(yhat - y, 6) AS error, round(abs(yhat - y), 6) AS abs_error, round(100 * abs(yhat - y) / abs(y), 6) AS percent_error, {CLARKE} AS zone FROM p")
+def single_point_validation(spark, sf_dir):
+    p = evaluate.single_point(predictions(spark, sf_dir), "y", "yhat")
+    return p.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("error", "abs_error", "percent_error")], "zone")
+
+
+@query("SELECT c_nationkey AS subject_id, count(*) AS n_windows FROM customer GROUP BY ALL")
+def subject_report(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("win"), "c_acctbal")
+    return store.report(c).where(F.get_json_object("document", "$.windows[0].win").isNotNull()).select("subject_id", "n_windows")

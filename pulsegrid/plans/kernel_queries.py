@@ -110,3 +110,18 @@ def stream_windows(spark, sf_dir):
 @query()
 def window_arrays(spark, sf_dir):
     return collect_windows(windowed(spark, sf_dir))
+
+
+def narrow() -> Settings:
+    s = Settings(dialect="service", sampling=Sampling(hertz=HERTZ))
+    return replace(s, filters=replace(s.filters, lowpass_hz=3.0))
+
+
+@query()
+def stage_diagnostics(spark, sf_dir):
+    return features.stage_diagnostics(supplier_windows(spark, sf_dir), narrow())
+
+
+@query()
+def channel_summaries(spark, sf_dir):
+    return features.summaries(supplier_windows(spark, sf_dir), narrow())

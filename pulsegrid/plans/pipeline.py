@@ -40,3 +40,21 @@ def prepare(labelled: DataFrame, columns: list[str], target: str, factor: float
     """Labelled rows with missing values filled and outliers clipped."""
     rows = dataset.drop_unlabelled(labelled, target)
     return dataset.clip_outliers(dataset.impute(rows, columns), columns, factor)
+
+
+def retrain(predictions: DataFrame, columns: list[str], settings: Settings | None = None, least: int = 10) -> tuple[boost.Model, DataFrame, DataFrame] | None:
+    """Model, scaler and training errors from stored predictions with a reference value (features: map of doubles).
+
+    None where fewer than ``least`` rows have one: nothing is made up to fill the gap.
+    """
+    from pulsegrid.operators.evaluate import metrics
+
+    s = settings or Settings()
+    rows = predictions.where(F.col("actual").isNotNull()).select(F.col("actual").alias("target"), *[F.element_at("features", c).alias(c) for c in columns])
+    if rows.limit(least).count() < least:
+        return None
+    ready = prepare(rows, columns, "target", s.iqr_factor)
+    scaler = dataset.scaler(ready, columns)
+    scaled = dataset.scale(ready, scaler, columns)
+    model = boost.fit(scaled, columns, "target", s.boosting, boost.sample_weight("target", s.boosting))
+    return model, scaler, metrics(scaled.withColumn("predicted", boost.score_expression(model.nodes, model.base)), "target", "predicted")

@@ -173,3 +173,31 @@ def test_count_windows_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.subject_id, r.win, r.ir[0], r.ir[-1]) for r in seen)
     assert got == [(s, w, 16.0 * w + 1, 16.0 * w + 16) for s in (1, 2) for w in (0, 1)]
+
+
+def test_retrain_and_learning_curve(spark):
+    rows = [(float(i), {"a": float(i % 9), "b": float(i % 4)}, 90.0 + 4 * (i % 9)) for i in range(60)]
+    df = frame(spark, rows, "id double, features map<string,double>, actual double")
+    s = Settings(boosting=Boosting(trees=4, rate=0.5))
+    model, scaler, errors = pipeline.retrain(df, ["a", "b"], s)
+    assert errors.first().r2 > 0.5 and scaler.count() == 2 and model.nodes
+    assert pipeline.retrain(df.limit(5), ["a", "b"], s) is None
+    flat = dataset.folds(df.select(F.element_at("features", "a").alias("a"), "actual", "id"), 2, ["id"])
+    curve = boost.learning_curve(flat, ["a"], "actual", s.boosting, points=2).orderBy("share").collect()
+    assert [r.share for r in curve] == [0.5, 1.0] and curve[1].n == 60
+
+
+def test_listings(spark, tmp_path):
+    import time
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "1.csv").write_text("a")
+    found = store.listing(spark, str(tmp_path))
+    before = spark.createDataFrame(found.collect(), found.schema)
+    time.sleep(0.05)
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "2.csv").write_text("b")
+    (tmp_path / "x" / "1.csv").write_text("aa")
+    got = {r.state: r.n for r in store.replaced(before, store.listing(spark, str(tmp_path))).collect()}
+    assert got == {"fresh": 1, "replaced": 1}
+    assert store.latest_folder(spark, str(tmp_path), "2.csv").first().folder.endswith("/y")
