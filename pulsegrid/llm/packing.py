@@ -59,14 +59,17 @@ def token_ids(text: str, json_path: str, ranks_path: str, pattern: str) -> np.nd
 
 
 def tokenize(docs: DataFrame, tokenizer: tuple[str, str, str], key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """_row, the key, _s (the source, null-safe), n_tokens and ids (little-endian, 4 bytes each), the end token last."""
+    """_row, the key, _s (the source, null-safe), n_tokens and ids, the end token last.
+
+    Ids are little-endian, two bytes each where the largest is below 65536, else four: they are stored and moved once.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), null_safe(source).alias("_s"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            ids = [token_ids(t or "", *tokenizer).tobytes() + end for t in b.column(3).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            ids = [np.append(token_ids(t or "", *tokenizer), np.uint32(END_ID)) for t in b.column(3).to_pylist()]
+            counts = pa.array([len(x) for x in ids], pa.int64())
+            ids = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], counts, pa.array(ids, pa.binary())], ["_row", "_key", "_s", "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -178,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
             s = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
             start, n = b.column(2).to_numpy(), b.column(3).to_numpy()
             doc, at, length, stream = schedule.places(s, start, n)
-            ids = [memoryview(x) for x in b.column(4).to_pylist()]
+            ids = [memoryview(np.frombuffer(x, f"<u{len(x) // m}").astype("<u4").tobytes()) for x, m in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
             cuts = [ids[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), at.tolist(), length.tolist(), strict=True)]
             columns = [b.column(0).take(pa.array(doc)), pa.array(at), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array(stream // window), pa.array(stream % window)]
             if with_ids:
