@@ -68,30 +68,38 @@ def tail(df: DataFrame, n: int, key: str = "subject_id", seq: str = "seq") -> Da
     return df.join(last, key).where(F.col(seq) > F.col("_last") - n).drop("_last")
 
 
-def fill_gaps(df: DataFrame, column: str, key: str = "subject_id", order: str = "seq") -> DataFrame:
-    """Missing values take the last one before, at the start the first one after."""
-    w = Window.partitionBy(key).orderBy(order)
-    back = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(back, ahead))
+def fill_gaps(df: DataFrame, column: str, key: str = "subject_id", order: str = "seq", block: int = 1 << 16) -> DataFrame:
+    """Missing values take the last one before, at the start the first one after. order: a whole number.
+
+    Blocks of the order are filled by themselves; what enters a block from others comes from one row a block.
+    """
+    c = F.col(column)
+    cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    there = F.when(c.isNotNull(), F.col(order))
+    ends = cut.groupBy(key, "_block").agg(F.max_by(c, there).alias("_last"), F.min_by(c, there).alias("_first"))
+    blocks = Window.partitionBy(key).orderBy("_block")
+    before = F.last("_last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing))
+    joined = cut.join(ends.select(key, "_block", before.alias("_before"), after.alias("_after")), [key, "_block"])
+    inside = Window.partitionBy(key, "_block").orderBy(order)
+    back = F.last(column, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(column, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    return joined.withColumn(column, F.coalesce(back, "_before", ahead, "_after")).drop("_block", "_before", "_after")
 
 
 def relative_seconds(df: DataFrame, text: str, key: str = "subject_id", order: str = "seq", hertz: float = 400.0, name: str = "ts") -> DataFrame:
     """Seconds since the first sample: of numbers, else of times (gaps filled, if at most half are bad), else seq / fs."""
-    every = Window.partitionBy(key)
-    num = F.col(text).try_cast("double")
     when = F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), F.col(text))))
-    seconds = F.unix_micros(when) / 1e6
-    d = df.withColumn("_num", num).withColumn("_sec", seconds)
-    d = d.withColumn("_all", F.count("*").over(every)).withColumn("_nn", F.count("_num").over(every)).withColumn("_ns", F.count("_sec").over(every))
-    d = fill_gaps(d, "_sec", key, order)
-    first = lambda c: F.min_by(c, order).over(every)
+    d = df.withColumn("_num", F.col(text).try_cast("double")).withColumn("_sec", F.unix_micros(when) / 1e6)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    facts = d.groupBy(key).agg(F.count("*").alias("_all"), F.count("_num").alias("_nn"), F.count("_sec").alias("_ns"), first("_num").alias("_num0"), first("_sec").alias("_sec0"))
+    d = fill_gaps(d, "_sec", key, order).join(facts, key)
     value = (
-        F.when(F.col("_nn") == F.col("_all"), F.col("_num") - first("_num"))
-        .when(F.col("_ns") * 2 >= F.col("_all"), F.col("_sec") - first("_sec"))
+        F.when(F.col("_nn") == F.col("_all"), F.col("_num") - F.col("_num0"))
+        .when(F.col("_ns") * 2 >= F.col("_all"), F.col("_sec") - F.col("_sec0"))
         .otherwise((F.col(order) - 1) / hertz)
     )
-    return d.withColumn(name, value).drop("_num", "_sec", "_all", "_nn", "_ns")
+    return d.withColumn(name, value).drop("_num", "_sec", "_all", "_nn", "_ns", "_num0", "_sec0")
 
 
 def per_window(key: str = "subject_id") -> Column:

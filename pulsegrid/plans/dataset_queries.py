@@ -15,7 +15,7 @@ from pulsegrid.operators import boost, dataset, evaluate, store
 from pulsegrid.plans.registry import query, table
 
 CUST = "WITH cu AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal / 30 END AS y, c_nationkey FROM customer)"
-FEAT = "WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_quantity END AS a, l_extendedprice AS b, l_discount * 100 AS d FROM lineitem)"
+FEAT = "WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_quantity END AS a, l_extendedprice AS b, l_discount * 100 AS d, l_returnflag FROM lineitem)"
 PRED = "WITH p AS (SELECT o_orderkey, o_custkey, 40 + (o_orderkey * 37 % 3600) / 10.0 AS y, 40 + (o_orderkey * 37 % 3600) / 10.0 + (o_orderkey * 53 % 1201 - 600) / 10.0 AS yhat FROM orders)"
 COLUMNS = ["a", "b", "d"]
 
@@ -27,7 +27,7 @@ def customers(spark, sf_dir):
 
 def features(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 13 != 0, F.col("l_quantity")).alias("a"), F.col("l_extendedprice").alias("b"), (F.col("l_discount") * 100).alias("d"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 13 != 0, F.col("l_quantity")).alias("a"), F.col("l_extendedprice").alias("b"), (F.col("l_discount") * 100).alias("d"), "l_returnflag")
 
 
 def predictions(spark, sf_dir):
@@ -99,7 +99,7 @@ def null_profile(spark, sf_dir):
 
 @query(FEAT + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(a, (SELECT quantile_cont(a, 0.5) FROM f)) AS a, b, d FROM f")
 def median_impute(spark, sf_dir):
-    return dataset.impute(features(spark, sf_dir), COLUMNS)
+    return dataset.impute(features(spark, sf_dir).drop("l_returnflag"), COLUMNS)
 
 
 Q = "SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.75) AS b3, quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.75) AS d3 FROM f"
@@ -113,7 +113,7 @@ def iqr_bounds(spark, sf_dir):
 
 @query(FEAT + f", q AS ({Q}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN round(greatest({c}1 - 0.5 * ({c}3 - {c}1), least({c}3 + 0.5 * ({c}3 - {c}1), {c})), 6) END AS {c}" for c in COLUMNS) + " FROM f, q")
 def iqr_clip(spark, sf_dir):
-    c = dataset.clip_outliers(features(spark, sf_dir), COLUMNS, 0.5)
+    c = dataset.clip_outliers(features(spark, sf_dir).drop("l_returnflag"), COLUMNS, 0.5)
     return c.select(*[F.round(x, 6).alias(x) if x in COLUMNS else F.col(x) for x in c.columns])
 
 
@@ -156,11 +156,11 @@ def kfold_assign(spark, sf_dir):
     return c.select("c_custkey", ((n - 1) % 5).cast("int").alias("fold"))
 
 
-@query(FEAT + ", q AS (SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.5) AS a2, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.5) AS b2, quantile_cont(b, 0.75) AS b3, quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.5) AS d2, quantile_cont(d, 0.75) AS d3 FROM f WHERE l_suppkey % 5 <> 0) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round(CASE WHEN {c}3 = {c}1 THEN {c} - {c}2 ELSE ({c} - {c}2) / ({c}3 - {c}1) END, 6) AS {c}" for c in COLUMNS) + " FROM f, q")
+@query(FEAT + ", q AS (SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.5) AS a2, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.5) AS b2, quantile_cont(b, 0.75) AS b3, quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.5) AS d2, quantile_cont(d, 0.75) AS d3 FROM f WHERE l_returnflag <> 'R') SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round(CASE WHEN {c}3 = {c}1 THEN {c} - {c}2 ELSE ({c} - {c}2) / ({c}3 - {c}1) END, 6) AS {c}" for c in COLUMNS) + " FROM f, q")
 def robust_scale(spark, sf_dir):
     f = features(spark, sf_dir)
-    s = dataset.scale(f, dataset.scaler(f.where("l_suppkey % 5 <> 0"), COLUMNS), COLUMNS)
-    return s.select(*[F.round(x, 6).alias(x) if x in COLUMNS else F.col(x) for x in s.columns])
+    s = dataset.scale(f, dataset.scaler(f.where("l_returnflag <> 'R'"), COLUMNS), COLUMNS)
+    return s.drop("l_returnflag").select(*[F.round(x, 6).alias(x) if x in COLUMNS else F.col(x) for x in s.columns if x != "l_returnflag"])
 
 
 @query(FEAT + ", q AS (SELECT quantile_cont(b, 0.5) AS m, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS s FROM f) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a, round((b - m) / s, 6) AS b, CASE WHEN d IS NOT NULL THEN 0.0 END AS d FROM f, q")
@@ -168,7 +168,7 @@ def scaler_lookup_service(spark, sf_dir):
     f = features(spark, sf_dir)
     known = dataset.scaler(f, ["b"]).unionByName(spark.range(1).select(F.lit("d").alias("feature"), F.lit(1.0).alias("center"), F.lit(0.0).alias("scale")))
     s = dataset.scale(f, known, COLUMNS, "service")
-    return s.withColumn("b", F.round("b", 6))
+    return s.withColumn("b", F.round("b", 6)).drop("l_returnflag")
 
 
 @query(CUST + " SELECT count(*) AS n, sum(CASE WHEN y >= 130 THEN 2.0 ELSE 1.0 END) AS weight, round(sum(CASE WHEN y >= 130 THEN 2.0 ELSE 1.0 END * y) / sum(CASE WHEN y >= 130 THEN 2.0 ELSE 1.0 END), 6) AS weighted_mean FROM cu WHERE y IS NOT NULL")
@@ -234,10 +234,10 @@ def clarke_zone_a_pct(spark, sf_dir):
     return z.select("n", "n_zone_a", F.round("zone_a_pct", 6).alias("zone_a_pct"))
 
 
-@query(PRED + " SELECT o_orderkey, round(yhat - y, 6) AS error, round(100 * (yhat - y) / y, 6) AS percent_error, round(abs(yhat - y), 6) AS abs_error FROM p WHERE o_orderkey % 3 = 0")
+@query(PRED + " SELECT o_orderkey, round(yhat - y, 6) AS error, round(100 * (yhat - y) / y, 6) AS percent_error, round(abs(yhat - y), 6) AS abs_error FROM p")
 def prediction_table(spark, sf_dir):
     e = F.col("yhat") - F.col("y")
-    return predictions(spark, sf_dir).where("o_orderkey % 3 = 0").select("o_orderkey", F.round(e, 6).alias("error"), F.round(100 * scalars.safe_ratio(e, F.col("y")), 6).alias("percent_error"), F.round(F.abs(e), 6).alias("abs_error"))
+    return predictions(spark, sf_dir).select("o_orderkey", F.round(e, 6).alias("error"), F.round(100 * scalars.safe_ratio(e, F.col("y")), 6).alias("percent_error"), F.round(F.abs(e), 6).alias("abs_error"))
 
 
 IMP = "WITH i AS (SELECT p_brand AS feature, CAST(sum(p_size) AS DOUBLE) AS importance FROM part GROUP BY ALL)"
@@ -269,15 +269,15 @@ def union_align(spark, sf_dir):
     return dataset.align(a, b)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def complement(spark, sf_dir):
-    part = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    part = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return dataset.complement(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), part, "c_custkey")
 
 
-@query("SELECT c.c_custkey, c_name, coalesce(u.c_acctbal, c.c_acctbal) AS c_acctbal, u.checked FROM customer c LEFT JOIN (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, count(*) AS checked FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL) u ON u.c_custkey = c.c_custkey")
+@query("SELECT c.c_custkey, c_name, coalesce(u.c_acctbal, c.c_acctbal) AS c_acctbal, u.checked FROM customer c LEFT JOIN (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, count(*) AS checked FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) u ON u.c_custkey = c.c_custkey")
 def keyed_update(spark, sf_dir):
-    u = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("checked"))
+    u = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("checked"))
     return dataset.update_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), u, "c_custkey")
 
 
@@ -358,7 +358,7 @@ def single_point_validation(spark, sf_dir):
     return p.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("error", "abs_error", "percent_error")], "zone")
 
 
-@query("SELECT c_nationkey AS subject_id, count(*) AS n_windows FROM customer GROUP BY ALL")
+@query("SELECT o_custkey AS subject_id, count(*) AS n_windows, CAST(min(o_orderkey) AS BIGINT) AS first FROM orders GROUP BY ALL")
 def subject_report(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("win"), "c_acctbal")
-    return store.report(c).where(F.get_json_object("document", "$.windows[0].win").isNotNull()).select("subject_id", "n_windows")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("win"), "o_totalprice")
+    return store.report(o).select("subject_id", "n_windows", F.get_json_object("document", "$.windows[0].win").cast("long").alias("first"))

@@ -15,10 +15,9 @@ def readings_to_features(readings: DataFrame, settings: Settings | None = None)
     s = settings or Settings()
     rows = readings
     if s.dialect == "offline":
-        rows = windows.valid(readings)
-        if rows.columns != readings.columns or "seq" in rows.columns:
-            counted = windows.number_rows(rows.withColumn("_t", F.timestamp_seconds(F.col("seq") / s.sampling.hertz)), "subject_id", "_t", ("seq",), "hour", "_n")
-            rows = counted.drop("seq", "_t").withColumnRenamed("_n", "seq")
+        # what is left after the filter is numbered anew
+        timed = windows.valid(readings).withColumn("_t", F.timestamp_seconds(F.col("seq") / s.sampling.hertz))
+        rows = windows.number_rows(timed, "subject_id", "_t", ("seq",), "hour", "_n").drop("seq", "_t").withColumnRenamed("_n", "seq")
     return features.window_features(windows.automatic_windows(rows, s.sampling), s)
 
 
