@@ -13,7 +13,7 @@ def number_rows(df: DataFrame, key: str, time: str, ties: tuple[str, ...] = (),
     """Adds ``name``: 1, 2, ... within each key in time order.
 
     Counts per (key, day) are summed over the days first, and rows are numbered within their day: a key with a third of
-    all rows is spread over its days and never sorted in one task.
+    all rows is spread over its days and never sorted in one task. Rows without key or time have no place and are left out.
     """
     cut = df.withColumn("_part", F.date_trunc(part, F.col(time).cast("timestamp")))
     counts = cut.groupBy(key, "_part").agg(F.count("*").alias("_n"))
