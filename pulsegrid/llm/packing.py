@@ -15,7 +15,9 @@ Ids are those of the tokenizers library for the given file. They are computed by
 vocabulary, which is several times faster; texts with the special token's string go through tokenizers itself.
 
 Defined results: a null or empty text is the end token alone; a null source is a source of its own; repeated rows are
-packed each; an empty table gives no pieces; other columns of the input are left behind.
+packed each; an empty table gives no pieces; other columns of the input are left behind. The schedule has one number a
+source and rate change, and a task evaluates it for the rounds of its documents: it is made for up to some thousands of
+sources.
 """
 
 from __future__ import annotations
