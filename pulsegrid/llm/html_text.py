@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -91,6 +92,12 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     parts: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = [("", 0)]
+    opened: Counter[str] = Counter()  # spares the search for tags that are not open
+
+    def leave(i: int) -> None:
+        for name, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
 
     def end() -> None:
         if not parts:
@@ -120,10 +127,8 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br" and not flags & UNSEEN:
             parts.append((" ", flags))
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -132,15 +137,16 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         group, fences = CLOSES.get(tag, ({"p"}, {"table", "td", "li", "div", "section", "article", "button"}) if tag in BLOCK else (None, None))
-        if group:
+        if group and any(opened[x] > 0 for x in group):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in group:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i][0] in fences:
                     break
         if not (attributes.endswith("/") and tag not in BLOCK):
             stack.append((tag, _marks(tag, attributes, stack[-1][1])))
+            opened[tag] += 1
     end()
     return out
 

@@ -89,5 +89,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: flo
     rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
     taken = mix(rows, weights, budget_share, epochs, "_mix_row", text, source).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_mix_times")
-    out = rows.join(taken.select("_mix_row", times), "_mix_row")
+    # always a sort-merge join: a broadcast below some size would make the shuffle grow faster than the input
+    out = rows.hint("merge").join(taken.select("_mix_row", times), "_mix_row")
     return out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
