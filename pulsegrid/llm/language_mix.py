@@ -1,7 +1,7 @@
 """Language identification by mixture inference.
 
-Each language has a distribution over hashed byte trigrams of letters, counted over all training documents. A
-document's trigrams are taken as drawn from a mixture of the languages; expectation-maximisation estimates the
+Each language has a distribution over hashed byte trigrams of letters, counted over all training documents; a letter
+that stands alone has one, too, between two blanks. A document's trigrams are taken as drawn from a mixture of the languages; expectation-maximisation estimates the
 proportions. The language set is chosen by penalised likelihood: starting with all languages, the one with the
 smallest proportion leaves as long as the log-likelihood lost is below ``penalty`` x log(number of trigrams). The
 prediction is the language with the largest proportion, the score that proportion.
@@ -45,7 +45,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"   ".join([b"", *parts, b""]), np.uint8)
     owner = np.concatenate([np.zeros(3, np.int64), np.repeat(np.arange(len(parts), dtype=np.int64), [len(x) + 3 for x in parts])])
     a, b, c = raw[:-2], raw[1:-1], raw[2:]
-    use = (b != 32) & ((a != 32) | (c != 32))
+    use = b != 32
     code = a.astype(np.uint32) << 16 | b.astype(np.uint32) << 8 | c
     hashed = ((code[use] * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
     cell, n = np.unique(owner[1:-1][use] * BUCKETS + hashed, return_counts=True)

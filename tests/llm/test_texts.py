@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import html_text, language_mix, mpeg_audio, packing, queries, quality_mil, token_counts
 
@@ -115,6 +116,15 @@ def test_languages(spark, sf_dir, edge, empty, documents):
     assert language_mix.learn(empty)[0] == [] and language_mix.identify(empty, names, table).count() == 0
     assert {r.lang_pred for r in language_mix.identify(edge, *language_mix.learn(empty)).collect()} == {"und"}
 
+def test_isolated_letters_have_a_language(spark, documents):
+    names, table = language_mix.learn(documents)
+    lone = spark.createDataFrame([(1, "A."), (2, "a"), (3, "I I 7 x!"), (4, "É"), (5, "7 !"), (6, "— 🎉"), (7, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_mix.identify(lone, names, table).collect()}
+    assert all(got[k].lang_pred in names and got[k].score > 0 and got[k].proportions for k in (1, 2, 3, 4))
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0) for k in (5, 6, 7))
+    taught = lone.where("doc_id < 4").withColumn("lang", F.lit("en"))
+    assert language_mix.learn(taught)[0] == ["en"]
+
 
 @pytest.mark.parametrize("text", [None, "", "a", "x" * 191, "x" * 192, "x" * 193, "é" * 5000])
 def test_audio_round_trip(text):
