@@ -5,8 +5,11 @@ classes (capitals, symbols, marks ...), and how much of it repeats earlier words
 text. Gated attention, softmax over w . (tanh(V h) * sigmoid(U h)), weighs the encoded passages; the weighted sum
 stands for the document, and its label alone teaches encoder, attention and output together.
 
-The classifier is fitted in numpy on a bounded sample of the labelled rows: at most ``FIT_DOCUMENTS`` documents, in
-hash order, as far as their passages are at most ``FIT_PASSAGES``. Scoring runs over whole texts in Arrow batches.
+The classifier is fitted in numpy on a bounded sample of the labelled rows: at most ``FIT_DOCUMENTS`` documents, the
+first in hash order. Where they have more than ``FIT_PASSAGES`` passages, the longest of them are fitted on means of
+neighbouring passages, so many that all documents fit and every word still counts; how long the others are does not
+matter. Only if more rows than ``FIT_PASSAGES`` share the sampled keys are some left out, the last in hash order.
+Scoring runs over whole texts in Arrow batches.
 
 Defined results: a null or empty text has one passage without words; labelled rows with a null label or key teach
 nothing; if all labels are alike or there are none, every score is their mean (0.5 without any); repeated rows are
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.llm.common import map_arrow
+from pulsegrid.llm.common import WORD, forget, map_arrow, materialize
 
 PASSAGE = 64
 FIT_DOCUMENTS = 4000
@@ -190,12 +193,37 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
         i = j
 
 
+def longest(count: np.ndarray, rows: np.ndarray, most: int) -> int:
+    """The largest m for which the sum of min(count, m) over all rows is at most ``most``; 1 at least."""
+    low, high = 1, int(count.max(initial=1))
+    while low < high:
+        m = (low + high + 1) // 2
+        low, high = (m, high) if (np.minimum(count, m) * rows).sum() <= most else (low, m - 1)
+    return low
+
+
+def pooled(x: np.ndarray, most: int) -> np.ndarray:
+    """The passages of one text as ``most`` means of neighbours at most; frequencies are averaged, not their roots."""
+    if len(x) <= most:
+        return x
+    starts = -(-np.arange(most) * len(x) // most)
+    out = x.astype(np.float64)
+    out[:, : CLASSES * CLASSES] **= 2
+    out = np.add.reduceat(out, starts) / np.diff(np.append(starts, len(x)))[:, None]
+    out[:, : CLASSES * CLASSES] **= 0.5
+    return out.astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, most_passages: int = FIT_PASSAGES, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fits on a bounded sample of the rows of ``labels``, which holds keys and labels only."""
     lab = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"))
     lab = lab.groupBy("_k").agg(F.max("_y").alias("_y"))
     sample = lab.orderBy(F.xxhash64(F.lit("fit"), "_k"), "_k").limit(documents)
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), "_k").select("_k", "_y", "_t")
+    rows = materialize(rows, "fit-sample")
+    words = F.length(F.translate(F.regexp_replace("_t", WORD, "x"), " \t\n\x0b\x0c\r", ""))
+    sizes = rows.groupBy(F.greatest(F.ceil(words / F.lit(PASSAGE)), F.lit(1)).cast("long").alias("n")).agg(F.count("*").alias("rows")).collect()
+    share = longest(np.array([r.n for r in sizes], np.int64), np.array([r.rows for r in sizes], np.int64), most_passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,12 +231,13 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, mo
             for part in _chunks(texts):
                 x, count = passages(texts[part])
                 ends = np.cumsum(count)
-                raw = [x[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())[part], b.column(1)[part], pa.array(count, pa.int64()), pa.array(raw, pa.binary())], ["k", "y", "n", "x"])
+                raw = [pooled(x[e - n : e], share).tobytes() for e, n in zip(ends, count, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())[part], b.column(1)[part], pa.array(np.minimum(count, share), pa.int64()), pa.array(raw, pa.binary())], ["k", "y", "n", "x"])
 
     bags = map_arrow(rows, run, "k string, y double, n bigint, x binary")
     order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k", "x"), "k")
     bags = bags.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= most_passages).orderBy("upto").collect()
+    forget(rows)
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in bags]) if bags else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.array([r.n for r in bags], np.int64), np.array([r.y for r in bags], np.float32))
 

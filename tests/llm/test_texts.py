@@ -187,6 +187,22 @@ def test_quality(spark, sf_dir, documents, edge, empty):
     assert none.mean == 0.5
 
 
+def test_long_texts_leave_the_sample_whole(spark, monkeypatch):
+    """Ten labelled texts of 640 passages and more beside forty short ones, with a bound of 200 passages."""
+    rows = [(i, " \n\x0b".join(f"{'#$' * (i % 2)}w{k}" for k in range(64 * (640 + i) if i < 10 else 70)) if i else " \t ", i % 2) for i in range(50)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, quality int").select("doc_id", "text"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    given, fit = [], quality_mil.fit
+    monkeypatch.setattr(quality_mil, "fit", lambda x, n, y: given.append((x, n, y)) or fit(x, n, y, epochs=2))
+    assert quality_mil.train(docs, labels, most_passages=200).mean is None
+    x, n, y = given[0]
+    # 1 for the text without words, 2 for each short one, 13 for each of nine long ones
+    assert sorted(n.tolist()) == [1] + [2] * 40 + [13] * 9 and len(x) == 198 and y.sum() == 25
+    whole, each = quality_mil.passages([rows[1][1]])
+    assert each[0] == 641 and (quality_mil.pooled(whole, 641) is whole)
+    some = quality_mil.pooled(whole, 13)
+    assert np.allclose((some[:, :-5] ** 2).sum(1), 1, atol=1e-3) and np.allclose(some[:, -1], whole[:, -1].mean())
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     count = np.array([3, 1, 4])
