@@ -48,7 +48,8 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
-WEB = Policy("web", 1, tuple(BITS))
+#: Length alone rejects no document: too_many_words stays in the ledger for policies that name it.
+WEB = Policy("web", 2, tuple(r for r in BITS if r != "too_many_words"))
 
 
 def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,6 +33,12 @@ def test_rules_by_brute_force(edge, empty):
     assert quality_rules.keep(edge).columns == edge.columns and quality_rules.keep(empty).count() == 0
 
 
+def test_length_alone_rejects_nothing(spark):
+    text = "\n".join(" ".join(f"plainword{i}" for i in range(k, k + 20)) for k in range(0, 1_000_020, 20))
+    row = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_words == 1_000_020 and row.fail_bits == quality_rules.BITS["too_many_words"] and row.kept and row.policy == "web/2"
+
+
 def test_ablations(documents):
     rows = quality_rules.ledger(documents).cache()
     policy = quality_rules.Policy("two", 1, ("few_words", "shouting"))
