@@ -100,7 +100,11 @@ def stream_windows(spark, sf_dir):
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/pulsegrid-stream"
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a file stream lists folders: the table's own, or for a table of one file the one it lies in
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    parts = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
+    source = spark.readStream.schema(schema)
+    raw = source.parquet(f"{sf_dir}/events.parquet") if parts else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = raw.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("seq"), F.col("value").alias("ir"), F.get_json_object("props", "$.k").cast("double").alias("red"))
     q = stream.write(stream.count_windows(rows, 16), f"{at}/out", f"{at}/state", f"windows-{uuid.uuid4().hex}", None).start()
     q.awaitTermination()
