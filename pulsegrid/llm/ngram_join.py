@@ -236,7 +236,7 @@ def _blocked(rows: DataFrame, count: str, by: str) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: _row, _key, _text_key, class_row (a row of the class), n_copies, n_links, n_text_links.
+    """One row a document: _row, _key, _text_key, _size (shingles), class_row (a row of the class), n_copies, n_links, n_text_links.
 
     n_links counts the other documents whose similarity reaches the threshold, copies included; n_text_links the
     other texts.
@@ -270,6 +270,8 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     place = materialize(place.select("comp", "_n", "_tid", "_copies", "_text_key", "_owner"), "join-place")
     # a text comes from the document that stands for its copies
     taken = rows.select("_key", "_text_key", "_text").join(small(place), "_text_key").where(F.col("_key").eqNullSafe(F.col("_owner")))
+    # rows repeated under that key come once
+    taken = taken.select("comp", "_n", "_tid", "_copies", "_text").dropDuplicates(["_tid"])
     sets = _blocked(taken, "_n", "_tid").select("comp", "_bi", "_bj", "_tid", "_mine", "_copies", "_text")
     sets = sets.repartition("comp", "_bi", "_bj").sortWithinPartitions("comp", "_bi", "_bj", "_tid")
     exact = materialize(map_arrow(sets, _verify(threshold, size), "a bigint, b bigint, n_links bigint, n_text_links bigint"), "join-links")
@@ -280,7 +282,7 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     per_text = per_text.select("_text_key", "_tid", "_copies", F.coalesce("comp", "_tid").alias("class_row"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_text_links")])
     out = base.select("_row", "_key", "_text_key", "_size").join(per_text, "_text_key", "left")
     return out.select(
-        "_row", "_key", "_text_key", F.coalesce("class_row", "_row").alias("class_row"), F.coalesce("_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "_row", "_key", "_text_key", "_size", F.coalesce("class_row", "_row").alias("class_row"), F.coalesce("_copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("n_links", F.lit(0)) + F.coalesce("_copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
     )
 
@@ -296,8 +298,8 @@ def similar(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float =
 
 
 def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class, the one with the smallest key (then the first row)."""
-    found = materialize(join(docs, threshold, tolerance, size, key, text), "join-result")
+    """docs with one row of each class, the one with the smallest key (then the first row); all rows without words."""
+    found = materialize(join(docs, threshold, tolerance, size, key, text).where("_size > 0"), "join-result")
     best = found.groupBy("class_row").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("_best")).select(F.col("_best._row").alias("_row"))
     keep = found.join(best, "_row", "left_semi").select("_key", "_text_key").withColumn("_kept", F.lit(True))
     # rows are told apart by key and text: what only dropped rows have goes, what a kept row has stays once

@@ -95,6 +95,21 @@ def test_join_edges(edge, empty):
     assert ngram_join.one_of_each(twice).count() == 1
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, " ", "c"), (1, "", "d"), (1, "", "e"), (1, None, "f"), (2, "x y", "g"), (2, "x y", "h")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.source for r in kept)[:6] == list("abcdef") and len(kept) == 7
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base))] * 40 + [(3, " ".join(["n", *base[1:]]))]
+    met, blocked = [], ngram_join._blocked
+    monkeypatch.setattr(ngram_join, "_blocked", lambda r, *a: (met.append(r.count()) if "_text" in r.columns else None) or blocked(r, *a))
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert met == [2] and {(r.doc_id, r.class_id, r.class_size, r.n_copies, r.n_links) for r in got} == {(None, 3, 41, 40, 40), (3, 3, 41, 1, 40)}
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     need = ngram_join.least_matches()
     assert need[0] == 0 and need[125] < 100 and all(a <= b for a, b in zip(need, need[1:]))
