@@ -1,12 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into a flat list of text blocks at the tags that break lines. A block's features are its number of words
-and link density (share of words inside links), those of the blocks before and after it, and three marks of where it
-stands: inside the element meant for the main text, inside one meant for something else (by tag, role, class or id), and
-whether it is a heading. A decision tree, grown on the small labelled table below, says which blocks are main text.
+and link density (share of words inside links), those of the blocks before and after it, and four marks: whether it lies
+inside the page's article or main element, or outside of one that the page has; whether an element made for something
+else holds it (nav, footer, aside, form ...); whether an element around it is named as nothing but an advert, a notice,
+a bar ... or as reader comments; and whether it is a heading. A decision tree, grown on the small labelled pages below,
+says which blocks are main text. It splits by words and densities first: a mark is taken only where it leaves less than
+half the impurity that the best number leaves. Names count as a whole ("cookie-notice", not "notice-of-1832"), and those
+of paragraphs, headings and quotations inside an article not at all.
 
-Scripts, styles and other hidden elements, comments of the markup and tags themselves are no text. Character references
-are decoded, white space inside a block becomes one blank, and the blocks that stay are joined by two line ends.
+Scripts, styles, other hidden elements and fields, comments of the markup and tags themselves are no text. Character
+references are decoded, white space inside a block becomes one blank, and the blocks that stay are joined by two line ends.
 
 Defined results: null and empty pages give an empty text; broken markup (open quotes, missing end tags) is read as far as
 it goes; repeated rows are extracted each; an empty table gives an empty result; other input columns are left behind.
@@ -31,23 +35,28 @@ _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|itemprop|aria-hidden)(?=[\s=/>]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|itemprop)(?=[\s=/>]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-HIDDEN = frozenset("head noscript template svg math button select datalist iframe object canvas audio video".split())
+HIDDEN = frozenset("head noscript template svg button select datalist iframe object canvas audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of the same group, unless one of the fences lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-OTHER_TAGS = frozenset("nav footer aside form menu dialog".split())
+OTHER_TAGS = frozenset("nav footer aside menu dialog".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: A name made of these words alone, one of the first two sets among them, says what an element is.
 OTHER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu menubar topbar masthead footer colophon sidebar rail widget cookie cookies consent gdpr "
-    "notice notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments respond reply replies disqus discussion related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar search skip contentinfo complementary navigation dialog".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense banner promo promos promotion promotions sponsor sponsored sponsors nav navbar navigation menu menus menubar topbar masthead header footer colophon "
+    "sidebar rail widget widgets cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay subscribe subscription newsletter signup login share sharing social "
+    "related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar search copyright disclaimer".split()
 )
-MAIN_WORDS = frozenset("main article content story post entry".split())
-MAIN, OTHER, LINK, UNSEEN, HEADING = 1, 2, 4, 8, 16
+COMMENT_WORDS = frozenset("comment comments respond replies disqus guestbook".split())
+FILLER_WORDS = frozenset("site page main top bottom left right primary secondary global box bar block wrap wrapper container inner outer area section panel slot unit list links items item thread body content text form group row col column posts articles post article buttons icons js the".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption em strong b i span".split())
+INSIDE, OTHER, LINK, UNSEEN, HEADING, FORM, NAMED, COMMENT = 1, 2, 4, 8, 16, 32, 64, 128
 
 
 @dataclass
@@ -58,6 +67,19 @@ class Block:
     flags: int
 
 
+@lru_cache(maxsize=100_000)
+def _named(value: str) -> int:
+    """NAMED or COMMENT if one of the names says nothing but that."""
+    flags = 0
+    for name in value.split():
+        words = {x.lower() for x in _TOKENS.findall(name)}
+        if words & COMMENT_WORDS and words <= COMMENT_WORDS | OTHER_WORDS | FILLER_WORDS:
+            flags |= COMMENT
+        elif words & OTHER_WORDS and words <= OTHER_WORDS | FILLER_WORDS:
+            flags |= NAMED
+    return flags
+
+
 def _marks(tag: str, attributes: str, above: int) -> int:
     flags = above
     if tag in HIDDEN:
@@ -65,24 +87,24 @@ def _marks(tag: str, attributes: str, above: int) -> int:
     elif tag == "a":
         flags |= LINK
     elif tag in ("article", "main"):
-        flags |= MAIN
-    elif tag in OTHER_TAGS or tag == "header" and not above & MAIN:
+        flags = (flags | INSIDE) & ~FORM  # a form around the article is that of the whole page
+    elif tag in OTHER_TAGS or tag == "header" and not above & INSIDE:
         flags |= OTHER
+    elif tag == "form":
+        flags |= FORM
     elif tag in HEADINGS:
         flags |= HEADING
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" and tag != "a" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 flags |= UNSEEN
-            elif name in ("class", "id", "role"):
-                words = {x.lower() for x in _TOKENS.findall(value)}
-                if words & OTHER_WORDS or "header" in words and not above & MAIN and tag not in HEADINGS:
-                    flags |= OTHER
-                elif words & MAIN_WORDS and tag in ("div", "section", "td"):
-                    flags |= MAIN
+            elif name == "role":
+                flags |= OTHER if value.lower() in OTHER_ROLES else INSIDE if value.lower() in ("main", "article") else 0
+            elif name in ("class", "id") and tag != "main" and not (tag in PROSE and above & INSIDE):
+                flags |= _named(value)
             elif name == "itemprop" and value.lower() == "articlebody":
-                flags |= MAIN
+                flags |= INSIDE
     return flags
 
 
@@ -156,30 +178,58 @@ def _common(parts: list[tuple[str, int]]) -> int:
     return next((f for x, f in parts if x.strip()), parts[0][1]) & ~LINK
 
 
-#: The labelled table: words and link density of the block before, of the block, of the block after; marks main, other,
-#: heading; and whether the block is main text. 0 words: no such block.
-LABELLED: tuple[tuple[float, ...], ...] = (
-    # menus, bars, notices and footers by their marks
-    (0, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 9, 0.0, 14, 0.0, 0, 1, 0, 0), (60, 0.0, 11, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (40, 0.0, 35, 0.1, 50, 0.0, 1, 1, 0, 0), (35, 0.1, 80, 0.0, 12, 0.0, 1, 1, 0, 0), (12, 0.0, 5, 0.0, 30, 0.0, 1, 1, 1, 0), (90, 0.0, 120, 0.0, 7, 0.5, 0, 1, 0, 0),
-    (3, 1.0, 2, 0.0, 60, 0.0, 0, 1, 1, 0), (20, 0.0, 25, 0.4, 4, 1.0, 0, 1, 0, 0), (1, 1.0, 45, 0.0, 5, 0.0, 0, 1, 0, 0), (150, 0.0, 3, 0.0, 40, 0.0, 1, 1, 0, 0),
-    # the article, long and short paragraphs, headings and list items
-    (9, 0.0, 12, 0.0, 70, 0.0, 1, 0, 1, 1), (12, 0.0, 70, 0.0, 40, 0.0, 1, 0, 0, 1), (70, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 90, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 90, 0.05, 11, 0.0, 1, 0, 0, 1), (1, 1.0, 4, 0.0, 1, 0.0, 1, 0, 0, 1), (4, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 1), (30, 0.0, 6, 0.8, 3, 0.0, 1, 0, 0, 1),
-    (0, 0.0, 25, 0.0, 0, 0.0, 1, 0, 0, 1), (50, 0.0, 8, 1.0, 12, 0.0, 1, 0, 0, 1), (6, 0.8, 3, 0.0, 11, 0.0, 1, 0, 1, 1), (0, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 1),
-    (8, 1.0, 12, 0.0, 40, 0.0, 1, 0, 0, 1), (5, 1.0, 3, 0.0, 0, 0.0, 1, 0, 0, 1), (3, 1.0, 30, 1.0, 2, 1.0, 1, 0, 0, 1), (8, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
-    (3, 0.0, 5, 0.5, 2, 0.5, 1, 0, 0, 1), (30, 0.5, 12, 0.6, 1, 1.0, 1, 0, 0, 1), (2, 1.0, 1, 0.0, 1, 1.0, 1, 0, 0, 1), (20, 1.0, 40, 0.9, 0, 0.0, 1, 0, 0, 1),
-    (4, 1.0, 6, 1.0, 1, 0.0, 1, 0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (2, 0.0, 9, 0.7, 12, 1.0, 1, 0, 0, 1), (7, 1.0, 18, 0.4, 5, 1.0, 1, 0, 0, 1),
-    # pages without marks: text by length and links, short blocks by their neighbours
-    (1, 1.0, 8, 0.0, 55, 0.0, 0, 0, 1, 1), (8, 0.0, 55, 0.0, 60, 0.1, 0, 0, 0, 1), (55, 0.0, 60, 0.1, 20, 0.0, 0, 0, 0, 1), (60, 0.1, 20, 0.0, 33, 0.0, 0, 0, 0, 1),
-    (33, 0.0, 5, 0.0, 48, 0.0, 0, 0, 0, 1), (48, 0.0, 7, 0.0, 64, 0.0, 0, 0, 1, 1), (5, 0.0, 28, 0.2, 3, 1.0, 0, 0, 0, 1), (0, 0.0, 120, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 18, 0.0, 40, 0.0, 0, 0, 0, 1), (64, 0.0, 17, 0.0, 4, 1.0, 0, 0, 0, 1), (22, 0.0, 9, 0.1, 26, 0.0, 0, 0, 0, 1), (0, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (0, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 8, 0.0, 0, 0, 0, 0), (40, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (5, 1.0, 6, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 15, 0.9, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 30, 0.8, 4, 1.0, 0, 0, 0, 0), (2, 1.0, 3, 0.0, 4, 0.5, 0, 0, 0, 0),
-    (3, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0, 0), (5, 1.0, 7, 0.0, 0, 0.0, 0, 0, 0, 0), (20, 0.6, 12, 0.5, 9, 0.7, 0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 55, 0.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0), (30, 0.0, 10, 0.9, 70, 0.0, 0, 0, 0, 0), (2, 0.5, 14, 0.6, 12, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 4, 0.5, 3, 0.0, 0, 0, 0, 0),
-)
+#: The labelled pages, block by block: words (of them in links), marks, and + for main text. Marks: i inside the article or
+#: main element, u outside of one, o in an element for something else, n named as such, c comments, h heading.
+LABELLED = """
+1/1ou 1/1ou 2/2ou 1/1ou 8nu 9hi+ 60i+ 45i+ 3i+ 80i+ 1i+ 12i+ 33i+ 14ou
+1/1ou 2/2ou 1/1ou 7u 2hi+ 1i+ 14ou
+3/3ou 1/1ou 12nu 9hi+ 9i+ 10ou
+2/2u 1/1u 3/3u 6u 11hi+ 70i+ 4i+ 55/3i+ 9i+ 41i+ 4u 1/1u 2/2u 9u
+2/2ou 7nu 6hi+ 1i+ 23i+ 7i+ 15i+ 200i+ 27i+ 10i+ 31i+ 5i+ 19i+ 2i+ 44i+ 14i+ 8i+ 65i+ 21i+ 11i+ 38i+ 4i+ 25i+ 3i+ 300i+ 17i+ 9ou
+1/1ou 11nu 11hi+ 29i+ 13i+ 1i+ 52i+ 24i+ 6i+ 90i+ 16i+ 35i+ 2i+ 120i+ 20i+ 9i+ 28i+ 40i+ 12i+ 3i+ 22i+ 75i+ 18i+ 16ou
+2hi+ 5i+ 2i+ 3i+ 6i+ 1i+ 12i+ 4i+
+1ohu 2/2ou 2/2ou 2hi+ 40i+ 3i+ 55i+ 3/1oi 4hcu 70cu
+2/2ou 3/3ou 3hi+ 4i+ 25i+ 12i+ 8/3oi 4/2oi 1/1ou
+1/1ou 2i+ 30i+ 3i+ 50i+ 5/1oi 12/3oi 6/4ou 9/2ou
+2/2ou 1hi+ 2i+ 45/5i+ 6/2i+ 20/4i+ 3/1i+ 4ou
+4/4i 2/2i 1i 12hi+ 66i+ 5i+ 72/6i+ 18i+ 2/2i 1/1i 2/2i 2hi 6/6i 7/7i 5/5i 6oi 9ou
+3/3i 5/5i 8hi+ 40i+ 7/2i+ 9/7i+ 8/6i+ 35i+ 6hi+ 3i+ 4i+ 2i+ 60i+ 2hi 5/5i 4/4i 6/6i
+6hi+ 50i+ 12/12i+ 47i+ 3/3i+ 30i+ 2/2i+ 55i+ 40i+ 1/1i+ 62i+ 5/5i+ 9i+ 4/4i+ 1i+ 2/2i+ 14ou
+1hi+ 38i+ 1i+ 2/1i+ 1/1i+ 44i+ 1i+ 1i+ 3i+ 2i+ 1i+ 9i+ 2i+
+5hi+ 50i+ 8ni 40i+ 25ni 62i+ 14ni 33i+ 45ni 6i+ 3ni 5i+ 2/2ni 70i+ 18/9ni
+3hi+ 20i+ 2hni 14ni 4hi+ 31i+ 1ni 90i+ 5ni 7ni 12i+ 3/3ni 5/5ni 60i+ 80ni
+9hi+ 30i+ 80i+ 3hci 15ci 90ci 20ci 75ci 40ci 5/5ci 120ci 60c 8ou
+6hi+ 50i+ 12i+ 3hic 30ic 70ic 12ic 110ic 9ou
+4hi+ 65i+ 25i+ 2hcu 50cu 8cu 140cu 1cu 22cu 3/3ou
+2hu 24u 3hu 12/12u 8hi+ 42i+ 35i+ 60oi 25oi 2hoi 44i+ 38i+ 9oi 30u 50u 5/5u
+1hi+ 30i+ 14nu 33u 2/2nu 1hnu 18nu 40nu 75u
+1/1 1/1 2/2 1/1 9h+ 55+ 60/4+ 20+ 33+ 5+ 48+ 7h+ 64+ 28/4+ 3/3 2/2 1/1 8
+2/2 3/3 1/1 2/2 60+ 50+ 9+ 70+ 1/1 2/2 2/2 4
+2/2 3/3 1/1 2/2 45+ 2+ 61+ 12/1+ 40+ 3/3 2/2 5/5 7/2
+5/5 2/2 10h+ 1+ 2+ 4+ 90+ 3h+ 70+ 52+ 12+ 2h 4/4 5/5 3/3 6/6 9
+1/1 2/2 2/2 1h+ 35+ 45+ 6+ 28+ 13+ 12n 5n
+2/2 2/2 5h+ 40+ 3+ 25+ 70+ 1+ 12+ 2/2 2/2 2/2 4
+1/1 3 1/1 4h+ 22+ 31+ 17+ 90+ 8+ 1/1 1/1 6
+4hc 55c 1/1 1/1 3/3 7h+ 110+ 85+ 10+ 60+ 3hc 25c 60c 9c 130c 1/1
+45n 2/2n 1/1o 2/2o 8h+ 40+ 52+ 66+ 12+ 35n 3/2n
+45n 1/1n 2/2 2/2 2/2 1h+ 40+ 3+ 25+ 70+ 1+ 12+ 2o 20o 1hn 25n
+80n 1/1n 3/3o 2/2o 11h+ 75+ 61+ 20o 34/5o 50o
+2hn 20/3n 2/2n 18/2n 2/2n 12h+ 50+ 34+ 3h 4/4 4/4 15/2 2/2
+3h 18/2 2/2 3h 22/3 2/2 14h+ 90+ 120+ 45+ 6/6 5/5 7/7
+1o 2o 12o 30o 1/1 9h+ 58+ 44+ 63+ 2/2o 70o 90o
+7h+ 150n+ 160n+ 150n+ 170n+ 9o
+10h+ 155ni+ 165ni+ 160ni+ 155ni+ 9o
+3+
+25+
+1h+ 2+
+4+ 3+
+60+ 40+
+1+
+9+ 1+ 30+
+3h+ 12+ 8+
+"""
+KINDS = "words before, density before, words, density, words after, density after, place, other, name, heading".split(", ")
+NUMBERS = 6
 
 
 @dataclass(frozen=True)
@@ -201,8 +251,11 @@ class Tree:
         return self.value[node] >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
-    """Splits by Gini impurity; of equal splits the first feature and the lowest threshold win."""
+def grow(x: np.ndarray, y: np.ndarray, numbers: int = NUMBERS, depth: int = 9, least: int = 2, handicap: float = 0.8) -> Tree:
+    """Splits by Gini impurity; of equal splits the first feature and the lowest threshold win.
+
+    A mark (a feature from ``numbers`` on) is split only where it leaves less than ``handicap`` of what the best number leaves.
+    """
     nodes: list[list[float]] = []
 
     def build(rows: np.ndarray, level: int) -> int:
@@ -216,9 +269,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
             for lo, hi in zip(u := np.unique(v), u[1:], strict=False):
                 below = v <= (lo + hi) / 2
                 k = int(below.sum())
-                if least <= k <= len(rows) - least:
+                if f >= numbers or least <= k <= len(rows) - least:
                     p, q = y[rows[below]].mean(), y[rows[~below]].mean()
-                    cost = k * p * (1 - p) + (len(rows) - k) * q * (1 - q)
+                    cost = (k * p * (1 - p) + (len(rows) - k) * q * (1 - q)) / (handicap if f >= numbers else 1)
                     if best is None or cost < best[0] - 1e-12:
                         best = cost, f, (lo + hi) / 2, below
         if best is not None:
@@ -231,23 +284,41 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
     return Tree(a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4])
 
 
+def labelled_table(pages: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages."""
+    marks = {"i": INSIDE, "o": OTHER, "n": NAMED, "c": COMMENT, "h": HEADING, "u": 0, "+": 0}
+    x, y = [], []
+    for line in pages.split("\n"):
+        page, text = [], []
+        for words, linked, letters in re.findall(r"(\d+)(?:/(\d+))?([a-z]*\+?)", line):
+            page.append(Block("", int(words), int(linked or 0), sum(marks[m] for m in letters)))
+            text.append(letters.endswith("+"))
+        if page:
+            x.append(block_features(page))
+            y += text
+    return np.vstack(x), np.array(y, np.float64)
+
+
 @lru_cache(maxsize=1)
 def default_tree() -> Tree:
-    table = np.array(LABELLED, np.float64)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(*labelled_table())
 
 
 def block_features(page: list[Block]) -> np.ndarray:
+    """(blocks, 10): see ``KINDS``. Place: 1 inside the article, -1 outside of one, 0 on a page without."""
     own = np.array([(b.words, b.linked / b.words) for b in page], np.float64).reshape(-1, 2)
-    none = np.zeros((1, 2))
-    marks = np.array([(bool(b.flags & MAIN), bool(b.flags & OTHER), bool(b.flags & HEADING)) for b in page], np.float64).reshape(-1, 3)
+    none, flags = np.zeros((1, 2)), np.array([b.flags for b in page], np.int64)
+    inside = flags & INSIDE > 0
+    place = np.where(inside, 1, -1 if inside.any() else 0)
+    name = np.where(flags & COMMENT > 0, 2, flags & NAMED > 0)
+    marks = np.stack([place, flags & (OTHER | FORM) > 0, name, flags & HEADING > 0], 1).astype(np.float64)
     return np.hstack([np.vstack([none, own])[: len(own)], own, np.vstack([own, none])[1:], marks])
 
 
 def main_texts(pages: list[str | None], tree: Tree | None = None) -> list[str]:
     tree = tree or default_tree()
     found = [blocks(p) for p in pages]
-    x = np.vstack([block_features(b) for b in found]) if found else np.zeros((0, 9))
+    x = np.vstack([block_features(b) for b in found]) if found else np.zeros((0, len(KINDS)))
     good = tree.predict(x) if len(x) else np.zeros(0, bool)
     out, at = [], 0
     for page in found:

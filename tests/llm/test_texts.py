@@ -1,4 +1,4 @@
-"""Packing, token counts, HTML, languages, audio and the quality classifier."""
+"""Packing, token counts, languages, audio and the quality classifier."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import html_text, language_mix, mpeg_audio, packing, queries, quality_mil, token_counts
+from pulsegrid.llm import language_mix, mpeg_audio, packing, queries, quality_mil, token_counts
 
 
 def test_pack_holds_every_id_once(documents, edge, empty):
@@ -75,32 +75,6 @@ def test_token_counts_equal_the_library(edge, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies <p>ok</p></div>
-<ul class=menu><li><a href=x>Home</a><li><a href=y>About us</a></ul><div id="content"><h2>Title &lt;x&gt;</h2><p>One &amp;
-  two<script>if (a<b) "</p>"</script> three.<p>Short<div class="advert">Buy now a lot of things today</div><p>More <a href="1>2">link</a> text<!-- no -->
-<form><label>Name</label><input></form><aside>Side stuff</aside></div><section id="comments"><p>Nice article, I liked it a lot really.</p></section><footer>bye</footer>"""
-
-
-def test_main_text():
-    got = html_text.main_texts([PAGE, None, "", "<p>only <b", "<article><p>a</p><p>b c</article>"])
-    assert got == ["Title <x>\n\nOne & two three.\n\nShort\n\nMore link text", "", "", "", "a\n\nb c"]
-
-
-def test_unmarked_pages_by_density():
-    words = " ".join(["word"] * 40)
-    menu = "".join(f"<li><a href={i}>Item {i}</a>" for i in range(6))
-    assert html_text.main_texts([f"<ul>{menu}</ul><div>{words}</div><div>{words} end</div><div><a>Next</a></div>"]) == [f"{words}\n\n{words} end"]
-
-
-def test_pages(spark, sf_dir):
-    rows = queries.op4_html_text(spark, sf_dir).collect()
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    assert len(rows) == pages.count() and all(r.n_chars == len(r.text) and r.text for r in rows)
-    odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", PAGE, "x"), (None, "u", PAGE, "x"), (2, "v", "<p>" * 5000, "x")], "page_id long, url string, html string, text string")
-    assert sorted(r.n_chars for r in html_text.extract(odd).collect())[:2] == [0, 0]
-    assert html_text.extract(odd.limit(0)).count() == 0
-
-
 def test_languages(spark, sf_dir, edge, empty, documents):
     rows = queries.op7_language_mix(spark, sf_dir).collect()
     truth = {r.doc_id: r.lang for r in documents.collect()}
