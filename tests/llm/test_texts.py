@@ -39,23 +39,61 @@ def test_pack_holds_every_id_once(documents, edge, empty):
     assert packing.pack(empty, queries.byte_bpe()).count() == 0
 
 
-def test_windows_follow_the_proportions():
-    totals = [50_000, 20_000, 700, 0, 9_000]
-    for weights in ([float(t) for t in totals], [1.0, 3.0, 1.0, 1.0, 2.0]):
-        s = packing.Schedule(totals, weights, 1024, 128)
-        k = np.arange(s.rounds + 1)
-        served = s.served(k)
-        assert (np.diff(served, axis=0) >= 0).all() and (served[0] == 0).all() and (served[-1] == totals).all()
-        cut = [(i, p, min(137, t - p)) for i, t in enumerate(totals) for p in range(0, t, 137)]
-        src, start, n = (np.array(c) for c in zip(*cut))
-        doc, at, length, stream = s.places(src, start, n)
-        seen = np.zeros(sum(totals), int)
-        for a, m in zip(stream, length):
-            seen[a : a + m] += 1
-        assert (seen == 1).all()
-    s = packing.Schedule(totals, [float(t) for t in totals], 1024, 128)
-    drift = s.served(np.arange(s.rounds)) - np.arange(s.rounds)[:, None] * 1024 * np.array(totals) / sum(totals)
-    assert np.abs(drift).max() <= 128
+def spread(s, totals, step=137):
+    """Tokens of each source in each round, from the places of documents of ``step`` tokens; every place is taken once."""
+    cut = [(i, p, min(step, t - p)) for i, t in enumerate(totals) for p in range(0, t, step)]
+    src, start, n = (np.array(c, np.int64) for c in zip(*cut))
+    doc, at, length, seq, offset = s.places(src, start, n)
+    seen, per = np.zeros(sum(totals), int), np.zeros((s.rounds, len(totals)), int)
+    for a, m in zip(seq * s.window + offset, length):
+        seen[a : a + m] += 1
+    assert (seen == 1).all() and (offset + length <= s.window).all() and s.rounds == -(-sum(totals) // s.window)
+    np.add.at(per, (seq, src[doc]), length)
+    got = np.zeros(sum(totals), int)  # every token of every document lies in one piece
+    base = np.cumsum([0, *totals])
+    for d, a, m in zip(doc, at, length):
+        got[base[src[d]] + start[d] + a : base[src[d]] + start[d] + a + m] += 1
+    assert (got == 1).all()
+    return per
+
+
+@pytest.mark.parametrize("totals", [[50_000, 20_000, 700, 0, 9_000], [300] * 40 + [90_000, 4], [7], [3000] * 200, [100_000, 1, 2, 3]])
+def test_windows_follow_the_proportions(totals):
+    s = packing.Schedule(totals, [float(t) for t in totals], 1024, 16)
+    per = spread(s, totals)
+    want = 1024 * np.array(totals) / sum(totals)
+    large = np.setdiff1d(np.arange(len(totals)), s.small)
+    assert (np.abs(per[:-3] - want)[:, large] < 2).all()  # the rounding of two windows' ends
+    assert (np.abs(per[:-3] - want) < 16 + 2).all()
+    drift = np.abs(np.cumsum(per, 0)[:-3] - want * np.arange(1, s.rounds + 1)[:-3, None])
+    assert (drift[:, large] < 1.01).all() and (drift < 2 * 16).all()
+    assert (want < 16).any() or not len(s.small)
+
+
+def test_weights_hold_until_a_queue_is_empty():
+    totals, weights = [50_000, 20_000, 700, 9_000], [1.0, 3.0, 1.0, 2.0]
+    per = spread(packing.Schedule(totals, weights, 1024, 16), totals)
+    assert (np.abs(per[:3] - 1024 * np.array(weights) / 7) < 2).all() and (per[:, 2] > 0).sum() <= 6
+    gone = np.flatnonzero(np.cumsum(per[:, 2]) == 700)[0]
+    assert (np.abs(per[gone + 2 : gone + 6] - 1024 * np.array([1, 3, 0, 2]) / 6) < 2).all()
+
+
+def test_windows_of_the_real_sources(spark, sf_dir):
+    """All 20 sources in every full window, none a grain away from its share; the deficit is what is still to come."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(docs, queries.byte_bpe(), with_ids=False).collect()
+    per, last, total = defaultdict(lambda: defaultdict(int)), {}, defaultdict(int)
+    for r in rows:
+        per[r.sequence_id][r.source] += r.length
+        total[r.source] += r.length
+    everything = sum(total.values())
+    assert len(total) == docs.select("source").distinct().count()
+    for k in range(max(per) - 2):
+        assert sum(per[k].values()) == 1024
+        assert all(abs(per[k][x] - 1024 * total[x] / everything) <= packing.GRAIN for x in total)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        last[r.source, r.sequence_id] = r.deficit
+    assert all(abs(d) <= packing.GRAIN + 1 for (_, k), d in last.items() if k < max(per) - 2)
 
 
 def test_token_counts_equal_the_library(edge, empty):
