@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -113,6 +114,22 @@ def test_token_counts_equal_the_library(edge, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_long_texts_without_spaces_take_linear_time():
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    kinds = ["x", "ab", "ing", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef0123456789+/", "漢字和日本語テスト", "ไทยภาษา", "=-", "\u2581a"]
+    texts = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (255, 256, 257, 258, 5000)]
+    assert token_counts.count_tokens(texts, path) == [len(x) for x in lib.encode(texts)]
+    for kind in ("abcdefghijklmnopqrstuvwxyz", "x", "漢字和日本語"):
+        text = "".join(rng.choice(kind) for _ in range(1_000_000))
+        began = time.process_time()
+        assert token_counts.count_tokens([text], path) == [len(lib.encode(text))]
+        assert time.process_time() - began < 60
+
+
 def test_languages(spark, sf_dir, edge, empty, documents):
     rows = queries.op7_language_mix(spark, sf_dir).collect()
     truth = {r.doc_id: r.lang for r in documents.collect()}
