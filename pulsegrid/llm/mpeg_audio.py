@@ -4,8 +4,9 @@
 bitrate (Xing), and frames of silence (all side information zero) whose ancillary bytes, which decoders skip, hold the
 payload. Every frame has a checksum. ``parse`` reads any layer I, II or III stream: it skips ID3v2 tags, finds frame
 headers again after damage (a header counts if the next one or the end follows at its distance, or its checksum is right), reads Xing,
-Info and VBRI tables, verifies the CRC-16 of header and side information, and gives the exact duration (samples over
-sampling rate, as integers) and the byte offset of every frame for seeking.
+Info and VBRI tables, verifies the CRC-16 (layer III: header and side information; layer I: header and bit allocation;
+layer II: the scale factor selection, too), and gives the exact duration (samples over
+sampling rate, as integers) and the byte offset of every frame for seeking. It reads on from left to right only.
 
 Defined results: a null or empty text is one block of blanks; equal texts give equal values; repeated rows are stored
 each; an empty table gives an empty result; other columns of the input are left behind. Bytes that are no stream give
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,12 +42,11 @@ KBITS = {
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
-def crc16(data: bytes, crc: int = 0xFFFF) -> int:
-    """CRC-16 with polynomial 0x8005, most significant bit first."""
-    for x in data:
-        crc ^= x << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+def crc16(data: bytes, crc: int = 0xFFFF, bits: int | None = None) -> int:
+    """CRC-16 with polynomial 0x8005, most significant bit first, over all or the first ``bits`` bits."""
+    for i in range(8 * len(data) if bits is None else bits):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ bit) & 1 else 0)) & 0xFFFF
     return crc
 
 
@@ -59,6 +60,8 @@ class Header:
     size: int
     samples: int
     side: int  # bytes of side information (layer III)
+    channels: int = 2
+    bound: int = 32  # first subband whose allocation the channels share (layers I and II, joint stereo)
 
 
 _headers: dict[bytes, Header | None] = {}
@@ -87,7 +90,8 @@ def _read_header(raw: bytes) -> Header | None:
         size = samples // 8 * 1000 * kbits // hertz + padding
     mono = raw[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(version, layer, not raw[1] & 1, kbits, hertz, size, samples, side)
+    bound = (raw[3] >> 4 & 3) * 4 + 4 if raw[3] >> 6 == 1 else 32
+    return Header(version, layer, not raw[1] & 1, kbits, hertz, size, samples, side, 1 if mono else 2, bound)
 
 
 @dataclass
@@ -148,18 +152,50 @@ def read_table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def allocation_bits(h: Header) -> list[int]:
+    """Fixed values of ISO/IEC 11172-3 (tables B.2a to B.2d) and 13818-3 (B.1): bits of the allocation of each subband."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    rate = h.kbits // h.channels
+    if rate <= 48:
+        return [4] * 2 + [3] * (10 if h.hertz == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.hertz == 48000 or rate <= 80 else 7)
+
+
+def covered_bits(data: bytes, h: Header) -> int:
+    """Bits behind the checksum that it covers in a layer I or II frame: bit allocation, and scale factor selection in II."""
+    p = selected = 0
+    word = int.from_bytes(data, "big") if h.layer == 2 else 0
+    for band, width in enumerate(allocation_bits(h)):
+        for _ in range(h.channels if band < h.bound else 1):
+            if h.layer == 2 and word >> max(8 * len(data) - p - width, 0) & (1 << width) - 1:
+                selected += 1 if band < h.bound else h.channels
+            p += width
+    return p + 2 * selected
+
+
 _checks: dict[bytes, int] = {}
 
 
 def _checked(data: bytes, at: int, h: Header) -> bool:
-    if h.layer != 3:
-        return True  # their checksums cover bit allocation, which needs the audio to be decoded
-    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-    if covered not in _checks:
+    if h.layer == 3:
+        body, bits = data[at + 6 : at + 6 + h.side], 8 * h.side
+    else:
+        body = data[at + 6 : at + min(h.size, 6 + 48)]  # 32 subbands of 2 channels: 4 + 2 bits each at most
+        bits = min(covered_bits(body, h), 8 * len(body))
+    covered = data[at + 2 : at + 4] + body
+    key = covered + bits.to_bytes(2, "big")
+    if key not in _checks:
         if len(_checks) > 10_000:
             _checks.clear()
-        _checks[covered] = crc16(covered)
-    return _checks[covered] == data[at + 4] << 8 | data[at + 5]
+        _checks[key] = crc16(covered, bits=16 + bits)
+    return _checks[key] == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+#: What a frame header or a tag can begin with.
+_MARK = re.compile(rb"\xff[\xe2-\xff]|ID3|TAG")
 
 
 def parse(data: bytes) -> Stream:
@@ -168,7 +204,7 @@ def parse(data: bytes) -> Stream:
         h = read_header(data[p : p + 4])
         after = p + h.size if h else 0
         follows = h and after <= n and (after == n or data[after : after + 3] in (b"TAG", b"ID3") or read_header(data[after : after + 4]))
-        if follows or h and after <= n and h.protected and h.layer == 3 and _checked(data, p, h):
+        if follows or h and after <= n and h.protected and _checked(data, p, h):
             if not out.frames and out.table is None and (found := read_table(data[p:after], h)):
                 out.table = found
             else:
@@ -189,8 +225,8 @@ def parse(data: bytes) -> Stream:
             out.tags.setdefault("TIT2", data[p + 3 : p + 33].rstrip(b"\0 ").decode("latin-1"))
             p = n
             continue
-        far = [x for x in (data.find(b"\xff", p + 1), data.find(b"ID3", p + 1), data.find(b"TAG", p + 1)) if x > 0]
-        q = min(far, default=n)
+        far = _MARK.search(data, p + 1)
+        q = far.start() if far else n
         out.skipped += q - p
         p = q
     return out
@@ -232,9 +268,9 @@ def encode(payload: bytes, title: str = "payload") -> bytes:
     head, size = _KINDS[4]
     xing = head + b"Xing" + struct.pack(">III", 7, len(frames), total) + bytes(points)
     text = b"\3" + title.encode()
-    tag = b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text
-    n = len(tag)
-    id3 = b"ID3\3\0\0" + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + tag
+    syncsafe = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    tag = b"TIT2" + syncsafe(len(text)) + b"\0\0" + text
+    id3 = b"ID3\4\0\0" + syncsafe(len(tag)) + tag
     return b"".join((id3, xing, bytes(size - len(xing)), *frames))
 
 

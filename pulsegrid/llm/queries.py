@@ -64,7 +64,7 @@ def op7_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.media(table(spark, sf_dir, "documents"), with_media=False, with_offsets=False)
+    return mpeg_audio.media(table(spark, sf_dir, "documents"), with_media=False)
 
 
 def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

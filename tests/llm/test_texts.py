@@ -191,11 +191,43 @@ def test_audio_other_kinds():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7  # CRC-16/CMS
 
 
+def frame_of(header, size, bits):
+    """A frame with a right checksum over header and ``bits`` bits behind it; all bits of the body set."""
+    body = b"\xff" * (size - 6)
+    return header + mpeg_audio.crc16(header[2:] + body, bits=16 + bits).to_bytes(2, "big") + body
+
+
+def test_audio_checksums_of_layers_one_and_two():
+    # layer II, 192 kbit/s, 44.1 kHz, stereo: 30 subbands of 2 channels, 94 bits of allocation each, 60 selections of 2 bits
+    two = bytes((0xFF, 0xFC, 10 << 4, 0x00))
+    h = mpeg_audio.read_header(two)
+    assert mpeg_audio.covered_bits(b"\xff" * 60, h) == 2 * 94 + 120 and mpeg_audio.covered_bits(bytes(60), h) == 2 * 94
+    # joint stereo from subband 8 on: what is shared is stored once, but selected for both channels
+    joint = mpeg_audio.read_header(bytes((0xFF, 0xFC, 10 << 4, 0x50)))
+    assert joint.bound == 8 and mpeg_audio.covered_bits(b"\xff" * 60, joint) == 2 * 32 + (94 - 32) + 120
+    good = frame_of(two, 626, 2 * 94 + 120)
+    one = frame_of(bytes((0xFF, 0xFE, 12 << 4, 0x00)), mpeg_audio.read_header(bytes((0xFF, 0xFE, 12 << 4, 0x00))).size, 256)
+    for frame in (good, one):
+        bad = bytearray(frame)
+        bad[7] ^= 0x80
+        assert mpeg_audio.parse(frame * 3).bad_checksums == 0 and mpeg_audio.parse(frame + bytes(bad) + frame).bad_checksums == 1
+        assert len(mpeg_audio.parse(frame + bytes(bad) + frame).frames) == 3
+
+
+def test_audio_resynchronises_in_linear_time():
+    began = time.process_time()
+    for junk in (b"\xff\x00", b"\xff\xfb", b"ID3", b"TAG\xff"):
+        s = mpeg_audio.parse(junk * (1_000_000 // len(junk)))
+        assert not s.frames
+    assert time.process_time() - began < 30
+
+
 def test_media(edge, empty):
     rows = mpeg_audio.media(edge).collect()
     text = {r.doc_id: r.text for r in edge.collect() if r.doc_id}
     for r in rows:
         assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes
+        assert r.seek_offsets == mpeg_audio.parse(r.media).frames and all(r.media[p] == 0xFF for p in r.seek_offsets)
         if r.doc_id:
             p = mpeg_audio.pad(text[r.doc_id])
             assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-16:])
