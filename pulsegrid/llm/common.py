@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets per key of ``running_total``; bounds the rows of the one window that spans buckets.
-BUCKET_BITS = 14
+#: Ranges per key of ``running_total``, and coarse ranges of them: no window of totals has more than 128 rows.
+RANGE_BITS, COARSE_BITS = 14, 7
 #: A side of a join is broadcast only up to so many rows.
 BROADCAST_ROWS = 100_000
 
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. A local session that has none gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -84,19 +86,42 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence
     """Adds ``out``: the sum of ``value`` over the rows of the same keys that come earlier.
 
     order: a uniformly distributed long (a hash). The queue of a key is cut into 2^14 ranges of it, so that
-    no task holds a whole key: totals per range are summed over ranges (at most 2^14 rows a key), and only
+    no task holds a whole key: totals per range are summed over the ranges in two levels of 128, and only
     the rows of one range meet in a window. Keys must not be null. Repeated rows take turns.
     """
-    bucketed = df.withColumn("_rt_value", value).withColumn("_rt_range", F.shiftright(F.col(order), 64 - BUCKET_BITS).cast("int"))
+    bucketed = df.withColumn("_rt_value", value).withColumn("_rt_range", F.shiftright(F.col(order), 64 - RANGE_BITS).cast("int"))
     totals = bucketed.groupBy(*keys, "_rt_range").agg(F.sum("_rt_value").alias("_rt_sum"))
-    before = Window.partitionBy(*keys).orderBy("_rt_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_rt_range", F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_start"))
+    totals = totals.withColumn("_rt_coarse", F.shiftright("_rt_range", RANGE_BITS - COARSE_BITS))
+    earlier = lambda *by: Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = totals.groupBy(*keys, "_rt_coarse").agg(F.sum("_rt_sum").alias("_rt_sum"))
+    coarse = coarse.select(*keys, "_rt_coarse", F.coalesce(F.sum("_rt_sum").over(earlier("_rt_coarse")), F.lit(0)).alias("_rt_before"))
+    fine = totals.withColumn("_rt_start", F.coalesce(F.sum("_rt_sum").over(earlier("_rt_coarse", "_rt_range")), F.lit(0)))
+    starts = fine.join(coarse, [*keys, "_rt_coarse"]).select(*keys, "_rt_range", (F.col("_rt_start") + F.col("_rt_before")).alias("_rt_start"))
     inside = Window.partitionBy(*keys, "_rt_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = bucketed.hint("merge").join(starts, [*keys, "_rt_range"])
     total = F.col("_rt_start") + F.coalesce(F.sum("_rt_value").over(inside), F.lit(0))
     return joined.withColumn(out, total).drop("_rt_value", "_rt_range", "_rt_start")
 
 
+#: A node with more neighbours is a hub; at scale the limit is the number of links over ``BROADCAST_ROWS``, so hubs always fit a broadcast.
+HUB = 512
+
+
+def _with_least(rows: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """rows (a, b) with m, the smallest b of ``links`` for each a.
+
+    The rows of hubs stay where they are: their minimums are broadcast. At most 2 n_links / limit nodes have more than
+    limit of at most 2 n_links ends. All others have so few rows that a task can hold a node's.
+    """
+    limit = max(HUB, -(-2 * n_links // BROADCAST_ROWS))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+    hubs = least.where(F.col("_n") > limit).select("a", F.col("m").alias("_hub"))
+    marked = rows.join(F.broadcast(hubs), "a", "left")
+    near = marked.where("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("m"))
+    far = marked.where("_hub IS NULL").select("a", "b").join(least.where(F.col("_n") <= limit).select("a", "m"), "a")
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, comp), comp being the smallest node.
 
@@ -112,12 +137,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
             break
         # large star: each neighbour greater than the node is linked to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both.where("b > a"), both, last[0]).select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         # small star: smaller neighbours and the node itself are linked to the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = large.join(low, "a")
-        new = links.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        links = _with_least(large, large, last[0])
+        new = links.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(links.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(new, name)
         now = state(new)
         forget(e)
@@ -131,13 +154,14 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
-#: Rows an Arrow batch may have on its way to a Python worker; whole texts of any length must fit there.
+#: Rows a Python worker handles at once.
 BATCH_ROWS = 512
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow in batches that stay small with long texts (the session's own limit holds if it is lower)."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """mapInArrow in slices of few rows; Spark itself bounds the bytes of a batch."""
+
+    def run(batches):
+        return function(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)

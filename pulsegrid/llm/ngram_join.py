@@ -5,12 +5,14 @@
    time; a pair is dropped as soon as the posterior probability (binomial likelihood, uniform prior) that its
    similarity reaches the threshold falls below ``TOLERANCE``, and is left to the first bucket that both texts share.
    A bucket hands on how its surviving pairs connect, one row a text at most, never the pairs.
-3. The connected candidates form families. Within a family all pairs are verified exactly, by counting shared shingles
-   (a product of incidence matrices), which also finds pairs that the bands or the pruning missed.
+3. The connected candidates form families. Within a family all pairs whose sizes allow the threshold are verified
+   exactly, by counting shared shingles (a product of incidence matrices), which also finds pairs that the bands or the
+   pruning missed. Sizes fall into classes so wide that only texts of one class or of two neighbouring ones can be linked.
 4. Links are summed per text; connected components of exact links are the classes.
 
 A pair with similarity 0.8 shares no band with probability 5e-5, and then is lost only if no third text joins the two.
-Buckets and families of any size are cut into blocks that meet two at a time, so no task holds a whole group.
+Buckets and families of any size are cut into blocks (by texts and by bytes) that meet two at a time, so no task holds a
+whole group.
 
 Defined results: a null text, or one without words, has no shingle and is a class of its own; a text of fewer than
 five words has one shingle, all its words; repeated rows are copies; a class is named by its smallest key (null if it has
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ VALUES = BANDS * ROWS
 TOLERANCE = 1e-5
 #: Texts of a bucket or family that are held at once; two blocks meet in a task.
 BLOCK = 512
+BLOCK_BYTES = 16 << 20
 #: Cells of an incidence matrix.
 CELLS = 4_000_000
 _rng = np.random.default_rng(20_250)
@@ -195,25 +198,28 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: Fraction, size: int):
-    """Exact links in sorted families (family, block, other block, text id, its block, copies, text): one row a linked text."""
+    """Exact links in sorted families (family, size class, block, other block, text id, its block, whether its own class is
+    the next one, copies, text): one row a linked text. Two texts of the next class meet in that class."""
     p, q = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            fam, bi, bj, tid, mine, copies = (t.column(c).to_numpy() for c in range(6))
-            texts = t.column(6)
+        for t in _groups(batches, 4):
+            fam, cls, bi, bj, tid, mine, upper, copies = (t.column(c).to_numpy() for c in range(8))
+            texts = t.column(8)
             head = np.ones(len(tid), bool)
-            head[1:] = (fam[1:] != fam[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+            head[1:] = (fam[1:] != fam[:-1]) | (cls[1:] != cls[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
             begins = np.append(np.flatnonzero(head), len(tid))
             found: list[tuple[np.ndarray, ...]] = []
             for a, b in zip(begins, begins[1:], strict=False):
                 at = a + np.flatnonzero(np.append(True, tid[a + 1 : b] != tid[a : b - 1]))  # a repeated row comes once
+                if len(at) < 2 or upper[at].all():
+                    continue
                 sets = [shingles(texts[int(i)].as_py(), size) for i in at]
                 n = np.array([len(s) for s in sets])
                 shared = shared_counts(sets)
                 # shared / (n_i + n_j - shared) >= p / q, in whole numbers
                 linked = (p + q) * shared >= p * (n[:, None] + n)
-                linked &= (n[:, None] > 0) & ~np.eye(len(at), dtype=bool)
+                linked &= (n[:, None] > 0) & ~np.eye(len(at), dtype=bool) & ~(upper[at][:, None] & upper[at])
                 if bi[a] != bj[a]:
                     linked &= mine[at][:, None] != mine[at]
                 i, j = np.nonzero(linked)
@@ -227,14 +233,30 @@ def _verify(threshold: Fraction, size: int):
     return run
 
 
-def _blocked(rows: DataFrame, count: str, by: str) -> DataFrame:
+def _blocked(rows: DataFrame, count: str, by: str, n_bytes: str | None = None) -> DataFrame:
     """Adds block, other block and own block: one row for each pair of blocks of the group that the row takes part in."""
-    blocks = F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("_mine", F.pmod(F.xxhash64(F.lit("block"), by), blocks).cast("int"))
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    blocks = F.ceil(F.col(count) / F.lit(BLOCK))
+    if n_bytes:
+        blocks = F.greatest(blocks, F.ceil(F.col(n_bytes) / F.lit(BLOCK_BYTES)))
+    rows = rows.withColumn("_blocks", blocks.cast("int")).withColumn("_mine", F.pmod(F.xxhash64(F.lit("block"), by), "_blocks").cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.withColumn("_bi", F.least("_mine", "_with")).withColumn("_bj", F.greatest("_mine", "_with"))
 
 
+def _by_size(place: DataFrame, threshold: Fraction) -> DataFrame:
+    """place with a row for each size class (_class) in which a text meets others, whether its own is the next one (_upper),
+    and the texts and bytes that meet there (_n, _bytes)."""
+    width = log(1 / float(threshold)) * (1 + 1e-6) if threshold < 1 else 1e-6
+    own = place.withColumn("_own", F.floor(F.log(F.col("_size").cast("double")) / F.lit(width)).cast("long"))
+    classes = own.groupBy("comp", "_own").agg(F.count("*").alias("_n0"), F.sum("_bytes").alias("_b0"))
+    above = classes.select("comp", (F.col("_own") - 1).alias("_own"), F.col("_n0").alias("_n1"), F.col("_b0").alias("_b1"))
+    meet = classes.join(above, ["comp", "_own"], "left").select(
+        "comp", F.col("_own").alias("_class"), (F.col("_n0") + F.coalesce("_n1", F.lit(0))).alias("_n"), (F.col("_b0") + F.coalesce("_b1", F.lit(0))).alias("_group_bytes")
+    )
+    rows = own.withColumn("_class", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    return rows.join(meet, ["comp", "_class"]).withColumn("_upper", F.col("_own") > F.col("_class"))
+
+
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: _row, _key, _text_key, _size (shingles), class_row (a row of the class), n_copies, n_links, n_text_links.
 
@@ -242,16 +264,16 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     other texts.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("_text_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("_text_key"), F.col(text).alias("_text"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_bytes"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x, size) for x in b.column(3).to_pylist()]
             sigs = [signature(s).tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())], ["_row", "_key", "_text_key", "_size", "_sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())], ["_row", "_key", "_text_key", "_bytes", "_size", "_sig"])
 
-    base = materialize(map_arrow(rows, sign, f"_row bigint, _key {kind}, _text_key binary, _size int, _sig binary"), "join-signatures")
-    texts = base.where("_size > 0").groupBy("_text_key").agg(F.min("_row").alias("_tid"), F.count("*").alias("_copies"))
+    base = materialize(map_arrow(rows, sign, f"_row bigint, _key {kind}, _text_key binary, _bytes bigint, _size int, _sig binary"), "join-signatures")
+    texts = base.where("_size > 0").groupBy("_text_key").agg(F.min("_row").alias("_tid"), F.count("*").alias("_copies"), F.max("_size").alias("_size"), F.max("_bytes").alias("_bytes"))
     texts = materialize(texts, "join-texts")
     signed = base.select(F.col("_row").alias("_tid"), "_sig").join(texts.select("_tid"), "_tid")
     signed = materialize(signed, "join-signed")
@@ -265,20 +287,21 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     near = map_arrow(met, _prune(threshold, tolerance), "a bigint, b bigint")
     family = materialize(components(near, "join-candidates"), "join-families")
 
-    sizes = family.groupBy("comp").agg(F.count("*").alias("_n"))
-    place = family.join(sizes, "comp").join(texts, family.node == texts._tid).join(base.select(F.col("_row").alias("_tid"), F.col("_key").alias("_owner")), "_tid")
-    place = materialize(place.select("comp", "_n", "_tid", "_copies", "_text_key", "_owner"), "join-place")
-    # a text comes from the document that stands for its copies
-    taken = rows.select("_key", "_text_key", "_text").join(small(place), "_text_key").where(F.col("_key").eqNullSafe(F.col("_owner")))
+    place = family.join(texts, family.node == texts._tid).select("comp", "_tid", "_copies", "_size", "_bytes", "_text_key")
+    place = materialize(place.join(base.select(F.col("_row").alias("_tid"), F.col("_key").alias("_owner")), "_tid"), "join-place")
+    # a text comes from the document that stands for its copies: found by text and key, so that copies are no hot key
+    named = place.select("_tid", F.col("_text_key").alias("_of"), "_owner")
+    taken = rows.select("_key", "_text_key", "_text").join(small(named), (F.col("_text_key") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_owner")))
     # rows repeated under that key come once
-    taken = taken.select("comp", "_n", "_tid", "_copies", "_text").dropDuplicates(["_tid"])
-    sets = _blocked(taken, "_n", "_tid").select("comp", "_bi", "_bj", "_tid", "_mine", "_copies", "_text")
-    sets = sets.repartition("comp", "_bi", "_bj").sortWithinPartitions("comp", "_bi", "_bj", "_tid")
+    taken = taken.select("_tid", "_text").dropDuplicates(["_tid"])
+    met = _blocked(_by_size(place, threshold), "_n", "_tid", "_group_bytes").select("comp", "_class", "_bi", "_bj", "_tid", "_mine", "_upper", "_copies")
+    sets = met.join(taken, "_tid").select("comp", "_class", "_bi", "_bj", "_tid", "_mine", "_upper", "_copies", "_text")
+    sets = sets.repartition("comp", "_class", "_bi", "_bj").sortWithinPartitions("comp", "_class", "_bi", "_bj", "_tid")
     exact = materialize(map_arrow(sets, _verify(threshold, size), "a bigint, b bigint, n_links bigint, n_text_links bigint"), "join-links")
 
     links = exact.groupBy(F.col("a").alias("_tid")).agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
     classes = components(exact.select("a", "b"), "join-classes").select(F.col("node").alias("_tid"), "comp")
-    per_text = texts.join(links, "_tid", "left").join(classes, "_tid", "left")
+    per_text = texts.select("_text_key", "_tid", "_copies").join(links, "_tid", "left").join(classes, "_tid", "left")
     per_text = per_text.select("_text_key", "_tid", "_copies", F.coalesce("comp", "_tid").alias("class_row"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_text_links")])
     out = base.select("_row", "_key", "_text_key", "_size").join(per_text, "_text_key", "left")
     return out.select(

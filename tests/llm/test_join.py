@@ -104,12 +104,19 @@ def test_rows_without_words_all_stay(spark):
 def test_repeated_rows_are_verified_once(spark, monkeypatch):
     base = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(base))] * 40 + [(3, " ".join(["n", *base[1:]]))]
-    met, blocked = [], ngram_join._blocked
-    monkeypatch.setattr(ngram_join, "_blocked", lambda r, *a: (met.append(r.count()) if "_text" in r.columns else None) or blocked(r, *a))
+    met, mapped = [], ngram_join.map_arrow
+    monkeypatch.setattr(ngram_join, "map_arrow", lambda r, *a: (met.append(r.count()) if "_class" in r.columns else None) or mapped(r, *a))
     got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert met == [2] and {(r.doc_id, r.class_id, r.class_size, r.n_copies, r.n_links) for r in got} == {(None, 3, 41, 40, 40), (3, 3, 41, 1, 40)}
 
 
+def test_families_meet_by_size(spark, monkeypatch):
+    """A chain of texts that grow: links only between neighbours in size, blocks bounded by bytes, results exact."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    words = [f"w{i}" for i in range(400)]
+    check(spark, [" ".join(words[:n]) for n in range(60, 400, 9)] + [" ".join(words[:200])] * 3)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     need = ngram_join.least_matches()
     assert need[0] == 0 and need[125] < 100 and all(a <= b for a, b in zip(need, need[1:]))

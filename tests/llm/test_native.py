@@ -7,7 +7,7 @@ from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import mixing, queries, quality_rules, sharding
-from pulsegrid.llm.common import components, running_total
+from pulsegrid.llm.common import _with_least, components, running_total
 
 
 def test_rules_equal_sql(spark, sf_dir):
@@ -133,3 +133,16 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 150: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hubs_of_components_are_split(spark):
+    """One class of 100 000 nodes around a hub: its links are not dealt by the hub, so no task holds them all."""
+    star = spark.range(1, 100_000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    chain = spark.range(200_000, 200_050).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(star.unionByName(chain)).groupBy("comp").count().collect()
+    assert {(r.comp, r["count"]) for r in got} == {(0, 100_000), (200_000, 51)}
+    both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = _with_least(both.where("a = 0"), both, 100_000)
+    assert rows.count() == 99_999 and rows.select("m").distinct().collect()[0].m == 1
+    # the hub's rows come from the broadcast side of the union alone
+    assert rows.where("m <> 1").count() == 0 and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
