@@ -5,8 +5,9 @@ epoch ends at a virtual finish time: the tokens of its source up to and with it,
 offers are range-sorted by that time and the mix is the prefix that reaches the budget. A queue that has run out no
 longer competes, so the others share what it leaves by their weights, and no target exceeds epochs x size.
 
-The cut needs no global window: the sorted offers lie in ranges, the ranges' totals say in which range the budget is
-reached, and only the rows of one range are summed one by one. The offer that crosses the budget is taken in part.
+The cut needs no global sort: the offers lie in ranges of time, the ranges' totals say in which range the budget is
+reached, and only the rows of that range are sorted and summed one by one. Offers of earlier ranges are taken whole, those of later
+ones not at all. The offer that crosses the budget is taken in part.
 
 Defined results: null texts have size 0 and are never taken; sources sort by code point with null last; documents of
 size 0 take no time; repeated rows are separate offers; ties in time go by source, hash, key and epoch; an empty
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from pulsegrid.llm.common import WORD, materialize, null_safe, running_total, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Ranges of the virtual time up to the targets' end; twice as many bound the window over range totals and its broadcast.
-RANGES = 4096
+#: Ranges of the virtual time up to the targets' end: one to so many rows, between these bounds.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4096, 4096, 1 << 17
 
 
 def words(text: str = "text") -> Column:
@@ -68,27 +69,40 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     queued = running_total(rows, ["_s"], "_h", ["_key"], F.col("size"), "_before")
     queued = materialize(queued.join(small(plan), "_s").withColumn("_row", F.monotonically_increasing_id()), "mix-queues")
     offers = queued.where("size > 0").withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
-    time = (F.col("_epoch") * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("weight")
-    # RANGES ranges up to the time the targets end, as many after it for offers under way then, one for the rest
-    span = F.least(F.floor(time / F.col("_until") * RANGES), F.lit(2 * RANGES)).cast("int")
-    offers = offers.select("_row", "_s", "_h", "_key", "size", "_epoch", "_budget", time.alias("_time"), span.alias("_range"))
-    totals = offers.groupBy("_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    # ranges up to the time the targets end, as many after it for offers under way then, one for the rest
+    ranges = min(max(-(-queued.count() // RANGE_ROWS), LEAST_RANGES), MOST_RANGES)
+    until = F.when(F.col("_until") > 0, F.col("_until")).otherwise(1.0)
+    time_of = lambda epoch: (epoch * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("weight")
+    range_of = lambda epoch: F.least(F.floor(time_of(epoch) / until * ranges), F.lit(2 * ranges)).cast("int")
+    epoch = F.col("_epoch")
+    offers = offers.select("_row", "_s", "_h", "_key", "size", "_epoch", "_budget", time_of(epoch).alias("_time"), range_of(epoch).alias("_range"))
+    totals = offers.groupBy("_range").agg(F.sum("size").alias("_sum"), F.first("_budget").alias("_budget"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    # one row: the range in which the budget is reached, and what is taken before it
+    cut = totals.withColumn("_end", F.sum("_sum").over(upto)).where(F.col("_end") >= F.floor("_budget")).orderBy("_range").first()
+    at, before = (cut["_range"], cut["_end"] - cut["_sum"]) if cut else (2 * ranges + 1, 0)
+    marked = offers.where(F.col("_range") == at)
     inside = Window.partitionBy("_range").orderBy("_time", "_s", "_h", "_key", "_epoch").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    reached = offers.join(F.broadcast(starts), "_range").where(F.col("_start") < F.floor("_budget"))
-    cut = reached.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("_budget") - ahead)).cast("long"))
-    taken = cut.where("_take > 0").groupBy("_row").agg(F.sum("_take").alias("taken"))
-    out = queued.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select(F.col("_key").alias(key), "size", "source_size", "target", "taken")
-
-
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of docs, with all their columns, once for each epoch that takes them (in part, too)."""
-    rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    taken = mix(rows, weights, budget_share, epochs, "_mix_row", text, source).where("taken > 0")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_mix_times")
+    ahead = F.lit(before) + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("_budget") - ahead)).cast("long")
+    last = marked.withColumn("_take", part).groupBy("_row").agg(F.sum("_take").alias("_last"))
+    # a row's offers of earlier ranges are counted in the row
+    early = sum(F.when(range_of(F.lit(e)) < at, 1).otherwise(0) for e in range(epochs))
+    out = queued.join(small(materialize(last, "mix-last")), "_row", "left")
+    taken = (F.when(F.col("size") > 0, F.col("size") * early).otherwise(0) + F.coalesce("_last", F.lit(0))).cast("long").alias("taken")
+    return out.select(F.col("_key").alias(key), "size", "source_size", "target", taken)
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = 1.5, epochs: int = 2, text: str = "text", source: str = "source", copy: str | None = None) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, once for each epoch that takes them (in part, too).
+
+    copy: the name of a column for the number of the epoch, from 0; by default the copies of a row are equal.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"), F.col(f"`{source}`").alias("_source"))
+    rows = materialize(whole.withColumn("_id", F.monotonically_increasing_id()), "mix-documents")
+    taken = mix(rows, weights, budget_share, epochs, "_id", "_text", "_source").where("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")
     # always a sort-merge join: a broadcast below some size would make the shuffle grow faster than the input
-    out = rows.hint("merge").join(taken.select("_mix_row", times), "_mix_row")
-    return out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    out = rows.select("_id", "_doc").hint("merge").join(taken.select("_id", times), "_id")
+    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return out.select("_doc.*", *([F.col("_epoch").alias(copy)] if copy else []))

@@ -224,7 +224,8 @@ class Schedule:
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | None = None, with_ids: bool = True, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id (the round), offset, its source, the
     source's deficit (tokens it has earned by its target share up to and with the window, less those served up to and with
-    the piece), and the ids if wanted.
+    the piece), queue_start (where the document begins in its source's queue, which tells copies of a row apart), and the
+    ids if wanted.
 
     tokenizer: the paths of the tokenizers file and of its ranks, and the pattern of the latter. weights: target
     proportion of each source (others: 0.001); by default the sources' own, so that all queues last to the end. The
@@ -249,14 +250,14 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
             deficit = schedule.share[s[doc]] * window * (seq + 1) - (start[doc] + at + length)
             ids = [memoryview(np.frombuffer(x, f"<u{len(x) // m}").astype("<u4").tobytes()) for x, m in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
             cuts = [ids[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), at.tolist(), length.tolist(), strict=True)]
-            columns = [b.column(0).take(pa.array(doc)), pa.array(at), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(offset), pa.array([labels[x] for x in s[doc].tolist()], pa.string()), pa.array(deficit)]
+            columns = [b.column(0).take(pa.array(doc)), pa.array(at), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(offset), pa.array([labels[x] for x in s[doc].tolist()], pa.string()), pa.array(deficit), pa.array(start[doc])]
             if with_ids:
                 values = np.frombuffer(b"".join(cuts), "<u4").astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(columns, names_out)
 
-    names_out = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "deficit"] + ["ids"] * with_ids
+    names_out = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "deficit", "queue_start"] + ["ids"] * with_ids
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, deficit double" + ", ids array<int>" * with_ids
+    schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, deficit double, queue_start bigint" + ", ids array<int>" * with_ids
     pieces = map_arrow(queued.select("_key", "_s", "_start", "n_tokens", "ids"), run, schema)
     return pieces.withColumnRenamed("key", key)

@@ -18,6 +18,7 @@ scored each; an empty table gives an empty result; other columns of the input ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pulsegrid.llm.common import WORD, forget, map_arrow, materialize
 
@@ -145,6 +145,21 @@ class Model:
         return self.forward(*passages(texts))["p"].astype(np.float64)
 
 
+def gradients(model: Model, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the mean log loss of the documents by the learned weights."""
+    w, o = model.weights, model.forward(x, count)
+    begin, of = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+    d = ((o["p"] - y) / len(count)).astype(x.dtype)
+    dz = d[:, None] * w["c"]
+    dh = o["a"][:, None] * dz[of]
+    da = (o["h"] * dz[of]).sum(1)
+    de = o["a"] * (da - np.add.reduceat(o["a"] * da, begin)[of])
+    dt, dg = de[:, None] * w["w"] * o["g"] * (1 - o["t"] ** 2), de[:, None] * w["w"] * o["t"] * o["g"] * (1 - o["g"])
+    dh += dt @ w["V"].T + dg @ w["U"].T
+    dh *= o["h"] > 0
+    return {"We": o["x"].T @ dh, "be": dh.sum(0), "V": o["h"].T @ dt, "U": o["h"].T @ dg, "w": (o["t"] * o["g"]).T @ de, "c": o["z"].T @ d, "b": d.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16, epochs: int = 40, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
     """Minimises the log loss of the documents' labels with Adam."""
     if not len(y) or y.min() == y.max():
@@ -161,20 +176,9 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 32, gate:
             docs = order[i : i + batch]
             n = count[docs]
             rows = np.repeat(starts[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            o = model.forward(x[rows], n)
-            begin, of = np.cumsum(n) - n, np.repeat(np.arange(len(docs)), n)
-            d = ((o["p"] - y[docs]) / len(docs)).astype(np.float32)
-            dz = d[:, None] * w["c"]
-            dh = o["a"][:, None] * dz[of]
-            da = (o["h"] * dz[of]).sum(1)
-            de = o["a"] * (da - np.add.reduceat(o["a"] * da, begin)[of])
-            dt, dg = de[:, None] * w["w"] * o["g"] * (1 - o["t"] ** 2), de[:, None] * w["w"] * o["t"] * o["g"] * (1 - o["g"])
-            dh += dt @ w["V"].T + dg @ w["U"].T
-            dh *= o["h"] > 0
-            grads = {"We": o["x"].T @ dh, "be": dh.sum(0), "V": o["h"].T @ dt, "U": o["h"].T @ dg, "w": (o["t"] * o["g"]).T @ de, "c": o["z"].T @ d, "b": d.sum(keepdims=True)}
             step += 1
             lr = rate * (1 - epoch / epochs)
-            for k, grad in grads.items():
+            for k, grad in gradients(model, x[rows], n, y[docs]).items():
                 grad = grad + decay * w[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * grad
                 m2[k] = 0.999 * m2[k] + 0.001 * grad**2
@@ -220,10 +224,16 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, mo
     lab = lab.groupBy("_k").agg(F.max("_y").alias("_y"))
     sample = lab.orderBy(F.xxhash64(F.lit("fit"), "_k"), "_k").limit(documents)
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), "_k").select("_k", "_y", "_t")
-    rows = materialize(rows, "fit-sample")
+    rows = materialize(rows.withColumn("_h", F.xxhash64("_k", "_t")), "fit-sample")
+    sample_rows = rows
     words = F.length(F.translate(F.regexp_replace("_t", WORD, "x"), " \t\n\x0b\x0c\r", ""))
     sizes = rows.groupBy(F.greatest(F.ceil(words / F.lit(PASSAGE)), F.lit(1)).cast("long").alias("n")).agg(F.count("*").alias("rows")).collect()
-    share = longest(np.array([r.n for r in sizes], np.int64), np.array([r.rows for r in sizes], np.int64), most_passages)
+    n, times = (np.array([getattr(r, c) for r in sizes], np.int64) for c in ("n", "rows"))
+    share = longest(n, times, most_passages)
+    if times.sum() > most_passages:
+        # more rows than passages share the sampled keys: the first in hash order, with a passage each
+        first = rows.orderBy("_h", "_k").limit(most_passages).select("_h", "_k", "_y", "_t")
+        rows = first.select("_k", "_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,10 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, mo
                 raw = [pooled(x[e - n : e], share).tobytes() for e, n in zip(ends, count, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())[part], b.column(1)[part], pa.array(np.minimum(count, share), pa.int64()), pa.array(raw, pa.binary())], ["k", "y", "n", "x"])
 
-    bags = map_arrow(rows, run, "k string, y double, n bigint, x binary")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k", "x"), "k")
-    bags = bags.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= most_passages).orderBy("upto").collect()
-    forget(rows)
+    bags = map_arrow(rows.select("_k", "_y", "_t"), run, "k string, y double, n bigint, x binary")
+    bags = sorted(bags.collect(), key=lambda r: (zlib.crc32(r.x), r.k, r.x))  # in an order of their own: refits agree
+    forget(sample_rows)
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in bags]) if bags else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.array([r.n for r in bags], np.int64), np.array([r.y for r in bags], np.float32))
 

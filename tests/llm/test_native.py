@@ -116,6 +116,10 @@ def test_mix(documents, edge, empty):
             assert again == Counter((r.doc_id, r.taken) for r in rows)
     assert mixing.mix(empty).count() == 0
     m = mixing.mixed(documents)
+    clash = edge.withColumnsRenamed({"_row": "_times", "_h": "_epoch"}).withColumn("_id", F.lit(1)).withColumn("_mix_row", F.lit(2))
+    assert mixing.mixed(clash, copy="copy").columns == [*clash.columns, "copy"] and mixing.mixed(clash).count() == mixing.mixed(edge).count()
+    blank = edge.withColumn("text", F.lit(" "))
+    assert {(r.size, r.taken) for r in mixing.mix(blank).collect()} == {(0, 0)}
     assert m.columns == documents.columns and m.count() == sum(-(-r.taken // r.size) for r in mixing.mix(documents).collect() if r.taken)
 
 

@@ -147,10 +147,10 @@ def test_languages(spark, sf_dir, edge, empty, documents):
 
 def test_isolated_letters_have_a_language(spark, documents):
     names, table = language_mix.learn(documents)
-    lone = spark.createDataFrame([(1, "A."), (2, "a"), (3, "I I 7 x!"), (4, "É"), (5, "7 !"), (6, "— 🎉"), (7, None)], "doc_id long, text string")
+    lone = spark.createDataFrame([(1, "A."), (2, "a"), (3, "I I 7 x!"), (4, "É"), (5, "7 !"), (6, "— 🎉"), (7, None), (8, "½ ²"), (9, "\u0301\u0300"), (10, "x1y2"), (11, "I a")], "doc_id long, text string")
     got = {r.doc_id: r for r in language_mix.identify(lone, names, table).collect()}
-    assert all(got[k].lang_pred in names and got[k].score > 0 and got[k].proportions for k in (1, 2, 3, 4))
-    assert all((got[k].lang_pred, got[k].score) == ("und", 0) for k in (5, 6, 7))
+    assert all(got[k].lang_pred in names and got[k].score > 0 and got[k].proportions for k in (1, 2, 3, 4, 10, 11))
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0) for k in (5, 6, 7, 8, 9))
     taught = lone.where("doc_id < 4").withColumn("lang", F.lit("en"))
     assert language_mix.learn(taught)[0] == ["en"]
 
@@ -268,6 +268,27 @@ def test_attention_gradients():
     rng = np.random.default_rng(0)
     count = np.array([3, 1, 4])
     x = rng.standard_normal((8, quality_mil.WIDTH)).astype(np.float32)
-    model = quality_mil.fit(x, count, np.array([0, 1, 1], np.float32), epochs=60, batch=3)
+    y = np.array([0, 1, 1], np.float32)
+    model = quality_mil.fit(x, count, y, epochs=60, batch=3)
     out = model.forward(x, count)
     assert np.allclose(np.add.reduceat(out["a"], [0, 3, 4]), 1) and (out["p"][1:] > 0.9).all() and out["p"][0] < 0.1
+    # the derivatives equal finite differences of the log loss, in double precision and away from the optimum
+    model = quality_mil.Model({k: v.astype(float) for k, v in quality_mil.fit(x, count, y, epochs=1, batch=3).weights.items()})
+    loss = lambda: -np.mean(np.where(y > 0.5, np.log(p := model.forward(x.astype(float), count)["p"]), np.log(1 - p)))
+    for k, grad in quality_mil.gradients(model, x.astype(float), count, y).items():
+        w = model.weights[k]
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(6)]:
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            down = loss()
+            w[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-4 + 1e-3 * abs(grad[at]), (k, at)
+
+
+def test_quality_with_more_rows_than_passages(spark):
+    rows = [(i % 3, f"{'good text here' if i % 2 else '### $$$ %%%'} {i}") for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    one, two = (quality_mil.train(docs.repartition(n), labels, most_passages=20) for n in (1, 3))
+    assert one.mean is None and all(np.array_equal(one.weights[k], two.weights[k]) for k in one.weights)
