@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what one stage returns is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+A document of a small source may be mixed in twice: then it is packed twice, and queue_start tells its copies apart.
+
+Defined results, as the operators state them: null and empty texts are scored by the classifier as texts without words and
+fail the rules; null keys, sources and languages are kept as they are; repeated rows are one document to the near
+duplicates; further columns of the documents stay until the last stage, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
