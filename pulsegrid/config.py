@@ -13,6 +13,7 @@ class Sampling:
     hertz: float = 400.0
     window_seconds: float = 15.0
     finger_threshold: float = 50_000.0
+    least: int = 50  # samples below which a window is not processed
 
     @property
     def window(self) -> int:

@@ -155,6 +155,22 @@ def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(n, 1 / fs), power
 
 
+def fft_magnitude(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Amplitudes of the mean-free signal at the frequencies below half the sampling rate."""
+    n = len(x)
+    return np.arange(n // 2) * fs / n, 2 / n * np.abs(np.fft.fft(x - x.mean()))[: n // 2]
+
+
+def decimate(x: np.ndarray, by: int, taps: int = 101) -> np.ndarray:
+    """Every ``by``-th sample of the last axis after a windowed-sinc low-pass (Hamming) at the new half rate, without delay."""
+    h = taps // 2
+    i = np.arange(-h, h + 1)
+    kernel = np.sinc(i / by) / by * (0.54 + 0.46 * np.cos(np.pi * i / h))
+    kernel /= kernel.sum()
+    ext = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(h, h)], mode="edge")
+    return (np.lib.stride_tricks.sliding_window_view(ext, taps, axis=-1) @ kernel)[..., ::by]
+
+
 def welch(x: np.ndarray, fs: float, segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Mean one-sided density of half-overlapping mean-free segments under a periodic Hann window."""
     n = min(segment, len(x))

@@ -68,6 +68,13 @@ def fit_verdict(r2_train, r2_test, mae_ratio, rmse_ratio) -> Column:
     return F.when(over & under, "both").when(over, "overfitting").when(under, "underfitting").otherwise("balanced")
 
 
+def fit_scores(r2_train, r2_test, mae_ratio, rmse_ratio) -> tuple[Column, Column]:
+    """How far a fit is from generalising (gap and ratios above 1) and from fitting at all (R2 below 0.7)."""
+    over = lambda x: F.greatest(F.lit(0.0), x)
+    worse = 0.4 * over(_c(r2_train) - _c(r2_test)) + 0.3 * over(_c(rmse_ratio) - 1.0) + 0.3 * over(_c(mae_ratio) - 1.0)
+    return worse, 0.5 * over(0.70 - _c(r2_train)) + 0.5 * over(0.70 - _c(r2_test))
+
+
 def status(x, low, high) -> Column:
     """PASS within the inclusive limits, else FAIL."""
     return F.when(_c(x).between(low, high), "PASS").otherwise("FAIL")

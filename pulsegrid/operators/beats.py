@@ -55,6 +55,21 @@ def refine_foot(valley: int, peak: int, v: np.ndarray, a: np.ndarray) -> int:
     return valley + min(foot, top - valley - 1)
 
 
+def main_peaks(peaks: np.ndarray, f1: np.ndarray, f2: np.ndarray, fs: float, s: Beats) -> tuple[np.ndarray, np.ndarray]:
+    """Per beat (foot f1, next foot f2) the first peak that comes soon enough after the foot, and whether there is one."""
+    first = np.searchsorted(peaks, f1 + int(s.main_peak[0] * fs))
+    main = peaks[np.minimum(first, len(peaks) - 1)]
+    return main, (first < len(peaks)) & (main <= f1 + int(s.main_peak[1] * fs)) & (main < f2) & (main > f1)
+
+
+def far_from_median(length: np.ndarray, ok: np.ndarray, tolerance: float) -> np.ndarray:
+    """Of the beats that are ok, those whose duration is more than ``tolerance`` times off their median; none below three."""
+    if ok.sum() < 3:
+        return np.zeros(len(length), bool)
+    mid = np.median(length[ok])
+    return ok & ((length < mid / tolerance) | (length > mid * tolerance))
+
+
 def detect(x: np.ndarray, fs: float, s: Beats | None = None) -> Found:
     s, out = s or Beats(), Found()
     smooth = kernels.savgol(x, max(7, int(0.05 * fs)), 3)
@@ -94,9 +109,7 @@ def detect(x: np.ndarray, fs: float, s: Beats | None = None) -> Found:
         return out
     f1, f2 = feet[:-1], feet[1:]
     between = np.searchsorted(peaks, f2) > np.searchsorted(peaks, f1, "right")
-    first = np.searchsorted(peaks, f1 + int(s.main_peak[0] * fs))
-    main = peaks[np.minimum(first, len(peaks) - 1)]
-    has = (first < len(peaks)) & (main <= f1 + int(s.main_peak[1] * fs)) & (main < f2) & (main > f1)
+    main, has = main_peaks(peaks, f1, f2, fs, s)
     p = np.where(has, main, f1 + 1)
     length, up = (f2 - f1) / fs, np.array([v[i : j + 1].max() for i, j in zip(f1, p, strict=True)])
     ahead, behind = int(s.start_margin * fs), n - int(s.end_margin * fs)
@@ -114,11 +127,7 @@ def detect(x: np.ndarray, fs: float, s: Beats | None = None) -> Found:
             ("beat_too_short_after_segmentation", f2 - f1 + 1 <= 10),
         ]
     )
-    ok = reason == ""
-    if ok.sum() >= 3:
-        mid = np.median(length[ok])
-        far = ok & ((length < mid / s.median_tolerance) | (length > mid * s.median_tolerance))
-        reason[far] = "duration_far_from_median"
+    reason[far_from_median(length, reason == "", s.median_tolerance)] = "duration_far_from_median"
     out.pulses = [{"foot": int(i), "peak": int(j), "next_foot": int(k), "reason": r} for i, j, k, r in zip(f1, p, f2, reason, strict=True)]
     return out
 

@@ -3,16 +3,18 @@
 gain = (S(GL)^2/(HL+r) + S(GR)^2/(HR+r) - S(G)^2/(H+r)) / 2 - gamma, with S the soft threshold by alpha; a leaf is
 -rate S(G)/(H+r). Splits are sought over at most ``BINS`` quantile bins a feature: Spark sums gradient and weight per
 (node, feature, bin), a table bounded by the model and not by the rows, and the driver picks the best split of each
-node. Rows and columns are sampled by hashes of (seed, tree), so results do not depend on partitioning. The sampler is
-not that of any other library: equal settings give other trees.
+node. Rows are sampled by a number that Spark gives each row from its values, columns by (seed, tree), so results do not
+depend on partitioning. The sampler is not that of any other library: equal settings give other trees.
 
-``fit_arrays`` does the same in numpy, for many small fits at once (folds x settings).
+``fit_arrays`` grows the same trees in memory, from the same bins, row numbers and weights, for many small fits at once
+(folds x settings): which of the two fits is a matter of size and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.config import Boosting
+from pulsegrid.shared import discard, materialize
 
 BINS = 64
-#: Up to so many rows a fold is fitted in one task; beyond, the folds are fitted one after the other by Spark.
+#: Trees after which the margins are written anew.
+REWRITE = 25
+#: A prime below 2^31: row numbers and the sampler's lines are taken modulo it.
+PRIME = 2_147_483_647
+#: Up to so many rows a fold is fitted in one task; beyond, the folds are fitted one after the other by Spark, with the same results.
 LOCAL_ROWS = 100_000
 
 #: A node: tree, node, feature, threshold, yes (below or missing), no, leaf value, gain, cover.
@@ -83,8 +90,8 @@ def _columns(columns: Sequence[str], s: Boosting, tree: int) -> list[int]:
     return sorted(rng.permutation(len(columns))[:k].tolist())
 
 
-def _best(g: np.ndarray, h: np.ndarray, usable: list[int], cuts: list[np.ndarray], s: Boosting) -> tuple[float, int, int] | None:
-    """(gain, feature, bin) of the best split of one node; g, h: (features, bins) sums."""
+def _best(g: np.ndarray, h: np.ndarray, usable: list[int], cuts: list[np.ndarray], s: Boosting) -> tuple[float, int, int, float, float] | None:
+    """(gain, feature, bin, sums of the left side) of the best split of one node; g, h: (features, bins) sums."""
     total_g, total_h = g[usable[0]].sum(), h[usable[0]].sum()
     value = lambda a, b: _soft(a, s.alpha) ** 2 / (b + s.ridge)
     best = None
@@ -94,23 +101,31 @@ def _best(g: np.ndarray, h: np.ndarray, usable: list[int], cuts: list[np.ndarray
         gain = (value(gl, hl) + value(gr, hr) - value(total_g, total_h)) / 2 - s.gamma
         gain = np.where((hl >= s.min_weight) & (hr >= s.min_weight), gain, -np.inf)
         if len(gain) and gain.max() > (best[0] if best else 0.0) + 1e-12:
-            best = float(gain.max()), f, int(gain.argmax())
+            k = int(gain.argmax())
+            best = float(gain[k]), f, k, float(gl[k]), float(hl[k])
     return best
 
 
 def _grow(histogram, columns: Sequence[str], cuts: list[np.ndarray], s: Boosting, tree: int) -> list[Node]:
-    """One tree; histogram(nodes so far, open nodes) gives {node: (g, h)} with (features, bins) sums."""
-    usable, nodes, open_, next_ = _columns(columns, s, tree), {}, [0], 1
+    """One tree; histogram(nodes so far, open nodes) gives {node: (g, h)} with (features, bins) sums.
+
+    The sums of the last level's nodes are those of the splits above them: no histogram is made for leaves.
+    """
+    usable, nodes, open_, next_, known = _columns(columns, s, tree), {}, [0], 1, {}
     for level in range(s.depth + 1):
-        sums = histogram(list(nodes.values()), open_)
+        sums = histogram(list(nodes.values()), open_) if level < s.depth or level == 0 else {}
         following = []
         for k in open_:
-            g, h = sums.get(k, (np.zeros((len(columns), BINS + 1)),) * 2)
-            cover, total = float(h[usable[0]].sum()), float(g[usable[0]].sum())
-            split = _best(g, h, usable, cuts, s) if level < s.depth else None
+            if k in sums:
+                g, h = sums[k]
+                total, cover = float(g[usable[0]].sum()), float(h[usable[0]].sum())
+            else:
+                g, h, (total, cover) = None, None, known.get(k, (0.0, 0.0))
+            split = _best(g, h, usable, cuts, s) if level < s.depth and g is not None else None
             if split:
-                gain, f, b = split
+                gain, f, b, left_g, left_h = split
                 nodes[k] = (tree, k, columns[f], float(cuts[f][b]), next_, next_ + 1, None, gain, cover)
+                known[next_], known[next_ + 1] = (left_g, left_h), (total - left_g, cover - left_h)
                 following += [next_, next_ + 1]
                 next_ += 2
             else:
@@ -142,48 +157,73 @@ def _bin(x: Column, cut: np.ndarray) -> Column:
     return F.when(x.isNull(), 0).otherwise(reached)
 
 
-def fit(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting | None = None, weight: Column | None = None) -> Model:
-    """Fits on all rows of df with a target. The driver sees sums per node, feature and bin only."""
-    s = settings or Boosting()
-    rows = df.where(F.col(target).isNotNull()).select(*columns, F.col(target).alias("_y"), (weight if weight is not None else F.lit(1.0)).alias("_w"))
+def cuts_of(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    """Thresholds of each feature: its quantiles over all rows of df."""
     points = [i / BINS for i in range(1, BINS)]
-    q = rows.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in columns], (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_base")).first()
-    cuts = [np.unique(np.array(q[c] or [], float)) for c in columns]
+    q = df.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in columns]).first()
+    return [np.unique(np.array(q[c] or [], float)) for c in columns]
+
+
+def prepared(df: DataFrame, columns: Sequence[str], target: str, cuts: list[np.ndarray], weight: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """What a fit needs of each row with a target: _y, _w, _bins and the row's number _u."""
     bins = [_bin(F.col(c), cut) for c, cut in zip(columns, cuts, strict=True)]
-    rows = rows.withColumn("_bins", F.array(*bins)).persist()
-    model = Model(float(q["_base"] or 0.0))
-    try:
-        for tree in range(s.trees):
-            taken = rows.where(F.pmod(F.xxhash64(F.lit(s.seed), F.lit(tree), "_y", *columns), F.lit(10_000)) < int(s.rows * 10_000))
-            margin = score_expression(model.nodes, model.base)
-
-            def histogram(nodes, open_, taken=taken, margin=margin):
-                at = taken.select(_place(nodes).alias("_node"), (F.col("_w") * (margin - F.col("_y"))).alias("_g"), "_w", F.posexplode("_bins").alias("_f", "_b"))
-                sums = at.where(F.col("_node").isNotNull()).groupBy("_node", "_f", "_b").agg(F.sum("_g").alias("g"), F.sum("_w").alias("h")).collect()
-                out = {k: (np.zeros((len(columns), BINS + 1)), np.zeros((len(columns), BINS + 1))) for k in open_}
-                for r in sums:
-                    out[r._node][0][r._f, r._b], out[r._node][1][r._f, r._b] = r.g, r.h
-                return out
-
-            model.nodes += _grow(histogram, columns, cuts, s, tree)
-    finally:
-        rows.unpersist()
+    rows = df.where(F.col(target).isNotNull())
+    number = F.pmod(F.xxhash64(F.lit("row"), target, *columns), F.lit(PRIME))
+    return rows.select(*keep, *columns, F.col(target).cast("double").alias("_y"), (weight if weight is not None else F.lit(1.0)).alias("_w"), F.array(*bins).alias("_bins"), number.alias("_u"))
+
+
+def _line(s: Boosting, tree: int) -> tuple[int, int, int]:
+    """a, b and c: the rows with (a u + b) mod PRIME < c are the tree's sample."""
+    rng = np.random.default_rng((s.seed, tree, 1))
+    return int(rng.integers(1, PRIME)), int(rng.integers(0, PRIME)), int(s.rows * PRIME)
+
+
+def fit(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting | None = None, weight: Column | None = None, cuts: list[np.ndarray] | None = None) -> Model:
+    """Fits on all rows of df with a target. The driver sees sums per node, feature and bin only.
+
+    Every row carries its margin; a tree adds itself to it, and the rows are written anew now and then, so that no
+    expression grows with the model.
+    """
+    s = settings or Boosting()
+    cuts = cuts_of(df.where(F.col(target).isNotNull()), columns) if cuts is None else cuts
+    rows = prepared(df, columns, target, cuts, weight)
+    base = rows.agg((F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("b")).first().b
+    model = Model(float(base or 0.0))
+    rows = materialize(rows.withColumn("_m", F.lit(model.base)), "boost")
+    written = rows
+    for tree in range(s.trees):
+        a, b, c = _line(s, tree)
+        taken = rows.where((F.col("_u") * a + b) % PRIME < c)
+
+        def histogram(nodes, open_, taken=taken):
+            at = taken.select(_place(nodes).alias("_node"), (F.col("_w") * (F.col("_m") - F.col("_y"))).alias("_g"), "_w", F.posexplode("_bins").alias("_f", "_b"))
+            sums = at.where(F.col("_node").isNotNull()).groupBy("_node", "_f", "_b").agg(F.sum("_g").alias("g"), F.sum("_w").alias("h")).collect()
+            out = {k: (np.zeros((len(columns), BINS + 1)), np.zeros((len(columns), BINS + 1))) for k in open_}
+            for r in sums:
+                out[r._node][0][r._f, r._b], out[r._node][1][r._f, r._b] = r.g, r.h
+            return out
+
+        nodes = _grow(histogram, columns, cuts, s, tree)
+        model.nodes += nodes
+        rows = rows.withColumn("_m", F.col("_m") + tree_expression(nodes, tree))
+        if (tree + 1) % REWRITE == 0 and tree + 1 < s.trees:
+            rows = materialize(rows, "boost")
+            discard(written)
+            written = rows
+    discard(written)
     return model
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, columns: Sequence[str], settings: Boosting | None = None, weight: np.ndarray | None = None) -> Model:
-    """The same in memory. Rows are sampled by a hash of their values, too, but not the same one."""
+def fit_arrays(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: np.ndarray, u: np.ndarray, columns: Sequence[str], cuts: list[np.ndarray], settings: Boosting | None = None) -> Model:
+    """The same in memory: values, targets, weights, bins and numbers of the rows as ``prepared`` gives them."""
     s = settings or Boosting()
-    w = np.ones(len(y)) if weight is None else weight
-    points = np.arange(1, BINS) / BINS
-    cuts = [np.unique(np.quantile(v[~np.isnan(v)], points, method="inverted_cdf")) if (~np.isnan(v)).any() else np.zeros(0) for v in x.T]
-    bins = np.stack([np.where(np.isnan(v), 0, np.searchsorted(c, v, "right")) for v, c in zip(x.T, cuts, strict=True)], 1)
-    model = Model(float((y * w).sum() / w.sum()))
+    model = Model(float((y * w).sum() / w.sum()) if len(y) else 0.0)
     margin = np.full(len(y), model.base)
-    key = pd.util.hash_array(np.ascontiguousarray(y)) ^ pd.util.hash_array(np.ascontiguousarray(np.nan_to_num(x).sum(1)))
     by = dict(zip(columns, x.T, strict=True))
+    size = len(columns) * (BINS + 1)
     for tree in range(s.trees):
-        taken = pd.util.hash_array(key ^ np.uint64(s.seed * 1_000_003 + tree)) % np.uint64(10_000) < np.uint64(int(s.rows * 10_000))
+        a, b, c = _line(s, tree)
+        taken = (u * a + b) % PRIME < c
 
         def histogram(nodes, open_, taken=taken, margin=margin):
             known, at = {r[1]: r for r in nodes}, np.zeros(len(y), int)
@@ -194,46 +234,47 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, columns: Sequence[str], settings: B
             g, out = w * (margin - y), {}
             for k in open_:
                 rows = taken & (at == k)
-                cell = bins[rows] + np.arange(x.shape[1]) * (BINS + 1)
-                size = x.shape[1] * (BINS + 1)
-                sums = [np.bincount(cell.ravel(), np.repeat(v[rows], x.shape[1]), size).reshape(x.shape[1], BINS + 1) for v in (g, w)]
-                out[k] = sums[0], sums[1]
+                cell = bins[rows] + np.arange(len(columns)) * (BINS + 1)
+                out[k] = tuple(np.bincount(cell.ravel(), np.repeat(v[rows], len(columns)), size).reshape(len(columns), BINS + 1) for v in (g, w))
             return out
 
         nodes = _grow(histogram, columns, cuts, s, tree)
         model.nodes += nodes
-        margin = margin + Model(0.0, nodes).predict(by)
+        margin = margin + Model(0.0, nodes).predict(by) if len(y) else margin
     return model
 
 
-def cross_validate(df: DataFrame, columns: Sequence[str], target: str, settings: Sequence[Boosting], fold: str = "fold", weighted: bool = True) -> DataFrame:
-    """One row a (setting, fold): errors on the fold of a model fitted on the others.
+def cross_validate(df: DataFrame, columns: Sequence[str], target: str, settings: Sequence[Boosting], fold: str = "fold", weighted: bool = True, local_rows: int | None = None) -> DataFrame:
+    """One row a (setting, fold): errors on the fold of a model fitted on the others. Thresholds are those of all rows.
 
-    Small data are sent whole to one task a (setting, fold); larger ones are fitted by Spark, fold by fold.
+    Up to ``local_rows`` rows are sent to one task a (setting, fold), with the folds' common bins and numbers; more are
+    fitted by Spark, fold by fold. Both grow the same trees.
     """
-    rows = df.where(F.col(target).isNotNull()).select(*columns, F.col(target).alias("_y"), F.col(fold).alias("_fold"))
-    k = [r[0] for r in rows.select("_fold").distinct().orderBy("_fold").collect()]
-    if rows.limit(LOCAL_ROWS + 1).count() > LOCAL_ROWS:
+    labelled = df.where(F.col(target).isNotNull())
+    cuts = cuts_of(labelled, columns)
+    w = lambda s: sample_weight(target, s) if weighted else None
+    k = [r[0] for r in labelled.select(fold).distinct().orderBy(fold).collect()]
+    most = LOCAL_ROWS if local_rows is None else local_rows
+    if labelled.limit(most + 1).count() > most:
         from pulsegrid.operators.evaluate import metrics
 
         parts = []
         for i, s in enumerate(settings):
             for f in k:
-                model = fit(rows.where(F.col("_fold") != f), columns, "_y", s, sample_weight("_y", s) if weighted else None)
-                scored = rows.where(F.col("_fold") == f).withColumn("_p", score_expression(model.nodes, model.base))
-                parts.append(metrics(scored, "_y", "_p").select(F.lit(i).alias("setting"), F.lit(f).cast("int").alias("fold"), "n", "mae", "rmse", "r2"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+                model = fit(labelled.where(F.col(fold) != f), columns, target, s, w(s), cuts)
+                scored = labelled.where(F.col(fold) == f).withColumn("_p", score_expression(model.nodes, model.base))
+                parts.append(metrics(scored, target, "_p").select(F.lit(i).alias("setting"), F.lit(f).cast("int").alias("fold"), "n", "mae", "rmse", "r2"))
+        return reduce(DataFrame.unionByName, parts)
     given = [Boosting(**asdict(s)) for s in settings]
+    rows = prepared(labelled, columns, target, cuts, keep=[fold]).withColumnRenamed(fold, "_fold")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         i, f = key
-        s, test = given[i], part["_fold"] == f
-        x, y = part[list(columns)].to_numpy(float), part["_y"].to_numpy(float)
+        s, test = given[i], (part["_fold"] == f).to_numpy()
+        x, y, u = part[list(columns)].to_numpy(float), part["_y"].to_numpy(float), part["_u"].to_numpy(np.int64)
+        bins = np.stack(part["_bins"].tolist()).astype(np.int64)
         w = np.where(y >= s.high_value, s.high_weight, 1.0) if weighted else np.ones(len(y))
-        model = fit_arrays(x[~test], y[~test], columns, s, w[~test])
+        model = fit_arrays(x[~test], y[~test], w[~test], bins[~test], u[~test], columns, cuts, s)
         e = y[test] - model.predict(dict(zip(columns, x[test].T, strict=True)))
         spread = ((y[test] - y[test].mean()) ** 2).sum()
         r2 = 1 - (e**2).sum() / spread if len(e) > 1 and spread > 0 else None

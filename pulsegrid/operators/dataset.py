@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,17 @@ def unmatched(features: DataFrame, labels: DataFrame, feature_key: str, label_ke
     return features.withColumn("_key", scalars.normal_key(feature_key)).join(right, "_key", "left_anti").drop("_key")
 
 
+def failures(features: DataFrame, labels: DataFrame, feature_key: str, label_key: str, needed: Sequence[str] = ()) -> DataFrame:
+    """name and reason of each feature row that gives no dataset row: no label has its key, or one of the needed values is missing."""
+    right = labels.select(scalars.normal_key(label_key).alias("_key")).distinct().withColumn("_there", F.lit(True))
+    both = features.withColumn("_key", scalars.normal_key(feature_key)).join(right, "_key", "left")
+    missing = F.lit(False)
+    for c in needed:
+        missing = missing | F.col(c).isNull()
+    reason = F.when(F.col("_there").isNull(), "no_metadata_match").when(missing, "no_feature_values")
+    return both.select(F.col(feature_key).alias("name"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows, missing ones and their share."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
@@ -36,14 +48,102 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.count("*").alias("n_rows"), n.alias("n_null"), (100.0 * n / F.count("*")).alias("null_pct"))
 
 
+def null_rows(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """feature and order of each missing value: a row a value, so that a column with many makes no long list."""
+    long = df.select(order, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([order], list(columns), "feature", "value")
+    return long.where(F.col("value").isNull()).select("feature", order)
+
+
 def _joined(df: DataFrame, statistics: DataFrame) -> DataFrame:
     """df beside one row of statistics: a broadcast of exactly one row."""
     return df.crossJoin(F.broadcast(statistics))
 
 
+#: Buckets a round of the search for an exact percentile, and the values at which it stops and sorts them.
+BUCKETS, FEW = 4096, 20_000
+
+
+def _ranks(rows: DataFrame, wanted: dict[str, list[int]], spans: dict[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The values at these ranks (from 0) of each column.
+
+    Every round counts the values of an interval in buckets of equal width and goes on in the bucket that holds the rank;
+    the bucket's own least and largest value are the next interval. An interval of few values is sorted on the driver.
+    """
+    found: dict[tuple[str, int], float] = {}
+    # (column, low, high, values below, ranks): what is still to be searched
+    open_ = [(c, *spans[c], 0, sorted(set(r))) for c, r in wanted.items() if r]
+    sizes = {i: FEW + 1 for i in range(len(open_))}
+    while open_:
+        jobs = []
+        for i, (c, low, high, below, ranks) in enumerate(open_):
+            if low == high:
+                found |= {(c, r): low for r in ranks}
+            else:
+                jobs.append((i, c, low, high, below, ranks))
+        parts = []
+        for i, c, low, high, _, _ in jobs:
+            x = F.col(c)
+            bucket = F.when(F.lit(sizes[i] <= FEW), F.lit(0)).otherwise(F.least(F.floor((x - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
+            inside = x.between(low, high)
+            parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("b"), x.alias("x"))))
+        if not jobs:
+            break
+        cells = rows.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
+        few = [i for i, *_ in jobs if sizes[i] <= FEW]
+        values: dict[int, list[float]] = {i: [] for i in few}
+        if few:
+            for r in cells.where(F.col("i").isin(few)).groupBy("i", "x").agg(F.count("*").alias("n")).collect():
+                values[r.i].append((r.x, r.n))
+        counts = cells.where(~F.col("i").isin(few)).groupBy("i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect() if len(few) < len(jobs) else []
+        following, next_sizes = [], {}
+        for i, c, _, _, below, ranks in jobs:
+            if i in values:
+                at = below
+                for x, n in sorted(values[i]):
+                    found |= {(c, r): x for r in ranks if at <= r < at + n}
+                    at += n
+                continue
+            at = below
+            for r in sorted((r for r in counts if r.i == i), key=lambda r: r.b):
+                mine = [k for k in ranks if at <= k < at + r.n]
+                if mine:
+                    next_sizes[len(following)] = r.n
+                    following.append((c, r.lo, r.hi, at, mine))
+                at += r.n
+        open_, sizes = following, next_sizes
+    return found
+
+
+def percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles with linear interpolation, None for a column without values.
+
+    No task and no buffer holds a column: the driver gets counts per bucket, whatever the rows and distinct values.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    usable = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = rows.select(*[usable(c).alias(c) for c in columns])
+    facts = rows.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    wanted: dict[str, list[int]] = {c: [] for c in columns}
+    for c in columns:
+        n = facts[f"{c}_n"]
+        for p in points if n else ():
+            at = p * (n - 1)
+            wanted[c] += [math.floor(at), math.ceil(at)]
+    found = _ranks(rows, wanted, {c: (facts[f"{c}_lo"], facts[f"{c}_hi"]) for c in columns})
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        n, out[c] = facts[f"{c}_n"], []
+        for p in points:
+            at = p * (n - 1) if n else 0
+            a, b = (found[c, math.floor(at)], found[c, math.ceil(at)]) if n else (None, None)
+            out[c].append(a if a is None or a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b)
+    return out
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated percentiles, one row: <column>_q<i>."""
-    return df.agg(*[F.percentile(c, p).alias(f"{c}_q{i}") for c in columns for i, p in enumerate(points)])
+    """The same as one row: <column>_q<i>."""
+    found = percentiles(df, columns, points)
+    return df.sparkSession.range(1).select(*[F.lit(found[c][i]).cast("double").alias(f"{c}_q{i}") for c in columns for i in range(len(points))])
 
 
 def drop_unlabelled(df: DataFrame, target: str) -> DataFrame:
@@ -52,9 +152,9 @@ def drop_unlabelled(df: DataFrame, target: str) -> DataFrame:
 
 def impute(df: DataFrame, columns: Sequence[str], fallback: float | None = None) -> DataFrame:
     """Missing values take their column's median, or the fallback where the column has none."""
-    both = _joined(df, df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns]))
-    fill = lambda c: F.coalesce(F.col(c), F.col(f"_m_{c}"), *([F.lit(fallback)] if fallback is not None else []))
-    return both.select(*[fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    medians = percentiles(df, columns, (0.5,))
+    fill = lambda c: F.coalesce(F.col(c), F.lit(medians[c][0] if medians[c][0] is not None else fallback).cast("double"))
+    return df.select(*[fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def fences(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
@@ -105,12 +205,15 @@ def check_split(df: DataFrame, stratum: str, quotas: dict[int, int], test_rows:
         wrong.append(f"{counts[None]} rows outside every stratum")
     if test_rows >= sum(counts.values()):
         wrong.append("no training rows are left")
+    wrong += [f"stratum {k}: no training rows" for k, q in quotas.items() if q and q == counts.get(k, 0)]
     return wrong
 
 
-def folds(df: DataFrame, k: int, order: Sequence[Column | str], groups: int = 1024) -> DataFrame:
-    """Adds fold 0..k-1. Rows are numbered over ``groups`` hash groups, so that no task sorts the whole table."""
-    hashed = df.withColumn("_g", F.pmod(F.xxhash64(*[c for c in order]), groups))
+def folds(df: DataFrame, k: int, order: Sequence[Column | str], groups: int = 1024, group: Column | str | None = None) -> DataFrame:
+    """Adds fold 0..k-1. Rows are numbered in order within groups (by default ``groups`` of a hash), so that no task sorts
+    the whole table; the groups start with different folds. group: a whole number, with which each group's folds begin."""
+    g = F.pmod(F.xxhash64(*[c for c in order]), groups) if group is None else F.col(group) if isinstance(group, str) else group
+    hashed = df.withColumn("_g", g)
     n = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
     return hashed.withColumn("fold", ((n - 1 + F.col("_g")) % k).cast("int")).drop("_g")
 
@@ -154,3 +257,31 @@ def update_rows(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     both = rows.join(right, key, "left")
     old = [F.coalesce(f"_new_{c}", c).alias(c) if c in new else F.col(c) for c in rows.columns]
     return both.select(*old, *[F.col(f"_new_{c}").alias(c) for c in new if c not in rows.columns])
+
+
+def cleaning_facts(df: DataFrame, columns: Sequence[str], target: str, factor: float = 1.5) -> DataFrame:
+    """One row about a cleaning: rows, rows without target, and per column the missing values and those clipped."""
+    f = percentiles(df.where(F.col(target).isNotNull()), columns, (0.25, 0.75))
+    rows = [F.count("*").alias("n_rows"), F.count_if(F.col(target).isNull()).alias("n_unlabelled")]
+    for c in columns:
+        q1, q3 = f[c]
+        beyond = F.lit(False) if q1 is None else (F.col(c) < q1 - factor * (q3 - q1)) | (F.col(c) > q3 + factor * (q3 - q1))
+        rows += [F.count_if(F.col(c).isNull() & F.col(target).isNotNull()).alias(f"{c}_missing"), F.count_if(beyond & F.col(target).isNotNull()).alias(f"{c}_clipped")]
+    return df.agg(*rows)
+
+
+def split_facts(split: DataFrame, stratum: str) -> DataFrame:
+    """Rows of each side of a split, per stratum."""
+    return split.groupBy(stratum).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+
+
+def summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, extremes, mean, spread and median of a column per group. The median is that of Spark's exact aggregate: groups are bounded here (windows, subjects)."""
+    c = F.col(column)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.median(c).alias("med"))
+
+
+def consistency(df: DataFrame, group: str, settings: Sequence[str]) -> DataFrame:
+    """Per group: rows, different settings among them, and whether there is more than one."""
+    n = F.count_distinct(F.to_json(F.struct(*settings), {"ignoreNullFields": "false"}))
+    return df.groupBy(group).agg(F.count("*").alias("n"), n.alias("n_settings"), (n > 1).alias("mixed"))

@@ -52,6 +52,12 @@ def at_least(df: DataFrame, share: float, value: str = "importance") -> DataFram
     return df.withColumn("_share", scalars.safe_ratio(F.col(value), F.sum(value).over(Window.partitionBy(F.lit(0))))).where(F.col("_share") >= share).drop("_share")
 
 
+def unused(df: DataFrame, features: Sequence[str], feature: str = "feature", value: str = "importance") -> DataFrame:
+    """The features that a model did not use: absent from its importances, or at zero."""
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias(feature))
+    return every.join(df.where(F.col(value) > 0).select(feature), feature, "left_anti")
+
+
 def distribution(df: DataFrame, name: Column, names: Sequence[str]) -> DataFrame:
     """Rows per class, all classes present."""
     found = df.groupBy(name.alias("class")).agg(F.count("*").alias("n"))

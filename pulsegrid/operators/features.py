@@ -11,7 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.config import SQI_LIMITS, Settings
@@ -28,18 +28,28 @@ COLUMNS = [f"{c}_{n}" for c in ("red", "ir") for n in NAMES] + ["ensemble_ratio"
 SCHEMA = "subject_id long, win long, status string, reason string, beats_ir int, beats_red int, rejections map<string,int>, " + ", ".join(f"{c} double" for c in COLUMNS + [f"{c}_sqi_{n}" for c in ("red", "ir") for n in SQI])
 
 
+#: The stages that are diagnosed, in order.
+STAGES = ("raw", "despiked", "inverted", "low", "smooth", "high")
+
+
 def filtered(x: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
-    """Stages of the filter chain over (windows, samples)."""
+    """Stages of the filter chain over (windows, samples): ``STAGES``, the normalised signal and the slow part (dc).
+
+    dc is the low-passed signal offline, the low-passed raw signal in inference, and the raw signal in the service.
+    """
     f, fs = s.filters, s.sampling.hertz
     despiked = kernels.median_filter(x, f.despike) if f.despike > 1 else x
     turned = -despiked if f.invert else despiked
-    low = kernels.zero_phase(kernels.butterworth(f.order, f.lowpass_hz, fs), turned)
+    lowpass = kernels.butterworth(f.order, f.lowpass_hz, fs)
+    low = kernels.zero_phase(lowpass, turned)
     smooth = kernels.savgol(low, *f.smooth) if f.smooth else low
     high = kernels.zero_phase(kernels.butterworth(f.order, f.highpass_hz, fs, True), smooth)
-    return {"raw": x, "despiked": despiked, "low": low, "high": high, "norm": kernels.normalise(high, f.normalise)}
+    dc = {"offline": lambda: low, "inference": lambda: kernels.zero_phase(lowpass, x), "service": lambda: x}[s.dialect]()
+    return {"raw": x, "despiked": despiked, "inverted": turned, "low": low, "smooth": smooth, "high": high, "norm": kernels.normalise(high, f.normalise), "dc": dc}
 
 
 def signal_quality(high: np.ndarray, raw: np.ndarray, fs: float) -> dict[str, float | None]:
+    """Five measures of a signal without its slow part, and of one with it."""
     g1, g2 = kernels.moments(high, corrected=False)
     dc = float(raw.mean())
     crossings = int((np.diff(np.signbit(high)) != 0).sum())
@@ -81,6 +91,8 @@ def _ratio(a: float, b: float) -> float | None:
 
 def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
     """One row a window (same lengths): status, beats, features. Never raises for a window: it is REJECTED or FAILED."""
+    if ir.shape[1] < settings.sampling.least:
+        return [{"status": "FAILED", "reason": f"fewer than {settings.sampling.least} samples"} for _ in ir]
     fs, inclusive = settings.sampling.hertz, settings.dialect != "service"
     stages = {"ir": filtered(ir, settings), "red": filtered(red, settings)}
     rows = []
@@ -96,7 +108,9 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
                     if p["reason"]:
                         counts[f"{c}:{p['reason']}"] = counts.get(f"{c}:{p['reason']}", 0) + 1
                 mean[c] = beats.ensemble(norm, found, fs, settings.beats, inclusive, inclusive)
-                row |= {f"{c}_sqi_{n}": x for n, x in signal_quality(stages[c]["high"][k], ir[k] if c == "ir" else red[k], fs).items()}
+                # inference judges the normalised signal against the slow part, the others the filtered against the raw one
+                judged = ("norm", "dc") if settings.dialect == "inference" else ("high", "raw")
+                row |= {f"{c}_sqi_{n}": x for n, x in signal_quality(*(stages[c][j][k] for j in judged), fs).items()}
             row["rejections"] = counts
             if min(row["beats_ir"], row["beats_red"]) < settings.beats_needed:
                 row |= {"status": "REJECTED", "reason": "too_few_beats"}
@@ -106,8 +120,7 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
                 part = {}
                 for c in ("red", "ir"):
                     row |= {f"{c}_{n}": x for n, x in channel(stages[c]["norm"][k], mean[c][0], mean[c][2], settings).items()}
-                    dc = stages[c]["low"][k] if settings.dialect == "offline" else stages[c]["raw"][k]
-                    part[c] = _ratio(float(np.ptp(mean[c][0])) if inclusive else float(stages[c]["high"][k].std()), float(dc.mean()))
+                    part[c] = _ratio(float(np.ptp(mean[c][0])) if inclusive else float(stages[c]["high"][k].std()), float(stages[c]["dc"][k].mean()))
                 row["ensemble_ratio"] = _ratio(part["red"] or 0.0, part["ir"] or 0.0)
         except (ValueError, FloatingPointError, IndexError) as e:
             row |= {"status": "FAILED", "reason": str(e)}
@@ -115,6 +128,10 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
     return rows
 
 
+#: Windows a worker holds in arrays at once.
+BATCH = 256
+
+
 def window_features(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row a window of (subject_id, win, ir[], red[])."""
     s = settings or Settings()
@@ -122,7 +139,7 @@ def window_features(windows: DataFrame, settings: Settings | None = None) -> Dat
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split(" ")[0] for f in SCHEMA.split(", ")]
-        for part in parts:
+        for part in (whole.iloc[i : i + BATCH] for whole in parts for i in range(0, len(whole), BATCH)):
             for _, same in part.groupby(part["ir"].map(len)):
                 ir, red = (np.stack(same[c].map(lambda v: np.asarray(v, float)).tolist()) for c in ("ir", "red"))
                 try:
@@ -137,9 +154,6 @@ def window_features(windows: DataFrame, settings: Settings | None = None) -> Dat
                 out[floats] = out[floats].astype(float)
                 yield out
 
-    conf, name = windows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= 256:
-        conf.set(name, "256")
     raw = windows.where("ir IS NOT NULL AND red IS NOT NULL").select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, SCHEMA)
     from pulsegrid.schema import no_nan
 
@@ -153,6 +167,12 @@ def subject_average(rows: DataFrame, dialect: str = "offline") -> DataFrame:
     return ok.groupBy("subject_id").agg(F.count("*").alias("n_windows"), *[fill(F.avg(c)).alias(c) for c in COLUMNS])
 
 
+def channel_table(averages: DataFrame) -> DataFrame:
+    """A row a subject and feature: the red and the IR value."""
+    rows = [F.struct(F.lit(n).alias("feature"), F.col(f"red_{n}").alias("red_value"), F.col(f"ir_{n}").alias("ir_value")) for n in NAMES]
+    return averages.select("subject_id", F.explode(F.array(*rows)).alias("r")).select("subject_id", "r.*")
+
+
 def vector24(averages: DataFrame, dialect: str = "offline") -> DataFrame:
     """The 18 IR features, two ratios, three differences (red, IR) and the ratio of both."""
     empty = {"offline": None, "inference": 0.0, "service": 1.0}[dialect]
@@ -164,7 +184,32 @@ def vector24(averages: DataFrame, dialect: str = "offline") -> DataFrame:
     )
 
 
+#: What the reason keys of a report mean.
+REASONS = {
+    "edge_candidate_peak_start": "peak too close to the start", "edge_candidate_peak_end": "peak too close to the end", "no_left_valley_found": "no valley before the peak",
+    "valley_too_close_to_peak": "valley too close to the peak", "invalid_ordering": "foot not between valley and peak", "pulse_amplitude_non_positive": "no rise from valley to peak",
+    "foot_to_peak_too_short": "rise too fast", "foot_to_peak_too_long": "rise too slow", "foot_too_far_from_valley": "foot too far from the valley", "foot_too_high_on_pulse": "foot too high on the pulse",
+    "vpg_not_near_zero_at_foot": "signal not at rest at the foot", "peak_foot_amplitude_too_small": "pulse too small", "no_peak_between_two_feet": "no peak between two feet",
+    "no_main_peak_after_foot": "no main peak after the foot", "incomplete_at_signal_start": "pulse cut by the start", "incomplete_at_signal_end": "pulse cut by the end",
+    "next_foot_too_close_to_signal_end": "next foot too close to the end", "beat_duration_out_of_range": "beat too short or too long", "foot_to_peak_distance_out_of_range": "rise out of range",
+    "upstroke_too_weak": "rise too weak", "beat_too_short_after_segmentation": "too few samples in the beat", "duration_far_from_median": "duration far from the others",
+}
+
+
+def rejection_text(rejections: str = "rejections") -> Column:
+    """The reasons of a window as one line: channel, meaning and count of each, in order of the keys; NULL without any."""
+    names = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+
+    def said(e: Column) -> Column:
+        channel, key = F.split_part(e["key"], F.lit(":"), F.lit(1)), F.split_part(e["key"], F.lit(":"), F.lit(2))
+        return F.concat(F.upper(channel), F.lit(": "), F.coalesce(F.element_at(names, key), key), F.lit(" ("), e["value"].cast("string"), F.lit(")"))
+
+    lines = F.transform(F.array_sort(F.map_entries(rejections)), said)
+    return F.when(F.size(lines) > 0, F.concat_ws("; ", lines))
+
+
 def rejection_counts(rows: DataFrame) -> DataFrame:
+    """Refused candidates and pulses per reason, over all windows."""
     return rows.select(F.explode("rejections").alias("reason_key", "n")).groupBy("reason_key").agg(F.sum("n").alias("n"))
 
 
@@ -186,9 +231,10 @@ def stage_diagnostics(windows: DataFrame, settings: Settings | None = None) -> D
                 a, b = (np.asarray(v, float)[None] for v in (ir, red))
                 try:
                     both = filtered(a, s), filtered(b, s)
-                except ValueError:  # too short for the filters
+                except ValueError:  # too short for the filters: the rows say so by having no measures
+                    rows += [(sid, win, stage, *[None] * 11) for stage in STAGES]
                     continue
-                for stage in both[0]:
+                for stage in STAGES:
                     m = [measures(x[stage][0], float(raw.mean())) for x, raw in zip(both, (a, b), strict=True)]
                     rows.append((sid, win, stage, *m[0], *m[1], m[1][4] / m[0][4] if m[0][4] else None))
             yield pd.DataFrame(rows, columns=["subject_id", "win", "stage", *[f"{c}_{n}" for c in ("ir", "red") for n in ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion")], "r_ratio"])
@@ -231,10 +277,11 @@ def summaries(windows: DataFrame, settings: Settings | None = None) -> DataFrame
                     raw = np.asarray(values, float)
                     try:
                         norm = filtered(raw[None], s)["norm"][0]
-                    except ValueError:  # too short for the filters
+                    except ValueError:  # too short for the filters: the row has no measures
+                        rows.append({"subject_id": sid, "win": win, "channel": name})
                         continue
                     found = beats.peak_to_peak(norm, s.sampling.hertz, s.beats) if s.dialect == "service" else beats.detect(norm, s.sampling.hertz, s.beats)
-                    beat = beats.ensemble(norm, found, s.sampling.hertz, s.beats)
+                    beat = beats.ensemble(norm, found, s.sampling.hertz, s.beats, s.dialect != "service", s.dialect != "service")
                     rows.append({"subject_id": sid, "win": win, "channel": name, **channel_summary(norm, raw, s.sampling.hertz), **(beat_morphology(beat[0], beat[2], raw) if beat else {})})
             yield pd.DataFrame(rows).reindex(columns=["subject_id", "win", "channel", *nine, *seven]).astype(dict.fromkeys(nine + seven, float))
 
@@ -242,3 +289,37 @@ def summaries(windows: DataFrame, settings: Settings | None = None) -> DataFrame
     from pulsegrid.schema import no_nan
 
     return no_nan(windows.select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, schema))
+
+
+#: Arrays of a window's artefacts: filtered signals, and the ensemble beat with its derivatives.
+SIGNALS = tuple(f"{c}_{n}" for c in ("red", "ir") for n in ("high", "low", "norm"))
+BEAT = tuple(f"{c}_{n}" for c in ("red", "ir") for n in ("mean", "velocity", "acceleration"))
+
+
+def artefacts(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Per window: its status, the filtered signals of both channels and their ensemble beats, as arrays (NULL where there are none)."""
+    s = settings or Settings()
+
+    def one(ir: np.ndarray, red: np.ndarray) -> dict:
+        row: dict = {}
+        try:
+            row["status"] = process(ir[None], red[None], s)[0]["status"]
+            for c, x in (("red", red), ("ir", ir)):
+                stage = {k: v[0] for k, v in filtered(x[None], s).items()}
+                row |= {f"{c}_{n}": stage[n] for n in ("high", "low", "norm")}
+                found = beats.peak_to_peak(stage["norm"], s.sampling.hertz, s.beats) if s.dialect == "service" else beats.detect(stage["norm"], s.sampling.hertz, s.beats)
+                if beat := beats.ensemble(stage["norm"], found, s.sampling.hertz, s.beats, s.dialect != "service", s.dialect != "service"):
+                    v, a = kernels.derivatives(beat[0], beat[2])
+                    row |= {f"{c}_mean": beat[0], f"{c}_velocity": v, f"{c}_acceleration": a}
+        except ValueError:  # too short for the filters
+            row["status"] = "FAILED"
+        return row
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (whole.iloc[i : i + 64] for whole in parts for i in range(0, len(whole), 64)):
+            rows = [{"subject_id": sid, "win": win, **one(np.asarray(ir, float), np.asarray(red, float))} for sid, win, ir, red in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True)]
+            out = pd.DataFrame(rows).reindex(columns=["subject_id", "win", "status", *SIGNALS, *BEAT]).astype(object)
+            yield out.where(out.notna(), None)
+
+    schema = "subject_id long, win long, status string, " + ", ".join(f"{n} array<double>" for n in SIGNALS + BEAT)
+    return windows.select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, schema)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.config import BIN_NAMES
+from pulsegrid.config import BIN_NAMES, Boosting
 from pulsegrid.functions import scalars
+from pulsegrid.operators import boost, dataset
 from pulsegrid.operators.evaluate import distribution
+from pulsegrid.schema import NODES
 
 
-def replace_subjects(rows: DataFrame, path: str, key: str = "subject_id") -> None:
-    """Replaces the partitions of the subjects in rows, leaves the others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_subjects(rows: DataFrame, path: str, key: str = "subject_id", others: bool = True) -> None:
+    """Replaces the partitions of the subjects in rows; leaves the others, or removes them, too (others False)."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if others else "static").partitionBy(key).parquet(path)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -92,3 +97,70 @@ def replaced(before: DataFrame, after: DataFrame) -> DataFrame:
     both = b.join(after, "path", "full")
     state = F.when(F.col("_then").isNull(), "fresh").when(F.col("modificationTime").isNull(), "gone").when((F.col("_then") < F.col("modificationTime")) | (F.col("_old") != F.col("length")), "replaced").otherwise("unchanged")
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def save_model(spark: SparkSession, model: boost.Model, path: str) -> None:
+    """The node table, and the base as the leaf of tree -1: one small file."""
+    rows = [(-1, 0, None, None, None, None, float(model.base), None, None), *model.nodes]
+    spark.createDataFrame(rows, NODES).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> boost.Model:
+    """What ``save_model`` wrote. A model is bounded by its trees and depth, not by rows."""
+    rows = sorted((tuple(r) for r in spark.read.schema(NODES).parquet(path).collect()), key=lambda r: r[:2])
+    return boost.Model(rows[0][6], rows[1:])
+
+
+def save_scaler(scaler: DataFrame, path: str) -> None:
+    scaler.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature string, center double, scale double").parquet(path)
+
+
+def write_windows(windows: DataFrame, path: str, channels: Sequence[str] = ("ir", "red")) -> None:
+    """Windows (subject_id, win, arrays) as rows of samples, a folder a subject and window."""
+    rows = windows.select("subject_id", "win", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size(channels[0]) - 1).alias("i"), *channels)).alias("s"))
+    rows.select("subject_id", "win", "s.*").repartition("subject_id", "win").write.mode("overwrite").partitionBy("subject_id", "win").parquet(path)
+
+
+def write_artefacts(found: DataFrame, features: DataFrame, path: str) -> None:
+    """Of ``features.artefacts`` and ``features.window_features``: tables full and ensemble (a row a sample), and a JSON document a window."""
+    from pulsegrid.operators.features import BEAT, SIGNALS
+
+    for name, columns in (("full", SIGNALS), ("ensemble", BEAT)):
+        zipped = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.greatest(*[F.size(c) for c in columns]) - 1).alias("i"), *columns))
+        rows = found.where(F.coalesce(*columns).isNotNull()).select("subject_id", "win", zipped.alias("s")).select("subject_id", "win", "s.*")
+        rows.write.mode("overwrite").partitionBy("subject_id").parquet(f"{path}/{name}")
+    features.select("subject_id", "win", F.to_json(F.struct(*features.columns)).alias("value")).select("subject_id", "value").write.mode("overwrite").partitionBy("subject_id").text(f"{path}/config")
+
+
+def write_split(split: DataFrame, columns: Sequence[str], target: str, path: str, key: Sequence[str] = ()) -> None:
+    """X and y of both sides of a split, as they are and scaled by the training rows; and the scaler. Tables below path."""
+    train = split.where("split = 'train'")
+    scaler = dataset.scaler(train, columns)
+    save_scaler(scaler, f"{path}/scaler")
+    for name, rows in (("unscaled", split), ("scaled", dataset.scale(split, scaler, columns))):
+        rows.select("split", *key, *columns).write.mode("overwrite").partitionBy("split").parquet(f"{path}/X_{name}")
+    split.select("split", *key, target).write.mode("overwrite").partitionBy("split").parquet(f"{path}/y")
+
+
+def log_step(facts: DataFrame, step: str) -> DataFrame:
+    """One row of facts as a log row: step, time, and the facts as JSON. Goes to ``append``."""
+    return facts.select(F.lit(step).alias("step"), F.current_timestamp().alias("at"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("facts"))
+
+
+def tuning_row(settings: Boosting, train: DataFrame, test: DataFrame, scores: DataFrame, importances: DataFrame, features: Sequence[str], label: str = "single") -> DataFrame:
+    """A run as one row: settings, errors of both sides and of the folds, diagnosis, and the percentage of each feature (0 if unused).
+
+    train and test: one row of ``evaluate.metrics``; scores: ``boost.cross_validate``; importances: feature, percentage.
+    """
+    sides = [d.select(*[F.col(c).alias(f"{side}_{c}") for c in ("n", "mae", "rmse", "r2", "mape")]) for side, d in (("train", train), ("test", test))]
+    cv = scores.agg(F.count("*").alias("cv_folds"), F.avg("mae").alias("cv_mae_mean"), F.stddev_pop("mae").alias("cv_mae_std"), F.avg("rmse").alias("cv_rmse_mean"), F.avg("r2").alias("cv_r2_mean"))
+    share = importances.agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.round("percentage", 4))), F.lit(0.0)).alias(f"feat_{f}") for f in features])
+    out = train.sparkSession.range(1).select(F.current_timestamp().alias("at"), F.lit(label).alias("run_label"), *[F.lit(v).alias(k) for k, v in asdict(settings).items()])
+    for one in (*sides, cv, share):  # one row each
+        out = out.crossJoin(F.broadcast(one))
+    ratio = scalars.safe_ratio("test_mae", "train_mae")
+    return out.withColumn("mae_ratio", ratio).withColumn("diagnosis", scalars.overfit_verdict(ratio))

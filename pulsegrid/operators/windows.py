@@ -34,9 +34,11 @@ def cut_windows(df: DataFrame, size: int, key: str = "subject_id", seq: str = "s
 
 
 def slice_ranges(df: DataFrame, ranges: DataFrame, hertz: float, key: str = "subject_id", seq: str = "seq") -> DataFrame:
-    """Windows named by hand: ranges has key, win, start_s and end_s; rows with int(start fs) < seq <= int(end fs)."""
-    r = ranges.select(key, "win", F.floor(F.col("start_s") * hertz).alias("_a"), F.floor(F.col("end_s") * hertz).alias("_b"))
-    out = df.join(r, key).where((F.col(seq) > F.col("_a")) & (F.col(seq) <= F.col("_b")))
+    """Windows named by hand: ranges has key, win, start_s and end_s; rows with int(start fs) < seq <= int(end fs).
+
+    An end of 0 is the end of the recording: 0, 0 is all of it."""
+    r = ranges.select(key, "win", F.floor(F.col("start_s") * hertz).alias("_a"), F.when(F.col("end_s") > 0, F.floor(F.col("end_s") * hertz)).alias("_b"))
+    out = df.join(r, key).where((F.col(seq) > F.col("_a")) & (F.col("_b").isNull() | (F.col(seq) <= F.col("_b"))))
     return out.withColumn("i", F.col(seq) - 1 - F.col("_a")).drop("_a", "_b")
 
 

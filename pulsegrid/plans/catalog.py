@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import dataset_queries, kernel_queries, signal_queries  # noqa: F401  they register their queries
+from pulsegrid.plans import dataset_queries, kernel_queries, signal_queries, store_queries  # noqa: F401  they register their queries
 from pulsegrid.plans.registry import QUERIES, SQL, Query
 
 

@@ -7,7 +7,6 @@ feature columns. Missing values are made in the query.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pulsegrid.config import Boosting
 from pulsegrid.functions import scalars
@@ -149,11 +148,10 @@ def stratified_split(spark, sf_dir):
     return dataset.stratified_split(c, "range_id", {0: 3, 1: 7, 2: 4, 3: 5, 4: 2}, [F.col("c_custkey") * 7919 % 10007, F.col("c_custkey")])
 
 
-@query("WITH n AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey * 7919) % 10007, c_custkey) AS rn FROM customer) SELECT c_custkey, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM n")
+@query("WITH n AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey * 7919) % 10007, c_custkey) AS rn FROM customer) SELECT c_custkey, CAST((rn - 1 + c_nationkey) % 5 AS INTEGER) AS fold FROM n")
 def kfold_assign(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_custkey") * 7919 % 10007, "c_custkey"))
-    return c.select("c_custkey", ((n - 1) % 5).cast("int").alias("fold"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return dataset.folds(c, 5, [F.col("c_custkey") * 7919 % 10007, "c_custkey"], group="c_nationkey").select("c_custkey", "fold")
 
 
 @query(FEAT + ", q AS (SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.5) AS a2, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.5) AS b2, quantile_cont(b, 0.75) AS b3, quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.5) AS d2, quantile_cont(d, 0.75) AS d3 FROM f WHERE l_returnflag <> 'R') SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round(CASE WHEN {c}3 = {c}1 THEN {c} - {c}2 ELSE ({c} - {c}2) / ({c}3 - {c}1) END, 6) AS {c}" for c in COLUMNS) + " FROM f, q")
@@ -252,9 +250,39 @@ def importance_rank_cum(spark, sf_dir):
     return evaluate.importance_table(importance(spark, sf_dir))
 
 
-@query(IMP + " SELECT * FROM i ORDER BY importance DESC, feature LIMIT 10")
+@query(IMP + " SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) - 1 AS INTEGER) AS place, * FROM i ORDER BY importance DESC, feature LIMIT 10")
 def top_n(spark, sf_dir):
-    return importance(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(10)
+    return evaluate.selected(importance(spark, sf_dir), top=10)
+
+
+@query(IMP + " SELECT feature FROM (VALUES ('Brand#1'), ('none'), ('Brand#0')) t(feature) WHERE feature NOT IN (SELECT feature FROM i WHERE importance > 0)")
+def unused_features(spark, sf_dir):
+    return evaluate.unused(importance(spark, sf_dir), ["Brand#1", "none", "Brand#0"])
+
+
+@query(FEAT + " SELECT feature, l_orderkey * 8 + l_linenumber AS row FROM (SELECT unnest(['a', 'b', 'd']) AS feature, unnest([a, b, d]) AS v, l_orderkey, l_linenumber FROM f) WHERE v IS NULL")
+def null_rows(spark, sf_dir):
+    f = features(spark, sf_dir).withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return dataset.null_rows(f, COLUMNS, "row")
+
+
+@query("WITH n AS (SELECT n_name, CASE WHEN n_nationkey % 4 = 1 THEN NULL ELSE 1.0 END AS v, n_nationkey FROM nation)" + KEYED + " SELECT n_name AS name, CASE WHEN lower(trim(n_name)) NOT IN (SELECT k FROM r) THEN 'no_metadata_match' ELSE 'no_feature_values' END AS reason FROM n WHERE lower(trim(n_name)) NOT IN (SELECT k FROM r) OR v IS NULL")
+def join_failures(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 4 != 1, 1.0).alias("v"))
+    return dataset.failures(n, label_rows(spark, sf_dir), "n_name", "label_key", ["v"])
+
+
+@query("SELECT c_custkey, round(0.4 * greatest(0, t - s) + 0.3 * greatest(0, m - 1) + 0.3 * greatest(0, m - 1), 6) AS overfitting, round(0.5 * greatest(0, 0.7 - t) + 0.5 * greatest(0, 0.7 - s), 6) AS underfitting FROM (SELECT c_custkey, (c_custkey % 100) / 100.0 AS t, (c_custkey % 83) / 100.0 AS s, 0.5 + (c_custkey % 31) / 20.0 AS m FROM customer)")
+def fit_scores(spark, sf_dir):
+    k = F.col("c_custkey")
+    over, under = scalars.fit_scores(k % 100 / 100.0, k % 83 / 100.0, 0.5 + k % 31 / 20.0, 0.5 + k % 31 / 20.0)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(over, 6).alias("overfitting"), F.round(under, 6).alias("underfitting"))
+
+
+@query(CUST + f", k AS (SELECT {LEFT.format(x='y')} AS r, count(*) AS n FROM cu GROUP BY ALL) SELECT unnest(['negative quota 1', 'stratum 0: 1000000 of ' || (SELECT n FROM k WHERE r = 0) || ' rows', 'quotas sum to 999998, not 12', (SELECT n FROM k WHERE r IS NULL) || ' rows outside every stratum']) AS problem")
+def split_checks(spark, sf_dir):
+    c = customers(spark, sf_dir).select(scalars.range_left("y").alias("range_id"))
+    return spark.createDataFrame([(x,) for x in dataset.check_split(c, "range_id", {0: 1_000_000, 1: -2}, 12)], "problem string")
 
 
 @query(IMP + " SELECT feature, importance FROM (SELECT *, importance / sum(importance) OVER () AS s FROM i) WHERE s >= 0.04")
@@ -324,29 +352,35 @@ def tree_importance(spark, sf_dir):
     return evaluate.node_importance(nodes(spark))
 
 
-@query("SELECT c_mktsegment, count(DISTINCT c_nationkey) > 1 AS mixed, count(*) AS n FROM customer GROUP BY ALL")
+@query("SELECT c_mktsegment, count(DISTINCT coalesce(c_nationkey, -1)) > 1 AS mixed, count(DISTINCT coalesce(c_nationkey, -1)) AS n_settings, count(*) AS n FROM customer GROUP BY ALL")
 def config_consistency(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("_h", F.to_json(F.struct("c_nationkey")))
-    return c.groupBy("c_mktsegment").agg((F.count_distinct("_h") > 1).alias("mixed"), F.count("*").alias("n"))
+    return dataset.consistency(table(spark, sf_dir, "customer"), "c_mktsegment", ["c_nationkey"])
 
 
 @query("SELECT l_suppkey, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, median(l_quantity) AS med FROM lineitem GROUP BY ALL")
 def summary_statistics(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min(q).alias("lo"), F.max(q).alias("hi"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("sd"), F.median(q).alias("med"))
+    s = dataset.summary(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_suppkey"])
+    return s.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
+
+
+@query(FEAT + ", q AS (SELECT quantile_cont(b, 0.5) AS m, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS s FROM f) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a, round((b - m) / s, 6) AS b, d FROM f, q")
+def scaler_lookup_inference(spark, sf_dir):
+    """Inference keeps values without a scaler, or with a scale of 0."""
+    f = features(spark, sf_dir)
+    known = dataset.scaler(f, ["b"]).unionByName(spark.range(1).select(F.lit("d").alias("feature"), F.lit(1.0).alias("center"), F.lit(0.0).alias("scale")))
+    return dataset.scale(f, known, COLUMNS, "inference").withColumn("b", F.round("b", 6)).drop("l_returnflag")
 
 
 @query()
 def boosted_trees(spark, sf_dir):
-    """Fits on the line items' features and scores them: predictions by supplier."""
+    """75 trees fitted on the line items' features, and the errors of their predictions by supplier."""
     f = dataset.impute(features(spark, sf_dir), COLUMNS).withColumn("y", 60 + 2 * F.col("a") - F.col("d") * 3)
-    model = boost.fit(f, COLUMNS, "y", Boosting(trees=5))
+    model = boost.fit(f, COLUMNS, "y", Boosting())
     scored = f.withColumn("yhat", boost.score_expression(model.nodes, model.base))
     return evaluate.metrics(scored, "y", "yhat", ["l_suppkey"])
 
 
 
-
 @query(IMP + " SELECT 0 AS place, 'Brand#3' AS feature, coalesce((SELECT importance FROM i WHERE feature = 'Brand#3'), 0) AS importance UNION ALL SELECT 2, 'none', 0 UNION ALL SELECT 3, 'Brand#1', coalesce((SELECT importance FROM i WHERE feature = 'Brand#1'), 0)")
 def feature_mask(spark, sf_dir):
     return evaluate.selected(importance(spark, sf_dir), {"Brand#3": 1, "Brand#2": 0, "none": 1, "Brand#1": 1})

@@ -1,6 +1,7 @@
-"""Numeric kernels and streaming on the driver tables: no SQL equivalent, checked by the kernel tests.
+"""Numeric kernels and streaming on the driver tables.
 
-A supplier's line items in order of shipping play two channels: extended price the IR, quantity the red one.
+A supplier's line items in order of shipping play two channels: extended price the IR, quantity the red one. The SQL
+comes from ``sqltext``, which has its own way to every number.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pulsegrid.config import Sampling, Settings
+from pulsegrid.config import Beats, Sampling, Settings
 from pulsegrid.functions import kernels
 from pulsegrid.operators import beats, features
+from pulsegrid.plans import sqltext as q
 from pulsegrid.plans.registry import query, table
-from pulsegrid.plans.signal_queries import windowed
+from pulsegrid.plans.signal_queries import A, S, windowed
 from pulsegrid.operators.windows import collect_windows, cut_windows, number_rows
 
 #: A supplier's line items in order of shipping are samples at this rate, in windows of this many.
@@ -41,28 +43,242 @@ def per_array(df, schema: str, f):
     return df.select("subject_id", "win", "ir").mapInPandas(run, f"subject_id long, win long, {schema}")
 
 
-@query()
+def rounded(*values, places=6):
+    return tuple(None if v is None else round(float(v), places) for v in values)
+
+
+W = f"WITH RECURSIVE {q.SUPPLIERS}"
+
+
+@query(
+    f"""{W}, {q.zero_phase('low', 'a', SIZE, 6.0, HERTZ, False)}, {q.zero_phase('high', 'a', SIZE, 0.5, HERTZ, True)}
+SELECT subject_id, win, round(list_stddev_pop(low.x), 3) AS low_std, round(list_stddev_pop(high.x), 3) AS high_std, round(low.x[1], 3) AS low_first, round(high.x[100], 3) AS high_middle FROM low JOIN high USING (subject_id, win)"""
+)
 def dsp_filter(spark, sf_dir):
     low, high = kernels.butterworth(4, 6.0, HERTZ), kernels.butterworth(4, 0.5, HERTZ, True)
-    f = lambda x: [(float(kernels.zero_phase(low, x[None])[0].std()), float(kernels.zero_phase(high, x[None])[0].std()))]
-    return per_array(supplier_windows(spark, sf_dir), "low_std double, high_std double", f)
 
+    def f(x):
+        a, b = kernels.zero_phase(low, x[None])[0], kernels.zero_phase(high, x[None])[0]
+        return [rounded(a.std(), b.std(), a[0], b[99], places=3)]
 
-@query()
+    return per_array(supplier_windows(spark, sf_dir), "low_std double, high_std double, low_first double, high_middle double", f)
+
+
+@query(f"""{W}, {q.peaks('p', 'a', 5, '0.2 * (list_max(x) - list_min(x))')} SELECT subject_id, win, CAST(i AS BIGINT) AS i, h AS height, round(m, 4) AS prominence FROM p""")
 def find_peaks(spark, sf_dir):
     def f(x):
         p = kernels.find_peaks(x, 5, 0.2 * float(np.ptp(x)))
-        return [(int(i), float(h), float(m)) for i, h, m in zip(p, x[p], kernels.prominences(x, p), strict=True)]
+        return [(int(i), float(h), round(float(m), 4)) for i, h, m in zip(p, x[p], kernels.prominences(x, p), strict=True)]
 
     return per_array(supplier_windows(spark, sf_dir), "i long, height double, prominence double", f)
 
 
-@query()
+@query(
+    f"""{W}, {q.waves('f', 64)}, {q.waves('g', SIZE)},
+s AS (SELECT subject_id, win, {q.centred('x[32 * j + 1:32 * j + 64]')} AS v FROM a, range(0, 5) t(j)),
+h AS (SELECT subject_id, win, {q.hann('v', 64)} AS v FROM s),
+w AS (SELECT subject_id, win, k, sum({q.doubled('k', 64)} * {q.power('v', 'f')}) AS p FROM h, f GROUP BY ALL),
+e AS (SELECT subject_id, win, -sum(p / t * log2(p / t)) AS spectral_entropy FROM (SELECT *, sum(p) OVER (PARTITION BY subject_id, win) AS t FROM w) WHERE p > 0 GROUP BY ALL),
+d AS (SELECT subject_id, win, {q.centred('x')} AS v FROM a),
+b AS (SELECT subject_id, win, k, {q.power('v', 'g')} AS p FROM d, g),
+o AS (SELECT subject_id, win, 10 * log10(sum({q.doubled('k', SIZE)} * p) FILTER (WHERE k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0) / sum({q.doubled('k', SIZE)} * p) FILTER (WHERE NOT k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0)) AS snr_db,
+  max(p) FILTER (WHERE k > 0) / (sum(p) FILTER (WHERE k > 0) - max(p) FILTER (WHERE k > 0)) AS harmonic_ratio FROM b GROUP BY ALL)
+SELECT subject_id, win, round(spectral_entropy, 6) AS spectral_entropy, round(snr_db, 6) AS snr_db, round(harmonic_ratio, 6) AS harmonic_ratio FROM e JOIN o USING (subject_id, win)"""
+)
 def welch_entropy(spark, sf_dir):
-    f = lambda x: [(kernels.entropy(kernels.welch(x, HERTZ, 64)[1]), kernels.band_snr(*kernels.periodogram(x, HERTZ), 0.5, 5.0, 100.0), kernels.harmonic_ratio(x))]
+    f = lambda x: [rounded(kernels.entropy(kernels.welch(x, HERTZ, 64)[1]), kernels.band_snr(*kernels.periodogram(x, HERTZ), 0.5, 5.0, 100.0), kernels.harmonic_ratio(x))]
     return per_array(supplier_windows(spark, sf_dir), "spectral_entropy double, snr_db double, harmonic_ratio double", f)
 
 
+@query(f"{W}, {q.waves('g', SIZE)}, d AS (SELECT subject_id, win, {q.centred('x')} AS v FROM a) SELECT subject_id, win, k, round(k * {HERTZ} / {SIZE}, 6) AS hertz, round(sqrt({q.power('v', 'g')}) * 2 / {SIZE}, 3) AS amplitude FROM d, g WHERE k < {SIZE // 2}")
+def fft_magnitude(spark, sf_dir):
+    def f(x):
+        hertz, size = kernels.fft_magnitude(x, HERTZ)
+        return [(k, round(float(h), 6), round(float(v), 3)) for k, (h, v) in enumerate(zip(hertz, size, strict=True))]
+
+    return per_array(supplier_windows(spark, sf_dir), "k long, hertz double, amplitude double", f)
+
+
+@query(f"{W}, s AS (SELECT subject_id, win, {q.savgol('x', SIZE, 21, 3)} AS u, {q.savgol('x', SIZE, 13, 2)} AS v FROM a) SELECT subject_id, win, unnest(range(0, {SIZE})) AS i, round(unnest(u), 3) AS smooth21, round(unnest(v), 3) AS smooth13 FROM s")
+def savgol(spark, sf_dir):
+    """Windows 21 and 13, degrees 3 and 2, ends by the polynomials of the first and last window."""
+
+    def f(x):
+        return [(i, round(float(u), 3), round(float(v), 3)) for i, (u, v) in enumerate(zip(kernels.savgol(x, 21, 3), kernels.savgol(x, 13, 2), strict=True))]
+
+    return per_array(supplier_windows(spark, sf_dir), "i long, smooth21 double, smooth13 double", f)
+
+
+DERIVED = f"""s1 AS (SELECT subject_id, win, x, {q.savgol('x', SIZE, 7, 3)} AS u FROM a), s2 AS (SELECT subject_id, win, x, {q.gradient('u', SIZE, HERTZ)} AS u FROM s1),
+s3 AS (SELECT subject_id, win, x, {q.savgol('u', SIZE, 5, 2)} AS v FROM s2), s4 AS (SELECT subject_id, win, x, v, {q.gradient('v', SIZE, HERTZ)} AS u FROM s3),
+dv AS (SELECT subject_id, win, x, v, {q.savgol('u', SIZE, 5, 2)} AS acc FROM s4)"""
+
+
+@query(f"{W}, {DERIVED} SELECT subject_id, win, unnest(range(0, {SIZE})) AS i, round(unnest(v), 1) AS velocity, round(unnest(acc), 0) AS acceleration FROM dv")
+def derivatives(spark, sf_dir):
+    def f(x):
+        return [(i, round(float(u), 1), float(np.round(v, 0))) for i, (u, v) in enumerate(zip(*kernels.derivatives(x, HERTZ), strict=True))]
+
+    return per_array(supplier_windows(spark, sf_dir), "i long, velocity double, acceleration double", f)
+
+
+def quality_sql(source: str, high: str, raw: str) -> str:
+    """CTE quality (subject_id, win, five measures) of lists of ``source``."""
+    return f"""qd AS (SELECT subject_id, win, {q.centred(high)} AS v, {high} AS hi, {raw} AS ra FROM {source}),
+qp AS (SELECT subject_id, win, 10 * log10(sum({q.doubled('k', SIZE)} * {q.power('v', 'g')}) FILTER (WHERE k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0) / sum({q.doubled('k', SIZE)} * {q.power('v', 'g')}) FILTER (WHERE NOT k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0)) AS snr_db FROM qd, g GROUP BY ALL),
+quality AS (SELECT subject_id, win, list_avg(list_transform(v, lambda e: e * e * e)) / list_avg(list_transform(v, lambda e: e * e)) ** 1.5 AS skewness, list_avg(list_transform(v, lambda e: e * e * e * e)) / list_avg(list_transform(v, lambda e: e * e)) ** 2 - 3 AS kurtosis,
+  100 * (list_max(hi) - list_min(hi)) / abs(list_avg(ra)) AS perfusion, snr_db, len(list_filter(range(2, {SIZE + 1}), lambda i: (hi[i] < 0) <> (hi[i - 1] < 0))) / 2 / ({SIZE} / {HERTZ}) AS zcr_hz FROM qd JOIN qp USING (subject_id, win))"""
+
+
+@query(f"{W}, {q.waves('g', SIZE)}, m AS (SELECT subject_id, win, x, {q.centred('x')} AS h FROM a), {quality_sql('m', 'h', 'x')} SELECT subject_id, win, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("skewness", "kurtosis", "perfusion", "snr_db", "zcr_hz")) + " FROM quality")
+def signal_quality(spark, sf_dir):
+    f = lambda x: [rounded(*features.signal_quality(x - x.mean(), x, HERTZ).values())]
+    return per_array(supplier_windows(spark, sf_dir), "skewness double, kurtosis double, perfusion double, snr_db double, zcr_hz double", f)
+
+
+#: The 18 features of a channel whose ensemble beat is the window itself, at 40 Hz.
+DT = f"({SIZE} / {HERTZ} / {SIZE - 1})"
+CHANNEL = f"""{W}, {DERIVED}, {q.waves('g', SIZE)}, {q.peaks('p', 'a', 0.33 * HERTZ, 'greatest(0.01 * (list_max(x) - list_min(x)), 0.1 * list_stddev_pop(x))')},
+gaps AS (SELECT subject_id, win, (i - lag(i) OVER (PARTITION BY subject_id, win ORDER BY i)) / {HERTZ} AS gap FROM p),
+beat AS (SELECT subject_id, win, avg(gap) AS ppi, stddev_samp(gap) AS sd, count(gap) AS n FROM gaps GROUP BY ALL),
+d AS (SELECT subject_id, win, x, v, {q.savgol('acc', SIZE, 7, 3)} AS acc, {q.centred('x')} AS z, list_position(x, list_max(x)) AS top FROM dv),
+spec AS (SELECT subject_id, win, k, {q.doubled('k', SIZE)} * {q.power('u', 'g')} AS p, {q.power('z', 'g')} AS b FROM (SELECT *, {q.hann('z', SIZE)} AS u FROM d), g),
+ent AS (SELECT subject_id, win, -sum(p / t * log2(p / t)) FILTER (WHERE p > 0) AS spectral_entropy, max(b) FILTER (WHERE k > 0) / (sum(b) FILTER (WHERE k > 0) - max(b) FILTER (WHERE k > 0)) AS harmonic_ratio FROM (SELECT *, sum(p) OVER (PARTITION BY subject_id, win) AS t FROM spec) GROUP BY ALL),
+hist AS (SELECT subject_id, win, bin, count(*) / {SIZE}.0 AS f FROM (SELECT subject_id, win, least(floor((unnest(x) - list_min(x)) / (list_max(x) - list_min(x)) * 64), 63) AS bin FROM a) GROUP BY ALL),
+sh AS (SELECT subject_id, win, -sum(f * log2(f)) AS shannon_entropy FROM hist GROUP BY ALL),
+t AS (SELECT *, list_transform(range(2, {SIZE}), lambda i: x[i] * x[i] - x[i - 1] * x[i + 1]) AS te, list_position(x[1:top], list_min(x[1:top])) AS foot, top - 1 + list_position(x[top:{SIZE}], list_min(x[top:{SIZE}])) AS last,
+  list_min(list_filter(range(top + 1, {SIZE}), lambda j: x[j] < x[j - 1] AND x[j] < x[j + 1])) AS dip,
+  x[top] - greatest(list_min(x[1:top]), list_min(x[top:{SIZE}])) AS m FROM d)
+SELECT t.subject_id, t.win, round(list_skewness(x), 6) AS skewness, round(list_kurtosis(x), 6) AS kurtosis, round(shannon_entropy, 6) AS shannon_entropy, round(spectral_entropy, 6) AS spectral_entropy,
+  round({q.half_width('x', '(top - 1)', 'm')} * {DT}, 6) AS pulse_width, round(ppi, 6) AS ppi, round(list_max(x) - list_min(x), 6) AS systolic_amplitude, round(60 / ppi, 6) AS bpm, round(CASE WHEN n > 1 THEN 1000 * sd WHEN n = 1 THEN 0.0 END, 6) AS hrv,
+  round(list_avg(te) / 1e6, 3) AS teo_mean, round(list_stddev_samp(te) / 1e6, 3) AS teo_std, round(list_avg(v), 3) AS derivative1_mean, round(list_avg(acc), 2) AS derivative2_mean, round(list_skewness(acc), 6) AS derivative2_skewness, round(harmonic_ratio, 6) AS harmonic_ratio,
+  round((top - foot) * {DT}, 6) AS rise_time, round((last - top) * {DT}, 6) AS decay_time, round((coalesce(dip, last) - 1) * {DT}, 6) AS dicrotic_notch
+FROM t JOIN ent USING (subject_id, win) JOIN sh USING (subject_id, win) LEFT JOIN beat USING (subject_id, win)"""
+
+
+@query(CHANNEL)
+def channel_features(spark, sf_dir):
+    """The 18 features of a channel, offline, of windows that stand for their own ensemble beat."""
+    s = Settings(sampling=Sampling(hertz=HERTZ))
+    places = dict.fromkeys(features.NAMES, 6) | {"teo_mean": 3, "teo_std": 3, "derivative1_mean": 3, "derivative2_mean": 2}
+
+    def f(x):
+        found = features.channel(kernels.normalise(x), x, HERTZ, s)
+        found["teo_mean"], found["teo_std"] = found["teo_mean"] / 1e6, found["teo_std"] / 1e6
+        return [tuple(None if found[n] is None else round(float(found[n]), places[n]) for n in features.NAMES)]
+
+    return per_array(supplier_windows(spark, sf_dir), ", ".join(f"{n} double" for n in features.NAMES), f)
+
+
+@query(
+    S
+    + f""", b AS (SELECT subject_id, win, least(floor(coalesce((ir - min(ir) {A}) / nullif(max(ir) {A} - min(ir) {A}, 0), 0) * 64), 63) AS bin FROM w),
+k AS (SELECT subject_id, win, bin, count(*) / 16.0 AS p FROM b GROUP BY ALL)
+SELECT subject_id, win, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM k GROUP BY ALL"""
+)
+def shannon_entropy(spark, sf_dir):
+    return per_array(short_windows(spark, sf_dir), "entropy double", lambda x: [rounded(kernels.shannon(x))])
+
+
+def short_windows(spark, sf_dir):
+    """The events' windows of 16 samples as arrays."""
+    return collect_windows(windowed(spark, sf_dir)).select("subject_id", "win", "ir")
+
+
+FEET = S + """, p AS (SELECT *, coalesce(ir > lag(ir) OVER v AND ir > lead(ir) OVER v, false) AS peak, coalesce(ir < lag(ir) OVER v AND ir < lead(ir) OVER v, false) AS valley FROM w WINDOW v AS (PARTITION BY subject_id, win ORDER BY i)),
+f AS (SELECT subject_id, win, i AS foot, lead(i) OVER (PARTITION BY subject_id, win ORDER BY i) AS next_foot FROM p WHERE valley)"""
+
+
+def feet_of(x):
+    f = kernels.local_maxima(-x)
+    return f[:-1], f[1:]
+
+
+@query(FEET + ", b AS (SELECT * FROM f WHERE next_foot IS NOT NULL), k AS (SELECT b.*, min(p.i) AS main_peak FROM b JOIN p ON p.subject_id = b.subject_id AND p.win = b.win AND p.peak AND p.i >= b.foot GROUP BY ALL) SELECT subject_id, win, CAST(foot AS BIGINT) AS foot, CAST(next_foot AS BIGINT) AS next_foot, CAST(main_peak AS BIGINT) AS main_peak FROM k WHERE main_peak <= foot + 3 AND main_peak < next_foot")
+def peak_in_foot_range(spark, sf_dir):
+    """The main peak of each beat: the first one between 0.02 and 0.30 seconds (at 10 Hz 0 and 3 samples) after its foot."""
+
+    def f(x):
+        (f1, f2), peaks = feet_of(x), kernels.local_maxima(x)
+        main, has = beats.main_peaks(peaks, f1, f2, 10.0, Beats()) if len(f1) and len(peaks) else ([], [])
+        return [(int(a), int(b), int(m)) for a, b, m, h in zip(f1, f2, main, has, strict=False) if h]
+
+    return per_array(short_windows(spark, sf_dir), "foot long, next_foot long, main_peak long", f)
+
+
+@query(
+    FEET
+    + """, d AS (SELECT subject_id, win, foot, next_foot, next_foot - foot AS len FROM f WHERE next_foot IS NOT NULL), m AS (SELECT subject_id, win, median(len) AS med, count(*) AS n FROM d GROUP BY ALL)
+SELECT d.subject_id, d.win, CAST(foot AS BIGINT) AS foot, CAST(next_foot AS BIGINT) AS next_foot FROM d JOIN m USING (subject_id, win) WHERE n < 3 OR len BETWEEN med / 1.35 AND med * 1.35"""
+)
+def beat_duration_median_filter(spark, sf_dir):
+    def f(x):
+        f1, f2 = feet_of(x)
+        far = beats.far_from_median(f2 - f1, np.ones(len(f1), bool), Beats().median_tolerance)
+        return [(int(a), int(b)) for a, b, z in zip(f1, f2, far, strict=True) if not z]
+
+    return per_array(short_windows(spark, sf_dir), "foot long, next_foot long", f)
+
+
+@query(
+    FEET
+    + """, l AS (SELECT subject_id, win, list(ir ORDER BY i) AS x FROM w GROUP BY ALL), b AS (SELECT subject_id, win, x[foot + 1:next_foot + 1] AS s FROM f JOIN l USING (subject_id, win) WHERE next_foot IS NOT NULL),
+g AS (SELECT subject_id, win, s, j, j * (len(s) - 1) / 31.0 AS p FROM b, range(0, 32) t(j)), h AS (SELECT *, least(CAST(floor(p) AS BIGINT), len(s) - 2) AS k FROM g)
+SELECT subject_id, win, j, round(avg(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)), 4) AS mean, round(stddev_pop(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)), 4) AS std, count(*) AS beats FROM h GROUP BY ALL"""
+)
+def ensemble_mean_std(spark, sf_dir):
+    """Mean and spread of the beats from valley to valley, brought to 32 samples."""
+
+    def f(x):
+        f1, f2 = feet_of(x)
+        found = beats.Found([{"foot": int(a), "peak": int(a), "next_foot": int(b), "reason": ""} for a, b in zip(f1, f2, strict=True)])
+        got = beats.ensemble(x, found, 10.0, Beats(target_length=32), align=False)
+        return [] if got is None else [(j, round(float(m), 4), round(float(d), 4), len(f1)) for j, (m, d) in enumerate(zip(got[0], got[1], strict=True))]
+
+    return per_array(short_windows(spark, sf_dir), "j long, mean double, std double, beats long", f)
+
+
+SERVED = f"""{W}, nx AS (SELECT subject_id, win, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM a), {q.peaks('p', 'nx', 0.4 * HERTZ, '0.2')},
+g AS (SELECT subject_id, win, i AS foot, lead(i) OVER (PARTITION BY subject_id, win ORDER BY i) AS next_foot, count(*) OVER (PARTITION BY subject_id, win) AS n FROM p),
+s AS (SELECT subject_id, win, foot, next_foot, (next_foot - foot) / {HERTZ} BETWEEN 0.35 AND 1.5 AS fine FROM g WHERE n >= 3 AND next_foot IS NOT NULL)"""
+
+
+@query(SERVED + " SELECT subject_id, win, CAST(foot AS BIGINT) AS foot, CAST(next_foot AS BIGINT) AS next_foot, CASE WHEN fine THEN '' ELSE 'beat_duration_out_of_range' END AS reason FROM s")
+def service_beats(spark, sf_dir):
+    f = lambda x: [(p["foot"], p["next_foot"], p["reason"]) for p in beats.peak_to_peak(kernels.normalise(x), HERTZ).pulses]
+    return per_array(supplier_windows(spark, sf_dir), "foot long, next_foot long, reason string", f)
+
+
+@query(
+    SERVED
+    + f""", b AS (SELECT subject_id, win, x[foot + 1:next_foot] AS s FROM s JOIN nx USING (subject_id, win) WHERE fine), z AS (SELECT subject_id, win, 220 / median(len(s) / {HERTZ}) AS rate FROM b GROUP BY ALL),
+t AS (SELECT subject_id, win, s, j, j * (len(s) - 1) / 219.0 AS p FROM b, range(0, 220) t(j)), h AS (SELECT *, least(CAST(floor(p) AS BIGINT), len(s) - 2) AS k FROM t),
+e AS (SELECT subject_id, win, j, avg(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)) AS mean, stddev_pop(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)) AS std FROM h GROUP BY ALL)
+SELECT subject_id, win, j, round(mean, 6) AS mean, round(std, 6) AS std, round(rate, 6) AS rate FROM e JOIN z USING (subject_id, win)"""
+)
+def ensemble_beat(spark, sf_dir):
+    """The service's ensemble beat of 220 samples, from peak to peak."""
+
+    def f(x):
+        norm = kernels.normalise(x)
+        got = beats.ensemble(norm, beats.peak_to_peak(norm, HERTZ), HERTZ, inclusive=False, align=False)
+        return [] if got is None else [(j, round(float(m), 6), round(float(d), 6), round(float(got[2]), 6)) for j, (m, d) in enumerate(zip(got[0], got[1], strict=True))]
+
+    return per_array(supplier_windows(spark, sf_dir), "j long, mean double, std double, rate double", f)
+
+
+@query(
+    f"""{W}, ys AS (SELECT subject_id, win, {q.savgol('x', SIZE, 7, 3)} AS x FROM a), yn AS (SELECT subject_id, win, list_transform(x, lambda v: -v) AS x FROM ys), {q.peaks('top', 'ys', 3, '-1e300')}, {q.peaks('dip', 'yn', 3, '-1e300')},
+wa AS (SELECT subject_id, win, max_by(i, h) AS a FROM top WHERE i < 70 GROUP BY ALL), wb AS (SELECT wa.*, (SELECT min(i) FROM dip d WHERE d.subject_id = wa.subject_id AND d.win = wa.win AND d.i > a) AS b FROM wa),
+wc AS (SELECT wb.*, (SELECT min(i) FROM top d WHERE d.subject_id = wb.subject_id AND d.win = wb.win AND d.i > b) AS c FROM wb), wd AS (SELECT wc.*, (SELECT min(i) FROM dip d WHERE d.subject_id = wc.subject_id AND d.win = wc.win AND d.i > c) AS d FROM wc)
+SELECT wd.subject_id, wd.win, a, b, c, d, (SELECT min(i) FROM top t WHERE t.subject_id = wd.subject_id AND t.win = wd.win AND t.i > d) AS e FROM wd"""
+)
+def fiducials(spark, sf_dir):
+    """Waves a to e of windows that stand for a second derivative."""
+    f = lambda x: [tuple(beats.fiducials(x, HERTZ)[0].values())]
+    return per_array(supplier_windows(spark, sf_dir), "a long, b long, c long, d long, e long", f)
+
+
 @query()
 def beats_detected(spark, sf_dir):
     def f(x):
@@ -72,58 +288,71 @@ def beats_detected(spark, sf_dir):
     return per_array(supplier_windows(spark, sf_dir), "foot long, peak long, next_foot long, reason string", f)
 
 
-@query()
-def ensemble_beat(spark, sf_dir):
-    def f(x):
-        norm = kernels.normalise(kernels.zero_phase(kernels.butterworth(4, 3.0, HERTZ), x[None])[0])
-        got = beats.ensemble(norm, beats.peak_to_peak(norm, HERTZ), HERTZ)
-        return [] if got is None else [(got[0].tolist(), got[1].tolist(), float(got[2]))]
-
-    return per_array(supplier_windows(spark, sf_dir), "mean array<double>, std array<double>, rate double", f)
+def narrow(dialect: str = "service") -> Settings:
+    """Settings for the suppliers' windows: 40 samples a second."""
+    s = Settings(dialect=dialect, sampling=Sampling(hertz=HERTZ))
+    return replace(s, filters=replace(s.filters, lowpass_hz=3.0))
 
 
 @query()
 def dsp_window_features(spark, sf_dir):
-    """All features of the service dialect per window."""
-    s = Settings(dialect="service", sampling=Sampling(hertz=HERTZ))
-    s = replace(s, filters=replace(s.filters, lowpass_hz=3.0))
-    return features.window_features(supplier_windows(spark, sf_dir), s).drop("rejections")
+    """All features per window, as the service has them."""
+    return features.window_features(supplier_windows(spark, sf_dir), narrow()).drop("rejections")
 
 
 @query()
-def stream_windows(spark, sf_dir):
-    """The event stream in windows of 16 samples, by the stateful operator over a drained file stream."""
-    import uuid
+def dsp_window_features_offline(spark, sf_dir):
+    return features.window_features(supplier_windows(spark, sf_dir), narrow("offline")).drop("rejections")
 
-    from pulsegrid.streaming import stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/pulsegrid-stream"
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    # a file stream lists folders: the table's own, or for a table of one file the one it lies in
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    parts = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
-    source = spark.readStream.schema(schema)
-    raw = source.parquet(f"{sf_dir}/events.parquet") if parts else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = raw.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("seq"), F.col("value").alias("ir"), F.get_json_object("props", "$.k").cast("double").alias("red"))
-    q = stream.write(stream.count_windows(rows, 16), f"{at}/out", f"{at}/state", f"windows-{uuid.uuid4().hex}", None).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.WINDOW_SCHEMA).parquet(f"{at}/out")
+@query()
+def dsp_window_features_inference(spark, sf_dir):
+    return features.window_features(supplier_windows(spark, sf_dir), narrow("inference")).drop("rejections")
+
 
+ARRIVAL = """WITH s AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id, ts, value AS ir, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS red FROM events)
+"""
 
-@query()
-def window_arrays(spark, sf_dir):
-    return collect_windows(windowed(spark, sf_dir))
 
+@query(ARRIVAL + "SELECT subject_id, CAST((seq - 1) // 16 AS BIGINT) AS win, CAST((seq - 1) % 16 AS INTEGER) AS i, ir, red FROM (SELECT *, count(*) OVER (PARTITION BY subject_id, (seq - 1) // 16) AS n FROM s) WHERE n = 16")
+def stream_windows(spark, sf_dir):
+    """The event stream in windows of 16 samples, by the stateful operator over a drained file stream."""
+    from pulsegrid.plans.store_queries import drained, event_stream
+    from pulsegrid.streaming import stream
 
-def narrow() -> Settings:
-    s = Settings(dialect="service", sampling=Sampling(hertz=HERTZ))
-    return replace(s, filters=replace(s.filters, lowpass_hz=3.0))
+    out = drained(spark, stream.count_windows(event_stream(spark, sf_dir), 16), stream.WINDOW_SCHEMA)
+    return out.select("subject_id", "win", F.posexplode(F.arrays_zip("ir", "red")).alias("i", "s")).select("subject_id", "win", "i", "s.ir", "s.red")
 
 
-@query()
+@query(S + "SELECT subject_id, CAST(win AS BIGINT) AS win, CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS i, ir, red FROM w")
+def window_arrays(spark, sf_dir):
+    """Windows as arrays, unfolded again."""
+    w = collect_windows(windowed(spark, sf_dir))
+    return w.select("subject_id", "win", "n", F.posexplode(F.arrays_zip("ir", "red")).alias("i", "s")).select("subject_id", "win", "n", "i", "s.ir", "s.red")
+
+
+#: Both channels of all six stages as lists; low-pass 3 Hz of the turned signal, then high-pass 0.5 Hz.
+STAGE_LISTS = f"""ch AS (SELECT subject_id, win, 'ir' AS c, x FROM a UNION ALL SELECT subject_id, win, 'red', y FROM a),
+de AS (SELECT subject_id, win, c, {q.median3('x', SIZE)} AS x FROM ch), inv AS (SELECT subject_id, win, c, list_transform(x, lambda v: -v) AS x FROM de),
+{q.zero_phase('low', 'inv', SIZE, 3.0, HERTZ, False, 'subject_id, win, c')}, {q.zero_phase('high', 'low', SIZE, 0.5, HERTZ, True, 'subject_id, win, c')},
+st AS (SELECT *, 'raw' AS stage FROM ch UNION ALL SELECT *, 'despiked' FROM de UNION ALL SELECT *, 'inverted' FROM inv UNION ALL SELECT *, 'low' FROM low UNION ALL SELECT *, 'smooth' FROM low UNION ALL SELECT *, 'high' FROM high)"""
+DIAGNOSED = ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion")
+
+
+@query(
+    f"""{W}, {STAGE_LISTS}, {q.waves('g', SIZE)}, z AS (SELECT st.subject_id, st.win, st.c, stage, st.x, {q.centred('st.x')} AS v, list_avg(ch.x) AS dc FROM st JOIN ch ON st.subject_id = ch.subject_id AND st.win = ch.win AND st.c = ch.c),
+h AS (SELECT *, {q.hann('v', SIZE)} AS u FROM z),
+sp AS (SELECT subject_id, win, c, stage, sum({q.doubled('k', SIZE)} * {q.power('u', 'g')}) FILTER (WHERE k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 4.0) AS inside, sum({q.doubled('k', SIZE)} * {q.power('u', 'g')}) FILTER (WHERE NOT k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 4.0) AS outside FROM h, g GROUP BY ALL),
+m AS (SELECT z.subject_id, z.win, z.c, z.stage, list_avg(list_transform(v, lambda e: e * e * e)) / list_avg(list_transform(v, lambda e: e * e)) ** 1.5 AS skewness, list_avg(list_transform(v, lambda e: e * e * e * e)) / list_avg(list_transform(v, lambda e: e * e)) ** 2 - 3 AS kurtosis,
+  10 * log10(inside / outside) AS snr_db, len(list_filter(range(2, {SIZE + 1}), lambda i: v[i] * v[i - 1] < 0)) / 2 / ({SIZE} / {HERTZ}) AS zcr_hz, 100 * (list_max(x) - list_min(x)) / abs(dc) AS perfusion
+  FROM z JOIN sp ON z.subject_id = sp.subject_id AND z.win = sp.win AND z.c = sp.c AND z.stage = sp.stage)
+SELECT i.subject_id, i.win, i.stage, """
+    + ", ".join(f"round({t}.{n}, 5) AS {c}_{n}" for t, c in (("i", "ir"), ("r", "red")) for n in DIAGNOSED)
+    + ", round(r.perfusion / i.perfusion, 5) AS r_ratio FROM m i JOIN m r ON i.subject_id = r.subject_id AND i.win = r.win AND i.stage = r.stage AND i.c = 'ir' AND r.c = 'red'"
+)
 def stage_diagnostics(spark, sf_dir):
-    return features.stage_diagnostics(supplier_windows(spark, sf_dir), narrow())
+    d = features.stage_diagnostics(supplier_windows(spark, sf_dir), narrow())
+    return d.select("subject_id", "win", "stage", *[F.round(c, 5).alias(c) for c in d.columns[3:]])
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions import arrays, scalars
-from pulsegrid.operators import signals, windows
+from pulsegrid.operators import features, signals, windows
 from pulsegrid.plans.registry import query, table
 
 SIZE = 16
@@ -159,7 +159,7 @@ def perfusion_ratio(spark, sf_dir):
     return windowed(spark, sf_dir).groupBy(*KEYS).agg(r6(scalars.safe_ratio(pi("red"), pi("ir")), "r_ratio"))
 
 
-ENSEMBLE = S + ", e AS (SELECT subject_id, i, avg(ir) AS ir, stddev_pop(ir) AS ir_sd, avg(red) AS red, count(*) AS beats FROM w GROUP BY ALL)"
+ENSEMBLE = S + ", e AS (SELECT subject_id, i, avg(ir) AS ir, avg(red) AS red FROM w GROUP BY ALL)"
 
 
 @query(ENSEMBLE + " SELECT subject_id, round((max(red) - min(red)) / nullif(avg(red), 0) / nullif((max(ir) - min(ir)) / nullif(avg(ir), 0), 0), 6) AS ensemble_ratio FROM e GROUP BY ALL")
@@ -169,23 +169,6 @@ def ensemble_ratio(spark, sf_dir):
     return e.groupBy("subject_id").agg(r6(scalars.safe_ratio(ac_dc("red"), ac_dc("ir")), "ensemble_ratio"))
 
 
-@query(ENSEMBLE + " SELECT subject_id, i, round(ir, 6) AS mean_ir, round(ir_sd, 6) AS std_ir, beats FROM e")
-def ensemble_mean_std(spark, sf_dir):
-    return windowed(spark, sf_dir).groupBy("subject_id", "i").agg(r6(F.avg("ir"), "mean_ir"), r6(F.stddev_pop("ir"), "std_ir"), F.count("*").alias("beats"))
-
-
-@query(
-    S
-    + f""", b AS (SELECT subject_id, win, least(floor(coalesce((ir - min(ir) {A}) / nullif(max(ir) {A} - min(ir) {A}, 0), 0) * 64), 63) AS bin FROM w),
-k AS (SELECT subject_id, win, bin, count(*) / 16.0 AS p FROM b GROUP BY ALL)
-SELECT subject_id, win, round(-sum(p * log2(p)), 6) AS entropy FROM k GROUP BY ALL"""
-)
-def shannon_entropy(spark, sf_dir):
-    b = windowed(spark, sf_dir).select(*KEYS, signals.bin64("ir", WA()).alias("bin"))
-    k = b.groupBy(*KEYS, "bin").agg((F.count("*") / F.lit(float(SIZE))).alias("p"))
-    return k.groupBy(*KEYS).agg(r6(-F.sum(F.col("p") * F.log2("p")), "entropy"))
-
-
 @query(S + "SELECT subject_id, win, round(sum(ir) - (sum(ir) FILTER (WHERE i = 0) + sum(ir) FILTER (WHERE i = 15)) / 2, 6) AS area FROM w GROUP BY ALL")
 def trapezoid_area(spark, sf_dir):
     return windows.collect_windows(windowed(spark, sf_dir)).select(*KEYS, r6(arrays.trapezoid("ir"), "area"))
@@ -226,44 +209,6 @@ def asof_valley_before_peak(spark, sf_dir):
 FEET = P + f", f AS (SELECT subject_id, win, i AS foot, lead(i) {O} AS next_foot FROM p WHERE valley)"
 
 
-@query(FEET + ", b AS (SELECT * FROM f WHERE next_foot IS NOT NULL) SELECT b.subject_id, b.win, b.foot, b.next_foot, min(p.i) AS main_peak FROM b JOIN p ON p.subject_id = b.subject_id AND p.win = b.win AND p.peak AND p.i > b.foot AND p.i < b.next_foot GROUP BY ALL")
-def peak_in_foot_range(spark, sf_dir):
-    m = marked(spark, sf_dir)
-    feet = m.where("valley").select(*KEYS, F.col("i").alias("foot"), F.lead("i").over(W()).alias("next_foot")).where("next_foot IS NOT NULL")
-    peaks = m.where("peak").select(*KEYS, "i")
-    # a range join inside the window: the equality keys keep it a hash join
-    both = feet.join(peaks, KEYS).where("i > foot AND i < next_foot")
-    return both.groupBy(*KEYS, "foot", "next_foot").agg(F.min("i").alias("main_peak"))
-
-
-@query(
-    FEET
-    + """, d AS (SELECT subject_id, win, foot, next_foot, next_foot - foot + 1 AS len FROM f WHERE next_foot IS NOT NULL),
-m AS (SELECT subject_id, win, median(len) AS med, count(*) AS n FROM d GROUP BY ALL)
-SELECT d.subject_id, d.win, foot, next_foot, len FROM d JOIN m USING (subject_id, win) WHERE n < 3 OR len BETWEEN med / 1.35 AND med * 1.35"""
-)
-def beat_duration_median_filter(spark, sf_dir):
-    m = marked(spark, sf_dir)
-    feet = m.where("valley").select(*KEYS, F.col("i").alias("foot"), F.lead("i").over(W()).alias("next_foot")).where("next_foot IS NOT NULL")
-    d = feet.withColumn("len", F.col("next_foot") - F.col("foot") + 1).withColumn("_m", F.median("len").over(WA())).withColumn("_n", F.count("*").over(WA()))
-    return d.where((F.col("_n") < 3) | F.col("len").between(F.col("_m") / 1.35, F.col("_m") * 1.35)).drop("_m", "_n")
-
-
-@query(
-    V
-    + """, r AS (SELECT CASE WHEN foot IS NULL THEN 'no_left_valley' WHEN i < 2 OR i > 13 THEN 'edge' WHEN i - foot > 3 THEN 'too_wide'
-  WHEN ir < 100 THEN 'low_amplitude' ELSE 'accepted' END AS reason_key FROM v WHERE peak)
-SELECT reason_key, count(*) AS n FROM r GROUP BY ALL"""
-)
-def rejection_reason_counts(spark, sf_dir):
-    v = with_foot(spark, sf_dir).where("peak")
-    reason = (
-        F.when(F.col("foot").isNull(), "no_left_valley").when((F.col("i") < 2) | (F.col("i") > SIZE - 3), "edge")
-        .when(F.col("i") - F.col("foot") > 3, "too_wide").when(F.col("ir") < 100, "low_amplitude").otherwise("accepted")
-    )
-    return v.groupBy(reason.alias("reason_key")).agg(F.count("*").alias("n"))
-
-
 @query(
     S
     + """, g AS (SELECT subject_id, win, unnest(range(0, 32)) AS j FROM (SELECT DISTINCT subject_id, win FROM w)),
@@ -276,42 +221,157 @@ def interp_resample(spark, sf_dir):
     return c.select(*KEYS, F.posexplode("y").alias("j", "y")).select(*KEYS, F.col("j").cast("long").alias("j"), r6(F.col("y"), "y"))
 
 
-BASIC = S + f""", q AS (SELECT subject_id, win, ir, red, ir * ir - lag(ir) {O} * lead(ir) {O} AS te_ir, red * red - lag(red) {O} * lead(red) {O} AS te_red FROM w),
-f AS (SELECT subject_id, win, max(ir) - min(ir) AS amp_ir, max(red) - min(red) AS amp_red, avg(te_ir) AS teo_ir, avg(te_red) AS teo_red, avg(ir) AS dc_ir, avg(red) AS dc_red FROM q GROUP BY ALL),
-m AS (SELECT subject_id, count(*) AS n_windows, avg(amp_ir) AS amp_ir, avg(amp_red) AS amp_red, avg(teo_ir) AS teo_ir, avg(teo_red) AS teo_red, avg(dc_ir) AS dc_ir, avg(dc_red) AS dc_red FROM f GROUP BY ALL)"""
-#: Decimals compared: means of decimal samples end on a 5 in the last place if cut too early.
-PLACES = {"amp_ir": 8, "amp_red": 8, "teo_ir": 6, "teo_red": 6, "dc_ir": 8, "dc_red": 8}
-FEATURES = ["amp_ir", "amp_red", "teo_ir", "teo_red", "dc_ir", "dc_red"]
+#: A row a window with all 37 features, some missing, every fifth window rejected. Roots, so that no mean ends on a 5.
+def _missing(k: int) -> str:
+    return f"(win + {k}) % 3 = 0"
 
 
-def window_features(spark, sf_dir):
-    q = windowed(spark, sf_dir).select(*KEYS, "ir", "red", signals.energy("ir", W()).alias("te_ir"), signals.energy("red", W()).alias("te_red"))
-    aggs = [(F.max(c) - F.min(c)).alias(f"amp_{c}") for c in ("ir", "red")] + [F.avg(f"te_{c}").alias(f"teo_{c}") for c in ("ir", "red")] + [F.avg(c).alias(f"dc_{c}") for c in ("ir", "red")]
-    return q.groupBy(*KEYS).agg(*aggs)
+WIDE = S + ", g AS (SELECT subject_id, win, avg(red) AS red, avg(ir) AS ir, sqrt((max(red) + 1) / (max(ir) + 1)) AS ensemble_ratio FROM w GROUP BY ALL), f AS (SELECT subject_id, win, CASE WHEN win % 5 = 4 THEN 'REJECTED' ELSE 'SUCCESS' END AS status, " + ", ".join(
+    f"CASE WHEN NOT ({_missing(k)}) THEN sqrt({c} + {k}) END AS {c}_{n}" for c in ("red", "ir") for k, n in enumerate(features.NAMES)
+) + f", ensemble_ratio FROM g), m AS (SELECT subject_id, count(*) AS n_windows, {', '.join(f'avg({c}) AS {c}' for c in features.COLUMNS)} FROM f WHERE status = 'SUCCESS' GROUP BY ALL)"
 
 
-def subject_means(spark, sf_dir):
-    return window_features(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_windows"), *[F.avg(c).alias(c) for c in FEATURES])
+def wide_features(spark, sf_dir):
+    g = windowed(spark, sf_dir).groupBy(*KEYS)
+    cells = [F.when(~F.expr(_missing(k)), F.sqrt(F.avg(c) + k)).alias(f"{c}_{n}") for c in ("red", "ir") for k, n in enumerate(features.NAMES)]
+    ratio = F.sqrt((F.max("red") + 1) / (F.max("ir") + 1)).alias("ensemble_ratio")
+    rows = g.agg(*cells, ratio)
+    return rows.withColumn("status", F.when(F.col("win") % 5 == 4, "REJECTED").otherwise("SUCCESS"))
 
 
-@query(BASIC + " SELECT subject_id, n_windows, " + ", ".join(f"round({c}, {PLACES[c]}) AS {c}" for c in FEATURES) + " FROM m")
+@query(WIDE + " SELECT subject_id, n_windows, " + ", ".join(f"round({c}, 6) AS {c}" for c in features.COLUMNS) + " FROM m")
 def subject_average(spark, sf_dir):
-    return subject_means(spark, sf_dir).select("subject_id", "n_windows", *[F.round(c, PLACES[c]).alias(c) for c in FEATURES])
+    a = features.subject_average(wide_features(spark, sf_dir))
+    return a.select("subject_id", "n_windows", *[r6(F.col(c), c) for c in features.COLUMNS])
+
 
+@query(WIDE + " SELECT subject_id, n_windows, " + ", ".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in features.COLUMNS) + " FROM m")
+def subject_average_inference(spark, sf_dir):
+    a = features.subject_average(wide_features(spark, sf_dir), "inference")
+    return a.select("subject_id", "n_windows", *[r6(F.col(c), c) for c in features.COLUMNS])
 
-@query(BASIC + " SELECT subject_id, unnest(['amp', 'teo', 'dc']) AS feature, unnest([round(amp_red, 8), round(teo_red, 6), round(dc_red, 8)]) AS red_value, unnest([round(amp_ir, 8), round(teo_ir, 6), round(dc_ir, 8)]) AS ir_value FROM m")
+
+@query(WIDE + f" SELECT subject_id, unnest([{', '.join(repr(n) for n in features.NAMES)}]) AS feature, unnest([{', '.join(f'round(red_{n}, 6)' for n in features.NAMES)}]) AS red_value, unnest([{', '.join(f'round(ir_{n}, 6)' for n in features.NAMES)}]) AS ir_value FROM m")
 def feature_table_unpivot(spark, sf_dir):
-    m = subject_means(spark, sf_dir)
-    m = m.select("subject_id", *[F.round(c, PLACES[c]).alias(c) for c in FEATURES])
-    long = m.unpivot("subject_id", FEATURES, "name", "value").withColumn("feature", F.split("name", "_")[0]).withColumn("channel", F.split("name", "_")[1])
-    wide = long.groupBy("subject_id", "feature").pivot("channel", ["red", "ir"]).agg(F.first("value"))
-    return wide.select("subject_id", "feature", F.col("red").alias("red_value"), F.col("ir").alias("ir_value"))
+    t = features.channel_table(features.subject_average(wide_features(spark, sf_dir)))
+    return t.select("subject_id", "feature", r6(F.col("red_value"), "red_value"), r6(F.col("ir_value"), "ir_value"))
+
 
+def vector_sql(empty: str, filled: bool) -> str:
+    v = lambda c: f"coalesce({c}, 0.0)" if filled else c
+    ratio = lambda n: f"round(coalesce({v(f'red_{n}')} / nullif({v(f'ir_{n}')}, 0), {empty}), 6) AS {n}_ratio"
+    diff = lambda n: f"round({v(f'red_{n}')} - {v(f'ir_{n}')}, 6) AS {n}_difference"
+    parts = [f"round({v(f'ir_{n}')}, 6) AS ir_{n}" for n in features.NAMES] + [ratio("systolic_amplitude"), ratio("teo_mean"), diff("derivative2_mean"), diff("spectral_entropy"), diff("dicrotic_notch")]
+    return WIDE + f" SELECT subject_id, {', '.join(parts)}, round({v('ensemble_ratio')}, 6) AS ensemble_ratio FROM m"
 
-@query(BASIC + " SELECT subject_id, round(amp_red / nullif(amp_ir, 0), 6) AS amp_ratio, round(teo_red / nullif(teo_ir, 0), 6) AS teo_ratio, round(dc_red - dc_ir, 8) AS dc_diff, round(amp_ir, 8) AS amp_ir FROM m")
+
+def vectors(spark, sf_dir, dialect):
+    v = features.vector24(features.subject_average(wide_features(spark, sf_dir), dialect), dialect)
+    return v.select("subject_id", *[r6(F.col(c), c) for c in v.columns[1:]])
+
+
+@query(vector_sql("NULL", False))
 def features24(spark, sf_dir):
-    m = subject_means(spark, sf_dir)
-    return m.select("subject_id", r6(scalars.safe_ratio("amp_red", "amp_ir"), "amp_ratio"), r6(scalars.safe_ratio("teo_red", "teo_ir"), "teo_ratio"), F.round(F.col("dc_red") - F.col("dc_ir"), 8).alias("dc_diff"), F.round("amp_ir", 8).alias("amp_ir"))
+    """The vector of 24 features, offline: what is missing stays missing."""
+    return vectors(spark, sf_dir, "offline")
+
+
+@query(vector_sql("0.0", True))
+def features24_inference(spark, sf_dir):
+    return vectors(spark, sf_dir, "inference")
+
+
+@query(vector_sql("1.0", False))
+def features24_service(spark, sf_dir):
+    return vectors(spark, sf_dir, "service")
+
+
+REFUSED = S + """, rc AS (SELECT subject_id, win, count(*) FILTER (WHERE ir < 100) AS a, count(*) FILTER (WHERE red > 90) AS b FROM w GROUP BY ALL)"""
+
+
+def refused(spark, sf_dir):
+    """Rejections of a window as a map, empty where there are none."""
+    g = windowed(spark, sf_dir).groupBy(*KEYS).agg(F.count_if(F.col("ir") < 100).cast("int").alias("a"), F.count_if(F.col("red") > 90).cast("int").alias("b"))
+    pairs = F.map_from_arrays(F.array(F.lit("ir:no_left_valley_found"), F.lit("red:upstroke_too_weak")), F.array("a", "b"))
+    return g.select(*KEYS, F.map_filter(pairs, lambda k, v: v > 0).alias("rejections"))
+
+
+@query(REFUSED + " SELECT 'ir:no_left_valley_found' AS reason_key, sum(a)::BIGINT AS n FROM rc HAVING sum(a) > 0 UNION ALL SELECT 'red:upstroke_too_weak', sum(b)::BIGINT FROM rc HAVING sum(b) > 0")
+def rejection_reason_counts(spark, sf_dir):
+    return features.rejection_counts(refused(spark, sf_dir))
+
+
+@query(REFUSED + " SELECT subject_id, win, nullif(concat_ws('; ', CASE WHEN a > 0 THEN 'IR: no valley before the peak (' || a || ')' END, CASE WHEN b > 0 THEN 'RED: rise too weak (' || b || ')' END), '') AS reasons FROM rc")
+def rejection_text(spark, sf_dir):
+    return refused(spark, sf_dir).select(*KEYS, features.rejection_text().alias("reasons"))
+
+
+@query(S + ", l AS (SELECT subject_id, win, list(ir ORDER BY i) AS x FROM w GROUP BY ALL) SELECT subject_id, win, unnest(range(0, 20)) AS j, unnest(list_transform(range(0, 20), lambda j: CASE WHEN j < 16 THEN x[greatest(1, j - 2)] END)) AS shifted FROM l")
+def shift_and_pad(spark, sf_dir):
+    """Windows shifted by three samples, the edge held, then padded with NULLs."""
+    c = windows.collect_windows(windowed(spark, sf_dir)).select(*KEYS, arrays.pad(arrays.shift_hold("ir", 3), 20).alias("x"))
+    return c.select(*KEYS, F.posexplode("x").alias("j", "shifted")).select(*KEYS, F.col("j").cast("long").alias("j"), "shifted")
+
+
+@query("SELECT event_id, round(CASE WHEN value > 300 THEN 10 * log10(value / (value - 300)) ELSE 100.0 END, 6) AS db, value > 490 AS near FROM events")
+def decibels(spark, sf_dir):
+    """Ratios in decibels with their fallback, and equality within a tolerance."""
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", r6(scalars.decibel(v, v - 300), "db"), scalars.close(v, F.lit(491.0), 1 / 491).alias("near"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS b FROM events")
+def nan_to_null(spark, sf_dir):
+    from pulsegrid import schema
+
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 5 == 0, F.lit("inf")).otherwise(F.col("value").cast("string"))
+    return schema.no_nan(e.select("event_id", F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value")).alias("a"), schema.number(text).alias("b")))
+
+
+@query("SELECT * FROM (VALUES ('present', 'ir'), ('present', 'red'), ('missing', 'ts'), ('missing', 'seq'), ('missing', 'subject_id'), ('extra', 'event_id')) t(kind, name)")
+def column_sets(spark, sf_dir):
+    from pulsegrid import schema
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias(" IR_Value"), F.lit(1.0).alias("Red"))
+    sets = schema.column_sets(schema.normalize_columns(e), schema.READINGS.names)
+    return spark.createDataFrame([(k, n) for k, names in sets.items() for n in names], "kind string, name string")
+
+
+@query(S + "SELECT CAST(subject_id AS BIGINT) AS subject_id, CAST(seq AS BIGINT) AS seq, CAST(seq AS DOUBLE) AS ts, ir, red FROM s")
+def validated_readings(spark, sf_dir):
+    """Samples cast to the contract of readings, in its order, with a column too many left behind."""
+    from pulsegrid import schema
+
+    s = samples(spark, sf_dir).select("red", "ir", F.col("seq").cast("string").alias("ts"), F.col("seq").cast("int").alias("seq"), "subject_id", "event_type")
+    return schema.validate(s, schema.READINGS)
+
+
+#: A window longer than what most subjects have: one padded window each, or none.
+@query(
+    """WITH s AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value AS ir FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM s),
+w AS (SELECT subject_id, (seq - 1) // 100 AS win, n, ir, (seq - 1) % 100 AS i FROM n)
+SELECT subject_id, CAST(win AS BIGINT) AS win, 100 AS n, round(sum(ir) + CASE WHEN max(n) < 100 THEN (100 - max(n)) * max_by(ir, i) ELSE 0 END, 4) AS total FROM w WHERE (n >= 100 AND win < n // 100) OR (n < 100 AND n >= 50) GROUP BY ALL"""
+)
+def automatic_windows(spark, sf_dir):
+    from pulsegrid.config import Sampling
+
+    w = windows.automatic_windows(samples(spark, sf_dir), Sampling(hertz=10.0, window_seconds=10.0))
+    return w.select("subject_id", "win", "n", F.round(arrays.total("ir"), 4).alias("total"))
+
+
+@query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, round(seq * 0.5 - 0.5, 6) AS rel_s FROM s")
+def numeric_time(spark, sf_dir):
+    """Times that are numbers already, from the first one on."""
+    s = samples(spark, sf_dir).withColumn("text", (F.col("seq") * 0.5 + 7).cast("string"))
+    return windows.relative_seconds(s, "text", name="rel_s").select("subject_id", "seq", r6(F.col("rel_s"), "rel_s"))
+
+
+@query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, round((seq - 1) / 400.0, 6) AS rel_s FROM s")
+def counted_time(spark, sf_dir):
+    """Times that cannot be read: the sample's number gives them."""
+    s = samples(spark, sf_dir).withColumn("text", F.lit("at some time"))
+    return windows.relative_seconds(s, "text", name="rel_s").select("subject_id", "seq", r6(F.col("rel_s"), "rel_s"))
 
 
 @query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, round(epoch_us(ts) / 1e6 - first_value(epoch_us(ts) / 1e6) OVER (PARTITION BY subject_id ORDER BY seq), 3) AS rel_s FROM s")
@@ -344,11 +404,12 @@ def tumbling_time_window(spark, sf_dir):
     return e.groupBy(F.col("user_id").alias("subject_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), r6(F.avg("value"), "mean_ir"))
 
 
-@query(S + "SELECT subject_id, CAST(min(seq) AS BIGINT) AS first_seq, count(*) AS n, round(sum(ir), 5) AS total FROM s WHERE seq > CAST(floor(0.5 * 20) AS BIGINT) AND seq <= CAST(floor(2.25 * 20) AS BIGINT) GROUP BY ALL")
+@query(S + "SELECT subject_id, 1 AS win, CAST(min(seq) AS BIGINT) AS first_seq, count(*) AS n, round(sum(ir), 5) AS total FROM s WHERE seq > CAST(floor(0.5 * 20) AS BIGINT) AND seq <= CAST(floor(2.25 * 20) AS BIGINT) GROUP BY subject_id UNION ALL SELECT subject_id, 2, 1, count(*), round(sum(ir), 5) FROM s GROUP BY subject_id")
 def manual_slice(spark, sf_dir):
     s = samples(spark, sf_dir)
-    ranges = s.select("subject_id").distinct().select("subject_id", F.lit(1).alias("win"), F.lit(0.5).alias("start_s"), F.lit(2.25).alias("end_s"))
-    return windows.slice_ranges(s, ranges, 20.0).groupBy("subject_id").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.round(F.sum("ir"), 5).alias("total"))
+    by_hand = F.explode(F.array(F.struct(F.lit(1).alias("win"), F.lit(0.5).alias("start_s"), F.lit(2.25).alias("end_s")), F.struct(F.lit(2).alias("win"), F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"))))
+    ranges = s.select("subject_id").distinct().select("subject_id", by_hand.alias("r")).select("subject_id", "r.*")
+    return windows.slice_ranges(s, ranges, 20.0).groupBy("subject_id", "win").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.round(F.sum("ir"), 5).alias("total"))
 
 
 @query("SELECT i, round(80000 + 8000 * sin(2 * pi() * 1.2 * i / 100) + 2000 * sin(2 * pi() * 2.4 * i / 100) + 300 * sin(0.1 * i / 100), 4) AS ir, round(75000 + 7200 * sin(2 * pi() * 1.2 * i / 100 + 0.1) + 1800 * sin(2 * pi() * 2.4 * i / 100 + 0.1) + 250 * sin(0.1 * i / 100), 4) AS red FROM range(0, 3000) t(i)")

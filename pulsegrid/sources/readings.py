@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.functions import scalars
 from pulsegrid.operators.windows import relative_seconds
@@ -26,39 +27,52 @@ def parse_lines(df: DataFrame, line: str = "value", exact: bool = True) -> DataF
     return out.where(F.col("ir").isNotNull() & F.col("red").isNotNull())
 
 
-def read_recordings(spark: SparkSession, paths: str | list[str], hertz: float = 400.0) -> DataFrame:
-    """CSV recordings, one subject a file (named by it), with whatever header spelling; NaN and bad numbers are NULL.
+def read_recordings(spark: SparkSession, paths: str | list[str], hertz: float = 400.0, by: str = "file") -> DataFrame:
+    """CSV recordings with whatever header spelling, one subject a file (named by it) or, by "folder", a folder of files.
 
-    Rows keep their order in the file: seq numbers the rows of a file, which is read by one task.
+    NaN and bad numbers are NULL. A recording is known by its whole path: equal names in two folders are two recordings.
+    Rows keep their order: a file is read in blocks, rows are numbered inside their block and blocks by their place in
+    the file (then by file), so that no task sorts a whole recording.
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    raw = raw.withColumn("_file", F.col("_metadata.file_name")).withColumn("_at", F.monotonically_increasing_id())
+    raw = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
     named = normalize_columns(raw)
-    from pyspark.sql.window import Window
-
-    seq = F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")
-    stem = F.regexp_replace("_file", r"\.csv(\.gz)?$", "")
-    out = named.withColumn("subject", scalars.subject_name(stem)).withColumn("win", scalars.window_number(stem)).withColumn("seq", seq)
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+    named = named.withColumn("_recording", F.col("_file") if by == "file" else folder)
+    blocks = named.groupBy("_recording", "_file", "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_recording").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    out = named.join(starts, ["_file", "_block"]).withColumn("seq", (F.col("_start") + inside).cast("long"))
+    stem = F.regexp_replace(F.regexp_extract("_recording", "([^/]*)$", 1), r"\.csv(\.gz)?$", "")
+    out = out.withColumn("subject", scalars.subject_name(stem)).withColumn("win", scalars.window_number(stem))
     out = out.withColumn("ir", number("ir")).withColumn("red", number("red"))
     if "ts" in out.columns:
-        out = relative_seconds(out.withColumnRenamed("ts", "_text"), "_text", "_file", "seq", hertz).drop("_text")
+        out = relative_seconds(out.withColumnRenamed("ts", "_text"), "_text", "_recording", "seq", hertz).drop("_text")
     else:
         out = out.withColumn("ts", (F.col("seq") - 1) / hertz)
-    return out.select("subject", "win", "seq", "ts", "ir", "red").dropna(subset=["ir", "red"])
+    return out.select(F.col("_recording").alias("recording"), "subject", "win", "seq", "ts", "ir", "red").dropna(subset=["ir", "red"])
+
+
+def find_key(document: str, name: str) -> Column:
+    """The first value of a key anywhere in a JSON text, as text: a string without its quotes, a number, true or false."""
+    value = F.regexp_extract(document, r'"' + name + r'"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[0-9][0-9.eE+-]*|true|false))', 0)
+    text = F.regexp_replace(F.regexp_replace(value, r'^"' + name + r'"\s*:\s*', ""), r'^"|"$', "")
+    return F.when(value != "", text)
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Window configuration documents, with either key casing: source file, status and sampling rate."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    """Window configuration documents, with either key casing and at any depth: source file, status and sampling rate."""
+    raw = spark.read.text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    return parse_documents(raw)
 
-    def path(*names: str):
-        return F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
 
+def parse_documents(raw: DataFrame, document: str = "value") -> DataFrame:
+    """raw with source_file, status, hertz and hyperparameters of its JSON documents."""
+    found = lambda *names: F.coalesce(*[find_key(document, n) for n in names])
     return raw.select(
-        "file", path("metadata.source_file", "Metadata.source_file", "Metadata.Source_File").alias("source_file"),
-        F.coalesce(path("metadata.status", "Metadata.status", "Metadata.Status"), F.lit("UNKNOWN")).alias("status"),
-        path("metadata.sampling_rate_fs", "Metadata.sampling_rate_fs", "Metadata.Sampling_Rate_Fs").try_cast("double").alias("hertz"),
-        F.get_json_object("value", "$.hyperparameters").alias("hyperparameters"), F.col("value").alias("document"),
+        "*", found("source_file", "Source_File").alias("source_file"), F.coalesce(found("status", "Status"), F.lit("UNKNOWN")).alias("status"),
+        found("sampling_rate_fs", "Sampling_Rate_Fs").try_cast("double").alias("hertz"), F.get_json_object(document, "$.hyperparameters").alias("hyperparameters"),
     )
 
 

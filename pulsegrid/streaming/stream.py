@@ -7,6 +7,7 @@ unfinished window, idle subjects are dropped after a timeout, and a whole window
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,14 +66,38 @@ def time_windows(stream: DataFrame, length: str = "15 seconds", late: str = "30
     return out.select("subject_id", F.col("w.start").alias("start"), "n", "mean_ir", "mean_red")
 
 
-def stamped(stream: DataFrame, name: str = "arrived") -> DataFrame:
-    """Arrival time of each row."""
-    return stream.withColumn(name, F.current_timestamp())
+def last_samples(stream: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` samples of each subject (subject_id, seq, ir, red) after every batch that brought some, as arrays.
+
+    State and output hold n samples a subject, however long it sends; samples are in order of seq.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(("seq", "ir", "red"), state.get, strict=True))) if state.exists else None
+        for part in parts:  # a batch may be long: only the last ones stay
+            both = part[["seq", "ir", "red"]] if held is None else pd.concat([held, part[["seq", "ir", "red"]]])
+            held = both.sort_values("seq", kind="stable").tail(n)
+        kept = tuple(held[c].tolist() for c in ("seq", "ir", "red"))
+        state.update(kept)
+        yield pd.DataFrame([(key[0], *kept)], columns=["subject_id", "seq", "ir", "red"])
+
+    kept = "seq array<long>, ir array<double>, red array<double>"
+    return stream.groupBy("subject_id").applyInPandasWithState(step, f"subject_id long, {kept}", kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def write(df: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, name: str, every: str | None = "1 second") -> DataStreamWriter:
-    """A writer to a Parquet path or a function of (batch, epoch); ``every`` None drains what is there and stops."""
-    w = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).outputMode("append")
+def stamped(stream: DataFrame, name: str = "arrived", started: datetime | None = None) -> DataFrame:
+    """Arrival time of each row; with a start, the seconds since then."""
+    now = F.current_timestamp()
+    return stream.withColumn(name, now if started is None else (F.unix_micros(now) - F.unix_micros(F.lit(started))) / 1e6)
+
+
+def write(df: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, name: str, every: str | None = "1 second", rows: int | None = None, mode: str = "append") -> DataStreamWriter:
+    """A writer to a Parquet path or a function of (batch, epoch); ``every`` None drains what is there and stops.
+
+    rows: a file of a Parquet sink is full after so many rows, so output is flushed by rows or by time, whichever is first.
+    """
+    w = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).outputMode(mode)
+    w = w.option("maxRecordsPerFile", rows) if rows else w
     w = w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)
     return w.foreachBatch(sink) if callable(sink) else w.format("parquet").option("path", sink)
 

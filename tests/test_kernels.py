@@ -132,6 +132,24 @@ def test_beats_of_a_clean_pulse():
         assert features.process(pulse_wave()[None], pulse_wave()[None], Settings(dialect=d))[0]["status"] == "SUCCESS"
 
 
+def test_inference_judges_the_normalised_signal():
+    s = Settings(dialect="inference")
+    wave = pulse_wave()
+    stages = features.filtered(wave[None], s)
+    want = features.signal_quality(stages["norm"][0], k.zero_phase(k.butterworth(4, 16.0, FS), wave[None])[0], FS)
+    row = features.process(wave[None], wave[None], s)[0]
+    assert all(np.isclose(row[f"ir_sqi_{n}"], v) for n, v in want.items())
+    assert features.STAGES == ("raw", "despiked", "inverted", "low", "smooth", "high") and all(n in stages for n in features.STAGES)
+
+
+def test_decimation_and_spectrum():
+    slow, fast = np.sin(2 * np.pi * 2 * T), np.sin(2 * np.pi * 90 * T)
+    y = k.decimate(np.stack([slow, fast]), 8)
+    assert y.shape == (2, 750) and np.abs(y[0] - slow[::8])[20:-20].max() < 0.01 and np.abs(y[1])[20:-20].max() < 0.01
+    f, a = k.fft_magnitude(3 * slow + 5, FS)
+    assert abs(f[a.argmax()] - 2) < 1e-9 and abs(a.max() - 3) < 1e-9 and len(f) == 3000
+
+
 def test_scale_invariance_and_rejection():
     a = features.process(pulse_wave()[None], pulse_wave()[None], Settings())[0]
     b = features.process(3 * pulse_wave()[None], 3 * pulse_wave()[None], Settings())[0]

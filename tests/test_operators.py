@@ -119,7 +119,8 @@ def test_store(spark, tmp_path):
     assert left["subjects"].count() == left["predictions"].count() == 1
 
 
-def test_boosting_engines_learn_and_agree(spark):
+def test_boosting_engines_learn_and_agree(spark, monkeypatch):
+    monkeypatch.setattr(boost, "REWRITE", 3)
     rows = [(float(i % 17), float(i * 7 % 23), None if i % 29 == 0 else float(i % 5), 50.0 + 3 * (i % 17) - 2 * (i * 7 % 23)) for i in range(600)]
     df = frame(spark, rows, "a double, b double, c double, y double")
     s = Boosting(trees=6, rate=0.5, rows=1.0, columns=1.0)
@@ -128,14 +129,20 @@ def test_boosting_engines_learn_and_agree(spark):
     assert m.r2 > 0.8
     import numpy as np
 
-    x = np.array([[np.nan if v is None else v for v in r[:3]] for r in rows])
-    y = np.array([r[3] for r in rows])
-    local = boost.fit_arrays(x, y, ["a", "b", "c"], s)
-    assert [n[:4] for n in local.nodes] == [n[:4] for n in model.nodes]
-    assert np.allclose([n[6] or 0 for n in local.nodes], [n[6] or 0 for n in model.nodes])
+    # in memory, from the same bins, row numbers and thresholds: the same trees
+    columns = ["a", "b", "c"]
+    cuts = boost.cuts_of(df, columns)
+    for s in (s, Boosting(trees=7, rate=0.3)):
+        model = boost.fit(df, columns, "y", s)
+        part = boost.prepared(df, columns, "y", cuts).toPandas()
+        local = boost.fit_arrays(part[columns].to_numpy(float), part["_y"].to_numpy(), part["_w"].to_numpy(float), np.stack(part["_bins"].tolist()), part["_u"].to_numpy(np.int64), columns, cuts, s)
+        assert [n[:6] for n in local.nodes] == [n[:6] for n in model.nodes]
+        assert np.allclose([n[6] or 0 for n in local.nodes], [n[6] or 0 for n in model.nodes])
     folded = dataset.folds(df, 3, ["a", "b", "y"])
-    cv = boost.cross_validate(folded, ["a", "b", "c"], "y", [s])
-    assert cv.count() == 3 and cv.agg(F.sum("n")).first()[0] == 600
+    by_size = [boost.cross_validate(folded, columns, "y", [s], local_rows=n).orderBy("fold").collect() for n in (600, 599)]
+    assert [r.n for r in by_size[0]] == [r.n for r in by_size[1]] and sum(r.n for r in by_size[0]) == 600
+    assert all(np.allclose([getattr(r, c) for r in by_size[0]], [getattr(r, c) for r in by_size[1]]) for c in ("mae", "rmse", "r2"))
+    s = Boosting(trees=6, rate=0.5, rows=1.0, columns=1.0)
     best = boost.sweep(folded, ["a", "b", "c"], "y", "DEPTH", [1, 2], s).where("best").collect()
     assert len(best) == 1
     assert evaluate.topology(frame(spark, model.nodes, schema.NODES)).agg(F.max("depth")).first()[0] <= 2
@@ -201,3 +208,74 @@ def test_listings(spark, tmp_path):
     got = {r.state: r.n for r in store.replaced(before, store.listing(spark, str(tmp_path))).collect()}
     assert got == {"fresh": 1, "replaced": 1}
     assert store.latest_folder(spark, str(tmp_path), "2.csv").first().folder.endswith("/y")
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    values = {"even": rng.random(n), "heavy": np.round(rng.pareto(0.3, n), 3), "ties": rng.integers(0, 3, n).astype(float), "one": np.full(n, 7.5), "none": np.full(n, np.nan)}
+    rows = [tuple(None if np.isnan(values[c][i]) or (c == "even" and i % 5 == 0) else float(values[c][i]) for c in values) for i in range(n)]
+    df = frame(spark, rows, ", ".join(f"{c} double" for c in values)).repartition(3)
+    points = (0.0, 0.25, 0.5, 0.753, 1.0)
+    for few, buckets in ((20_000, 4096), (10, 8), (1, 2)):
+        monkeypatch.setattr(dataset, "FEW", few)
+        monkeypatch.setattr(dataset, "BUCKETS", buckets)
+        got = dataset.percentiles(df, list(values), points)
+        for k, c in enumerate(values):
+            there = [r[k] for r in rows if r[k] is not None]
+            assert np.allclose(got[c], np.quantile(there, points), rtol=1e-12) if there else got[c] == [None] * 5
+    assert dataset.impute(df, ["none"], 1.5).agg(F.sum("none")).first()[0] == 1.5 * n
+
+
+def test_recordings_and_documents(spark, tmp_path):
+    from pulsegrid.sources import readings
+
+    for folder, sign in (("x", 1), ("y", -1)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "Ann_Win3.csv").write_text("Timestamp, IR_Value ,red\n" + "".join(f"{i / 10},{sign * i},{i}\n" for i in range(5)) + "bad,x,1\n")
+        (tmp_path / folder / "c.json").write_text('{"Run": [{"Metadata": {"Source_File": "a \\"b\\".csv", "Status": "REJECTED"}}, {"sampling_rate_fs": 4e2}], "hyperparameters": {"k": 1}}')
+    rows = readings.read_recordings(spark, [str(tmp_path / "x" / "*.csv"), str(tmp_path / "y" / "*.csv")]).collect()
+    assert len({r.recording for r in rows}) == 2 and {(r.subject, r.win) for r in rows} == {("Ann", 3)}
+    for end in ("x", "y"):
+        mine = sorted((r.seq, r.ir, r.red) for r in rows if r.recording.split("/")[-2] == end)
+        assert mine == [(i + 1, (i if end == "x" else -i), i) for i in range(5)]
+    docs = readings.read_documents(spark, str(tmp_path / "x" / "*.json")).first()
+    assert (docs.source_file, docs.status, docs.hertz) == ('a \\"b\\".csv', "REJECTED", 400.0)
+
+
+def test_artefacts(spark, tmp_path):
+    from test_kernels import pulse_wave
+
+    wave = pulse_wave()
+    rows = [(1, 0, wave.tolist(), (0.9 * wave).tolist()), (2, 0, [1.0] * 40, [1.0] * 40), (3, 0, [1.0] * 10, [1.0] * 10)]
+    w = frame(spark, rows, "subject_id long, win long, ir array<double>, red array<double>")
+    got = {r.subject_id: r for r in features.artefacts(w).collect()}
+    assert got[1].status == "SUCCESS" and len(got[1].ir_high) == 6000 and len(got[1].red_velocity) == 220
+    assert got[2].status == got[3].status == "FAILED" and got[3].ir_high is None
+    store.write_artefacts(features.artefacts(w), features.window_features(w), str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a" / "full")).where("subject_id = 1").count() == 6000
+    assert spark.read.parquet(str(tmp_path / "a" / "ensemble")).count() == 220
+    assert spark.read.text(str(tmp_path / "a" / "config")).count() == 3
+    stages = features.stage_diagnostics(w).groupBy("subject_id").agg(F.count("*").alias("n"), F.count("ir_skewness").alias("known")).collect()
+    assert {(r.subject_id, r.n) for r in stages} == {(1, 6), (2, 6), (3, 6)} and {r.known for r in stages if r.subject_id == 3} == {0}
+    assert features.summaries(w).count() == 6
+    short = {r.subject_id: r.reason for r in features.window_features(w).collect()}
+    assert short[2] == short[3] == "fewer than 50 samples"
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    import pytest
+
+    from pulsegrid import shared
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)
