@@ -56,7 +56,7 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """One row a document: the key and what the rules compare.
 
     Repeated three-word windows are found in the row, in n log n steps: each window becomes one long (hash bits above,
-    position bits below), the longs are sorted, and neighbours with equal hash bits are compared word by word.
+    position bits below), the longs are sorted, and windows whose hash bits another one shares are compared word by word.
     """
     t = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     w = t.select("_k", "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), F.split("_t", "\n").alias("_l"))
@@ -71,18 +71,15 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             )
         ),
     )
-    # windows whose hash bits equal a neighbour's, then those whose words do
+    # windows whose hash bits equal a neighbour's
     same = "shiftright({a}, _pb) <=> shiftright(get({of}, {j}), _pb)"
     w = w.withColumn("_d", F.expr(f"filter(_s, (k, j) -> ({same.format(a='k', of='_s', j='j + 1')}) OR (j > 0 AND {same.format(a='k', of='_s', j='j - 1')}))"))
-    w = w.withColumn("_p", F.expr("transform(_d, k -> cast(k & (shiftleft(1L, _pb) - 1) AS int))"))
-    words = "slice(_w, {p} + 1, 3)"
-    equal = f"{words.format(p='p')} <=> {words.format(p='get(_p, {j})')}"
-    w = w.withColumn(
-        "_r",
-        F.sort_array(
-            F.expr(f"filter(_p, (p, j) -> (j + 1 < size(_p) AND {equal.format(j='j + 1')}) OR (j > 0 AND {equal.format(j='j - 1')}))")
-        ),
-    )
+    # these are sorted once more, by their words, so that equal windows stand side by side whatever their hash bits
+    at = "cast(k & (shiftleft(1L, _pb) - 1) AS int)"
+    w = w.withColumn("_p", F.sort_array(F.expr(f"transform(_d, k -> struct(get(_w, {at}) AS a, get(_w, {at} + 1) AS b, get(_w, {at} + 2) AS c, {at} AS at))")))
+    equal = "(p.a = {o}.a AND p.b = {o}.b AND p.c = {o}.c)"
+    twice = f"(j + 1 < size(_p) AND {equal.format(o='get(_p, j + 1)')}) OR (j > 0 AND {equal.format(o='get(_p, j - 1)')})"
+    w = w.withColumn("_r", F.sort_array(F.expr(f"transform(filter(_p, (p, j) -> {twice}), p -> p.at)")))
     covered = F.expr(
         "CASE WHEN size(_r) = 0 THEN 0L ELSE 3L + aggregate(zip_with(slice(_r, 2, size(_r) - 1), slice(_r, 1, size(_r) - 1), "
         "(b, a) -> least(3, b - a)), 0L, (x, y) -> x + y) END"

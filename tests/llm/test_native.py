@@ -39,6 +39,16 @@ def test_length_alone_rejects_nothing(spark):
     assert row.n_words == 1_000_020 and row.fail_bits == quality_rules.BITS["too_many_words"] and row.kept and row.policy == "web/2"
 
 
+def test_repeats_are_found_whatever_the_hash_bits(spark, monkeypatch):
+    """With one hash for all windows every run holds foreign windows between equal ones; the counts stay exact."""
+    texts = ["a b c x a b c y a b c", "p q r s t u p q r s t u v w", "a b a b a b a b", "one two three four"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expr = F.expr
+    monkeypatch.setattr(quality_rules.F, "expr", lambda e: expr(e.replace("xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))", "1L")))
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.measurements(rows).collect()}
+    assert got == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
 def test_ablations(documents):
     rows = quality_rules.ledger(documents).cache()
     policy = quality_rules.Policy("two", 1, ("few_words", "shouting"))
