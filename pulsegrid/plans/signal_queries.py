@@ -360,7 +360,7 @@ def automatic_windows(spark, sf_dir):
     return w.select("subject_id", "win", "n", F.round(arrays.total("ir"), 4).alias("total"))
 
 
-@query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, round(seq * 0.5 - 0.5, 6) AS rel_s FROM s")
+@query(S + "SELECT subject_id, CAST(seq AS BIGINT) AS seq, CAST(round(seq * 0.5 - 0.5, 6) AS DOUBLE) AS rel_s FROM s")
 def numeric_time(spark, sf_dir):
     """Times that are numbers already, from the first one on."""
     s = samples(spark, sf_dir).withColumn("text", (F.col("seq") * 0.5 + 7).cast("string"))

@@ -50,7 +50,7 @@ def csv_recordings(spark, sf_dir):
     return found.select(F.regexp_replace("subject", "^folder=", "").alias("subject"), "seq", F.round("ts", 6).alias("ts"), "ir", "red")
 
 
-@query("SELECT s_suppkey, 'rec_' || s_suppkey || '.csv' AS source_file, CASE WHEN s_suppkey % 3 = 0 THEN 'UNKNOWN' WHEN s_suppkey % 2 = 0 THEN 'REJECTED' ELSE 'SUCCESS' END AS status, 400.0 + s_suppkey % 5 AS hertz FROM supplier")
+@query("SELECT s_suppkey, 'rec_' || s_suppkey || '.csv' AS source_file, CASE WHEN s_suppkey % 3 = 0 THEN 'UNKNOWN' WHEN s_suppkey % 2 = 0 THEN 'REJECTED' ELSE 'SUCCESS' END AS status, CAST(400.0 + s_suppkey % 5 AS DOUBLE) AS hertz FROM supplier")
 def json_documents(spark, sf_dir):
     """Configuration documents in both key casings, keys at different depths; a line is a document."""
     from pulsegrid.sources.readings import parse_documents
@@ -111,7 +111,7 @@ def window_files(spark, sf_dir):
 
     at = fresh_path(spark, "windows")
     store.write_windows(collect_windows(windowed(spark, sf_dir)), at)
-    return spark.read.parquet(at).select("subject_id", "win", "i", "ir", "red")
+    return spark.read.parquet(at).select(F.col("subject_id").cast("long").alias("subject_id"), "win", "i", "ir", "red")
 
 
 @query("SELECT unnest(['replaced', 'fresh', 'gone']) AS state, unnest([1, 1, 1]::BIGINT[]) AS n")
@@ -208,7 +208,7 @@ def cleaning_log(spark, sf_dir):
     + """, m AS (SELECT o_orderkey % 4 = 0 AS test, count(*) AS n, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse FROM p GROUP BY ALL),
 k AS (SELECT o_orderkey % 5 AS fold, avg(abs(y - yhat)) AS mae FROM p GROUP BY ALL)
 SELECT 'single' AS run_label, 75 AS trees, 2 AS depth, a.n AS train_n, b.n AS test_n, round(a.mae, 6) AS train_mae, round(b.rmse, 6) AS test_rmse, (SELECT count(*) FROM k) AS cv_folds, round((SELECT avg(mae) FROM k), 6) AS cv_mae_mean, round((SELECT stddev_pop(mae) FROM k), 6) AS cv_mae_std,
-  round(b.mae / a.mae, 6) AS mae_ratio, 'good' AS diagnosis, 62.5 AS feat_a, 0.0 AS feat_b FROM m a, m b WHERE NOT a.test AND b.test"""
+  round(b.mae / a.mae, 6) AS mae_ratio, 'good' AS diagnosis, 62.5::DOUBLE AS feat_a, 0.0::DOUBLE AS feat_b FROM m a, m b WHERE NOT a.test AND b.test"""
 )
 def tuning_history(spark, sf_dir):
     """One row of the tuning history, appended and read back."""
