@@ -279,12 +279,45 @@ def fiducials(spark, sf_dir):
     return per_array(supplier_windows(spark, sf_dir), "a long, b long, c long, d long, e long", f)
 
 
-@query()
-def beats_detected(spark, sf_dir):
-    def f(x):
-        norm = kernels.normalise(kernels.zero_phase(kernels.butterworth(4, 3.0, HERTZ), x[None])[0])
-        return [(p["foot"], p["peak"], p["next_foot"], p["reason"]) for p in beats.detect(norm, HERTZ).pulses]
+#: Candidates, feet and pulses of windows as they are, scaled to 0..1, by the offline rules: lists count from 1, places from 0.
+RULES = f"""{W}, nx AS (SELECT subject_id, win, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM a),
+s1 AS (SELECT subject_id, win, {q.savgol('x', SIZE, 7, 3)} AS x FROM nx), s2 AS (SELECT subject_id, win, x, {q.gradient('x', SIZE, HERTZ)} AS u FROM s1), s3 AS (SELECT subject_id, win, x, {q.savgol('u', SIZE, 5, 2)} AS v FROM s2),
+s4 AS (SELECT subject_id, win, x, v, {q.gradient('v', SIZE, HERTZ)} AS u FROM s3), sm AS (SELECT subject_id, win, x, v, {q.savgol('u', SIZE, 5, 2)} AS acc FROM s4),
+neg AS (SELECT subject_id, win, list_transform(x, lambda v: -v) AS x FROM sm),
+{q.peaks('pk', 'sm', 0.4 * HERTZ, 'greatest(0.015, 0.2 * (list_max(x) - list_min(x)))')}, {q.peaks('vl', 'neg', 0.35 * HERTZ, 'greatest(0.010, 0.1 * (list_max(x) - list_min(x)))')},
+c0 AS (SELECT pk.subject_id, pk.win, pk.i AS peak, (SELECT max(vl.i) FROM vl WHERE vl.subject_id = pk.subject_id AND vl.win = pk.win AND vl.i < pk.i) AS valley FROM pk),
+c1 AS (SELECT c0.*, x, v, acc, valley + list_position(v[valley + 1:peak + 1], list_max(v[valley + 1:peak + 1])) - 1 AS top FROM c0 JOIN sm USING (subject_id, win)),
+c2 AS (SELECT *, v[valley + 1:top + 1] AS way, list_position(acc[valley + 1:top + 1], list_max(acc[valley + 1:top + 1])) - 1 AS bend FROM c1),
+c3 AS (SELECT *, list_transform(way, lambda e: abs(e)) AS still, list_max(list_filter(range(0, len(way) - 1), lambda k: way[k + 1] < 0 AND way[k + 2] >= 0)) AS turn FROM c2),
+c4 AS (SELECT *, CASE WHEN turn IS NOT NULL THEN turn + CASE WHEN still[turn + 1] > still[turn + 2] THEN 1 ELSE 0 END ELSE list_position(still[1:greatest(3, CAST(floor(0.6 * len(way)) AS INT))], list_min(still[1:greatest(3, CAST(floor(0.6 * len(way)) AS INT))])) - 1 END AS k FROM c3),
+c5 AS (SELECT *, CASE WHEN valley IS NULL THEN 0 WHEN peak <= valley + 4 OR top <= valley + 1 THEN valley ELSE valley + least(CASE WHEN k > bend THEN list_position(still[1:bend + 1], list_min(still[1:bend + 1])) - 1 ELSE k END, top - valley - 1) END AS foot FROM c4),
+c6 AS (SELECT *, coalesce(valley, 0) AS low, x[peak + 1] - x[coalesce(valley, 0) + 1] AS rise, (peak - foot) / {HERTZ} AS up, greatest(0.01, 0.02 * list_stddev_pop(x)) AS least FROM c5),
+cand AS (SELECT *, CASE WHEN peak < 4 THEN 'edge_candidate_peak_start' WHEN peak > {SIZE} - 4 THEN 'edge_candidate_peak_end' WHEN valley IS NULL THEN 'no_left_valley_found' WHEN peak - valley < 3 THEN 'valley_too_close_to_peak'
+  WHEN NOT (low <= foot AND foot < peak) THEN 'invalid_ordering' WHEN rise <= 0 THEN 'pulse_amplitude_non_positive' WHEN up < 0.08 THEN 'foot_to_peak_too_short' WHEN up > 0.5 THEN 'foot_to_peak_too_long' WHEN (foot - low) / {HERTZ} > 0.2 THEN 'foot_too_far_from_valley'
+  WHEN x[foot + 1] - x[low + 1] > 0.2 * rise THEN 'foot_too_high_on_pulse' WHEN abs(v[foot + 1]) > 0.5 THEN 'vpg_not_near_zero_at_foot' WHEN x[peak + 1] - x[foot + 1] <= least THEN 'peak_foot_amplitude_too_small' ELSE '' END AS reason FROM c6)"""
+
+
+@query(RULES + " SELECT subject_id, win, CAST(peak AS BIGINT) AS peak, CAST(foot AS BIGINT) AS foot, CAST(coalesce(valley, -1) AS BIGINT) AS valley, reason FROM cand WHERE reason <> ''")
+def refused_candidates(spark, sf_dir):
+    """Peaks that are no beats, with their valley, refined foot and the first rule they break."""
+    f = lambda x: [(p["peak"], p["foot"], p["valley"], p["reason"]) for p in beats.detect(kernels.normalise(x), HERTZ).refused]
+    return per_array(supplier_windows(spark, sf_dir), "peak long, foot long, valley long, reason string", f)
 
+
+@query(
+    RULES
+    + f""", fo AS (SELECT DISTINCT subject_id, win, foot FROM cand WHERE reason = ''), f1 AS (SELECT *, lead(foot) OVER (PARTITION BY subject_id, win ORDER BY foot) AS next_foot FROM fo),
+f2 AS (SELECT f1.subject_id, f1.win, foot, next_foot, (SELECT min(i) FROM pk WHERE pk.subject_id = f1.subject_id AND pk.win = f1.win AND pk.i >= foot) AS first, (SELECT count(*) FROM pk WHERE pk.subject_id = f1.subject_id AND pk.win = f1.win AND pk.i > foot AND pk.i < next_foot) AS between_ FROM f1 WHERE next_foot IS NOT NULL),
+f3 AS (SELECT *, coalesce(first <= foot + 12 AND first < next_foot AND first > foot, false) AS has FROM f2), f4 AS (SELECT *, CASE WHEN has THEN first ELSE foot + 1 END AS peak, (next_foot - foot) / {HERTZ} AS length FROM f3),
+f5 AS (SELECT f4.*, CASE WHEN between_ = 0 THEN 'no_peak_between_two_feet' WHEN NOT has THEN 'no_main_peak_after_foot' WHEN foot < 4 THEN 'incomplete_at_signal_start' WHEN peak > {SIZE} THEN 'incomplete_at_signal_end' WHEN next_foot > {SIZE} THEN 'next_foot_too_close_to_signal_end'
+  WHEN length < 0.35 OR length > 1.5 THEN 'beat_duration_out_of_range' WHEN (peak - foot) / {HERTZ} < 0.08 OR (peak - foot) / {HERTZ} > 0.5 THEN 'foot_to_peak_distance_out_of_range' WHEN x[peak + 1] - x[foot + 1] <= greatest(0.01, 0.02 * list_stddev_pop(x)) THEN 'peak_foot_amplitude_too_small'
+  WHEN list_max(v[foot + 1:peak + 1]) <= greatest(0.05, 0.05 * list_stddev_pop(v)) THEN 'upstroke_too_weak' WHEN next_foot - foot + 1 <= 10 THEN 'beat_too_short_after_segmentation' ELSE '' END AS reason FROM f4 JOIN sm USING (subject_id, win)),
+f6 AS (SELECT *, median(length) FILTER (WHERE reason = '') OVER (PARTITION BY subject_id, win) AS med, count(*) FILTER (WHERE reason = '') OVER (PARTITION BY subject_id, win) AS n FROM f5)
+SELECT subject_id, win, CAST(foot AS BIGINT) AS foot, CAST(peak AS BIGINT) AS peak, CAST(next_foot AS BIGINT) AS next_foot, CASE WHEN reason = '' AND n >= 3 AND (length < med / 1.35 OR length > med * 1.35) THEN 'duration_far_from_median' ELSE reason END AS reason FROM f6"""
+)
+def beats_detected(spark, sf_dir):
+    """All pulses from foot to foot, with the first rule they break, or an empty reason."""
+    f = lambda x: [(p["foot"], p["peak"], p["next_foot"], p["reason"]) for p in beats.detect(kernels.normalise(x), HERTZ).pulses]
     return per_array(supplier_windows(spark, sf_dir), "foot long, peak long, next_foot long, reason string", f)
 
 
@@ -294,12 +327,6 @@ def narrow(dialect: str = "service") -> Settings:
     return replace(s, filters=replace(s.filters, lowpass_hz=3.0))
 
 
-@query()
-def dsp_window_features(spark, sf_dir):
-    """All features per window, as the service has them."""
-    return features.window_features(supplier_windows(spark, sf_dir), narrow()).drop("rejections")
-
-
 @query()
 def dsp_window_features_offline(spark, sf_dir):
     return features.window_features(supplier_windows(spark, sf_dir), narrow("offline")).drop("rejections")
@@ -355,6 +382,71 @@ def stage_diagnostics(spark, sf_dir):
     return d.select("subject_id", "win", "stage", *[F.round(c, 5).alias(c) for c in d.columns[3:]])
 
 
-@query()
+NINE, SEVEN = ("hr", "width", "sys_amp", "area", "skew", "kurt", "pi", "zcr", "snr"), ("hr_global", "width_avg", "area_avg", "amp_avg", "skew_avg", "kurt_avg", "pi_global")
+POWERS = "list_avg(list_transform({v}, lambda e: e * e * e)) / list_avg(list_transform({v}, lambda e: e * e)) ** 1.5 AS skew{s}, list_avg(list_transform({v}, lambda e: e * e * e * e)) / list_avg(list_transform({v}, lambda e: e * e)) ** 2 - 3 AS kurt{s}"
+C3 = "subject_id, win, c"
+
+
+#: The service's ensemble beats of both channels and what it measures of them, from the stages' lists.
+M = 220
+SERVICE = f"""{W}, {STAGE_LISTS}, {q.waves('g', SIZE)}, {q.waves('gm', M)}, nrm AS (SELECT {C3}, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM high),
+{q.peaks('pk', 'nrm', 0.4 * HERTZ, '0.2', C3)}, {q.peaks('pq', 'nrm', 0.33 * HERTZ, 'greatest(0.01, 0.1 * list_stddev_pop(x))', C3)},
+pb AS (SELECT {C3}, i AS foot, lead(i) OVER w AS next_foot, count(*) OVER (PARTITION BY {C3}) AS n FROM pk WINDOW w AS (PARTITION BY {C3} ORDER BY i)),
+b AS (SELECT {C3}, x[foot + 1:next_foot] AS s FROM pb JOIN nrm USING ({C3}) WHERE n >= 3 AND next_foot IS NOT NULL AND (next_foot - foot) / {HERTZ} BETWEEN 0.35 AND 1.5), nb AS (SELECT {C3}, count(*) AS beats FROM b GROUP BY ALL),
+t AS (SELECT {C3}, s, j, j * (len(s) - 1) / {M - 1}.0 AS p FROM b, range(0, {M}) t(j)), h AS (SELECT *, least(CAST(floor(p) AS BIGINT), len(s) - 2) AS k FROM t),
+e AS (SELECT {C3}, j, avg(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)) AS mean FROM h GROUP BY ALL), en AS (SELECT {C3}, list(mean ORDER BY j) AS y FROM e GROUP BY ALL),
+gp AS (SELECT {C3}, (i - lag(i) OVER (PARTITION BY {C3} ORDER BY i)) / {HERTZ} AS gap FROM pq), bt AS (SELECT {C3}, avg(gap) AS ppi, stddev_pop(gap) * 1000 AS hrv FROM gp GROUP BY ALL),
+z AS (SELECT {C3}, nrm.x AS n, high.x AS hi, ch.x AS raw, {q.centred('nrm.x')} AS v, {q.centred('high.x')} AS vh FROM nrm JOIN high USING ({C3}) JOIN ch USING ({C3})),
+pw AS (SELECT {C3}, sum(inside) AS inside, sum(outside) AS outside, -sum(w / wt * log2(w / wt)) FILTER (WHERE w > 0) AS spectral_entropy FROM (SELECT *, sum(w) OVER (PARTITION BY {C3}) AS wt FROM (SELECT {C3}, {q.doubled('k', SIZE)} * {q.power(q.hann('v', SIZE), 'g')} AS w,
+  CASE WHEN k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0 THEN {q.doubled('k', SIZE)} * {q.power('vh', 'g')} ELSE 0 END AS inside, CASE WHEN k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0 THEN 0 ELSE {q.doubled('k', SIZE)} * {q.power('vh', 'g')} END AS outside FROM z, g)) GROUP BY ALL),
+hs AS (SELECT {C3}, -sum(f * log2(f)) AS shannon_entropy FROM (SELECT {C3}, bin, count(*) / {SIZE}.0 AS f FROM (SELECT {C3}, least(floor(unnest(n) * 64), 63) AS bin FROM z) GROUP BY ALL) GROUP BY ALL),
+en2 AS (SELECT {C3}, y, {q.gradient('y', M)} AS d1, {q.centred('y')} AS vy, list_position(y, list_max(y)) AS top FROM en), en3 AS (SELECT *, {q.gradient('d1', M)} AS d2 FROM en2),
+en4 AS (SELECT *, {q.centred('d2')} AS vd, list_transform(range(2, {M}), lambda i: y[i] * y[i] - y[i - 1] * y[i + 1]) AS te, list_position(y[1:top], list_min(y[1:top])) AS foot, top - 1 + list_position(y[top:{M}], list_min(y[top:{M}])) AS last,
+  list_min(list_filter(range(top + 1, {M}), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])) AS dip, y[top] - greatest(list_min(y[1:top]), list_min(y[top:{M}])) AS m FROM en3),
+hr AS (SELECT {C3}, max(p) FILTER (WHERE k > 0) / (sum(p) FILTER (WHERE k > 0) - max(p) FILTER (WHERE k > 0)) AS harmonic_ratio FROM (SELECT {C3}, k, {q.power('vy', 'gm')} AS p FROM en4, gm) GROUP BY ALL),
+cf AS (SELECT {C3}, coalesce(beats, 0) AS beats, {POWERS.format(v='v', s='_n')}, shannon_entropy, spectral_entropy, {q.half_width('y', '(top - 1)', 'm')} / {HERTZ} AS pulse_width, coalesce(ppi, 0.8) AS ppi, list_max(y) - list_min(y) AS systolic_amplitude, 60 / coalesce(ppi, 0.8) AS bpm,
+  CASE WHEN ppi IS NULL THEN 30.0 ELSE hrv END AS hrv, list_avg(te) AS teo_mean, list_stddev_pop(te) AS teo_std, list_avg(d1) AS derivative1_mean, list_avg(d2) AS derivative2_mean, {POWERS.format(v='vd', s='_d')}, harmonic_ratio, (top - foot) / {HERTZ} AS rise_time, (last - top) / {HERTZ} AS decay_time, CAST(coalesce(dip, last) - 1 AS DOUBLE) AS dicrotic_notch,
+  list_stddev_pop(hi) / list_avg(raw) AS part, {POWERS.format(v='vh', s='_h')}, 100 * (list_max(hi) - list_min(hi)) / abs(list_avg(raw)) AS sqi_perfusion, 10 * log10(inside / outside) AS sqi_snr_db, len(list_filter(range(2, {SIZE + 1}), lambda i: (hi[i] < 0) <> (hi[i - 1] < 0))) / 2 / ({SIZE} / {HERTZ}) AS sqi_zcr_hz
+  FROM z JOIN pw USING ({C3}) JOIN hs USING ({C3}) LEFT JOIN nb USING ({C3}) LEFT JOIN bt USING ({C3}) LEFT JOIN en4 USING ({C3}) LEFT JOIN hr USING ({C3})),
+tw AS (SELECT i.subject_id, i.win, least(i.beats, r.beats) >= 3 AS ok, i AS i, r AS r FROM cf i JOIN cf r ON i.subject_id = r.subject_id AND i.win = r.win AND i.c = 'ir' AND r.c = 'red')
+"""
+#: Decimals compared where it is not 5: fractions of a sample end on a 5 if cut too early.
+PLACES = {"pulse_width": 9, "ppi": 9}
+#: The SQL's names where they are not the features'.
+SQL_NAMES = {"skewness": "skew_n", "kurtosis": "kurt_n", "derivative2_skewness": "skew_d", "sqi_skewness": "skew_h", "sqi_kurtosis": "kurt_h"}
+
+
+@query(
+    SERVICE
+    + " SELECT subject_id, win, CASE WHEN ok THEN 'SUCCESS' ELSE 'REJECTED' END AS status, CASE WHEN NOT ok THEN 'too_few_beats' END AS reason, CAST(i.beats AS INTEGER) AS beats_ir, CAST(r.beats AS INTEGER) AS beats_red, "
+    + ", ".join(f"round(CASE WHEN ok THEN {c[0]}.{SQL_NAMES.get(n, n)} END, {PLACES.get(n, 5)}) AS {c}_{n}" for c in ("red", "ir") for n in features.NAMES)
+    + ", round(CASE WHEN ok THEN r.part / i.part END, 5) AS ensemble_ratio, "
+    + ", ".join(f"round({c[0]}.{SQL_NAMES.get(f'sqi_{n}', f'sqi_{n}')}, 5) AS {c}_sqi_{n}" for c in ("red", "ir") for n in features.SQI)
+    + " FROM tw"
+)
+def dsp_window_features(spark, sf_dir):
+    """All features per window, as the service has them, with the window's status."""
+    found = features.window_features(supplier_windows(spark, sf_dir), narrow()).drop("rejections")
+    return found.select(*found.columns[:6], *[F.round(c, PLACES.get(c.partition("_")[2], 5)).alias(c) for c in found.columns[6:]])
+
+
+@query(
+    f"""{W}, {STAGE_LISTS}, {q.waves('g', SIZE)}, nrm AS (SELECT {C3}, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM high), {q.peaks('pk', 'nrm', 0.4 * HERTZ, '0.1', C3)},
+gp AS (SELECT {C3}, i, h, m, (i - lag(i) OVER (PARTITION BY {C3} ORDER BY i)) / {HERTZ} AS gap FROM pk),
+wd AS (SELECT {C3}, 60 / avg(gap) AS hr, avg({q.half_width('x', 'i', 'm')}) / {HERTZ} AS width, avg(h) AS sys_amp FROM gp JOIN nrm USING ({C3}) GROUP BY ALL),
+z AS (SELECT {C3}, nrm.x AS n, ch.x AS raw, {q.centred('nrm.x')} AS v FROM nrm JOIN ch USING ({C3})),
+pw AS (SELECT {C3}, 10 * log10(sum({q.doubled('k', SIZE)} * {q.power('v', 'g')}) FILTER (WHERE k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0) / sum({q.doubled('k', SIZE)} * {q.power('v', 'g')}) FILTER (WHERE NOT k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0)) AS snr FROM z, g GROUP BY ALL),
+nine AS (SELECT {C3}, hr, width, sys_amp, list_sum(n) - (n[1] + n[{SIZE}]) / 2 AS area, {POWERS.format(v='v', s='')}, 100 * (list_max(raw) - list_min(raw)) / list_avg(raw) AS pi, 0.0::DOUBLE AS zcr, snr FROM z JOIN pw USING ({C3}) LEFT JOIN wd USING ({C3})),
+pb AS (SELECT {C3}, i AS foot, lead(i) OVER w AS next_foot, count(*) OVER (PARTITION BY {C3}) AS n FROM pk WHERE m >= 0.2 WINDOW w AS (PARTITION BY {C3} ORDER BY i)),
+b AS (SELECT {C3}, x[foot + 1:next_foot] AS s FROM pb JOIN nrm USING ({C3}) WHERE n >= 3 AND next_foot IS NOT NULL AND (next_foot - foot) / {HERTZ} BETWEEN 0.35 AND 1.5), rt AS (SELECT {C3}, 220 / median(len(s) / {HERTZ}) AS rate FROM b GROUP BY ALL),
+t AS (SELECT {C3}, s, j, j * (len(s) - 1) / 219.0 AS p FROM b, range(0, 220) t(j)), h AS (SELECT *, least(CAST(floor(p) AS BIGINT), len(s) - 2) AS k FROM t),
+e AS (SELECT {C3}, j, avg(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)) AS mean FROM h GROUP BY ALL), en AS (SELECT {C3}, list(mean ORDER BY j) AS x FROM e GROUP BY ALL),
+ez AS (SELECT {C3}, x, rate, {q.centred('x')} AS v, list_position(x, list_max(x)) AS top, list_max(x) - greatest(list_min(x[1:list_position(x, list_max(x))]), list_min(x[list_position(x, list_max(x)):220])) AS m FROM en JOIN rt USING ({C3})),
+seven AS (SELECT {C3}, 60 * rate / 220 AS hr_global, {q.half_width('x', '(top - 1)', 'm')} / rate AS width_avg, list_sum(x) - (x[1] + x[220]) / 2 AS area_avg, list_max(x) - list_min(x) AS amp_avg, {POWERS.format(v='v', s='_avg')} FROM ez)
+SELECT nine.subject_id, nine.win, nine.c AS channel, """
+    + ", ".join(f"round({n}, {9 if 'width' in n else 5}) AS {n}" for n in (*NINE, *SEVEN[:-1]))
+    + f", round(CASE WHEN hr_global IS NOT NULL THEN pi END, 5) AS pi_global FROM nine LEFT JOIN seven USING ({C3})"
+)
 def channel_summaries(spark, sf_dir):
-    return features.summaries(supplier_windows(spark, sf_dir), narrow())
+    found = features.summaries(supplier_windows(spark, sf_dir), narrow())
+    return found.select("subject_id", "win", "channel", *[F.round(c, 9 if "width" in c else 5).alias(c) for c in (*NINE, *SEVEN)])
