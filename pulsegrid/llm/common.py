@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulsegrid.shared import fresh_path
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges per key of ``running_total``, and coarse ranges of them: no window of totals has more than 128 rows.
@@ -23,37 +23,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local session that has none gets a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 _written: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: cuts the lineage, survives lost executors, has known sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsegrid/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_sweep)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def forget(df: DataFrame) -> None:
     """Deletes a materialized table that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        for known in [p for p in _written if p.split("/pulsegrid/")[-1] == path.split("/pulsegrid/")[-1]]:
-            _written.remove(known)
-            _delete(known)
+    path = df._written_at
+    if path in _written:
+        _written.remove(path)
+        _delete(path)
+
+
+def written() -> frozenset[str]:
+    """The materialized tables there are."""
+    return frozenset(_written)
+
+
+def release(before: frozenset[str], *kept: DataFrame) -> None:
+    """Deletes the tables materialized since ``before``, except ``kept``, which are such tables."""
+    for path in [p for p in _written if p not in before and p not in {df._written_at for df in kept}]:
+        _written.remove(path)
+        _delete(path)
 
 
 def _delete(path: str) -> None:

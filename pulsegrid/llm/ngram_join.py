@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import components, map_arrow, materialize, small
+from pulsegrid.llm.common import components, map_arrow, materialize, release, small, written
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -312,7 +312,9 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
 
 def similar(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, class_id (the smallest key of its class), class_size, n_copies, n_links, n_text_links."""
+    before = written()
     found = materialize(join(docs, threshold, tolerance, size, key, text), "join-result")
+    release(before, found)
     # most documents are alone in their class: only the others are looked up, so that a large class is no hot join key
     names = found.groupBy("class_row").agg(F.min("_key").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
     alone = F.col("class_size").isNull()
@@ -322,7 +324,9 @@ def similar(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float =
 
 def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class, the one with the smallest key (then the first row); all rows without words."""
+    before = written()
     found = materialize(join(docs, threshold, tolerance, size, key, text).where("_size > 0"), "join-result")
+    release(before, found)
     best = found.groupBy("class_row").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("_best")).select(F.col("_best._row").alias("_row"))
     keep = found.join(best, "_row", "left_semi").select("_key", "_text_key").withColumn("_kept", F.lit(True))
     # rows are told apart by key and text: what only dropped rows have goes, what a kept row has stays once

@@ -224,16 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, mo
     lab = lab.groupBy("_k").agg(F.max("_y").alias("_y"))
     sample = lab.orderBy(F.xxhash64(F.lit("fit"), "_k"), "_k").limit(documents)
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), "_k").select("_k", "_y", "_t")
-    rows = materialize(rows.withColumn("_h", F.xxhash64("_k", "_t")), "fit-sample")
-    sample_rows = rows
+    rows = taken = materialize(rows.withColumn("_h", F.xxhash64("_k", "_t")), "fit-sample")
     words = F.length(F.translate(F.regexp_replace("_t", WORD, "x"), " \t\n\x0b\x0c\r", ""))
     sizes = rows.groupBy(F.greatest(F.ceil(words / F.lit(PASSAGE)), F.lit(1)).cast("long").alias("n")).agg(F.count("*").alias("rows")).collect()
     n, times = (np.array([getattr(r, c) for r in sizes], np.int64) for c in ("n", "rows"))
     share = longest(n, times, most_passages)
     if times.sum() > most_passages:
         # more rows than passages share the sampled keys: the first in hash order, with a passage each
-        first = rows.orderBy("_h", "_k").limit(most_passages).select("_h", "_k", "_y", "_t")
-        rows = first.select("_k", "_y", "_t")
+        rows = rows.orderBy("_h", "_k").limit(most_passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, mo
 
     bags = map_arrow(rows.select("_k", "_y", "_t"), run, "k string, y double, n bigint, x binary")
     bags = sorted(bags.collect(), key=lambda r: (zlib.crc32(r.x), r.k, r.x))  # in an order of their own: refits agree
-    forget(sample_rows)
+    forget(taken)
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in bags]) if bags else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.array([r.n for r in bags], np.int64), np.array([r.y for r in bags], np.float32))
 
