@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import mixing, ngram_join, packing, quality_mil, quality_rules
-from pulsegrid.llm.common import materialize, table
+from pulsegrid.llm.common import materialize, release, table, written
 from pulsegrid.llm.language_mix import held_out
 from pulsegrid.llm.queries import byte_bpe
 
@@ -61,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before, docs)  # what the stage itself wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
