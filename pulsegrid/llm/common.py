@@ -113,12 +113,17 @@ HUB = 512
 def _with_least(rows: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
     """rows (a, b) with m, the smallest b of ``links`` for each a.
 
-    The rows of hubs stay where they are: their minimums are broadcast. At most 2 n_links / limit nodes have more than
-    limit of at most 2 n_links ends. All others have so few rows that a task can hold a node's.
+    Few links: all minimums are broadcast. Else the rows of hubs, if there are any, stay where they are and only the hubs'
+    minimums are broadcast: at most 2 n_links / limit nodes have more than limit of at most 2 n_links ends. All others have
+    so few rows that a task can hold a node's.
     """
     limit = max(HUB, -(-2 * n_links // BROADCAST_ROWS))
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+    if 2 * n_links <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(least.select("a", "m")), "a").select("a", "b", "m")
     hubs = least.where(F.col("_n") > limit).select("a", F.col("m").alias("_hub"))
+    if not hubs.limit(1).count():
+        return rows.join(least.select("a", "m"), "a").select("a", "b", "m")
     marked = rows.join(F.broadcast(hubs), "a", "left")
     near = marked.where("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("m"))
     far = marked.where("_hub IS NULL").select("a", "b").join(least.where(F.col("_n") <= limit).select("a", "m"), "a")
@@ -141,11 +146,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         # large star: each neighbour greater than the node is linked to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both.where("b > a"), both, last[0]).select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = materialize(large, name)
         # small star: smaller neighbours and the node itself are linked to the smallest
         links = _with_least(large, large, last[0])
         new = links.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(links.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(new, name)
         now = state(new)
+        forget(large)
         forget(e)
         e = new
         if now == last:
