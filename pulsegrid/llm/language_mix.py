@@ -38,16 +38,28 @@ def held_out(key: str = "doc_id") -> Column:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text and bucket that occurs in it: text, bucket, count; ordered by text."""
-    # blanks keep the texts apart: no counted trigram spans two, and each belongs to the text of its middle byte
     parts = [x.lower().encode("utf-8", "replace").translate(_FOLD) for x in texts]
+    if len(parts) == 1:
+        # one text, maybe a very long one: counted in slabs, whose first and last byte are only looked at
+        raw, n = np.frombuffer(b" " + parts[0] + b" ", np.uint8), np.zeros(BUCKETS, np.int64)
+        for i in range(0, len(parts[0]), CHUNK):
+            n += np.bincount(_hashed(raw[i : i + CHUNK + 2])[0], minlength=BUCKETS)
+        there = np.flatnonzero(n)
+        return np.zeros(len(there), np.int64), there, n[there]
+    # blanks keep the texts apart: no counted trigram spans two, and each belongs to the text of its middle byte
     raw = np.frombuffer(b"   ".join([b"", *parts, b""]), np.uint8)
     owner = np.concatenate([np.zeros(3, np.int64), np.repeat(np.arange(len(parts), dtype=np.int64), [len(x) + 3 for x in parts])])
+    hashed, use = _hashed(raw)
+    cell, n = np.unique(owner[1:-1][use] * BUCKETS + hashed, return_counts=True)
+    return cell // BUCKETS, cell % BUCKETS, n
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams whose middle byte is none of the blanks, and where those are."""
     a, b, c = raw[:-2], raw[1:-1], raw[2:]
     use = b != 32
     code = a.astype(np.uint32) << 16 | b.astype(np.uint32) << 8 | c
-    hashed = ((code[use] * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
-    cell, n = np.unique(owner[1:-1][use] * BUCKETS + hashed, return_counts=True)
-    return cell // BUCKETS, cell % BUCKETS, n
+    return ((code[use] * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64), use
 
 
 def _chunks(texts: list[str]) -> Iterator[slice]:

@@ -35,12 +35,14 @@ FIT_PASSAGES = 80_000
 THRESHOLD = 0.7
 #: Bytes of text whose arrays are held at once, one text at least.
 CHUNK = 1 << 20
+#: Bytes of a text whose wide arrays are held at once.
+SLAB = 1 << 21
 CLASSES = 14
 
 
 def _classes() -> np.ndarray:
     """Byte classes: 0 blank, 1 line end, 2 lower, 3 upper, 4 digit, 5 of a longer character, 6-12 marks, 13 others."""
-    of = np.full(256, 13, np.int64)
+    of = np.full(256, 13, np.uint8)
     of[[9, 11, 12, 13, 32]] = 0
     of[10] = 1
     of[97:123], of[65:91], of[48:58], of[128:] = 2, 3, 4, 5
@@ -67,11 +69,14 @@ def _repeats(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (n, WIDTH), and how many each text has (one at least)."""
+    """Features of all passages (n, WIDTH), and how many each text has (one at least).
+
+    Some 16 bytes are held for each byte of text; what takes more is done in slabs of words.
+    """
     parts = [x.encode("utf-8", "replace") for x in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     size = np.array([len(x) + 1 for x in parts])
-    doc = np.repeat(np.arange(len(parts)), size)
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), size)
     of = _OF[raw]
     inside = of > 1
     first = inside.copy()
@@ -82,29 +87,41 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(1, -(-n_words // PASSAGE))
     base = np.cumsum(count) - count
     nth = np.arange(len(begin)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-    word_passage = base[word_doc] + nth // PASSAGE
+    word_passage = (base[word_doc] + nth // PASSAGE).astype(np.int32)
     total = int(count.sum())
     # a byte belongs to the passage of the last word begun before it in its text
-    seen = np.cumsum(first)
-    passage = np.where((seen > 0) & (doc == word_doc[np.maximum(seen - 1, 0)]), word_passage[np.maximum(seen - 1, 0)], base[doc]) if len(begin) else base[doc]
-    pairs = np.bincount(passage[:-1] * (CLASSES * CLASSES) + of[:-1] * CLASSES + of[1:], minlength=total * CLASSES * CLASSES)
-    pairs = pairs.reshape(total, -1).astype(np.float32)
-    bytes_ = pairs.sum(1, keepdims=True)
+    passage = base.astype(np.int32)[doc]
+    if len(begin):
+        seen = np.maximum(np.cumsum(first, dtype=np.int32) - 1, 0)
+        mine = (doc == word_doc[seen]) & (np.arange(len(raw)) >= begin[0])
+        np.copyto(passage, word_passage[seen], where=mine)
+        del seen, mine
     x = np.zeros((total, WIDTH), np.float32)
-    x[:, : CLASSES * CLASSES] = np.sqrt(pairs / np.maximum(bytes_, 1))
+    cells = CLASSES * CLASSES
+    for i in range(0, len(raw) - 1, SLAB):
+        # passages follow each other: a slab touches a range of them
+        at = passage[i : min(i + SLAB, len(raw) - 1)]
+        low, high = int(at[0]), int(at[-1]) + 1
+        code = (at - low).astype(np.int64) * cells + of[i : i + len(at)] * np.int64(CLASSES) + of[i + 1 : i + 1 + len(at)]
+        same = doc[i : i + len(at)] == doc[i + 1 : i + 1 + len(at)]  # no pair spans two texts
+        x[low:high, :cells] += np.bincount(code[same], minlength=(high - low) * cells).reshape(-1, cells)
+    bytes_ = x[:, :cells].sum(1, keepdims=True)
+    x[:, :cells] = np.sqrt(x[:, :cells] / np.maximum(bytes_, 1))
     if len(begin):
-        # hash of each word: a polynomial over its bytes, by differences of a running sum of r^i x byte
-        r = np.full(len(raw), 0x100000001B3, np.uint64)
-        r[0] = 1
-        power = np.cumprod(r)
-        inverse = np.full(len(raw), pow(0x100000001B3, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        back = np.cumprod(inverse)
-        upto = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)))
-        final = inside.copy()
-        final[:-1] &= ~inside[1:]
-        end = np.flatnonzero(final) + 1
-        h = (upto[end] - upto[begin]) * back[begin]
+        # hash of each word: a polynomial over its bytes
+        ends = np.append(begin[1:], len(raw))
+        power = np.full(int((ends - begin).max()), 0x100000001B3, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)
+        h = np.empty(len(begin), np.uint64)
+        w = 0
+        while w < len(begin):
+            v = max(w + 1, int(np.searchsorted(ends, begin[w] + SLAB, "right")))
+            a, b = begin[w], ends[v - 1]
+            starts = begin[w:v] - a
+            offset = np.arange(b - a) - np.repeat(starts, np.diff(np.append(starts, b - a)))
+            h[w:v] = np.add.reduceat(np.where(inside[a:b], (raw[a:b].astype(np.uint64) + np.uint64(1)) * power[offset], np.uint64(0)), starts)
+            w = v
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         words = np.bincount(word_passage, minlength=total)
@@ -114,7 +131,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 gram = gram[:-1] * np.uint64(31) + h[k:]
             whole = word_doc[: len(gram)] == word_doc[len(h) - len(gram) :] if k else np.ones(len(h), bool)
             twice = _repeats(word_doc[: len(gram)], gram) & whole
-            x[:, CLASSES * CLASSES + k] = np.bincount(word_passage[: len(gram)], twice, total) / np.maximum(words, 1)
+            x[:, cells + k] = np.bincount(word_passage[: len(gram)], twice, total) / np.maximum(words, 1)
         x[:, -2] = words / PASSAGE
     x[:, -1] = np.log1p(np.repeat(n_words, count)) / 8
     return x, count

@@ -155,6 +155,21 @@ def test_isolated_letters_have_a_language(spark, documents):
     assert language_mix.learn(taught)[0] == ["en"]
 
 
+def test_long_texts_are_counted_in_slabs(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé 漢.7 ") for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 700)]
+    whole = language_mix.trigrams(texts)
+    monkeypatch.setattr(language_mix, "CHUNK", 16)
+    monkeypatch.setattr(quality_mil, "SLAB", 16)
+    for i, text in enumerate(texts):
+        _, bucket, n = language_mix.trigrams([text])
+        mine = whole[0] == i
+        assert bucket.tolist() == whole[1][mine].tolist() and n.tolist() == whole[2][mine].tolist()
+    slabs = [quality_mil.passages([x])[0] for x in texts]
+    monkeypatch.setattr(quality_mil, "SLAB", 1 << 21)
+    assert np.allclose(np.vstack(slabs), quality_mil.passages(texts)[0], atol=1e-6)
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "x" * 191, "x" * 192, "x" * 193, "é" * 5000])
 def test_audio_round_trip(text):
     payload = mpeg_audio.pad(text)
