@@ -341,5 +341,7 @@ def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: flo
     again = state.where("_kept")
     if again.limit(1).count():
         repeated = docs.join(small(again), match(again), "left_semi")
-        out = out.unionByName(repeated.withColumn("_jaccard_text", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).dropDuplicates([key, "_jaccard_text"]).select(*docs.columns))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+        once = repeated.select(whole, F.col(key).alias("_k"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_t")).dropDuplicates(["_k", "_t"])
+        out = out.unionByName(once.select("_doc.*"))
     return out

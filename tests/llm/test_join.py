@@ -101,6 +101,14 @@ def test_rows_without_words_all_stay(spark):
     assert sorted(r.source for r in kept)[:6] == list("abcdef") and len(kept) == 7
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_jaccard_text", "_rows", "_kept", "_k", "_t", "_doc", "_tid"]
+    rows = [(1, "x y z", *"abcdefg"), (1, "x y z", *"abcdefg"), (2, "x y z", *"hijklmn"), (3, "other words here", *"opqrstu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = sorted(tuple(r) for r in ngram_join.one_of_each(docs).collect())
+    assert kept == [rows[0], rows[3]] and ngram_join.one_of_each(docs).columns == docs.columns
+
+
 def test_repeated_rows_are_verified_once(spark, monkeypatch):
     base = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(base))] * 40 + [(3, " ".join(["n", *base[1:]]))]
