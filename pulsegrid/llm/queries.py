@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import html_text, language_mix, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_counts
+from pulsegrid.llm import html_text, language_mix, merkle, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -74,8 +74,16 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    without = F.replace("text", F.lit("\n"), F.lit(""))
+    claimed = F.when(altered, merkle.leaf([without if c == "text" else c for c in merkle.FIELDS]))
+    return merkle.manifest(docs, claimed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil, op11_merkle_manifest)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
@@ -115,10 +123,54 @@ FROM f
 """
 
 
+#: Level by level with recursive queries; the checksum's last bit comes from a bitwise fold over the digits.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS rid, {leaf_text} AS leaf,
+    CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x // 2, 3988292384 * (x % 2)) + 0 * k)) % 2 = 1
+    THEN {leaf_without} ELSE {leaf_text} END AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d
+), nodes AS (
+  SELECT 0 AS level, source, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, source, pos // 3, n
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, place AS pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n
+), root AS (SELECT digest AS root FROM tops WHERE n = 1),
+runs AS (SELECT level, source, pos // 3 AS run, list(digest ORDER BY pos) AS members FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT level, pos // 3 AS run, list(digest ORDER BY pos) AS members FROM tops WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT p.rid, r.level AS step, r.members, (p.pos // (3 ** r.level)::BIGINT) % 3 AS own
+  FROM placed p JOIN runs r ON r.source IS NOT DISTINCT FROM p.source AND r.run = p.pos // (3 ** (r.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.rid, 100 + r.level, r.members, (s.place // (3 ** r.level)::BIGINT) % 3
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN top_runs r ON r.run = s.place // (3 ** (r.level + 1))::BIGINT
+), ordered AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY step) AS k, array_to_string(list_slice(members, 1, own), '') AS a, array_to_string(list_slice(members, own + 2, len(members)), '') AS b FROM steps),
+proofs AS (SELECT rid, sha256(string_agg(a || b, '' ORDER BY k)) AS proof FROM ordered GROUP BY rid),
+folds AS (
+  SELECT rid, 1 AS k, claimed AS digest FROM placed
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(o.a || f.digest || o.b) FROM folds f JOIN ordered o ON o.rid = f.rid AND o.k = f.k
+), folded AS (SELECT rid, arg_max(digest, k) AS folded_root FROM folds GROUP BY rid)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.root AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source CROSS JOIN root r LEFT JOIN proofs q ON q.rid = p.rid JOIN folded f ON f.rid = p.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     web = quality_rules.WEB
     bits = " + ".join(f"(CASE WHEN {fails} THEN {1 << i} ELSE 0 END)" for i, (_, fails) in enumerate(quality_rules.RULES))
     sql = OP1_SQL
     for name, value in (("bits", bits), ("base", str(quality_rules.BASE.mask)), ("mask", str(web.mask)), ("policy", f"{web.name}/{web.version}")):
         sql = sql.replace("{" + name + "}", value)
-    return {"op1_quality_rules": sql}
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(text if c == "text" else f"{c}::VARCHAR") for c in merkle.FIELDS) + ")"
+    tree = OP11_SQL.replace("{leaf_text}", leaf("text")).replace("{leaf_without}", leaf("replace(text, chr(10), '')"))
+    return {"op1_quality_rules": sql, "op11_merkle_manifest": tree}
