@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import html_text, language_mix, merkle, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_counts
+from pulsegrid.llm import html_text, language_mix, merkle, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_alignment, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -82,8 +82,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, claimed)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ranks, pattern = byte_bpe()
+    files = token_alignment.Vocabularies(ranks, pattern, vocabulary("piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), files, with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil, op11_merkle_manifest, op13_token_alignment)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
