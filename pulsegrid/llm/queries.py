@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import html_text, language_mix, merkle, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_alignment, token_counts
+from pulsegrid.llm import html_text, language_mix, license_scan, merkle, mixing, mpeg_audio, ngram_join, packing, quality_mil, quality_rules, sharding, token_alignment, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, claimed)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ranks, pattern = byte_bpe()
     files = token_alignment.Vocabularies(ranks, pattern, vocabulary("piece_bpe_32k.model"))
@@ -89,7 +93,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil, op11_merkle_manifest, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_hash_tree, op3_mixture_packing, op4_html_text, op5_ngram_join, op6_fair_mix, op7_language_mix, op8_token_counts, op9_mpeg_audio, op10_quality_mil, op11_merkle_manifest, op12_license_scan, op13_token_alignment)}
 
 
 #: The oracle counts windows by joining words to their neighbours, where the operator sorts packed longs.
@@ -170,6 +174,45 @@ FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source CROSS JO
 """
 
 
+#: Words, grams and votes as joined rows; grams are compared by their words.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (SELECT *, string_split(body, ' ') AS w, len(string_split(body, ' ')) AS length FROM (VALUES {templates}) v(template, label, body, key)),
+tg AS (SELECT template, label, length, key, pos, list_slice(w, pos + 1, pos + {gram}) AS gram FROM (SELECT *, unnest(range(0, length - {gram} + 1)) AS pos FROM t)),
+tk AS (
+  SELECT template, min(pos) AS key_from, min(pos) + len(string_split(any_value(key), ' ')) - {gram} AS key_to
+  FROM (SELECT template, key, w, unnest(range(0, length)) AS pos FROM t) WHERE list_slice(w, pos + 1, pos + len(string_split(key, ' '))) = string_split(key, ' ') GROUP BY template
+), words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+grams AS (SELECT rid, i AS place, [word, lead(word) OVER s, lead(word, 2) OVER s] AS gram FROM words WINDOW s AS (PARTITION BY rid ORDER BY i)),
+phrase AS (SELECT string_split(body, ' ') AS p, label FROM (VALUES {phrases}) v(body, label)),
+opens AS (SELECT words.rid, i, p, label FROM words JOIN phrase ON word = p[1]),
+places AS (SELECT o.rid, o.i, o.label FROM opens o JOIN d USING (rid) WHERE list_slice(d.w, o.i + 1, o.i + len(p)) = p),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid),
+votes AS (SELECT rid, template, label, length, key_from, key_to, place, pos, place - pos AS diagonal FROM grams JOIN tg USING (gram) JOIN tk USING (template)),
+diagonals AS (SELECT rid, template, diagonal, count(*) FILTER (WHERE pos BETWEEN key_from AND key_to) = any_value(key_to - key_from + 1) AS named FROM votes GROUP BY ALL),
+numbered AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER s <= {slack} THEN 0 ELSE 1 END AS fresh FROM diagonals WINDOW s AS (PARTITION BY rid, template ORDER BY diagonal)),
+spanned AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM numbered),
+spans AS (
+  SELECT v.rid, v.template, v.label, s.span, bool_or(s.named) AS named, max(v.length) AS length, max(v.place) + {gram} - min(v.place) AS extent FROM votes v JOIN spanned s USING (rid, template, diagonal) GROUP BY ALL
+), matched AS (
+  SELECT rid, template, span, count(DISTINCT pos + k) AS n FROM votes JOIN spanned USING (rid, template, diagonal), range({gram}) r(k) GROUP BY ALL
+), verified AS (SELECT rid, label, n / greatest(length, extent) AS share FROM spans JOIN matched USING (rid, template, span) WHERE named AND n / greatest(length, extent) >= {share}),
+found AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS share, count(*) AS n_spans FROM verified GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
 def oracle_sql() -> dict[str, str]:
     web = quality_rules.WEB
     bits = " + ".join(f"(CASE WHEN {fails} THEN {1 << i} ELSE 0 END)" for i, (_, fails) in enumerate(quality_rules.RULES))
@@ -179,4 +222,9 @@ def oracle_sql() -> dict[str, str]:
     field = "coalesce(strlen({0}) || ':' || {0}, '-')"
     leaf = lambda text: "sha256(" + " || ".join(field.format(text if c == "text" else f"{c}::VARCHAR") for c in merkle.FIELDS) + ")"
     tree = OP11_SQL.replace("{leaf_text}", leaf("text")).replace("{leaf_without}", leaf("replace(text, chr(10), '')"))
-    return {"op1_quality_rules": sql, "op11_merkle_manifest": tree}
+    scan = OP12_SQL
+    settings = {"gram": license_scan.GRAM, "slack": license_scan.SLACK, "share": license_scan.SHARE}
+    settings |= {"templates": _values((i, t.label, t.text, t.key) for i, t in enumerate(license_scan.TEMPLATES)), "phrases": _values(license_scan.PHRASES)}
+    for name, value in settings.items():
+        scan = scan.replace("{" + name + "}", str(value))
+    return {"op1_quality_rules": sql, "op12_license_scan": scan, "op11_merkle_manifest": tree}
