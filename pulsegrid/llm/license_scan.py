@@ -53,24 +53,25 @@ class Template:
         assert f" {self.key} " in f" {self.text} " and len(self.key.split()) >= GRAM
 
 
-def _notices(label: str, name: str, key: str | None = None) -> list[Template]:
-    return [Template(label, f"{verb} under {name}", key or name) for verb in ("licensed", "released", "distributed", "available")]
+def _notice(label: str, name: str, key: str | None = None) -> Template:
+    """Licensed, released, distributed or available under a name."""
+    return Template(label, f"under {name}", key or name)
 
 
 #: Notices as authors write them, and the openings and bodies of the licenses' public texts.
 TEMPLATES: tuple[Template, ...] = (
-    *_notices("mit", "the mit license"),
-    *_notices("apache-2", "the apache license version 2 0", "apache license version 2"),
-    *_notices("cc-by-nc", "cc by nc"),
-    *_notices("cc-by-sa", "cc by sa"),
-    *_notices("cc-by-nd", "cc by nd"),
-    *_notices("gpl-2", "the gnu general public license version 2"),
-    *_notices("gpl-3", "the gnu general public license version 3"),
-    *_notices("lgpl", "the gnu lesser general public license", "gnu lesser general public license"),
-    *_notices("agpl", "the gnu affero general public license", "gnu affero general public license"),
-    *_notices("mpl-2", "the mozilla public license version 2 0", "mozilla public license version 2"),
-    *_notices("bsd", "the bsd license"),
-    *_notices("isc", "the isc license"),
+    _notice("mit", "the mit license"),
+    _notice("apache-2", "the apache license version 2 0", "apache license version 2"),
+    _notice("cc-by-nc", "cc by nc"),
+    _notice("cc-by-sa", "cc by sa"),
+    _notice("cc-by-nd", "cc by nd"),
+    _notice("gpl-2", "the gnu general public license version 2"),
+    _notice("gpl-3", "the gnu general public license version 3"),
+    _notice("lgpl", "the gnu lesser general public license", "gnu lesser general public license"),
+    _notice("agpl", "the gnu affero general public license", "gnu affero general public license"),
+    _notice("mpl-2", "the mozilla public license version 2 0", "mozilla public license version 2"),
+    _notice("bsd", "the bsd license"),
+    _notice("isc", "the isc license"),
     Template("cc-by-nc", "creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
     Template("cc-by-sa", "creative commons attribution sharealike license", "creative commons attribution sharealike"),
     Template(
