@@ -46,26 +46,31 @@ def class_right(x, edges: Sequence[float] = BIN_EDGES, names: Sequence[str] = BI
 
 
 def clarke_zone(actual, predicted) -> Column:
-    """Zone A to E of the error grid, tested in this order."""
+    """Zone A to E of the error grid, tested in this order.
+
+    Low is below 70, high above 180. A: within a fifth of the reference, or both low. E: one low, the other high. D: a
+    reference that is low or above 240, predicted in between. C: a reference in between, predicted low or high. B: the rest.
+    """
     r, p = _c(actual), _c(predicted)
-    a = ((r <= 70) & (p <= 70)) | ((p <= 1.2 * r) & (p >= 0.8 * r))
-    e = ((r >= 180) & (p <= 70)) | ((r <= 70) & (p >= 180))
-    c = ((r >= 70) & (r <= 290) & (p >= r + 110)) | ((r >= 130) & (r <= 180) & (p <= 7 / 5 * r - 182))
-    d = ((r >= 240) & (p >= 70) & (p <= 180)) | ((r <= 175 / 3) & (p <= 180) & (p >= 70)) | ((r >= 175 / 3) & (r <= 70) & (p >= 6 / 5 * r))
-    return F.when(r.isNull() | p.isNull(), F.lit(None)).when(a, "A").when(e, "E").when(c, "C").when(d, "D").otherwise("B")
+    low, high, between = (lambda x: x < 70), (lambda x: x > 180), (lambda x: x.between(70, 180))
+    a = (F.abs(p - r) <= 0.20 * r) | (low(r) & low(p))
+    e = (low(r) & high(p)) | (high(r) & low(p))
+    d = (low(r) | (r > 240)) & between(p)
+    c = between(r) & ~between(p)
+    return F.when(r.isNull() | p.isNull(), F.lit(None)).when(a, "A").when(e, "E").when(d, "D").when(c, "C").otherwise("B")
 
 
 def overfit_verdict(ratio) -> Column:
-    """By the ratio of test to training error, severe first."""
+    """By the ratio of test to training error, severe first; a test error well below the training error is unusual."""
     r = _c(ratio)
-    return F.when(r > 3.0, "severe").when(r > 2.0, "overfit").when(r > 1.5, "mild").when(r < 0.8, "underfit").when(r.isNotNull(), "good")
+    return F.when(r > 3.0, "severe").when(r > 2.0, "moderate").when(r > 1.5, "mild").when(r >= 0.8, "good").when(r.isNotNull(), "test_better")
 
 
 def fit_verdict(r2_train, r2_test, mae_ratio, rmse_ratio) -> Column:
-    """Gaps and ratios of the two splits as one word."""
+    """Gaps and ratios of the two splits as one word: overfitting wins, underfitting needs both splits below 0.70."""
     over = (_c(r2_train) - _c(r2_test) > 0.05) | (_c(mae_ratio) > 1.15) | (_c(rmse_ratio) > 1.15)
-    under = _c(r2_train) < 0.70
-    return F.when(over & under, "both").when(over, "overfitting").when(under, "underfitting").otherwise("balanced")
+    under = (_c(r2_train) < 0.70) & (_c(r2_test) < 0.70)
+    return F.when(over, "overfitting").when(under, "underfitting").otherwise("well_generalised")
 
 
 def fit_scores(r2_train, r2_test, mae_ratio, rmse_ratio) -> tuple[Column, Column]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions import scalars
+from pulsegrid.shared import discard, materialize
 
 
 def first_match(labels: DataFrame, key: str, order: str) -> DataFrame:
@@ -63,73 +65,91 @@ def _joined(df: DataFrame, statistics: DataFrame) -> DataFrame:
 BUCKETS, FEW = 4096, 20_000
 
 
-def _ranks(rows: DataFrame, wanted: dict[str, list[int]], spans: dict[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
-    """The values at these ranks (from 0) of each column.
+@dataclass(frozen=True)
+class _Interval:
+    """Finite values of a column, of which ``ranks`` are sought; ``below`` values are smaller, ``n`` lie inside."""
 
-    Every round counts the values of an interval in buckets of equal width and goes on in the bucket that holds the rank;
-    the bucket's own least and largest value are the next interval. An interval of few values is sorted on the driver.
+    column: str
+    low: float
+    high: float
+    below: int
+    n: int
+    ranks: tuple[int, ...]
+    by_exponent: bool = False
+
+    def bucket(self) -> Column:
+        """A bucket number that grows with the value: of equal width, or sign and binary exponent."""
+        x = F.col(self.column)
+        if self.by_exponent:
+            return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x))) + 1100)).cast("int")
+        wide = math.isinf(self.high - self.low)  # then halves are far from the least numbers, and exact enough to stay in order
+        f, low, high = (0.5, self.low / 2, self.high / 2) if wide else (1.0, self.low, self.high)
+        return F.least(F.floor((x * f - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
+def _ranks(rows: DataFrame, open_: list[_Interval]) -> dict[tuple[str, int], float]:
+    """The values at the ranks (from 0) of the intervals' columns.
+
+    Every round counts the values of an interval in buckets and goes on in the bucket that holds the rank, between the
+    bucket's own least and largest value. Where buckets of equal width leave more than half of the values in one, the next
+    round's are sign and exponent; inside one exponent four rounds of equal width separate any two numbers, so the search ends
+    whatever the values. An interval of few values is sorted on the driver.
     """
     found: dict[tuple[str, int], float] = {}
-    # (column, low, high, values below, ranks): what is still to be searched
-    open_ = [(c, *spans[c], 0, sorted(set(r))) for c, r in wanted.items() if r]
-    sizes = {i: FEW + 1 for i in range(len(open_))}
     while open_:
-        jobs = []
-        for i, (c, low, high, below, ranks) in enumerate(open_):
-            if low == high:
-                found |= {(c, r): low for r in ranks}
-            else:
-                jobs.append((i, c, low, high, below, ranks))
-        parts = []
-        for i, c, low, high, _, _ in jobs:
-            x = F.col(c)
-            bucket = F.when(F.lit(sizes[i] <= FEW), F.lit(0)).otherwise(F.least(F.floor((x - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
-            inside = x.between(low, high)
-            parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("b"), x.alias("x"))))
+        for v in (v for v in open_ if v.low == v.high):
+            found |= {(v.column, r): v.low for r in v.ranks}
+        jobs = [v for v in open_ if v.low < v.high]
         if not jobs:
             break
+        few = [i for i, v in enumerate(jobs) if v.n <= FEW]
+        parts = []
+        for i, v in enumerate(jobs):
+            x = F.col(v.column)
+            parts.append(F.when(x.between(v.low, v.high), F.struct(F.lit(i).alias("i"), (F.lit(0) if i in few else v.bucket()).alias("b"), x.alias("x"))))
         cells = rows.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
-        few = [i for i, *_ in jobs if sizes[i] <= FEW]
-        values: dict[int, list[float]] = {i: [] for i in few}
+        values: dict[int, list[tuple[float, int]]] = {i: [] for i in few}
         if few:
             for r in cells.where(F.col("i").isin(few)).groupBy("i", "x").agg(F.count("*").alias("n")).collect():
                 values[r.i].append((r.x, r.n))
         counts = cells.where(~F.col("i").isin(few)).groupBy("i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect() if len(few) < len(jobs) else []
-        following, next_sizes = [], {}
-        for i, c, _, _, below, ranks in jobs:
+        open_ = []
+        for i, v in enumerate(jobs):
+            at = v.below
             if i in values:
-                at = below
                 for x, n in sorted(values[i]):
-                    found |= {(c, r): x for r in ranks if at <= r < at + n}
+                    found |= {(v.column, r): x for r in v.ranks if at <= r < at + n}
                     at += n
                 continue
-            at = below
             for r in sorted((r for r in counts if r.i == i), key=lambda r: r.b):
-                mine = [k for k in ranks if at <= k < at + r.n]
-                if mine:
-                    next_sizes[len(following)] = r.n
-                    following.append((c, r.lo, r.hi, at, mine))
+                if mine := tuple(k for k in v.ranks if at <= k < at + r.n):
+                    open_.append(_Interval(v.column, r.lo, r.hi, at, r.n, mine, not v.by_exponent and 2 * r.n > v.n))
                 at += r.n
-        open_, sizes = following, next_sizes
     return found
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact percentiles with linear interpolation, None for a column without values.
+    """Exact percentiles with linear interpolation, None for a column without values; infinities are values, NaN is none.
 
-    No task and no buffer holds a column: the driver gets counts per bucket, whatever the rows and distinct values.
+    The columns are written once and read in each round. No task and no buffer holds a column: the driver gets counts per
+    bucket, whatever the rows and distinct values.
     """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    usable = lambda c: F.when(~F.isnan(c), F.col(c))
-    rows = rows.select(*[usable(c).alias(c) for c in columns])
-    facts = rows.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    wanted: dict[str, list[int]] = {c: [] for c in columns}
+    usable = lambda c: F.when(~F.isnan(c), c)
+    rows = materialize(df.select(*[usable(F.col(c).cast("double")).alias(c) for c in columns]), "columns")
+    top = F.lit(float("inf"))
+    finite = lambda c: F.when(F.abs(c) < top, F.col(c))
+    facts = [f.alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count(c)), ("least", F.count_if(F.col(c) == -top)), ("most", F.count_if(F.col(c) == top)), ("lo", F.min(finite(c))), ("hi", F.max(finite(c))))]
+    facts = rows.agg(*facts).first()
+    found: dict[tuple[str, int], float] = {}
+    open_ = []
     for c in columns:
-        n = facts[f"{c}_n"]
-        for p in points if n else ():
-            at = p * (n - 1)
-            wanted[c] += [math.floor(at), math.ceil(at)]
-    found = _ranks(rows, wanted, {c: (facts[f"{c}_lo"], facts[f"{c}_hi"]) for c in columns})
+        n, least, most = (facts[f"{c}_{k}"] for k in ("n", "least", "most"))
+        ranks = sorted({f(p * (n - 1)) for p in points for f in (math.floor, math.ceil)}) if n else []
+        found |= {(c, r): -math.inf for r in ranks if r < least} | {(c, r): math.inf for r in ranks if r >= n - most}
+        if inner := tuple(r for r in ranks if least <= r < n - most):
+            open_.append(_Interval(c, facts[f"{c}_lo"], facts[f"{c}_hi"], least, n - least - most, inner))
+    found |= _ranks(rows, open_)
+    discard(rows)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         n, out[c] = facts[f"{c}_n"], []
@@ -186,27 +206,71 @@ def outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> Data
     return both.agg(*out).unpivot([], list(columns), "feature", "n_outliers")
 
 
+#: The chosen rows of a split are broadcast up to so many.
+CHOSEN = 100_000
+
+
 def stratified_split(df: DataFrame, stratum: str, quotas: dict[int, int], order: Sequence[Column | str], forced: Column | None = None) -> DataFrame:
-    """Adds split: the first ``quota`` rows of each stratum in order are test (forced ones first), the rest train."""
-    first = [(~forced).cast("int")] if forced is not None else []
-    n = F.row_number().over(Window.partitionBy(stratum).orderBy(*first, *order))
-    quota = F.coalesce(F.get(F.array(*[F.lit(quotas.get(i, 0)) for i in range(max(quotas, default=0) + 1)]), F.col(stratum)), F.lit(0))
-    return df.withColumn("split", F.when(n <= quota, "test").otherwise("train"))
-
-
-def check_split(df: DataFrame, stratum: str, quotas: dict[int, int], test_rows: int) -> list[str]:
-    """What is wrong with a split's settings for these data; empty if nothing."""
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
-    wrong = [f"negative quota {k}" for k, q in quotas.items() if q < 0]
-    wrong += [f"stratum {k}: {q} of {counts.get(k, 0)} rows" for k, q in quotas.items() if q > counts.get(k, 0)]
-    if sum(quotas.values()) != test_rows:
-        wrong.append(f"quotas sum to {sum(quotas.values())}, not {test_rows}")
-    if counts.get(None):
-        wrong.append(f"{counts[None]} rows outside every stratum")
-    if test_rows >= sum(counts.values()):
-        wrong.append("no training rows are left")
-    wrong += [f"stratum {k}: no training rows" for k, q in quotas.items() if q and q == counts.get(k, 0)]
-    return wrong
+    """Adds split: the first ``quota`` rows of each stratum in order are test (forced ones first), the rest train.
+
+    No stratum is sorted or sent to one task: each task keeps the best rows of a stratum up to its quota, and only these
+    meet. The rows are written first, so that those chosen are known by their number; they are broadcast if the quotas sum
+    to at most ``CHOSEN``.
+    """
+    wanted = {k: q for k, q in quotas.items() if q > 0}
+    if not wanted:
+        return df.withColumn("split", F.lit("train"))
+    keys = [F.coalesce((~forced).cast("int"), F.lit(1)).alias("_k")] if forced is not None else []
+    keys += [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order)]
+    rows = materialize(df.select("*", F.struct(*keys).alias("_order")).withColumn("_row", F.monotonically_increasing_id()), "split")
+    best = Window.partitionBy(stratum).orderBy("_order", "_row")
+    quota = F.element_at(F.create_map(*[F.lit(x) for k, q in wanted.items() for x in (k, q)]), F.col(stratum))
+    mine = rows.where(F.col(stratum).isin(list(wanted))).select("_row", stratum, "_order")
+    # a constant bound on the row number lets every task drop what is beyond it before anything is moved
+    ranked = mine.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max(wanted.values()))
+    chosen = ranked.where(F.col("_n") <= quota).select("_row", F.lit("test").alias("_split"))
+    chosen = F.broadcast(chosen) if sum(wanted.values()) <= CHOSEN else chosen
+    out = rows.join(chosen, "_row", "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_split", F.lit("train")).alias("split"))
+
+
+@dataclass(frozen=True)
+class SplitPlan:
+    """Settings of a split: rows of both sides, the strata's edges and names, test rows per name, forced row numbers from 1."""
+
+    n_train: int
+    n_test: int
+    edges: tuple[float, ...]
+    names: tuple[int, ...]
+    quotas: dict[int, int]
+    forced: tuple[int, ...] = ()
+
+
+def check_split(df: DataFrame, stratum: str, plan: SplitPlan) -> DataFrame:
+    """What is wrong with a plan for these data, as rows (step, problem) of six checks; none if it can be carried out.
+
+    1 both sides make up the table; 2 a name for each pair of edges; 3 a quota for each name and no other; 4 quotas add up to
+    the test rows; 5 forced rows are rows of the table, each once, and not more than test rows; 6 strata have their quota.
+    """
+    named = F.col(stratum).isin(list(plan.names))
+    counts = {r[0]: r[1] for r in df.groupBy(F.when(named, F.col(stratum)).alias("name")).count().collect()}
+    total, quotas = sum(counts.values()), plan.quotas
+    wrong: list[tuple[int, str]] = []
+    if plan.n_train + plan.n_test != total:
+        wrong.append((1, f"train {plan.n_train} and test {plan.n_test} rows of {total}"))
+    if len(plan.names) != len(plan.edges) - 1:
+        wrong.append((2, f"{len(plan.names)} names for {len(plan.edges) - 1} strata"))
+    wrong += [(3, f"no quota for {k}") for k in plan.names if k not in quotas]
+    wrong += [(3, f"quota for unknown {k}") for k in quotas if k not in plan.names]
+    if (given := sum(quotas.get(k, 0) for k in plan.names)) != plan.n_test:
+        wrong.append((4, f"quotas sum to {given}, not {plan.n_test}"))
+    wrong += [(5, f"forced row {r} of {total}") for r in plan.forced if not 1 <= r <= total]
+    if len(set(plan.forced)) < len(plan.forced):
+        wrong.append((5, "forced rows repeat"))
+    if len(plan.forced) > plan.n_test:
+        wrong.append((5, f"{len(plan.forced)} forced rows for {plan.n_test} test rows"))
+    wrong += [(6, f"stratum {k}: {quotas[k]} of {counts.get(k, 0)} rows") for k in plan.names if quotas.get(k, 0) > counts.get(k, 0)]
+    return df.sparkSession.createDataFrame(wrong, "step int, problem string")
 
 
 def folds(df: DataFrame, k: int, order: Sequence[Column | str], groups: int = 1024, group: Column | str | None = None) -> DataFrame:

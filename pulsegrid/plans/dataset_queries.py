@@ -200,7 +200,7 @@ def per_range_error(spark, sf_dir):
     return evaluate.per_range(predictions(spark, sf_dir), "y", "yhat")
 
 
-@query(PRED + ", s AS (SELECT o_custkey, avg(abs(y - yhat)) FILTER (WHERE o_orderkey % 4 = 0) / avg(abs(y - yhat)) FILTER (WHERE o_orderkey % 4 <> 0) AS r FROM p GROUP BY ALL) SELECT o_custkey, CASE WHEN r > 3 THEN 'severe' WHEN r > 2 THEN 'overfit' WHEN r > 1.5 THEN 'mild' WHEN r < 0.8 THEN 'underfit' WHEN r IS NOT NULL THEN 'good' END AS verdict FROM s")
+@query(PRED + ", s AS (SELECT o_custkey, avg(abs(y - yhat)) FILTER (WHERE o_orderkey % 4 = 0) / avg(abs(y - yhat)) FILTER (WHERE o_orderkey % 4 <> 0) AS r FROM p GROUP BY ALL) SELECT o_custkey, CASE WHEN r > 3 THEN 'severe' WHEN r > 2 THEN 'moderate' WHEN r > 1.5 THEN 'mild' WHEN r >= 0.8 THEN 'good' WHEN r IS NOT NULL THEN 'test_better' END AS verdict FROM s")
 def overfit_verdict(spark, sf_dir):
     p = predictions(spark, sf_dir)
     e, test = F.abs(F.col("y") - F.col("yhat")), F.col("o_orderkey") % 4 == 0
@@ -208,17 +208,16 @@ def overfit_verdict(spark, sf_dir):
     return s.select("o_custkey", scalars.overfit_verdict("r").alias("verdict"))
 
 
-@query("SELECT c_custkey, CASE WHEN (g > 0.05 OR m > 1.15) AND t < 0.7 THEN 'both' WHEN g > 0.05 OR m > 1.15 THEN 'overfitting' WHEN t < 0.7 THEN 'underfitting' ELSE 'balanced' END AS verdict FROM (SELECT c_custkey, (c_custkey % 100) / 100.0 AS t, (c_custkey % 11) / 100.0 AS g, 1 + (c_custkey % 7) / 20.0 AS m FROM customer)")
+@query("SELECT c_custkey, CASE WHEN t - s > 0.05 OR m > 1.15 OR q > 1.15 THEN 'overfitting' WHEN t < 0.7 AND s < 0.7 THEN 'underfitting' ELSE 'well_generalised' END AS verdict FROM (SELECT c_custkey, (c_custkey % 64) / 64.0 AS t, (c_custkey % 61) / 64.0 AS s, 1 + (c_custkey % 7) / 32.0 AS m, 1 + (c_custkey % 5) / 32.0 AS q FROM customer)")
 def fit_verdict(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 100) / 100.0).alias("t"), ((F.col("c_custkey") % 11) / 100.0).alias("g"), (1 + (F.col("c_custkey") % 7) / 20.0).alias("m"))
-    # gap and ratio are given: the test score is the training score without the gap, in whole hundredths
-    gap = F.when(F.col("g") > 0.05, 1.0).otherwise(0.0)
-    return c.select("c_custkey", scalars.fit_verdict("t", F.col("t") - gap, "m", F.lit(1.0)).alias("verdict"))
+    k = F.col("c_custkey")
+    verdict = scalars.fit_verdict(k % 64 / 64.0, k % 61 / 64.0, 1 + k % 7 / 32.0, 1 + k % 5 / 32.0)
+    return table(spark, sf_dir, "customer").select("c_custkey", verdict.alias("verdict"))
 
 
-CLARKE = """CASE WHEN (y <= 70 AND yhat <= 70) OR (yhat <= 1.2 * y AND yhat >= 0.8 * y) THEN 'A' WHEN (y >= 180 AND yhat <= 70) OR (y <= 70 AND yhat >= 180) THEN 'E'
-WHEN (y >= 70 AND y <= 290 AND yhat >= y + 110) OR (y >= 130 AND y <= 180 AND yhat <= 7 / 5 * y - 182) THEN 'C'
-WHEN (y >= 240 AND yhat >= 70 AND yhat <= 180) OR (y <= 175 / 3 AND yhat <= 180 AND yhat >= 70) OR (y >= 175 / 3 AND y <= 70 AND yhat >= 6 / 5 * y) THEN 'D' ELSE 'B' END"""
+CLARKE = """CASE WHEN abs(yhat - y) <= 0.2 * y THEN 'A' WHEN y < 70 AND yhat < 70 THEN 'A' WHEN y < 70 AND yhat > 180 THEN 'E' WHEN y > 180 AND yhat < 70 THEN 'E'
+WHEN y < 70 AND yhat >= 70 AND yhat <= 180 THEN 'D' WHEN y > 240 AND yhat >= 70 AND yhat <= 180 THEN 'D'
+WHEN y >= 70 AND y <= 180 AND yhat > 180 AND yhat > 1.2 * y THEN 'C' WHEN y >= 70 AND y <= 180 AND yhat < 70 AND yhat < 0.8 * y THEN 'C' ELSE 'B' END"""
 
 
 @query(PRED + f" SELECT o_orderkey, {CLARKE} AS zone FROM p")
@@ -279,10 +278,15 @@ def fit_scores(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(over, 6).alias("overfitting"), F.round(under, 6).alias("underfitting"))
 
 
-@query(CUST + f", k AS (SELECT {LEFT.format(x='y')} AS r, count(*) AS n FROM cu GROUP BY ALL) SELECT unnest(['negative quota 1', 'stratum 0: 1000000 of ' || (SELECT n FROM k WHERE r = 0) || ' rows', 'quotas sum to 999998, not 12', (SELECT n FROM k WHERE r IS NULL) || ' rows outside every stratum']) AS problem")
+@query(CUST + f""", k AS (SELECT {LEFT.format(x='y')} AS r, count(*) AS n FROM cu GROUP BY ALL), m AS (SELECT count(*) AS n FROM customer)
+SELECT unnest([1, 2, 3, 3, 4, 5, 5, 5, 6]) AS step, unnest([
+  'train 5 and test 12 rows of ' || (SELECT n FROM m), '5 names for 6 strata', 'no quota for 2', 'quota for unknown 9', 'quotas sum to 1000001, not 12',
+  'forced row 0 of ' || (SELECT n FROM m), 'forced row 999999999 of ' || (SELECT n FROM m), 'forced rows repeat', 'stratum 0: 1000000 of ' || (SELECT n FROM k WHERE r = 0) || ' rows']) AS problem""")
 def split_checks(spark, sf_dir):
+    """Every check of a split's settings but the one of too many forced rows fails here."""
     c = customers(spark, sf_dir).select(scalars.range_left("y").alias("range_id"))
-    return spark.createDataFrame([(x,) for x in dataset.check_split(c, "range_id", {0: 1_000_000, 1: -2}, 12)], "problem string")
+    plan = dataset.SplitPlan(n_train=5, n_test=12, edges=(40.0, 100.0, 125.0, 180.0, 240.0, 300.0, 400.0), names=(0, 1, 2, 3, 4), quotas={0: 1_000_000, 1: 1, 3: 0, 4: 0, 9: 7}, forced=(3, 0, 3, 999_999_999))
+    return dataset.check_split(c, "range_id", plan)
 
 
 @query(IMP + " SELECT feature, importance FROM (SELECT *, importance / sum(importance) OVER () AS s FROM i) WHERE s >= 0.04")

@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. A local session that has none gets a temporary folder; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _own.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
+        _own[app] = at  # the setting itself cannot be changed in a running session
     return at.rstrip("/")
 
 

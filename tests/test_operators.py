@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,8 +37,63 @@ def test_split_quotas_and_checks(spark):
     got = {(r.b, r.split): r["count"] for r in s.groupBy("b", "split").count().collect()}
     assert got == {(1, "train"): 37, (1, "test"): 7, (2, "train"): 21, (2, "test"): 4, (3, "train"): 5, (3, "test"): 1}
     assert s.where("id = 40").first().split == "test"
-    assert dataset.check_split(df, "b", quotas, 12) == []
-    assert len(dataset.check_split(df, "b", {1: 50, 2: -1}, 12)) == 3
+    plan = dataset.SplitPlan(63, 12, (0, 1, 2, 3), (1, 2, 3), quotas, (41,))
+    assert dataset.check_split(df, "b", plan).count() == 0
+    wrong = dataset.SplitPlan(60, 2, (0, 1, 2, 3), (1, 2), {1: 50, 3: -1}, (1, 1, 76))
+    assert sorted(r.step for r in dataset.check_split(df, "b", wrong).collect()) == [1, 2, 3, 3, 4, 5, 5, 5, 6]
+
+
+def test_split_sorts_no_stratum(spark):
+    """Ties and equal rows never take more than the quota, and tasks drop rows before they are moved."""
+    df = spark.range(5000).select((F.col("id") % 7).alias("x"), F.when(F.col("id") % 10 > 0, F.lit(0)).alias("b"))
+    s = dataset.stratified_split(df, "b", {0: 9, 5: 2}, ["x"])
+    assert {(r.b, r.split, r.x): r["count"] for r in s.where("split = 'test'").groupBy("b", "split", "x").count().collect()} == {(0, "test", 0): 9}
+    assert s.count() == 5000 and "WindowGroupLimit" in s._jdf.queryExecution().executedPlan().toString()
+    assert dataset.stratified_split(df, "b", {}, ["x"]).where("split = 'train'").count() == 5000
+
+
+CLARKE = [
+    (100, 120, "A"), (100, 80, "A"), (60, 69, "A"), (100, 121, "B"), (100, 190, "C"), (150, 60, "C"), (100, 65, "C"), (170, 230, "C"), (170, 204, "A"), (180, 217, "C"), (181, 230, "B"),
+    (69, 181, "E"), (69, 180, "D"), (181, 69, "E"), (181, 70, "B"), (241, 180, "D"), (240, 180, "B"), (250, 70, "D"), (70, 70, "A"), (70, 180, "B"), (70, 181, "C"), (None, 5, None), (5, None, None),
+]
+
+
+def test_clarke_zones(spark):
+    rows = [(None if r is None else float(r), None if p is None else float(p), z) for r, p, z in CLARKE]
+    df = spark.createDataFrame(rows, "r double, p double, zone string")
+    assert [x for x in df.select("r", "p", "zone", scalars.clarke_zone("r", "p").alias("got")).collect() if x.got != x.zone] == []
+
+
+def test_verdicts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    ratios = {3.1: "severe", 3.0: "moderate", 2.1: "moderate", 2.0: "mild", 1.6: "mild", 1.5: "good", 0.8: "good", 0.79: "test_better", None: None}
+    for r, v in ratios.items():
+        assert one(scalars.overfit_verdict(F.lit(r).cast("double"))) == v
+    fits = {(0.6, 0.5, 1.0, 1.0): "overfitting", (0.6, 0.58, 1.0, 1.0): "underfitting", (0.6, 0.75, 1.0, 1.0): "well_generalised", (0.9, 0.9, 1.2, 1.0): "overfitting", (0.9, 0.9, 1.0, 1.2): "overfitting", (0.9, 0.86, 1.15, 1.15): "well_generalised"}
+    for args, v in fits.items():
+        assert one(scalars.fit_verdict(*map(F.lit, args))) == v
+
+
+@pytest.mark.parametrize("kind", ["infinite", "wide", "denormal", "geometric", "plain"])
+def test_percentiles_of_any_doubles(spark, kind):
+    """30 000 rows: more than are sorted at once, so every case goes through the buckets."""
+    rng = np.random.default_rng(5)
+    n = 30_000
+    x = {
+        "infinite": np.where(rng.random(n) < 0.2, np.inf, np.where(rng.random(n) < 0.2, -np.inf, rng.normal(size=n))),
+        "wide": np.where(rng.random(n) < 0.1, rng.choice([-1.7e308, 1.7e308], n), rng.normal(size=n)),
+        "denormal": rng.integers(0, 1 << 20, n) * 5e-324,
+        "geometric": 2.0 ** rng.uniform(-1000, 1000, n) * rng.choice([-1.0, 1.0], n),
+        "plain": rng.normal(size=n),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": rng.normal(size=n)}))
+    points = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = dataset.percentiles(df, ["x", "y"], points)["x"]
+    x = np.sort(x)
+    for p, g in zip(points, got, strict=True):
+        at = p * (n - 1)
+        lo, hi = x[int(np.floor(at))], x[int(np.ceil(at))]
+        assert g == lo if lo == hi else lo <= g <= hi
 
 
 def test_folds_cover_all_rows(spark):
