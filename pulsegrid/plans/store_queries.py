@@ -37,35 +37,52 @@ def event_rows(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("seq"), F.col("value").alias("ir"), F.get_json_object("props", "$.k").cast("double").alias("red"))
 
 
-@query(S + "SELECT 'subject_' || subject_id AS subject, CAST(seq AS BIGINT) AS seq, round((seq - 1) / 400.0, 6) AS ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ir END AS ir, red FROM s WHERE event_id % 11 <> 0")
+@query(S + "SELECT 'subject ' || subject_id AS subject, CAST(seq AS BIGINT) AS seq, CASE WHEN subject_id % 3 = 2 THEN round((seq - 1) / 50.0, 6) ELSE round((seq - 1) / 400.0, 6) END AS ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ir END AS ir, red FROM s WHERE event_id % 11 <> 0")
 def csv_recordings(spark, sf_dir):
-    """Recordings in folders of CSV files, headers in another spelling, some bad numbers; written in sample order, read back."""
+    """Recordings in folders of CSV files: three spellings, orders and sets of columns, blanks in names, bad numbers; read in one call."""
     from pulsegrid.sources.readings import read_recordings
 
     s = samples(spark, sf_dir).withColumn("ir", F.when(F.col("event_id") % 11 == 0, F.lit("bad")).otherwise(F.col("ir").cast("string")))
-    rows = s.select(F.concat(F.lit("subject_"), F.col("subject_id").cast("string")).alias("folder"), "seq", F.col("ir").alias(" Infrared "), F.col("red").alias("RED_Value"))
+    ir, red, note = F.col("ir"), F.col("red"), F.lit("said, once")
+    kinds = [[ir.alias(" Infrared "), red.alias("RED_Value")], [red.alias("red"), note.alias("note"), ir.alias("IR_Value")], [((F.col("seq") - 1) / 50.0).alias("Timestamp"), red.alias("Red"), ir.alias("IR")]]
     at = fresh_path(spark, "recordings")
-    rows.repartitionByRange(8, "folder").sortWithinPartitions("folder", "seq").drop("seq").write.partitionBy("folder").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
-    found = read_recordings(spark, f"{at}/*", by="folder")
+    for i, columns in enumerate(kinds):
+        rows = s.where(F.col("subject_id") % 3 == i).select(F.concat(F.lit("subject "), F.col("subject_id").cast("string")).alias("folder"), "seq", *columns)
+        out = rows.repartitionByRange(8, "folder").sortWithinPartitions("folder", "seq").drop("seq").write.partitionBy("folder")
+        out.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/{i}")
+    found = read_recordings(spark, f"{at}/*/*", by="folder")
     return found.select(F.regexp_replace("subject", "^folder=", "").alias("subject"), "seq", F.round("ts", 6).alias("ts"), "ir", "red")
 
 
-@query("SELECT s_suppkey, 'rec_' || s_suppkey || '.csv' AS source_file, CASE WHEN s_suppkey % 3 = 0 THEN 'UNKNOWN' WHEN s_suppkey % 2 = 0 THEN 'REJECTED' ELSE 'SUCCESS' END AS status, CAST(400.0 + s_suppkey % 5 AS DOUBLE) AS hertz FROM supplier")
+@query("""SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey END AS s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN 'rec "' || s_suppkey || '".csv' END AS source_file,
+CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN 'UNKNOWN' WHEN s_suppkey % 2 = 0 THEN 'REJECTED' ELSE 'SUCCESS' END AS status, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(400.0 + s_suppkey % 5 AS DOUBLE) END AS hertz FROM supplier""")
 def json_documents(spark, sf_dir):
-    """Configuration documents in both key casings, keys at different depths; a line is a document."""
+    """Configuration documents in both key casings, keys at different depths, quotes in values, names of keys in strings, lines that are no JSON."""
     from pulsegrid.sources.readings import parse_documents
 
     k = F.col("s_suppkey")
-    state = F.when(k % 2 == 0, "REJECTED").otherwise("SUCCESS")
-    name, rate = F.concat(F.lit("rec_"), k.cast("string"), F.lit(".csv")), (400 + k % 5).cast("double")
-    low = F.to_json(F.struct(k.alias("id"), F.struct(name.alias("source_file"), F.when(k % 3 != 0, state).alias("status"), F.struct(rate.alias("sampling_rate_fs")).alias("more")).alias("metadata")))
-    high = F.to_json(F.struct(k.alias("id"), F.struct(name.alias("Source_File"), F.when(k % 3 != 0, state).alias("Status"), rate.alias("Sampling_Rate_Fs")).alias("Metadata")))
+    state, note = F.when(k % 2 == 0, "REJECTED").otherwise("SUCCESS"), F.lit('"status": "no"').alias("note")
+    name, rate = F.concat(F.lit('rec "'), k.cast("string"), F.lit('".csv')), (400 + k % 5).cast("double")
+    low = F.to_json(F.struct(k.alias("id"), F.struct(name.alias("source_file"), note, F.when(k % 3 != 0, state).alias("status"), F.array(F.struct(rate.alias("sampling_rate_fs"))).alias("more")).alias("metadata")))
+    high = F.to_json(F.struct(k.alias("id"), F.struct(note, name.alias("Source_File"), F.when(k % 3 != 0, state).alias("Status"), rate.alias("Sampling_Rate_Fs")).alias("Metadata")))
     at = fresh_path(spark, "documents")
-    rows = table(spark, sf_dir, "supplier").select((k % 50).alias("part"), F.when(k % 4 < 2, low).otherwise(high).alias("value"))
-    rows.write.partitionBy("part").text(at, lineSep="\n")
+    text = F.when(k % 7 == 0, F.lit('oops "status": "bad"')).when(k % 4 < 2, low).otherwise(high)
+    table(spark, sf_dir, "supplier").select((k % 50).alias("part"), text.alias("value")).write.partitionBy("part").text(at, lineSep="\n")
     return parse_documents(spark.read.text(f"{at}/*")).select(F.get_json_object("value", "$.id").cast("long").alias("s_suppkey"), "source_file", "status", "hertz")
 
 
+@query("SELECT p_partkey, unnest(['size', 'price']) AS feature, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS center, unnest([1.5, 2.5])::DOUBLE AS scale FROM part")
+def scaler_documents(spark, sf_dir):
+    """The scaler's list inside documents, at a depth that differs by document."""
+    from pulsegrid.sources.readings import scaler_parameters
+
+    entry = lambda name, center, scale: F.struct(F.lit(name).alias("feature"), center.cast("double").alias("center_median"), F.lit(scale).alias("scale_iqr"))
+    listed = F.array(entry("size", F.col("p_size"), 1.5), entry("flat", F.lit(1.0), 0.0), entry("price", F.col("p_retailprice"), 2.5)).alias("feature_scaler_parameters")
+    near, far = F.to_json(F.struct(F.struct(listed).alias("scaling"))), F.to_json(F.struct(F.array(F.struct(F.struct(F.struct(listed).alias("c")).alias("b"))).alias("a")))
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, near).otherwise(far).alias("document"))
+    return scaler_parameters(docs, "p_partkey", "document")
+
+
 @query("SELECT 'S' || c_custkey AS label_key, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS target FROM customer")
 def label_files(spark, sf_dir):
     """Reference labels from CSV; what is no number is missing."""

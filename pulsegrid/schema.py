@@ -20,10 +20,10 @@ RUNS = _table(id=_LONG, subject_id=_LONG, status=_TEXT, started_at=_TIME, comple
 PREDICTIONS = _table(id=_LONG, subject_id=_LONG, pipeline_run_id=_LONG, predicted=_DOUBLE, actual=_DOUBLE, features=T.MapType(_TEXT, _DOUBLE), created_at=_TIME)
 NODES = _table(tree=_INT, node=_INT, feature=_TEXT, threshold=_DOUBLE, yes=_INT, no=_INT, leaf=_DOUBLE, gain=_DOUBLE, cover=_DOUBLE)
 
-#: Fixed header spellings, lower case and trimmed, by canonical column.
+#: Fixed header spellings, lower case and trimmed, by canonical column; the first one that a header has counts.
 ALIASES = {
-    "ir": ("ir", "ir_value", "ir value", "ir_raw", "infrared"),
-    "red": ("red", "red_value", "red value", "red_raw"),
+    "ir": ("ir_value", "ir", "infrared", "ir value", "ir_raw"),
+    "red": ("red_value", "red", "red value", "red_raw"),
     "ts": ("ts", "timestamp", "time"),
 }
 
@@ -45,10 +45,9 @@ def resolve(columns: list[str], aliases: dict[str, tuple[str, ...]] | None = Non
     """Canonical name to the input's own; the first match wins. Raises if a required one is missing."""
     found: dict[str, str] = {}
     for name, spellings in (aliases or ALIASES).items():
-        for c in columns:
-            if c.strip().lower() in spellings:
-                found[name] = c
-                break
+        own = {c.strip().lower(): c for c in columns}
+        if hit := next((s for s in spellings if s in own), None):
+            found[name] = own[hit]
     if missing := [r for r in required if r not in found]:
         raise ValueError(f"missing columns: {', '.join(missing)}; found {', '.join(columns)}")
     return found

@@ -299,7 +299,7 @@ def test_recordings_and_documents(spark, tmp_path):
         mine = sorted((r.seq, r.ir, r.red) for r in rows if r.recording.split("/")[-2] == end)
         assert mine == [(i + 1, (i if end == "x" else -i), i) for i in range(5)]
     docs = readings.read_documents(spark, str(tmp_path / "x" / "*.json")).first()
-    assert (docs.source_file, docs.status, docs.hertz) == ('a \\"b\\".csv', "REJECTED", 400.0)
+    assert (docs.source_file, docs.status, docs.hertz) == ('a "b".csv', "REJECTED", 400.0)
 
 
 def test_artefacts(spark, tmp_path):
