@@ -37,7 +37,7 @@ from pulsegrid.llm.common import BATCH_ROWS, materialize
 from pulsegrid.llm.token_counts import SPACE, merge_table, pretokens
 
 #: Characters of text that make a chunk; a longer text is one by itself.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Pre-tokens of the piece model whose ids a worker keeps, and the longest of them.
 CACHE, KEPT = 400_000, 64
 
