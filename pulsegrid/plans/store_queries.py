@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def event_stream(spark, sf_dir):
     """The events as a stream of samples; a file stream lists folders: the table's own, or the one a single file lies in."""
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     parts = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory()
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 64)
     raw = source.parquet(f"{sf_dir}/events.parquet") if parts else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("ir"), F.get_json_object("props", "$.k").cast("double").alias("red"))
 
@@ -269,14 +270,26 @@ def stream_fan_out(spark, sf_dir):
     return raw.agg(F.round(F.sum("ir"), 3).alias("total")).join(counts.agg(F.sum("n").alias("n"), F.count_distinct("subject_id").alias("subjects")), how="inner").select("n", "subjects", "total")
 
 
-@query("SELECT CAST(ceil(count(*) / 400.0) AS BIGINT) AS files, count(*) AS n FROM events")
+@query("SELECT user_id AS subject_id, count(*) AS n FROM events GROUP BY ALL")
+def stream_stamped(spark, sf_dir):
+    """Arrivals stamped, with the seconds since the session began, in files of at most 400 rows."""
+    started = datetime.now(UTC) - timedelta(hours=1)
+    rows = stream.stamped(stream.stamped(event_stream(spark, sf_dir).drop("ts")), "since", started)
+    out = drained(spark, rows, "subject_id long, seq long, ir double, red double, arrived timestamp, since double", rows=400)
+    return out.where("arrived IS NOT NULL AND since BETWEEN 3600 AND 90000").groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, value AS ir FROM events)
+SELECT subject_id, CAST((seq - 1) // 20 AS BIGINT) AS flush, CASE WHEN count(*) = 20 THEN 'rows' ELSE 'stop' END AS cause, count(*) AS n FROM s GROUP BY subject_id, (seq - 1) // 20""")
 def stream_flush(spark, sf_dir):
-    """Samples flushed to files of at most 400 rows, arrivals stamped."""
+    """Flushes of 20 samples a subject, and what still waits when the source is empty."""
     at = fresh_path(spark, "flush")
-    rows = stream.stamped(event_stream(spark, sf_dir).drop("ts")).coalesce(1)
-    stream.write(rows, f"{at}/out", f"{at}/state", f"q-{uuid.uuid4().hex}", None, rows=400).start().awaitTermination()
-    got = spark.read.parquet(f"{at}/out").where("arrived IS NOT NULL").groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
-    return got.where("n <= 400").agg(F.count("*").alias("files"), F.sum("n").alias("n"))
+    rows = event_stream(spark, sf_dir).drop("ts")
+    with stream.rocksdb(spark, draining=True):
+        stream.write(stream.flushed(rows, 20), f"{at}/out", f"{at}/state", f"q-{uuid.uuid4().hex}", None).start().awaitTermination()
+    given = spark.read.schema(f"subject_id long, {stream.FLUSH_SCHEMA}").parquet(f"{at}/out").groupBy("subject_id", "flush", "cause").agg(F.count("*").alias("n"))
+    rest = stream.leftovers(spark, f"{at}/state").groupBy("subject_id", "flush").agg(F.lit("stop").alias("cause"), F.count("*").alias("n"))
+    return given.unionByName(rest)
 
 
 @query("WITH s AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events) SELECT subject_id, count(*) // 16 AS windows FROM s WHERE seq <= 32 GROUP BY ALL HAVING count(*) >= 16")
