@@ -57,31 +57,63 @@ def signal_quality(high: np.ndarray, raw: np.ndarray, fs: float) -> dict[str, fl
 
 
 def channel(norm: np.ndarray, mean: np.ndarray, rate: float, s: Settings) -> dict[str, float | None]:
-    """The 18 features of one channel from its normalised signal and its ensemble beat."""
-    fs, service = s.sampling.hertz, s.dialect == "service"
+    """The 18 features of one channel from its normalised signal and its ensemble beat, as offline and inference have them.
+
+    There is no rise if the beat starts with its peak, and no decay if it ends with it.
+    """
+    fs = s.sampling.hertz
     v, a = kernels.derivatives(mean, rate)
     if s.dialect == "offline":
         a = beats.fiducials(a, rate)[1]
-    elif service:
-        v, a = np.gradient(mean), np.gradient(np.gradient(mean))
-    dt = 1 / fs if service else (len(mean) / rate) / (len(mean) - 1)
+    dt = (len(mean) / rate) / (len(mean) - 1)
     centred = norm - norm.mean()
     peaks = kernels.find_peaks(centred, 0.33 * fs, max(0.01, 0.1 * centred.std()))
     gaps = np.diff(peaks) / fs
-    ddof = 0 if service else 1
-    ppi = float(gaps.mean()) if len(gaps) else 0.8 if service else None
-    hrv = (float(gaps.std(ddof=ddof) * 1000) if len(gaps) > ddof else 0.0) if len(gaps) else 30.0 if service else None
+    ppi = float(gaps.mean()) if len(gaps) else None
+    hrv = (float(gaps.std(ddof=1) * 1000) if len(gaps) > 1 else 0.0) if len(gaps) else None
     energy = mean[1:-1] ** 2 - mean[:-2] * mean[2:]
     top = int(mean.argmax())
     foot, end = int(mean[: top + 1].argmin()), top + int(mean[top:].argmin())
     after = np.flatnonzero((mean[top + 1 : -1] < mean[top:-2]) & (mean[top + 1 : -1] < mean[top + 2 :]))
     notch = top + 1 + int(after[0]) if len(after) else end
-    g1, g2 = kernels.moments(norm, False) if service else kernels.moments(mean)
+    g1, g2 = kernels.moments(mean)
     return {
         "skewness": g1, "kurtosis": g2, "shannon_entropy": kernels.shannon(norm), "spectral_entropy": kernels.entropy(kernels.welch(norm, fs)[1]),
         "pulse_width": kernels.half_width(mean, top) * dt, "ppi": ppi, "systolic_amplitude": float(np.ptp(mean)), "bpm": 60 / ppi if ppi else None, "hrv": hrv,
-        "teo_mean": float(energy.mean()), "teo_std": float(energy.std(ddof=ddof)), "derivative1_mean": float(v.mean()), "derivative2_mean": float(a.mean()), "derivative2_skewness": kernels.moments(a, not service)[0],
-        "harmonic_ratio": kernels.harmonic_ratio(mean), "rise_time": (top - foot) * dt, "decay_time": (end - top) * dt, "dicrotic_notch": float(notch) if service else notch * dt,
+        "teo_mean": float(energy.mean()), "teo_std": float(energy.std(ddof=1)), "derivative1_mean": float(v.mean()), "derivative2_mean": float(a.mean()), "derivative2_skewness": kernels.moments(a)[0],
+        "harmonic_ratio": kernels.harmonic_ratio(mean), "rise_time": (top - foot) * dt if top > 0 else None, "decay_time": (end - top) * dt if top < len(mean) - 1 else None, "dicrotic_notch": notch * dt,
+    }
+
+
+def service_channel(norm: np.ndarray, mean: np.ndarray, durations: np.ndarray, fs: float) -> dict[str, float | None]:
+    """The same names as the service defines them, from the whole normalised signal, its ensemble beat and the accepted beats' seconds.
+
+    Moments are biased; the histogram's entropy is that of its density; energy is taken over the whole signal, its ends repeated;
+    rise and decay reach to the nearest valleys, and the width counts samples above half of the rise; intervals are the beats'
+    durations; the harmonic ratio is the first peak of the magnitudes to their sum; the notch is the first maximum of the second
+    derivative after the peak, as a place in the beat.
+    """
+    g1, g2 = kernels.moments(norm, False)
+    density, edges = np.histogram(norm, 64, density=True)
+    inside = density[density > 0]
+    energy = np.pad(norm[1:-1] ** 2 - norm[:-2] * norm[2:], 1, mode="edge")
+    top = int(mean.argmax())
+    valleys = kernels.local_maxima(-mean)
+    start = int(valleys[valleys < top][-1]) if (valleys < top).any() else 0
+    end = int(valleys[valleys > top][0]) if (valleys > top).any() else len(mean) - 1
+    above = int((mean >= mean[start] + 0.5 * (mean[top] - mean[start])).sum())
+    ppi = float(durations.mean()) if len(durations) else 0.8
+    v = np.gradient(mean)
+    a = np.gradient(v)
+    waves = np.abs(np.fft.rfft(mean))
+    tones = kernels.local_maxima(waves[1:])
+    bends = kernels.local_maxima(a[top:])
+    notch = len(mean) // 2 if top >= len(mean) - 5 else top + int(bends[0] if len(bends) else a[top:].argmax())
+    return {
+        "skewness": g1, "kurtosis": g2, "shannon_entropy": float(-(inside * np.log2(inside)).sum()), "spectral_entropy": kernels.entropy(kernels.welch(norm, fs)[1]),
+        "pulse_width": above / fs, "ppi": ppi, "systolic_amplitude": float(np.ptp(mean)), "bpm": 60 / ppi, "hrv": float(durations.std() * 1000) if len(durations) > 1 else 30.0,
+        "teo_mean": float(energy.mean()), "teo_std": float(energy.std()), "derivative1_mean": float(v.mean()), "derivative2_mean": float(a.mean()), "derivative2_skewness": kernels.moments(a, False)[0],
+        "harmonic_ratio": float(waves[1:][tones[0]] / waves.sum()) if len(tones) else 0.0, "rise_time": (top - start) / fs, "decay_time": (end - top) / fs, "dicrotic_notch": float(notch),
     }
 
 
@@ -99,11 +131,12 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
     for k in range(len(ir)):
         row: dict = {"status": "SUCCESS", "reason": None}
         try:
-            mean, counts = {}, {}
+            mean, counts, seconds = {}, {}, {}
             for c in ("ir", "red"):
                 norm = stages[c]["norm"][k]
                 found = beats.detect(norm, fs, settings.beats) if inclusive else beats.peak_to_peak(norm, fs, settings.beats)
                 row[f"beats_{c}"] = len(found.accepted)
+                seconds[c] = np.array([p["next_foot"] - p["foot"] for p in found.accepted]) / fs
                 for p in [*found.pulses, *found.refused]:
                     if p["reason"]:
                         counts[f"{c}:{p['reason']}"] = counts.get(f"{c}:{p['reason']}", 0) + 1
@@ -119,9 +152,13 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
             else:
                 part = {}
                 for c in ("red", "ir"):
-                    row |= {f"{c}_{n}": x for n, x in channel(stages[c]["norm"][k], mean[c][0], mean[c][2], settings).items()}
-                    part[c] = _ratio(float(np.ptp(mean[c][0])) if inclusive else float(stages[c]["high"][k].std()), float(stages[c]["dc"][k].mean()))
-                row["ensemble_ratio"] = _ratio(part["red"] or 0.0, part["ir"] or 0.0)
+                    norm, beat = stages[c]["norm"][k], mean[c]
+                    of_channel = channel(norm, beat[0], beat[2], settings) if inclusive else service_channel(norm, beat[0], seconds[c], fs)
+                    row |= {f"{c}_{n}": x for n, x in of_channel.items()}
+                    part[c] = _ratio(float(np.ptp(beat[0]) if inclusive else norm.std()), float(stages[c]["dc"][k].mean()))
+                # the service has a value where the ratio is not defined
+                ratio = _ratio(part["red"] or 0.0, part["ir"] or 0.0) if inclusive or part["red"] is not None else None
+                row["ensemble_ratio"] = 0.5 if ratio is None and not inclusive else ratio
         except (ValueError, FloatingPointError, IndexError) as e:
             row |= {"status": "FAILED", "reason": str(e)}
         rows.append(row)
@@ -187,7 +224,7 @@ def vector24(averages: DataFrame, dialect: str = "offline") -> DataFrame:
 #: What the reason keys of a report mean.
 REASONS = {
     "edge_candidate_peak_start": "peak too close to the start", "edge_candidate_peak_end": "peak too close to the end", "no_left_valley_found": "no valley before the peak",
-    "valley_too_close_to_peak": "valley too close to the peak", "invalid_ordering": "foot not between valley and peak", "pulse_amplitude_non_positive": "no rise from valley to peak",
+    "valley_too_close_to_peak": "valley too close to the peak", "foot_missing": "no foot found", "invalid_ordering": "foot not between valley and peak", "pulse_amplitude_non_positive": "no rise from valley to peak",
     "foot_to_peak_too_short": "rise too fast", "foot_to_peak_too_long": "rise too slow", "foot_too_far_from_valley": "foot too far from the valley", "foot_too_high_on_pulse": "foot too high on the pulse",
     "vpg_not_near_zero_at_foot": "signal not at rest at the foot", "peak_foot_amplitude_too_small": "pulse too small", "no_peak_between_two_feet": "no peak between two feet",
     "no_main_peak_after_foot": "no main peak after the foot", "incomplete_at_signal_start": "pulse cut by the start", "incomplete_at_signal_end": "pulse cut by the end",

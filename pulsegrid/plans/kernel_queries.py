@@ -152,7 +152,7 @@ t AS (SELECT *, list_transform(range(2, {SIZE}), lambda i: x[i] * x[i] - x[i - 1
 SELECT t.subject_id, t.win, round(list_skewness(x), 6) AS skewness, round(list_kurtosis(x), 6) AS kurtosis, round(shannon_entropy, 6) AS shannon_entropy, round(spectral_entropy, 6) AS spectral_entropy,
   round({q.half_width('x', '(top - 1)', 'm')} * {DT}, 6) AS pulse_width, round(ppi, 6) AS ppi, round(list_max(x) - list_min(x), 6) AS systolic_amplitude, round(60 / ppi, 6) AS bpm, round(CASE WHEN n > 1 THEN 1000 * sd WHEN n = 1 THEN 0.0 END, 6) AS hrv,
   round(list_avg(te) / 1e6, 3) AS teo_mean, round(list_stddev_samp(te) / 1e6, 3) AS teo_std, round(list_avg(v), 3) AS derivative1_mean, round(list_avg(acc), 2) AS derivative2_mean, round(list_skewness(acc), 6) AS derivative2_skewness, round(harmonic_ratio, 6) AS harmonic_ratio,
-  round((top - foot) * {DT}, 6) AS rise_time, round((last - top) * {DT}, 6) AS decay_time, round((coalesce(dip, last) - 1) * {DT}, 6) AS dicrotic_notch
+  round(CASE WHEN top > 1 THEN (top - foot) * {DT} END, 6) AS rise_time, round(CASE WHEN top < {SIZE} THEN (last - top) * {DT} END, 6) AS decay_time, round((coalesce(dip, last) - 1) * {DT}, 6) AS dicrotic_notch
 FROM t JOIN ent USING (subject_id, win) JOIN sh USING (subject_id, win) LEFT JOIN beat USING (subject_id, win)"""
 
 
@@ -249,6 +249,31 @@ def service_beats(spark, sf_dir):
     return per_array(supplier_windows(spark, sf_dir), "foot long, next_foot long, reason string", f)
 
 
+@query(
+    f"""{SERVED}, nb AS (SELECT subject_id, win, count(*) AS beats, avg((next_foot - foot) / {HERTZ}) AS ppi, stddev_pop((next_foot - foot) / {HERTZ}) * 1000 AS hrv FROM s WHERE fine GROUP BY ALL), {q.waves('gm', SIZE)},
+e2 AS (SELECT subject_id, win, x AS y, {q.gradient('x', SIZE)} AS d1, list_position(x, list_max(x)) AS top FROM a),
+e3 AS (SELECT *, {q.gradient('d1', SIZE)} AS d2, coalesce(list_max(list_filter(range(2, top), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])), 1) AS start, coalesce(list_min(list_filter(range(top + 1, {SIZE}), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])), {SIZE}) AS last FROM e2),
+e4 AS (SELECT *, {q.centred('d2')} AS vd, len(list_filter(y, lambda v: v >= y[start] + 0.5 * (y[top] - y[start]))) AS above, list_min(list_filter(range(top + 1, {SIZE}), lambda j: d2[j] > d2[j - 1] AND d2[j] > d2[j + 1])) AS bend, list_position(d2[top:{SIZE}], list_max(d2[top:{SIZE}])) AS most FROM e3),
+mag AS (SELECT subject_id, win, k, sqrt({q.power('y', 'gm')}) AS p FROM e4, gm), tone AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after, sum(p) OVER (PARTITION BY subject_id, win) AS total FROM mag WINDOW w AS (PARTITION BY subject_id, win ORDER BY k)),
+hr AS (SELECT subject_id, win, coalesce(min_by(p / total, k) FILTER (WHERE k > 1 AND p > before AND p > after), 0.0) AS harmonic_ratio FROM tone GROUP BY ALL)
+SELECT subject_id, win, above / {HERTZ} AS pulse_width, round(coalesce(ppi, 0.8), 6) AS ppi, round(60 / coalesce(ppi, 0.8), 6) AS bpm, round(CASE WHEN beats > 1 THEN hrv ELSE 30.0 END, 6) AS hrv, round(list_max(y) - list_min(y), 6) AS systolic_amplitude, round(list_avg(d1), 3) AS derivative1_mean, round(list_avg(d2), 3) AS derivative2_mean,
+  round(list_avg(list_transform(vd, lambda e: e * e * e)) / list_avg(list_transform(vd, lambda e: e * e)) ** 1.5, 6) AS derivative2_skewness, round(harmonic_ratio, 6) AS harmonic_ratio, (top - start) / {HERTZ} AS rise_time, (last - top) / {HERTZ} AS decay_time,
+  CAST(CASE WHEN top - 1 >= {SIZE} - 5 THEN {SIZE // 2} ELSE coalesce(bend - 1, top + most - 2) END AS DOUBLE) AS dicrotic_notch
+FROM e4 JOIN hr USING (subject_id, win) LEFT JOIN nb USING (subject_id, win)"""
+)
+def service_channel_features(spark, sf_dir):
+    """What the service measures of a beat, of windows that stand for their own ensemble beat."""
+    places = {"pulse_width": 9, "ppi": 6, "bpm": 6, "hrv": 6, "systolic_amplitude": 6, "derivative1_mean": 3, "derivative2_mean": 3, "derivative2_skewness": 6, "harmonic_ratio": 6, "rise_time": 9, "decay_time": 9, "dicrotic_notch": 0}
+
+    def f(x):
+        norm = kernels.normalise(x)
+        seconds = np.array([p["next_foot"] - p["foot"] for p in beats.peak_to_peak(norm, HERTZ).accepted]) / HERTZ
+        found = features.service_channel(norm, x, seconds, HERTZ)
+        return [tuple(round(float(found[n]), k) for n, k in places.items())]
+
+    return per_array(supplier_windows(spark, sf_dir), ", ".join(f"{n} double" for n in places), f)
+
+
 @query(
     SERVED
     + f""", b AS (SELECT subject_id, win, x[foot + 1:next_foot] AS s FROM s JOIN nx USING (subject_id, win) WHERE fine), z AS (SELECT subject_id, win, 220 / median(len(s) / {HERTZ}) AS rate FROM b GROUP BY ALL),
@@ -390,24 +415,26 @@ C3 = "subject_id, win, c"
 #: The service's ensemble beats of both channels and what it measures of them, from the stages' lists.
 M = 220
 SERVICE = f"""{W}, {STAGE_LISTS}, {q.waves('g', SIZE)}, {q.waves('gm', M)}, nrm AS (SELECT {C3}, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM high),
-{q.peaks('pk', 'nrm', 0.4 * HERTZ, '0.2', C3)}, {q.peaks('pq', 'nrm', 0.33 * HERTZ, 'greatest(0.01, 0.1 * list_stddev_pop(x))', C3)},
+{q.peaks('pk', 'nrm', 0.4 * HERTZ, '0.2', C3)},
 pb AS (SELECT {C3}, i AS foot, lead(i) OVER w AS next_foot, count(*) OVER (PARTITION BY {C3}) AS n FROM pk WINDOW w AS (PARTITION BY {C3} ORDER BY i)),
-b AS (SELECT {C3}, x[foot + 1:next_foot] AS s FROM pb JOIN nrm USING ({C3}) WHERE n >= 3 AND next_foot IS NOT NULL AND (next_foot - foot) / {HERTZ} BETWEEN 0.35 AND 1.5), nb AS (SELECT {C3}, count(*) AS beats FROM b GROUP BY ALL),
+b AS (SELECT {C3}, x[foot + 1:next_foot] AS s FROM pb JOIN nrm USING ({C3}) WHERE n >= 3 AND next_foot IS NOT NULL AND (next_foot - foot) / {HERTZ} BETWEEN 0.35 AND 1.5),
+nb AS (SELECT {C3}, count(*) AS beats, avg(len(s) / {HERTZ}) AS ppi, stddev_pop(len(s) / {HERTZ}) * 1000 AS hrv FROM b GROUP BY ALL),
 t AS (SELECT {C3}, s, j, j * (len(s) - 1) / {M - 1}.0 AS p FROM b, range(0, {M}) t(j)), h AS (SELECT *, least(CAST(floor(p) AS BIGINT), len(s) - 2) AS k FROM t),
 e AS (SELECT {C3}, j, avg(s[k + 1] + (s[k + 2] - s[k + 1]) * (p - k)) AS mean FROM h GROUP BY ALL), en AS (SELECT {C3}, list(mean ORDER BY j) AS y FROM e GROUP BY ALL),
-gp AS (SELECT {C3}, (i - lag(i) OVER (PARTITION BY {C3} ORDER BY i)) / {HERTZ} AS gap FROM pq), bt AS (SELECT {C3}, avg(gap) AS ppi, stddev_pop(gap) * 1000 AS hrv FROM gp GROUP BY ALL),
-z AS (SELECT {C3}, nrm.x AS n, high.x AS hi, ch.x AS raw, {q.centred('nrm.x')} AS v, {q.centred('high.x')} AS vh FROM nrm JOIN high USING ({C3}) JOIN ch USING ({C3})),
+z AS (SELECT {C3}, nrm.x AS n, high.x AS hi, ch.x AS raw, {q.centred('nrm.x')} AS v, {q.centred('high.x')} AS vh, list_transform(range(2, {SIZE}), lambda i: nrm.x[i] * nrm.x[i] - nrm.x[i - 1] * nrm.x[i + 1]) AS mid FROM nrm JOIN high USING ({C3}) JOIN ch USING ({C3})),
 pw AS (SELECT {C3}, sum(inside) AS inside, sum(outside) AS outside, -sum(w / wt * log2(w / wt)) FILTER (WHERE w > 0) AS spectral_entropy FROM (SELECT *, sum(w) OVER (PARTITION BY {C3}) AS wt FROM (SELECT {C3}, {q.doubled('k', SIZE)} * {q.power(q.hann('v', SIZE), 'g')} AS w,
   CASE WHEN k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0 THEN {q.doubled('k', SIZE)} * {q.power('vh', 'g')} ELSE 0 END AS inside, CASE WHEN k * {HERTZ} / {SIZE} BETWEEN 0.5 AND 5.0 THEN 0 ELSE {q.doubled('k', SIZE)} * {q.power('vh', 'g')} END AS outside FROM z, g)) GROUP BY ALL),
-hs AS (SELECT {C3}, -sum(f * log2(f)) AS shannon_entropy FROM (SELECT {C3}, bin, count(*) / {SIZE}.0 AS f FROM (SELECT {C3}, least(floor(unnest(n) * 64), 63) AS bin FROM z) GROUP BY ALL) GROUP BY ALL),
-en2 AS (SELECT {C3}, y, {q.gradient('y', M)} AS d1, {q.centred('y')} AS vy, list_position(y, list_max(y)) AS top FROM en), en3 AS (SELECT *, {q.gradient('d1', M)} AS d2 FROM en2),
-en4 AS (SELECT *, {q.centred('d2')} AS vd, list_transform(range(2, {M}), lambda i: y[i] * y[i] - y[i - 1] * y[i + 1]) AS te, list_position(y[1:top], list_min(y[1:top])) AS foot, top - 1 + list_position(y[top:{M}], list_min(y[top:{M}])) AS last,
-  list_min(list_filter(range(top + 1, {M}), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])) AS dip, y[top] - greatest(list_min(y[1:top]), list_min(y[top:{M}])) AS m FROM en3),
-hr AS (SELECT {C3}, max(p) FILTER (WHERE k > 0) / (sum(p) FILTER (WHERE k > 0) - max(p) FILTER (WHERE k > 0)) AS harmonic_ratio FROM (SELECT {C3}, k, {q.power('vy', 'gm')} AS p FROM en4, gm) GROUP BY ALL),
-cf AS (SELECT {C3}, coalesce(beats, 0) AS beats, {POWERS.format(v='v', s='_n')}, shannon_entropy, spectral_entropy, {q.half_width('y', '(top - 1)', 'm')} / {HERTZ} AS pulse_width, coalesce(ppi, 0.8) AS ppi, list_max(y) - list_min(y) AS systolic_amplitude, 60 / coalesce(ppi, 0.8) AS bpm,
-  CASE WHEN ppi IS NULL THEN 30.0 ELSE hrv END AS hrv, list_avg(te) AS teo_mean, list_stddev_pop(te) AS teo_std, list_avg(d1) AS derivative1_mean, list_avg(d2) AS derivative2_mean, {POWERS.format(v='vd', s='_d')}, harmonic_ratio, (top - foot) / {HERTZ} AS rise_time, (last - top) / {HERTZ} AS decay_time, CAST(coalesce(dip, last) - 1 AS DOUBLE) AS dicrotic_notch,
-  list_stddev_pop(hi) / list_avg(raw) AS part, {POWERS.format(v='vh', s='_h')}, 100 * (list_max(hi) - list_min(hi)) / abs(list_avg(raw)) AS sqi_perfusion, 10 * log10(inside / outside) AS sqi_snr_db, len(list_filter(range(2, {SIZE + 1}), lambda i: (hi[i] < 0) <> (hi[i - 1] < 0))) / 2 / ({SIZE} / {HERTZ}) AS sqi_zcr_hz
-  FROM z JOIN pw USING ({C3}) JOIN hs USING ({C3}) LEFT JOIN nb USING ({C3}) LEFT JOIN bt USING ({C3}) LEFT JOIN en4 USING ({C3}) LEFT JOIN hr USING ({C3})),
+hs AS (SELECT {C3}, -sum(f * log2(f)) AS shannon_entropy FROM (SELECT {C3}, bin, count(*) * 64.0 / {SIZE} AS f FROM (SELECT {C3}, least(floor(unnest(n) * 64), 63) AS bin FROM z) GROUP BY ALL) GROUP BY ALL),
+en2 AS (SELECT {C3}, y, {q.gradient('y', M)} AS d1, list_position(y, list_max(y)) AS top FROM en),
+en3 AS (SELECT *, {q.gradient('d1', M)} AS d2, coalesce(list_max(list_filter(range(2, top), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])), 1) AS start, coalesce(list_min(list_filter(range(top + 1, {M}), lambda j: y[j] < y[j - 1] AND y[j] < y[j + 1])), {M}) AS last FROM en2),
+en4 AS (SELECT *, {q.centred('d2')} AS vd, len(list_filter(y, lambda v: v >= y[start] + 0.5 * (y[top] - y[start]))) AS above, list_min(list_filter(range(top + 1, {M}), lambda j: d2[j] > d2[j - 1] AND d2[j] > d2[j + 1])) AS bend, list_position(d2[top:{M}], list_max(d2[top:{M}])) AS most FROM en3),
+mag AS (SELECT {C3}, k, sqrt({q.power('y', 'gm')}) AS p FROM en4, gm), tone AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after, sum(p) OVER (PARTITION BY {C3}) AS total FROM mag WINDOW w AS (PARTITION BY {C3} ORDER BY k)),
+hr AS (SELECT {C3}, coalesce(min_by(p / total, k) FILTER (WHERE k > 1 AND p > before AND p > after), 0.0) AS harmonic_ratio FROM tone GROUP BY ALL),
+cf AS (SELECT {C3}, coalesce(beats, 0) AS beats, {POWERS.format(v='v', s='_n')}, shannon_entropy, spectral_entropy, above / {HERTZ} AS pulse_width, coalesce(ppi, 0.8) AS ppi, list_max(y) - list_min(y) AS systolic_amplitude, 60 / coalesce(ppi, 0.8) AS bpm,
+  CASE WHEN beats > 1 THEN hrv ELSE 30.0 END AS hrv, list_avg(list_concat([mid[1]], mid, [mid[-1]])) AS teo_mean, list_stddev_pop(list_concat([mid[1]], mid, [mid[-1]])) AS teo_std, list_avg(d1) AS derivative1_mean, list_avg(d2) AS derivative2_mean, {POWERS.format(v='vd', s='_d')}, harmonic_ratio,
+  (top - start) / {HERTZ} AS rise_time, (last - top) / {HERTZ} AS decay_time, CAST(CASE WHEN top - 1 >= {M} - 5 THEN {M // 2} ELSE coalesce(bend - 1, top + most - 2) END AS DOUBLE) AS dicrotic_notch,
+  list_stddev_pop(n) / list_avg(raw) AS part, {POWERS.format(v='vh', s='_h')}, 100 * (list_max(hi) - list_min(hi)) / abs(list_avg(raw)) AS sqi_perfusion, 10 * log10(inside / outside) AS sqi_snr_db, len(list_filter(range(2, {SIZE + 1}), lambda i: (hi[i] < 0) <> (hi[i - 1] < 0))) / 2 / ({SIZE} / {HERTZ}) AS sqi_zcr_hz
+  FROM z JOIN pw USING ({C3}) JOIN hs USING ({C3}) LEFT JOIN nb USING ({C3}) LEFT JOIN en4 USING ({C3}) LEFT JOIN hr USING ({C3})),
 tw AS (SELECT i.subject_id, i.win, least(i.beats, r.beats) >= 3 AS ok, i AS i, r AS r FROM cf i JOIN cf r ON i.subject_id = r.subject_id AND i.win = r.win AND i.c = 'ir' AND r.c = 'red')
 """
 #: Decimals compared where it is not 5: fractions of a sample end on a 5 if cut too early.
@@ -419,14 +446,18 @@ SQL_NAMES = {"skewness": "skew_n", "kurtosis": "kurt_n", "derivative2_skewness":
 @query(
     SERVICE
     + " SELECT subject_id, win, CASE WHEN ok THEN 'SUCCESS' ELSE 'REJECTED' END AS status, CASE WHEN NOT ok THEN 'too_few_beats' END AS reason, CAST(i.beats AS INTEGER) AS beats_ir, CAST(r.beats AS INTEGER) AS beats_red, "
-    + ", ".join(f"round(CASE WHEN ok THEN {c[0]}.{SQL_NAMES.get(n, n)} END, {PLACES.get(n, 5)}) AS {c}_{n}" for c in ("red", "ir") for n in features.NAMES)
+    + ", ".join(f"round(CASE WHEN ok THEN {c[0]}.{SQL_NAMES.get(n, n)} END, {PLACES.get(n, 5)}) AS {c}_{n}" for c in ("red", "ir") for n in features.NAMES if n != "dicrotic_notch")
     + ", round(CASE WHEN ok THEN r.part / i.part END, 5) AS ensemble_ratio, "
     + ", ".join(f"round({c[0]}.{SQL_NAMES.get(f'sqi_{n}', f'sqi_{n}')}, 5) AS {c}_sqi_{n}" for c in ("red", "ir") for n in features.SQI)
     + " FROM tw"
 )
 def dsp_window_features(spark, sf_dir):
-    """All features per window, as the service has them, with the window's status."""
-    found = features.window_features(supplier_windows(spark, sf_dir), narrow()).drop("rejections")
+    """All features per window, as the service has them, with the window's status.
+
+    Beats of a few samples become lines between them, whose second derivative is rounding noise: the notch, its first maximum, is
+    compared by ``service_channel_features``.
+    """
+    found = features.window_features(supplier_windows(spark, sf_dir), narrow()).drop("rejections", "red_dicrotic_notch", "ir_dicrotic_notch")
     return found.select(*found.columns[:6], *[F.round(c, PLACES.get(c.partition("_")[2], 5)).alias(c) for c in found.columns[6:]])
 
 

@@ -275,7 +275,9 @@ def stream_stamped(spark, sf_dir):
     """Arrivals stamped, with the seconds since the session began, in files of at most 400 rows."""
     started = datetime.now(UTC) - timedelta(hours=1)
     rows = stream.stamped(stream.stamped(event_stream(spark, sf_dir).drop("ts")), "since", started)
-    out = drained(spark, rows, "subject_id long, seq long, ir double, red double, arrived timestamp, since double", rows=400)
+    at = fresh_path(spark, "stamped")
+    stream.write(rows, f"{at}/out", f"{at}/state", f"q-{uuid.uuid4().hex}", None, rows=400).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
     return out.where("arrived IS NOT NULL AND since BETWEEN 3600 AND 90000").groupBy("subject_id").agg(F.count("*").alias("n"))
 
 

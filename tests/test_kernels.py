@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -168,3 +169,26 @@ def test_fiducials_in_order():
     f, _ = beats.fiducials(np.gradient(np.gradient(x)), 220.0)
     found = [v for v in f.values() if v is not None]
     assert found == sorted(found)
+
+
+def test_service_features_where_they_are_not_defined():
+    """Fallbacks of the service: no beats, one beat, a peak at the end, no tone, no notch."""
+    norm = np.linspace(0, 1, 400) ** 2
+    up = np.linspace(0, 1, 220)
+    none = features.service_channel(norm, up, np.zeros(0), 400.0)
+    assert (none["ppi"], none["bpm"], none["hrv"], none["decay_time"], none["dicrotic_notch"]) == (0.8, 75.0, 30.0, 0.0, 110.0)
+    assert features.service_channel(norm, up, np.array([0.9]), 400.0)["hrv"] == 30.0
+    assert features.service_channel(norm, up, np.array([0.8, 1.0]), 400.0)["hrv"] == pytest.approx(100.0)
+    beat = np.r_[0.2, 0.0, 0.5, 1.0, 0.6, 0.3, 0.4, 0.2, 0.1, 0.1, 0.1, 0.1]
+    got = features.service_channel(norm, beat, np.array([1.0]), 10.0)
+    assert (got["rise_time"], got["decay_time"], got["pulse_width"]) == (0.2, 0.2, 0.3)
+    waves = np.abs(np.fft.rfft(beat))
+    first = next(k for k in range(2, len(waves) - 1) if waves[k - 1] < waves[k] > waves[k + 1])
+    assert got["harmonic_ratio"] == pytest.approx(waves[first] / waves.sum())
+
+
+def test_no_rise_or_decay_at_the_ends():
+    s, norm = Settings(), np.sin(np.arange(6000) / 40)
+    falling, rising = np.linspace(1, 0, 220), np.linspace(0, 1, 220)
+    assert features.channel(norm, falling, 220.0, s)["rise_time"] is None and features.channel(norm, falling, 220.0, s)["decay_time"] > 0
+    assert features.channel(norm, rising, 220.0, s)["decay_time"] is None and features.channel(norm, rising, 220.0, s)["rise_time"] > 0
