@@ -1,5 +1,7 @@
 """Main text of pages: layouts the tree was not grown on, features that decide, edges."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -47,6 +49,18 @@ LAYOUTS = {
 }
 
 
+LINKS = "".join(f"<li><a href=/{i}>{t(n)}</a></li>" for i, n in enumerate((3, 7, 2, 9, 1)))
+LAYOUTS |= {
+    "a linked headline": (f"<body><nav>{NAV}</nav><article><h1><a href=/mill>The mill by the river</a></h1>{ARTICLE}</article><footer>x</footer>", ["The mill by the river", *TEXT]),
+    "references": (f"<body><nav>{NAV}</nav><article><h1>Mill</h1>{ARTICLE}<h2>References</h2><ol>{LINKS}</ol></article><aside>{NAV}</aside>", ["Mill", *TEXT, "References", *[t(n) for n in (3, 7, 2, 9, 1)]]),
+    "a linked list in the text": (f"<body>{NAV}<article><h1>Mill</h1><p>{t(30)}</p><ul>{LINKS}</ul><p>{t(40)}</p></article>{NAV}", ["Mill", t(30), *[t(n) for n in (3, 7, 2, 9, 1)], t(40)]),
+    "linked cells": (
+        f"<body><article><h1>Mill</h1><p>{t(30)}</p><table><tr><th>Year<th>Mill<tr><td>1850<td><a>Old mill</a><tr><td><a>1900</a><td>New mill</table><p>{t(20)}</p></article><footer>{NAV}</footer>",
+        ["Mill", t(30), "Year", "Mill", "1850", "Old mill", "1900", "New mill", t(20)],
+    ),
+}
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_layouts(name):
     page, want = LAYOUTS[name]
@@ -75,22 +89,26 @@ def test_names_and_short_pages():
 
 
 def test_numbers_decide(spark, sf_dir):
-    """On the pages: article blocks stay, others go; and the verdicts hang on own and neighbours' words and densities."""
+    """On the pages: article blocks stay, others go. With all marks but headings taken away, words and densities alone lose none of the
+    articles' blocks and tell most of the others (reader comments and notices read like text), and verdicts hang on them."""
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     tree, found = html_text.default_tree(), [html_text.blocks(p) for p in pages]
-    x = np.vstack([html_text.block_features(b) for b in found])
-    verdict, inside = tree.predict(x), np.array([bool(b.flags & html_text.INSIDE) for page in found for b in page])
-    assert (verdict == inside).all()
-    rng, share = np.random.default_rng(0), {}
+    inside = np.array([bool(b.flags & html_text.INSIDE) for page in found for b in page])
+    assert (tree.predict(np.vstack([html_text.block_features(b) for b in found])) == inside).all()
+    bare = [[html_text.replace(b, flags=b.flags & html_text.HEADING) for b in page] for page in found]
+    x = np.vstack([html_text.block_features(b) for b in bare])
+    verdict = tree.predict(x)
+    assert verdict[inside].all() and (verdict == inside).mean() > 0.85
+    rng, worse = np.random.default_rng(0), {}
     for f, name in enumerate(html_text.KINDS):
         other = x.copy()
         other[:, f] = rng.permutation(x[:, f])
-        share[name] = float((tree.predict(other) != verdict).mean())
+        worse[name] = float((tree.predict(other) != verdict).mean())
     assert tree.feature[0] == html_text.KINDS.index("density") and {"density before", "density after", "words after"} <= {html_text.KINDS[f] for f in tree.feature if f >= 0}
     # values of other blocks in place of a block's own change so many verdicts
-    assert share["words"] > 0.02 and share["density"] > 0.02 and share["words after"] > 0.01 and share["density after"] > 0.005, share
+    assert worse["words"] > 0.05 and worse["density"] > 0.1 and worse["density before"] + worse["density after"] > 0.01, worse
     x, y = html_text.labelled_table()
-    assert len(x) < 600 and (tree.predict(x) == (y > 0.5)).mean() > 0.98
+    assert len(x) < 1000 and (tree.predict(x) == (y > 0.5)).mean() > 0.98
 
 
 def test_pages(spark, sf_dir):
@@ -100,3 +118,11 @@ def test_pages(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", PAGE, "x"), (None, "u", PAGE, "x"), (2, "v", "<p>" * 5000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in html_text.extract(odd).collect())[:2] == [0, 0]
     assert html_text.extract(odd.limit(0)).count() == 0
+
+
+def test_deep_markup_is_read_in_one_pass():
+    """Many open elements between a list and its items, and closing tags of far ones, cost no search."""
+    began = time.time()
+    page = "<li><ul>" + "<span>" * 60_000 + "<li>x" * 60_000 + "</ul>" + "<p>" * 60_000 + "<b>" * 60_000 + "</i>" * 60_000 + "<div>" * 60_000 + "</div>" * 60_000
+    assert html_text.main_texts([page])[0].count("x") <= 60_000
+    assert time.time() - began < 30
