@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +62,57 @@ def first_index_of_max(x) -> Column:
 def trailing(x, n: int) -> Column:
     a = _c(x)
     return F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), n)
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def dot(x, y) -> Column:
+    return F.aggregate(F.zip_with(_c(x), _c(y), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def fir(x, kernel: Sequence[float], at: Column) -> Column:
+    """The symmetric filter ``kernel`` (odd length) centred at place ``at``; beyond the ends the edge value holds."""
+    a, h = _c(x), len(kernel) // 2
+    place = lambda k: F.greatest(F.lit(0), F.least(F.size(a) - 1, at + k - h))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(kernel) - 1)), F.lit(0.0), lambda s, k: s + F.get(_numbers(kernel), k) * F.get(a, place(k)))
+
+
+def savgol(x, window: int, degree: int) -> Column:
+    """Least-squares smoothing as dot products: inner samples by the middle row of the projection matrix of a window, the ends by
+    the other rows over the first and the last window. window: odd; NULL for arrays that are not longer."""
+    a, h = _c(x), window // 2
+    basis = np.vander(np.arange(-h, h + 1), degree + 1, increasing=True).astype(float)
+    rows = F.array(*[_numbers(r) for r in basis @ np.linalg.pinv(basis)])
+    n = F.size(a)
+
+    def at(i: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(n - window, i - h))
+        return dot(F.slice(a, start + 1, window), F.get(rows, i - start))
+
+    return F.when(n > window, F.transform(F.sequence(F.lit(0), n - 1), at))
+
+
+def gradient(x, times: float = 1.0) -> Column:
+    """Central differences, one-sided at the ends."""
+    a = _c(x)
+    n = F.size(a)
+
+    def at(i: Column) -> Column:
+        before, after = F.greatest(F.lit(0), i - 1), F.least(n - 1, i + 1)
+        return (F.get(a, after) - F.get(a, before)) / (after - before) * times
+
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+
+def shannon(x, bins: int = 64) -> Column:
+    """Entropy in bits of the histogram over the array's range; 0 for a constant."""
+    a = _c(x)
+    low, high = F.array_min(a), F.array_max(a)
+    bin_of = F.transform(a, lambda v: F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0))
+    ordered = F.array_sort(bin_of)
+    # a run of equal bins ends where the next bin differs; its length is the distance of two ends
+    ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    share = F.transform(ends, lambda e, k: (e - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)) / F.size(a))
+    return -F.aggregate(share, F.lit(0.0), lambda s, p: s + p * F.log2(p)) + 0.0

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pulsegrid.config import Beats, Sampling, Settings
-from pulsegrid.functions import kernels
-from pulsegrid.operators import beats, features
+from pulsegrid.functions import arrays, kernels
+from pulsegrid.operators import beats, features, signals
 from pulsegrid.plans import sqltext as q
 from pulsegrid.plans.registry import query, table
-from pulsegrid.plans.signal_queries import A, S, windowed
+from pulsegrid.plans.signal_queries import A, S, samples, windowed
 from pulsegrid.operators.windows import collect_windows, cut_windows, number_rows
 
 #: A supplier's line items in order of shipping are samples at this rate, in windows of this many.
@@ -101,12 +101,10 @@ def fft_magnitude(spark, sf_dir):
 
 @query(f"{W}, s AS (SELECT subject_id, win, {q.savgol('x', SIZE, 21, 3)} AS u, {q.savgol('x', SIZE, 13, 2)} AS v FROM a) SELECT subject_id, win, unnest(range(0, {SIZE})) AS i, round(unnest(u), 3) AS smooth21, round(unnest(v), 3) AS smooth13 FROM s")
 def savgol(spark, sf_dir):
-    """Windows 21 and 13, degrees 3 and 2, ends by the polynomials of the first and last window."""
-
-    def f(x):
-        return [(i, round(float(u), 3), round(float(v), 3)) for i, (u, v) in enumerate(zip(kernels.savgol(x, 21, 3), kernels.savgol(x, 13, 2), strict=True))]
-
-    return per_array(supplier_windows(spark, sf_dir), "i long, smooth21 double, smooth13 double", f)
+    """Windows 21 and 13, degrees 3 and 2, ends by the polynomials of the first and last window; dot products of arrays."""
+    d = supplier_windows(spark, sf_dir).select("subject_id", "win", arrays.savgol("ir", 21, 3).alias("u"), arrays.savgol("ir", 13, 2).alias("v"))
+    d = d.select("subject_id", "win", F.posexplode(F.arrays_zip("u", "v")).alias("i", "s"))
+    return d.select("subject_id", "win", F.col("i").cast("long").alias("i"), F.round("s.u", 3).alias("smooth21"), F.round("s.v", 3).alias("smooth13"))
 
 
 DERIVED = f"""s1 AS (SELECT subject_id, win, x, {q.savgol('x', SIZE, 7, 3)} AS u FROM a), s2 AS (SELECT subject_id, win, x, {q.gradient('u', SIZE, HERTZ)} AS u FROM s1),
@@ -116,10 +114,24 @@ dv AS (SELECT subject_id, win, x, v, {q.savgol('u', SIZE, 5, 2)} AS acc FROM s4)
 
 @query(f"{W}, {DERIVED} SELECT subject_id, win, unnest(range(0, {SIZE})) AS i, round(unnest(v), 1) AS velocity, round(unnest(acc), 0) AS acceleration FROM dv")
 def derivatives(spark, sf_dir):
-    def f(x):
-        return [(i, round(float(u), 1), float(np.round(v, 0))) for i, (u, v) in enumerate(zip(*kernels.derivatives(x, HERTZ), strict=True))]
+    d = signals.smoothed_derivatives(supplier_windows(spark, sf_dir), "ir", HERTZ)
+    d = d.select("subject_id", "win", F.posexplode(F.arrays_zip("velocity", "acceleration")).alias("i", "s"))
+    return d.select("subject_id", "win", F.col("i").cast("long").alias("i"), F.round("s.velocity", 1).alias("velocity"), F.round("s.acceleration", 0).alias("acceleration"))
+
 
-    return per_array(supplier_windows(spark, sf_dir), "i long, velocity double, acceleration double", f)
+TAPS, BY = 11, 4
+CLAMPED = "list_sum(list_transform(range(-{h}, {h} + 1), lambda k: w[k + {h} + 1] * {x}[greatest(1, least(len({x}), i + k))]))"
+
+
+@query(
+    S
+    + f""", l AS (SELECT subject_id, list(ir ORDER BY seq) AS x, list(red ORDER BY seq) AS y, {q.numbers(signals.lowpass_kernel(BY, TAPS))} AS w FROM s GROUP BY ALL), o AS (SELECT *, unnest(range(1, len(x) + 1, {BY})) AS i FROM l)
+SELECT subject_id, CAST((i - 1) // {BY} + 1 AS BIGINT) AS seq, round({CLAMPED.format(h=TAPS // 2, x='x')}, 6) AS ir, round({CLAMPED.format(h=TAPS // 2, x='y')}, 6) AS red FROM o"""
+)
+def decimated(spark, sf_dir):
+    """Every fourth sample of each recording, filtered in blocks of 16 with their neighbours' samples."""
+    d = signals.decimated(samples(spark, sf_dir), BY, TAPS, block=16)
+    return d.select("subject_id", "seq", F.round("ir", 6).alias("ir"), F.round("red", 6).alias("red"))
 
 
 def quality_sql(source: str, high: str, raw: str) -> str:
@@ -177,7 +189,7 @@ k AS (SELECT subject_id, win, bin, count(*) / 16.0 AS p FROM b GROUP BY ALL)
 SELECT subject_id, win, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM k GROUP BY ALL"""
 )
 def shannon_entropy(spark, sf_dir):
-    return per_array(short_windows(spark, sf_dir), "entropy double", lambda x: [rounded(kernels.shannon(x))])
+    return short_windows(spark, sf_dir).select("subject_id", F.col("win").cast("long").alias("win"), F.round(arrays.shannon("ir"), 6).alias("entropy"))
 
 
 def short_windows(spark, sf_dir):
