@@ -121,12 +121,15 @@ def _ratio(a: float, b: float) -> float | None:
     return a / b if b else None
 
 
-def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
-    """One row a window (same lengths): status, beats, features. Never raises for a window: it is REJECTED or FAILED."""
+def process(ir: np.ndarray, red: np.ndarray, settings: Settings, stages: dict[str, dict[str, np.ndarray]] | None = None) -> list[dict]:
+    """One row a window (same lengths): status, beats, features. Never raises for a window: it is REJECTED or FAILED.
+
+    stages: what ``filtered`` gives for both channels, where it is there already.
+    """
     if ir.shape[1] < settings.sampling.least:
         return [{"status": "FAILED", "reason": f"fewer than {settings.sampling.least} samples"} for _ in ir]
     fs, inclusive = settings.sampling.hertz, settings.dialect != "service"
-    stages = {"ir": filtered(ir, settings), "red": filtered(red, settings)}
+    stages = stages or {"ir": filtered(ir, settings), "red": filtered(red, settings)}
     rows = []
     for k in range(len(ir)):
         row: dict = {"status": "SUCCESS", "reason": None}
@@ -169,6 +172,14 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings) -> list[dict]:
 BATCH = 256
 
 
+def _stacks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of windows of one length with their channels as (windows, samples), ``BATCH`` windows at most."""
+    for part in (whole.iloc[i : i + BATCH] for whole in parts for i in range(0, len(whole), BATCH)):
+        for _, same in part.groupby(part["ir"].map(len)):
+            ir, red = (np.stack(same[c].map(lambda v: np.asarray(v, float)).tolist()) for c in ("ir", "red"))
+            yield same, ir, red
+
+
 def window_features(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row a window of (subject_id, win, ir[], red[])."""
     s = settings or Settings()
@@ -176,20 +187,18 @@ def window_features(windows: DataFrame, settings: Settings | None = None) -> Dat
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split(" ")[0] for f in SCHEMA.split(", ")]
-        for part in (whole.iloc[i : i + BATCH] for whole in parts for i in range(0, len(whole), BATCH)):
-            for _, same in part.groupby(part["ir"].map(len)):
-                ir, red = (np.stack(same[c].map(lambda v: np.asarray(v, float)).tolist()) for c in ("ir", "red"))
-                try:
-                    rows = process(ir, red, s)
-                except ValueError as e:  # too short for the filters
-                    rows = [{"status": "FAILED", "reason": str(e)}] * len(same)
-                out = pd.DataFrame(rows).reindex(columns=names)
-                out["subject_id"], out["win"] = same["subject_id"].to_numpy(), same["win"].to_numpy()
-                out[["beats_ir", "beats_red"]] = out[["beats_ir", "beats_red"]].astype("Int32")
-                out["rejections"] = [x if isinstance(x, dict) else {} for x in out["rejections"]]
-                floats = names[7:]
-                out[floats] = out[floats].astype(float)
-                yield out
+        for same, ir, red in _stacks(parts):
+            try:
+                rows = process(ir, red, s)
+            except ValueError as e:  # too short for the filters
+                rows = [{"status": "FAILED", "reason": str(e)}] * len(same)
+            out = pd.DataFrame(rows).reindex(columns=names)
+            out["subject_id"], out["win"] = same["subject_id"].to_numpy(), same["win"].to_numpy()
+            out[["beats_ir", "beats_red"]] = out[["beats_ir", "beats_red"]].astype("Int32")
+            out["rejections"] = [x if isinstance(x, dict) else {} for x in out["rejections"]]
+            floats = names[7:]
+            out[floats] = out[floats].astype(float)
+            yield out
 
     raw = windows.where("ir IS NOT NULL AND red IS NOT NULL").select("subject_id", F.col("win").cast("long").alias("win"), "ir", "red").mapInPandas(run, SCHEMA)
     from pulsegrid.schema import no_nan
@@ -262,18 +271,17 @@ def stage_diagnostics(windows: DataFrame, settings: Settings | None = None) -> D
         return g1, g2, kernels.band_snr(*kernels.welch(x, fs, 1024), 0.5, 4.0, 0.0), crossings / 2 / (len(x) / fs), 100 * float(np.ptp(x)) / abs(dc) if dc else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for sid, win, ir, red in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True):
-                a, b = (np.asarray(v, float)[None] for v in (ir, red))
-                try:
-                    both = filtered(a, s), filtered(b, s)
-                except ValueError:  # too short for the filters: the rows say so by having no measures
-                    rows += [(sid, win, stage, *[None] * 11) for stage in STAGES]
-                    continue
+        for same, ir, red in _stacks(parts):
+            keys, rows = list(zip(same["subject_id"], same["win"], strict=True)), []
+            try:
+                both = filtered(ir, s), filtered(red, s)
+            except ValueError:  # too short for the filters: the rows say so by having no measures
+                rows = [(*key, stage, *[None] * 11) for key in keys for stage in STAGES]
+                both = ()
+            for k, key in enumerate(keys if both else ()):
                 for stage in STAGES:
-                    m = [measures(x[stage][0], float(raw.mean())) for x, raw in zip(both, (a, b), strict=True)]
-                    rows.append((sid, win, stage, *m[0], *m[1], m[1][4] / m[0][4] if m[0][4] else None))
+                    m = [measures(x[stage][k], float(raw[k].mean())) for x, raw in zip(both, (ir, red), strict=True)]
+                    rows.append((*key, stage, *m[0], *m[1], m[1][4] / m[0][4] if m[0][4] else None))
             yield pd.DataFrame(rows, columns=["subject_id", "win", "stage", *[f"{c}_{n}" for c in ("ir", "red") for n in ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion")], "r_ratio"])
 
     numbers = ", ".join(f"{c}_{n} double" for c in ("ir", "red") for n in ("skewness", "kurtosis", "snr_db", "zcr_hz", "perfusion"))
@@ -301,24 +309,29 @@ def beat_morphology(mean: np.ndarray, rate: float, raw: np.ndarray) -> dict[str,
     }
 
 
+def _beat(norm: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The ensemble beat of a normalised signal, as the dialect has it."""
+    fs, inclusive = s.sampling.hertz, s.dialect != "service"
+    found = beats.detect(norm, fs, s.beats) if inclusive else beats.peak_to_peak(norm, fs, s.beats)
+    return beats.ensemble(norm, found, fs, s.beats, inclusive, inclusive)
+
+
 def summaries(windows: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Per window and channel: the nine features of the signal and the seven of its ensemble beat (NULL without one)."""
     s = settings or Settings()
     nine, seven = ("hr", "width", "sys_amp", "area", "skew", "kurt", "pi", "zcr", "snr"), ("hr_global", "width_avg", "area_avg", "amp_avg", "skew_avg", "kurt_avg", "pi_global")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for sid, win, *both in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True):
-                for name, values in zip(("ir", "red"), both, strict=True):
-                    raw = np.asarray(values, float)
-                    try:
-                        norm = filtered(raw[None], s)["norm"][0]
-                    except ValueError:  # too short for the filters: the row has no measures
-                        rows.append({"subject_id": sid, "win": win, "channel": name})
-                        continue
-                    found = beats.peak_to_peak(norm, s.sampling.hertz, s.beats) if s.dialect == "service" else beats.detect(norm, s.sampling.hertz, s.beats)
-                    beat = beats.ensemble(norm, found, s.sampling.hertz, s.beats, s.dialect != "service", s.dialect != "service")
+        for same, *both in _stacks(parts):
+            keys, rows = list(zip(same["subject_id"], same["win"], strict=True)), []
+            for name, raws in zip(("ir", "red"), both, strict=True):
+                try:
+                    norms = filtered(raws, s)["norm"]
+                except ValueError:  # too short for the filters: the rows have no measures
+                    rows += [{"subject_id": sid, "win": win, "channel": name} for sid, win in keys]
+                    continue
+                for (sid, win), raw, norm in zip(keys, raws, norms, strict=True):
+                    beat = _beat(norm, s)
                     rows.append({"subject_id": sid, "win": win, "channel": name, **channel_summary(norm, raw, s.sampling.hertz), **(beat_morphology(beat[0], beat[2], raw) if beat else {})})
             yield pd.DataFrame(rows).reindex(columns=["subject_id", "win", "channel", *nine, *seven]).astype(dict.fromkeys(nine + seven, float))
 
@@ -337,24 +350,21 @@ def artefacts(windows: DataFrame, settings: Settings | None = None) -> DataFrame
     """Per window: its status, the filtered signals of both channels and their ensemble beats, as arrays (NULL where there are none)."""
     s = settings or Settings()
 
-    def one(ir: np.ndarray, red: np.ndarray) -> dict:
-        row: dict = {}
-        try:
-            row["status"] = process(ir[None], red[None], s)[0]["status"]
-            for c, x in (("red", red), ("ir", ir)):
-                stage = {k: v[0] for k, v in filtered(x[None], s).items()}
-                row |= {f"{c}_{n}": stage[n] for n in ("high", "low", "norm")}
-                found = beats.peak_to_peak(stage["norm"], s.sampling.hertz, s.beats) if s.dialect == "service" else beats.detect(stage["norm"], s.sampling.hertz, s.beats)
-                if beat := beats.ensemble(stage["norm"], found, s.sampling.hertz, s.beats, s.dialect != "service", s.dialect != "service"):
-                    v, a = kernels.derivatives(beat[0], beat[2])
-                    row |= {f"{c}_mean": beat[0], f"{c}_velocity": v, f"{c}_acceleration": a}
-        except ValueError:  # too short for the filters
-            row["status"] = "FAILED"
-        return row
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in (whole.iloc[i : i + 64] for whole in parts for i in range(0, len(whole), 64)):
-            rows = [{"subject_id": sid, "win": win, **one(np.asarray(ir, float), np.asarray(red, float))} for sid, win, ir, red in zip(part["subject_id"], part["win"], part["ir"], part["red"], strict=True)]
+        for same, ir, red in _stacks(parts):
+            rows = [{"subject_id": sid, "win": win, "status": "FAILED"} for sid, win in zip(same["subject_id"], same["win"], strict=True)]
+            try:
+                stages = {"red": filtered(red, s), "ir": filtered(ir, s)}
+                for row, found in zip(rows, process(ir, red, s, stages), strict=True):
+                    row["status"] = found["status"]
+                for k, row in enumerate(rows):
+                    for c, stage in stages.items():
+                        row |= {f"{c}_{n}": stage[n][k] for n in ("high", "low", "norm")}
+                        if beat := _beat(stage["norm"][k], s):
+                            v, a = kernels.derivatives(beat[0], beat[2])
+                            row |= {f"{c}_mean": beat[0], f"{c}_velocity": v, f"{c}_acceleration": a}
+            except ValueError:  # too short for the filters
+                pass
             out = pd.DataFrame(rows).reindex(columns=["subject_id", "win", "status", *SIGNALS, *BEAT]).astype(object)
             yield out.where(out.notna(), None)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -99,24 +100,81 @@ def replaced(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def save_model(spark: SparkSession, model: boost.Model, path: str) -> None:
-    """The node table, and the base as the leaf of tree -1: one small file."""
+#: Versions of a saved table that stay: the current one and its predecessor.
+KEPT = 2
+#: Models and scalers this process has loaded, by their version's folder; a version never changes.
+_loaded: dict[str, object] = {}
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the whole versions below path, oldest first. A version counts from the moment its writing is committed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(f.getPath().toString()) for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    done = [f for f in found if f.rpartition("/")[2].startswith("v") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(done, key=lambda f: f.rpartition("/")[2])
+
+
+def _save(df: DataFrame, path: str) -> str:
+    """Writes df as the next version: readers go on with the version before until it is whole. Older ones than ``KEPT`` are deleted."""
+    spark = df.sparkSession
+    before = versions(spark, path)
+    last = int(before[-1].rpartition("/v")[2].partition("-")[0]) if before else 0
+    at = f"{path}/v{last + 1:08d}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(at)
+    for old in versions(spark, path)[:-KEPT]:
+        _loaded.pop(old, None)
+        _drop(spark, old)
+    return at
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _current(spark: SparkSession, path: str, back: int) -> str:
+    found = versions(spark, path)
+    if len(found) <= back:
+        raise FileNotFoundError(f"{path} has {len(found)} whole versions")
+    return found[-1 - back]
+
+
+def save_model(spark: SparkSession, model: boost.Model, path: str) -> str:
+    """A new version of the model: the node table, and the base as the leaf of tree -1, in one small file. Its predecessor stays."""
     rows = [(-1, 0, None, None, None, None, float(model.base), None, None), *model.nodes]
-    spark.createDataFrame(rows, NODES).coalesce(1).write.mode("overwrite").parquet(path)
+    return _save(spark.createDataFrame(rows, NODES), path)
+
+
+def load_model(spark: SparkSession, path: str, back: int = 0) -> boost.Model:
+    """The current model, or one ``back`` versions before. A process reads a version once; models are bounded by trees and depth."""
+    at = _current(spark, path, back)
+    if at not in _loaded:
+        rows = sorted((tuple(r) for r in spark.read.schema(NODES).parquet(at).collect()), key=lambda r: r[:2])
+        _loaded[at] = boost.Model(rows[0][6], rows[1:])
+    return _loaded[at]
 
 
-def load_model(spark: SparkSession, path: str) -> boost.Model:
-    """What ``save_model`` wrote. A model is bounded by its trees and depth, not by rows."""
-    rows = sorted((tuple(r) for r in spark.read.schema(NODES).parquet(path).collect()), key=lambda r: r[:2])
-    return boost.Model(rows[0][6], rows[1:])
+def save_scaler(scaler: DataFrame, path: str) -> str:
+    return _save(scaler, path)
 
 
-def save_scaler(scaler: DataFrame, path: str) -> None:
-    scaler.coalesce(1).write.mode("overwrite").parquet(path)
+def load_scaler(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The current scaler; a row a feature, read once a version."""
+    at = _current(spark, path, back)
+    schema = "feature string, center double, scale double"
+    if at not in _loaded:
+        _loaded[at] = [tuple(r) for r in spark.read.schema(schema).parquet(at).collect()]
+    return spark.createDataFrame(_loaded[at], schema)
 
 
-def load_scaler(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("feature string, center double, scale double").parquet(path)
+def roll_back(spark: SparkSession, path: str) -> str:
+    """Deletes the current version, so that its predecessor is the current one again."""
+    _current(spark, path, 1)
+    newest = _current(spark, path, 0)
+    _loaded.pop(newest, None)
+    _drop(spark, newest)
+    return _current(spark, path, 0)
 
 
 def write_windows(windows: DataFrame, path: str, channels: Sequence[str] = ("ir", "red")) -> None:
