@@ -157,11 +157,41 @@ def _bin(x: Column, cut: np.ndarray) -> Column:
     return F.when(x.isNull(), 0).otherwise(reached)
 
 
+#: Cells over a feature's range, and cells an octave, whose overlaps a feature's values are counted in.
+CELLS, PER_OCTAVE = 4096, 64
+
+
 def cuts_of(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
-    """Thresholds of each feature: its quantiles over all rows of df."""
-    points = [i / BINS for i in range(1, BINS)]
-    q = df.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in columns]).first()
-    return [np.unique(np.array(q[c] or [], float)) for c in columns]
+    """Thresholds of each feature: values at its quantiles over all rows of df, whatever their partitioning.
+
+    Values are counted in cells of equal width and of equal ratio at once (both grow with the value, so the overlaps are intervals
+    in order). A threshold is the largest value of the cell in which the count reaches its share; where a cell holds one
+    value it is the exact quantile, else it is off by a cell: 1/4096 of the range and a ratio of 1.011 at most. The driver gets cells,
+    whose number does not grow with the rows.
+    """
+    top = F.lit(float("inf"))
+    rows = df.select(*[F.when(F.abs(F.col(c).cast("double")) < top, F.col(c).cast("double")).alias(c) for c in columns])
+    facts = rows.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    parts = []
+    for i, c in enumerate(columns):
+        x, lo, hi = F.col(c), facts[f"{c}_lo"], facts[f"{c}_hi"]
+        if lo is None:
+            continue
+        even = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * CELLS) if hi / 2 > lo / 2 else F.lit(0)
+        octave = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * PER_OCTAVE) + 1100 * PER_OCTAVE))
+        parts.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), even.cast("int").alias("even"), octave.cast("int").alias("octave"), x.alias("x"))))
+    if not parts:
+        return [np.zeros(0) for _ in columns]
+    cells = rows.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
+    found: dict[int, list[tuple[float, int]]] = {}
+    for r in cells.groupBy("i", "even", "octave").agg(F.max("x").alias("x"), F.count("*").alias("n")).collect():
+        found.setdefault(r.i, []).append((r.x, r.n))
+    out = []
+    for i in range(len(columns)):
+        x, n = (np.array(v) for v in zip(*sorted(found.get(i, [(0.0, 0)])), strict=True))
+        reached = np.cumsum(n)
+        out.append(np.unique(x[np.searchsorted(reached, np.arange(1, BINS) / BINS * reached[-1], "left")]) if reached[-1] else np.zeros(0))
+    return out
 
 
 def prepared(df: DataFrame, columns: Sequence[str], target: str, cuts: list[np.ndarray], weight: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:

@@ -336,3 +336,21 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Cluster)
+
+
+def test_trees_do_not_depend_on_partitions(spark):
+    """Cuts of skewed, repeated and missing values, and the trees grown from them, with 1 and 16 partitions."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    frame_ = pd.DataFrame({"a": rng.lognormal(size=n) ** 4, "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))})
+    frame_["y"] = np.log(frame_.a) + frame_.b + rng.normal(size=n) / 10
+    df = spark.createDataFrame(frame_).withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
+    one, many = df.coalesce(1), df.repartition(16)
+    cuts = [boost.cuts_of(d, ["a", "b", "c"]) for d in (one, many)]
+    assert all(np.array_equal(x, y) for x, y in zip(*cuts, strict=True))
+    assert cuts[0][1].tolist() == [0.0, 1.0, 2.0, 3.0, 4.0]
+    shares = np.searchsorted(np.sort(frame_.a), cuts[0][0], "right") / n
+    assert len(shares) > 50 and np.abs(shares - np.arange(1, 64)[: len(shares)] / 64).max() < 0.02
+    models = [boost.fit(d, ["a", "b", "c"], "y", Boosting(trees=3)) for d in (one, many)]
+    same = lambda m: [tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in node) for node in m.nodes]
+    assert same(models[0]) == same(models[1])
