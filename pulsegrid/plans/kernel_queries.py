@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import Beats, Sampling, Settings
 from pulsegrid.functions import arrays, kernels
-from pulsegrid.operators import beats, features, signals
+from pulsegrid.operators import beats, features, recordings, signals
 from pulsegrid.plans import sqltext as q
 from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.signal_queries import A, S, samples, windowed
@@ -64,6 +64,14 @@ def dsp_filter(spark, sf_dir):
     return per_array(supplier_windows(spark, sf_dir), "low_std double, high_std double, low_first double, high_middle double", f)
 
 
+@query(f"""{W}, {q.zero_phase('low', 'a', SIZE, 6.0, HERTZ, False)} SELECT subject_id * 1000 + win AS recording, unnest(range(1, {SIZE} + 1)) AS seq, round(unnest(x), 3) AS ir FROM low""")
+def recording_filter(spark, sf_dir):
+    """Recordings of 200 samples filtered in blocks of 48, whose states are composed."""
+    w = supplier_windows(spark, sf_dir).select((F.col("subject_id") * 1000 + F.col("win")).alias("recording"), F.posexplode("ir").alias("i", "ir"))
+    rows = recordings.zero_phase(w.withColumn("seq", F.col("i") + 1), kernels.butterworth(4, 6.0, HERTZ), key="recording", block=48)
+    return rows.select("recording", "seq", F.round("ir", 3).alias("ir"))
+
+
 @query(f"""{W}, {q.peaks('p', 'a', 5, '0.2 * (list_max(x) - list_min(x))')} SELECT subject_id, win, CAST(i AS BIGINT) AS i, h AS height, round(m, 4) AS prominence FROM p""")
 def find_peaks(spark, sf_dir):
     def f(x):
