@@ -106,17 +106,36 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    out = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        above = np.flatnonzero(x[:p] > x[p])
-        left = x[above[-1] + 1 if len(above) else 0 : p + 1].min()
-        above = np.flatnonzero(x[p + 1 :] > x[p])
-        right = x[p : p + 1 + above[0] if len(above) else len(x)].min()
-        out[k] = x[p] - max(left, right)
+def _bases(heights: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """For each of some tops in order: the lowest sample since the last higher top, by a stack of falling heights.
+
+    lows: the lowest sample from the top before (exclusive) to each top. Every top is put on the stack and taken off once.
+    """
+    out, stack = np.empty(len(heights)), []
+    for i, (h, low) in enumerate(zip(heights.tolist(), lows.tolist(), strict=True)):
+        while stack and stack[-1][0] <= h:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((h, low))
     return out
 
 
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Heights of peaks over the higher of their two bases: the lowest samples on the way to higher ground or to an end.
+
+    Higher ground is reached at a maximum or an end of the signal, so only these are looked at, in one pass a side.
+    """
+    if not len(peaks):
+        return np.empty(0)
+    tops = np.unique(np.concatenate([local_maxima(x), peaks, [0, len(x) - 1]]))
+    left = _bases(x[tops], np.minimum.reduceat(x, np.append(0, tops[:-1] + 1)) if len(tops) > 1 else x[tops])
+    turned = (len(x) - 1 - tops)[::-1]
+    back = x[::-1]
+    right = _bases(back[turned], np.minimum.reduceat(back, np.append(0, turned[:-1] + 1)) if len(tops) > 1 else back[turned])[::-1]
+    at = np.searchsorted(tops, peaks)
+    return x[peaks] - np.maximum(left[at], right[at])
+
+
 def find_peaks(x: np.ndarray, distance: float = 1, prominence: float | None = None) -> np.ndarray:
     """Maxima, thinned to the distance (higher ones first), then by prominence."""
     peaks = local_maxima(x)

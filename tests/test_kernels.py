@@ -192,3 +192,23 @@ def test_no_rise_or_decay_at_the_ends():
     falling, rising = np.linspace(1, 0, 220), np.linspace(0, 1, 220)
     assert features.channel(norm, falling, 220.0, s)["rise_time"] is None and features.channel(norm, falling, 220.0, s)["decay_time"] > 0
     assert features.channel(norm, rising, 220.0, s)["decay_time"] is None and features.channel(norm, rising, 220.0, s)["rise_time"] > 0
+
+
+def plain_prominences(x, peaks):
+    out = []
+    for p in peaks:
+        above = np.flatnonzero(x[:p] > x[p])
+        left = x[above[-1] + 1 if len(above) else 0 : p + 1].min()
+        above = np.flatnonzero(x[p + 1 :] > x[p])
+        right = x[p : p + 1 + above[0] if len(above) else len(x)].min()
+        out.append(x[p] - max(left, right))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.data())
+def test_prominences_of_plateaus_and_ends(values, data):
+    x = np.array(values, float)
+    some = np.array(sorted(data.draw(st.sets(st.integers(0, len(x) - 1)))), int)
+    for peaks in (k.local_maxima(x), some):
+        assert k.prominences(x, peaks).tolist() == plain_prominences(x, peaks)
