@@ -89,6 +89,11 @@ def last_before(flag: Column, value, w: WindowSpec) -> Column:
     return F.last(F.when(flag, _c(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
+def first_from(flag: Column, value, w: WindowSpec, ahead: int = 0) -> Column:
+    """Range lookup: the value of the first row that has the flag, from ``ahead`` rows after this one on."""
+    return F.first(F.when(flag, _c(value)), ignorenulls=True).over(w.rowsBetween(ahead, Window.unboundedFollowing))
+
+
 def bin64(x, whole: WindowSpec, bins: int = 64) -> Column:
     """Equal-width bin over the window's range, the last one closed."""
     x = _c(x)

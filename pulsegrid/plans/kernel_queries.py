@@ -12,6 +12,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.config import Beats, Sampling, Settings
 from pulsegrid.functions import arrays, kernels
@@ -19,7 +20,7 @@ from pulsegrid.operators import beats, features, recordings, signals
 from pulsegrid.plans import sqltext as q
 from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.signal_queries import A, S, samples, windowed
-from pulsegrid.operators.windows import collect_windows, cut_windows, number_rows
+from pulsegrid.operators.windows import collect_windows, cut_windows, number_rows, per_window
 
 #: A supplier's line items in order of shipping are samples at this rate, in windows of this many.
 HERTZ = 40.0
@@ -217,13 +218,11 @@ def feet_of(x):
 @query(FEET + ", b AS (SELECT * FROM f WHERE next_foot IS NOT NULL), k AS (SELECT b.*, min(p.i) AS main_peak FROM b JOIN p ON p.subject_id = b.subject_id AND p.win = b.win AND p.peak AND p.i >= b.foot GROUP BY ALL) SELECT subject_id, win, CAST(foot AS BIGINT) AS foot, CAST(next_foot AS BIGINT) AS next_foot, CAST(main_peak AS BIGINT) AS main_peak FROM k WHERE main_peak <= foot + 3 AND main_peak < next_foot")
 def peak_in_foot_range(spark, sf_dir):
     """The main peak of each beat: the first one between 0.02 and 0.30 seconds (at 10 Hz 0 and 3 samples) after its foot."""
-
-    def f(x):
-        (f1, f2), peaks = feet_of(x), kernels.local_maxima(x)
-        main, has = beats.main_peaks(peaks, f1, f2, 10.0, Beats()) if len(f1) and len(peaks) else ([], [])
-        return [(int(a), int(b), int(m)) for a, b, m, h in zip(f1, f2, main, has, strict=False) if h]
-
-    return per_array(short_windows(spark, sf_dir), "foot long, next_foot long, main_peak long", f)
+    w, (soonest, latest) = per_window(), (int(t * 10) for t in Beats().main_peak)
+    rows = windowed(spark, sf_dir).select("subject_id", F.col("win").cast("long").alias("win"), F.col("i").cast("long").alias("foot"), signals.is_peak("ir", w).alias("peak"), signals.is_valley("ir", w).alias("valley"))
+    w = Window.partitionBy("subject_id", "win").orderBy("foot")
+    found = rows.select("subject_id", "win", "foot", "valley", signals.first_from(F.col("valley"), "foot", w, 1).alias("next_foot"), signals.first_from(F.col("peak"), "foot", w, soonest).alias("main_peak"))
+    return found.where(F.col("valley") & (F.col("main_peak") <= F.col("foot") + latest) & (F.col("main_peak") < F.col("next_foot"))).drop("valley")
 
 
 @query(
