@@ -9,7 +9,7 @@ block), and every block is given its true start state and its output. Inside a b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ class StateSpace:
     b: np.ndarray
     c: np.ndarray
     d: float
+    kept: dict = field(default_factory=dict, compare=False)  # matrices by their number of samples
 
     @classmethod
     def of(cls, sections: np.ndarray) -> StateSpace:
@@ -46,12 +47,15 @@ class StateSpace:
 
     def matrices(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Over n samples: output from the state and from the samples, end state from the state and from the samples."""
+        if n in self.kept:
+            return self.kept[n]
         powers = [np.eye(len(self.a))]
         for _ in range(n):
             powers.append(self.a @ powers[-1])
         response = np.array([self.d, *[self.c @ p @ self.b for p in powers[: n - 1]]])
         at = np.arange(n)[:, None] - np.arange(n)
-        return np.stack([self.c @ p for p in powers[:n]]), np.where(at >= 0, response[np.maximum(at, 0)], 0.0), powers[n], np.stack([powers[n - 1 - i] @ self.b for i in range(n)], 1)
+        self.kept[n] = np.stack([self.c @ p for p in powers[:n]]), np.where(at >= 0, response[np.maximum(at, 0)], 0.0), powers[n], np.stack([powers[n - 1 - i] @ self.b for i in range(n)], 1)
+        return self.kept[n]
 
     def run(self, v: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Output of the samples v from the state x, and the end state."""
