@@ -40,3 +40,11 @@ def timed(rows):
 @pytest.mark.parametrize("name", ["beat_duration_median_filter", "ensemble_mean_std"])
 def test_a_plateau_is_no_valley(check, name):
     assert check(name, "events", EVENTS, timed(events(7, map(float, [5, 1, 6, 2, 2, 7, 3, 8, 4, 9, 1, 6, 2, 7, 3, 8])))) == ([], [])
+
+
+ORDERS = "o_orderkey long, o_custkey long"
+
+
+@pytest.mark.parametrize("name", ["clarke_zone", "single_point_validation"])
+def test_a_prediction_a_fifth_off_but_for_rounding_is_in_no_zone_c(check, name):
+    assert check(name, "orders", ORDERS, [(282855, 1), (282856, 1)]) == ([], [])
