@@ -52,3 +52,11 @@ def test_a_prediction_a_fifth_off_but_for_rounding_is_in_no_zone_c(check, name):
 
 def test_values_above_the_scale_are_near_its_top(check):
     assert check("decibels", "events", EVENTS, timed(events(1, [100.0, 300.0, 490.0, 490.01, 491.0, 492.5, 520.0, None]))) == ([], [])
+
+
+def test_a_ratio_on_a_bound_does_not_depend_on_the_order_of_rows(check, spark, tmp_path):
+    keys = [758371, 782689, 783064, 797172, 802087, 811261, 860798, 872691, 877490, 893322, 897719, 899552]
+    assert check("overfit_verdict", "orders", ORDERS, [(k, 1) for k in keys]) == ([], [])
+    mixed = [897719, 877490, 758371, 783064, 872691, 860798, 797172, 802087, 899552, 782689, 893322, 811261]
+    spark.createDataFrame([(k, 1) for k in mixed], ORDERS).coalesce(1).write.parquet(f"{tmp_path}/mixed/orders.parquet")
+    assert [r.verdict for r in QUERIES["overfit_verdict"](spark, f"{tmp_path}/mixed").collect()] == ["test_better"]
