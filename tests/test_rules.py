@@ -60,3 +60,8 @@ def test_a_ratio_on_a_bound_does_not_depend_on_the_order_of_rows(check, spark, t
     mixed = [897719, 877490, 758371, 783064, 872691, 860798, 797172, 802087, 899552, 782689, 893322, 811261]
     spark.createDataFrame([(k, 1) for k in mixed], ORDERS).coalesce(1).write.parquet(f"{tmp_path}/mixed/orders.parquet")
     assert [r.verdict for r in QUERIES["overfit_verdict"](spark, f"{tmp_path}/mixed").collect()] == ["test_better"]
+
+
+@pytest.mark.parametrize("name", ["single_point_validation", "prediction_table"])
+def test_percentages_are_rounded_as_their_sql_has_them(check, name):
+    assert check(name, "orders", ORDERS, [(k, 1) for k in (51376, 87376, 100928, 184576)]) == ([], [])
