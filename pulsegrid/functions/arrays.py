@@ -106,13 +106,27 @@ def gradient(x, times: float = 1.0) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
+def let(value: Column, f) -> Column:
+    """f of the value, which is computed once however often f reads it: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shannon(x, bins: int = 64) -> Column:
     """Entropy in bits of the histogram over the array's range; 0 for a constant."""
-    a = _c(x)
-    low, high = F.array_min(a), F.array_max(a)
-    bin_of = F.transform(a, lambda v: F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0))
-    ordered = F.array_sort(bin_of)
-    # a run of equal bins ends where the next bin differs; its length is the distance of two ends
-    ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    share = F.transform(ends, lambda e, k: (e - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)) / F.size(a))
-    return -F.aggregate(share, F.lit(0.0), lambda s, p: s + p * F.log2(p)) + 0.0
+
+    def of_ends(ends: Column, n: Column) -> Column:
+        share = F.transform(ends, lambda e, k: (e - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)) / n)
+        return -F.aggregate(share, F.lit(0.0), lambda s, p: s + p * F.log2(p)) + 0.0
+
+    def of_ordered(ordered: Column) -> Column:
+        # a run of equal bins ends where the next bin differs; its length is the distance of two ends
+        n = F.size(ordered)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(ends, lambda e: of_ends(e, n))
+
+    def of_range(r: Column) -> Column:
+        low, high = r["low"], r["high"]
+        bin_of = F.transform(_c(x), lambda v: F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0))
+        return let(F.array_sort(bin_of), of_ordered)
+
+    return let(F.struct(F.array_min(_c(x)).alias("low"), F.array_max(_c(x)).alias("high")), of_range)
