@@ -172,7 +172,7 @@ def process(ir: np.ndarray, red: np.ndarray, settings: Settings, stages: dict[st
 BATCH = 256
 
 
-def _stacks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+def stacks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows of windows of one length with their channels as (windows, samples), ``BATCH`` windows at most."""
     for part in (whole.iloc[i : i + BATCH] for whole in parts for i in range(0, len(whole), BATCH)):
         for _, same in part.groupby(part["ir"].map(len)):
@@ -187,7 +187,7 @@ def window_features(windows: DataFrame, settings: Settings | None = None) -> Dat
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split(" ")[0] for f in SCHEMA.split(", ")]
-        for same, ir, red in _stacks(parts):
+        for same, ir, red in stacks(parts):
             try:
                 rows = process(ir, red, s)
             except ValueError as e:  # too short for the filters
@@ -271,7 +271,7 @@ def stage_diagnostics(windows: DataFrame, settings: Settings | None = None) -> D
         return g1, g2, kernels.band_snr(*kernels.welch(x, fs, 1024), 0.5, 4.0, 0.0), crossings / 2 / (len(x) / fs), 100 * float(np.ptp(x)) / abs(dc) if dc else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for same, ir, red in _stacks(parts):
+        for same, ir, red in stacks(parts):
             keys, rows = list(zip(same["subject_id"], same["win"], strict=True)), []
             try:
                 both = filtered(ir, s), filtered(red, s)
@@ -294,7 +294,7 @@ def channel_summary(norm: np.ndarray, raw: np.ndarray, fs: float) -> dict[str, f
     quality = signal_quality(norm, raw, fs)
     gaps = np.diff(peaks) / fs
     return {
-        "hr": float(60 / gaps.mean()) if len(gaps) else None, "width": float(np.mean([kernels.half_width(norm, int(p)) for p in peaks])) / fs if len(peaks) else None,
+        "hr": float(60 / gaps.mean()) if len(gaps) else None, "width": float(kernels.half_widths(norm, peaks).mean()) / fs if len(peaks) else None,
         "sys_amp": float(norm[peaks].mean()) if len(peaks) else None, "area": float(norm.sum() - (norm[0] + norm[-1]) / 2), "skew": quality["skewness"], "kurt": quality["kurtosis"],
         "pi": 100 * float(np.ptp(raw)) / float(raw.mean()) if raw.mean() else None, "zcr": quality["zcr_hz"], "snr": quality["snr_db"],
     }
@@ -322,7 +322,7 @@ def summaries(windows: DataFrame, settings: Settings | None = None) -> DataFrame
     nine, seven = ("hr", "width", "sys_amp", "area", "skew", "kurt", "pi", "zcr", "snr"), ("hr_global", "width_avg", "area_avg", "amp_avg", "skew_avg", "kurt_avg", "pi_global")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for same, *both in _stacks(parts):
+        for same, *both in stacks(parts):
             keys, rows = list(zip(same["subject_id"], same["win"], strict=True)), []
             for name, raws in zip(("ir", "red"), both, strict=True):
                 try:
@@ -351,7 +351,7 @@ def artefacts(windows: DataFrame, settings: Settings | None = None) -> DataFrame
     s = settings or Settings()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for same, ir, red in _stacks(parts):
+        for same, ir, red in stacks(parts):
             rows = [{"subject_id": sid, "win": win, "status": "FAILED"} for sid, win in zip(same["subject_id"], same["win"], strict=True)]
             try:
                 stages = {"red": filtered(red, s), "ir": filtered(ir, s)}
