@@ -1,9 +1,10 @@
 """Gradient-boosted regression trees with second-order splits, squared error.
 
 gain = (S(GL)^2/(HL+r) + S(GR)^2/(HR+r) - S(G)^2/(H+r)) / 2 - gamma, with S the soft threshold by alpha; a leaf is
--rate S(G)/(H+r). Splits are sought over at most ``BINS`` quantile bins a feature: Spark sums gradient and weight per
-(node, feature, bin), a table bounded by the model and not by the rows, and the driver picks the best split of each
-node. Rows are sampled by a number that Spark gives each row from its values, columns by (seed, tree), so results do not
+-rate S(G)/(H+r). Splits are sought over at most ``BINS`` quantile bins a feature: tasks sum gradient and weight per
+(node, feature, bin) over chunks of rows, Spark adds their sums up, a table bounded by the model and not by the rows, and the
+driver picks the best split of each node. A chunk holds a row's bins in a byte each, its residual and its number: a pass over all
+rows is a pass over some 15 bytes a row. Rows are sampled by a number that Spark gives each row from its values, columns by (seed, tree), so results do not
 depend on partitioning. The sampler is not that of any other library: equal settings give other trees.
 
 ``fit_arrays`` grows the same trees in memory, from the same bins, row numbers and weights, for many small fits at once
@@ -12,12 +13,13 @@ depend on partitioning. The sampler is not that of any other library: equal sett
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ from pulsegrid.config import Boosting
 from pulsegrid.shared import discard, materialize
 
 BINS = 64
-#: Trees after which the margins are written anew.
-REWRITE = 25
+#: Trees after which the residuals are written anew.
+REWRITE = 10
+#: Rows that a task computes on at once.
+CHUNK = 1 << 14
 #: A prime below 2^31: row numbers and the sampler's lines are taken modulo it.
 PRIME = 2_147_483_647
 #: Up to so many rows a fold is fitted in one task; beyond, the folds are fitted one after the other by Spark, with the same results.
@@ -136,17 +140,19 @@ def _grow(histogram, columns: Sequence[str], cuts: list[np.ndarray], s: Boosting
     return [nodes[k] for k in sorted(nodes)]
 
 
-def _place(nodes: Sequence[Node]) -> Column:
-    """The open node of a row: where the finished splits lead."""
-    by = {r[1]: r for r in nodes}
+def _place(splits: Sequence[tuple[int, int, int, int]], bins: np.ndarray) -> np.ndarray:
+    """The node of each row: where the splits lead; bins: (features, rows)."""
+    at = np.zeros(bins.shape[1], np.int32)
+    for k, f, b, yes in splits:
+        at = np.where(at == k, yes + (bins[f] > b), at)
+    return at
 
-    def build(k: int) -> Column:
-        if k not in by:
-            return F.lit(k)
-        r = by[k]
-        return F.lit(None).cast("int") if r[2] is None else F.when(F.col(r[2]) >= r[3], build(r[5])).otherwise(build(r[4]))
 
-    return build(0)
+def _splits(nodes: Iterable[Node], columns: Sequence[str], cuts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Splits by bins, parents first: node, feature, last bin of its yes side, the yes side's node (the no side's is the next)."""
+    place = {c: i for i, c in enumerate(columns)}
+    inner = ((r[1], place[r[2]], r) for r in nodes if r[2] is not None)
+    return sorted((k, f, int(np.searchsorted(cuts[f], r[3])), r[4]) for k, f, r in inner)
 
 
 def _bin(x: Column, cut: np.ndarray) -> Column:
@@ -208,39 +214,123 @@ def _line(s: Boosting, tree: int) -> tuple[int, int, int]:
     return int(rng.integers(1, PRIME)), int(rng.integers(0, PRIME)), int(s.rows * PRIME)
 
 
+CHUNKS = "bins binary, residual binary, weight binary, number binary"
+
+
+def _chunk(bins: np.ndarray, residual: np.ndarray, weight: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("bins", "residual", "weight", "number"), (bins, residual, weight, number), strict=True)})
+
+
+def _chunks(part: pa.RecordBatch, features: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins (features, rows), residuals, weights (none: all 1) and numbers of each chunk."""
+    for bins, *rest in zip(*(part.column(i) for i in range(4)), strict=True):
+        r, w, u = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(rest, (np.float64, np.float64, np.uint32), strict=True))
+        yield np.frombuffer(bins.as_buffer(), np.uint8).reshape(features, len(r)), r, w, u
+
+
+def packed(df: DataFrame, columns: Sequence[str], target: str, cuts: list[np.ndarray], base: float, weight: Column | None = None) -> DataFrame:
+    """What ``fit`` needs of all rows with a target, in chunks of fewer than 2 ``CHUNK`` rows."""
+    number = F.pmod(F.xxhash64(F.lit("row"), target, *columns), F.lit(PRIME))
+    values = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]
+    weighted = weight is not None
+    w = [weight.cast("double").alias("_w")] if weighted else []
+    rows = df.where(F.col(target).isNotNull()).select(*values, (F.lit(base) - F.col(target).cast("double")).alias("_r"), number.alias("_u"), *w)
+
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        bins = np.zeros((len(cuts), t.num_rows), np.uint8)
+        for i, cut in enumerate(cuts):
+            reached = np.searchsorted(cut, t[i].to_numpy(), "right")
+            bins[i] = np.where(t[i].is_null().to_numpy(), 0, reached)
+        return _chunk(bins, t["_r"].to_numpy(), t["_w"].to_numpy() if weighted else np.zeros(0), t["_u"].to_numpy().astype(np.uint32))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for p in (whole.slice(i, CHUNK) for whole in parts for i in range(0, whole.num_rows, CHUNK)):
+            held.append(p)
+            n += p.num_rows
+            if n >= CHUNK:
+                yield chunk(held)
+                held, n = [], 0
+        if n:
+            yield chunk(held)
+
+    return rows.mapInArrow(run, CHUNKS)
+
+
+def _grown(residual: np.ndarray, bins: np.ndarray, trees: list[tuple[list, np.ndarray]]) -> np.ndarray:
+    """Residuals after the trees: splits and the nodes' values of each."""
+    for splits, values in trees:
+        residual = residual + values[_place(splits, bins)]
+    return residual
+
+
+def _histograms(chunks: DataFrame, features: int, usable: list[int], trees: list, splits: list, open_: list[int], line: tuple[int, int, int]) -> DataFrame:
+    """_node, _f, _b, g, h: gradients and weights of the tree's sample in its open nodes, per usable feature and bin."""
+    a, b, c = line
+    width = BINS + 1
+    code = np.full(max(open_) + 1, len(open_))
+    code[open_] = np.arange(len(open_))
+    # nodes that are finished, of however large a number, are none of the open ones
+    code = np.r_[code, np.full(max([0, *(s[3] + 1 for s in splits)]) + 1, len(open_))]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(usable), (len(open_) + 1) * width))
+        for p in parts:
+            for bins, r, w, u in _chunks(p, features):
+                taken = (u.astype(np.int64) * a + b) % PRIME < c
+                cell = np.where(taken, code[_place(splits, bins)], len(open_)) * width
+                r = _grown(r, bins, trees)
+                g = r * w if len(w) else r
+                for i, f in enumerate(usable):
+                    at = cell + bins[f]
+                    sums[0, i] += np.bincount(at, g, sums.shape[2])
+                    sums[1, i] += np.bincount(at, w if len(w) else None, sums.shape[2])
+        g, h = sums.reshape(2, len(usable), len(open_) + 1, width)[:, :, :-1]
+        i, k, bin_ = np.nonzero((g != 0) | (h != 0))
+        yield pa.RecordBatch.from_pydict({"_node": pa.array(np.array(open_)[k], pa.int32()), "_f": pa.array(np.array(usable)[i], pa.int32()), "_b": pa.array(bin_, pa.int32()), "g": g[i, k, bin_], "h": h[i, k, bin_]})
+
+    parts = chunks.mapInArrow(run, "_node int, _f int, _b int, g double, h double")
+    return parts.groupBy("_node", "_f", "_b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
 def fit(df: DataFrame, columns: Sequence[str], target: str, settings: Boosting | None = None, weight: Column | None = None, cuts: list[np.ndarray] | None = None) -> Model:
     """Fits on all rows of df with a target. The driver sees sums per node, feature and bin only.
 
-    Every row carries its margin; a tree adds itself to it, and the rows are written anew now and then, so that no
-    expression grows with the model.
+    Every row carries its residual (margin less target), to which the trees since its last writing are added; they are written
+    anew now and then, so that no pass grows with the model.
     """
     s = settings or Boosting()
-    cuts = cuts_of(df.where(F.col(target).isNotNull()), columns) if cuts is None else cuts
-    rows = prepared(df, columns, target, cuts, weight)
-    base = rows.agg((F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("b")).first().b
+    labelled = df.where(F.col(target).isNotNull())
+    cuts = cuts_of(labelled, columns) if cuts is None else cuts
+    w = weight if weight is not None else F.lit(1.0)
+    base = labelled.agg((F.sum(F.col(target).cast("double") * w) / F.sum(w)).alias("b")).first().b
     model = Model(float(base or 0.0))
-    rows = materialize(rows.withColumn("_m", F.lit(model.base)), "boost")
-    written = rows
+    chunks = materialize(packed(df, columns, target, cuts, model.base, weight), "boost")
+    trees: list[tuple[list, np.ndarray]] = []  # grown since the chunks were written
     for tree in range(s.trees):
-        a, b, c = _line(s, tree)
-        taken = rows.where((F.col("_u") * a + b) % PRIME < c)
+        usable, line = _columns(columns, s, tree), _line(s, tree)
 
-        def histogram(nodes, open_, taken=taken):
-            at = taken.select(_place(nodes).alias("_node"), (F.col("_w") * (F.col("_m") - F.col("_y"))).alias("_g"), "_w", F.posexplode("_bins").alias("_f", "_b"))
-            sums = at.where(F.col("_node").isNotNull()).groupBy("_node", "_f", "_b").agg(F.sum("_g").alias("g"), F.sum("_w").alias("h")).collect()
+        def histogram(nodes, open_, chunks=chunks, trees=tuple(trees), usable=usable, line=line):
             out = {k: (np.zeros((len(columns), BINS + 1)), np.zeros((len(columns), BINS + 1))) for k in open_}
-            for r in sums:
+            for r in _histograms(chunks, len(columns), usable, list(trees), _splits(nodes, columns, cuts), open_, line).collect():
                 out[r._node][0][r._f, r._b], out[r._node][1][r._f, r._b] = r.g, r.h
             return out
 
         nodes = _grow(histogram, columns, cuts, s, tree)
         model.nodes += nodes
-        rows = rows.withColumn("_m", F.col("_m") + tree_expression(nodes, tree))
+        trees.append((_splits(nodes, columns, cuts), np.array([r[6] or 0.0 for r in nodes])))
         if (tree + 1) % REWRITE == 0 and tree + 1 < s.trees:
-            rows = materialize(rows, "boost")
+            written, grown, features = chunks, list(trees), len(columns)
+
+            def advance(parts: Iterator[pa.RecordBatch], grown=grown, features=features) -> Iterator[pa.RecordBatch]:
+                for p in parts:
+                    for bins, r, w, u in _chunks(p, features):
+                        yield _chunk(bins, _grown(r, bins, grown), w, u)
+
+            chunks, trees = materialize(written.mapInArrow(advance, CHUNKS), "boost"), []
             discard(written)
-            written = rows
-    discard(written)
+    discard(chunks)
     return model
 
 

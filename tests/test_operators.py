@@ -370,3 +370,28 @@ def test_rows_of_an_array_query_are_held_for_few_windows():
     run = k.per_array(Windows(), "j long", lambda x: [(j,) for j in range(3)])
     sizes = [len(p) for p in run(iter([pd.DataFrame({"subject_id": range(2000), "win": 0, "ir": [[1.0]] * 2000})]))]
     assert sum(sizes) == 6000 and max(sizes) <= 3 * k.BATCH
+
+
+def test_trees_are_fitted_from_chunks(spark, monkeypatch):
+    """A pass over the rows is one over chunks of bytes; their histograms are those of the rows, missing, NaN and weighted ones, too."""
+    monkeypatch.setattr(boost, "CHUNK", 100)
+    rng = np.random.default_rng(5)
+    n = 1000
+    rows = [(None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(v), float(i % 3), None if i % 50 == 0 else float(v * 2)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+    cuts, s = boost.cuts_of(df, ["a", "b"]), Boosting(high_value=1.0)
+    weight = boost.sample_weight("y", s)
+    chunks = boost.packed(df, ["a", "b"], "y", cuts, 0.25, weight)
+    assert 1 < chunks.count() <= 10
+    part = boost.prepared(df, ["a", "b"], "y", cuts, weight).toPandas()
+    bins, g = np.stack(part["_bins"].tolist()), part["_w"] * (0.25 - part["_y"])
+    a, b, c = line = boost._line(s, 4)
+    taken = ((part["_u"].astype("int64") * a + b) % boost.PRIME < c).to_numpy()
+    splits = [(0, 0, 20, 1)]  # node 0 by the bins of a; its two children are open
+    got = {(r._node, r._f, r._b): (r.g, r.h) for r in boost._histograms(chunks, 2, [0, 1], [], splits, [1, 2], line).collect()}
+    want: dict = {}
+    for i in np.flatnonzero(taken):
+        for f in range(2):
+            old = want.setdefault((1 + int(bins[i, 0] > 20), f, int(bins[i, f])), (0.0, 0.0))
+            want[(1 + int(bins[i, 0] > 20), f, int(bins[i, f]))] = old[0] + g[i], old[1] + part["_w"][i]
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
