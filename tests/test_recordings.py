@@ -35,3 +35,38 @@ def test_decimation_in_blocks(spark, block):
         assert mine.seq.tolist() == list(range(1, len(mine) + 1))
         for c in ("ir", "red"):
             np.testing.assert_allclose(mine[c].to_numpy(), kernels.decimate(own[c].to_numpy(), 4, 21), atol=1e-12)
+
+
+def test_blocks_of_many_recordings_go_together(spark, monkeypatch):
+    """Blocks of one length are one stack; stacks, Arrow batches and the recordings in them may end anywhere. Readings are read once."""
+    sections = kernels.butterworth(4, 16.0, 400.0)
+    rng = np.random.default_rng(4)
+    space, v = recordings.StateSpace.of(sections), rng.normal(size=(5, 300))
+    out, end = space.run(v, np.zeros((5, 4)))
+    assert out.shape == v.shape and end.shape == (5, 4)
+    np.testing.assert_allclose(out[3:4], space.run(v[3:4], np.zeros((1, 4)))[0], atol=1e-12)
+
+    monkeypatch.setattr(recordings, "HELD", 150)
+    frame = pd.concat([pd.DataFrame({"subject_id": s, "seq": np.arange(1, n + 1), "ir": rng.normal(size=n)}) for s, n in enumerate(rng.integers(10, 400, 30))])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    read = spark.createDataFrame(frame).mapInPandas(count, "subject_id long, seq long, ir double")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = recordings.zero_phase(read, sections, block=48).toPandas().sort_values(["subject_id", "seq"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert seen.value == len(frame) == len(rows)
+    for s, own in frame.groupby("subject_id"):
+        mine, n = rows[rows.subject_id == s], len(own)
+        assert mine.seq.tolist() == list(range(1, n + 1))
+        if n > 15:
+            np.testing.assert_allclose(mine.ir.to_numpy(), kernels.zero_phase(sections, own.ir.to_numpy()[None])[0], atol=1e-10)
+        else:
+            assert mine.ir.isna().all()
