@@ -142,9 +142,10 @@ def _grow(histogram, columns: Sequence[str], cuts: list[np.ndarray], s: Boosting
 
 def _place(splits: Sequence[tuple[int, int, int, int]], bins: np.ndarray) -> np.ndarray:
     """The node of each row: where the splits lead; bins: (features, rows)."""
-    at = np.zeros(bins.shape[1], np.int32)
+    kind = np.min_scalar_type(max((yes + 1 for *_, yes in splits), default=0)).type
+    at = np.zeros(bins.shape[1], kind)
     for k, f, b, yes in splits:
-        at = np.where(at == k, yes + (bins[f] > b), at)
+        at = np.where(at == k, kind(yes) + (bins[f] > b), at)
     return at
 
 
@@ -188,7 +189,7 @@ def cuts_of(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
         parts.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), even.cast("int").alias("even"), octave.cast("int").alias("octave"), x.alias("x"))))
     if not parts:
         return [np.zeros(0) for _ in columns]
-    cells = rows.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
+    cells = rows.select(F.explode(F.array(*parts)).alias("p")).where("p IS NOT NULL").select("p.*")
     found: dict[int, list[tuple[float, int]]] = {}
     for r in cells.groupBy("i", "even", "octave").agg(F.max("x").alias("x"), F.count("*").alias("n")).collect():
         found.setdefault(r.i, []).append((r.x, r.n))

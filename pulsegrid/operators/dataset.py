@@ -107,7 +107,7 @@ def _ranks(rows: DataFrame, open_: list[_Interval]) -> dict[tuple[str, int], flo
         for i, v in enumerate(jobs):
             x = F.col(v.column)
             parts.append(F.when(x.between(v.low, v.high), F.struct(F.lit(i).alias("i"), (F.lit(0) if i in few else v.bucket()).alias("b"), x.alias("x"))))
-        cells = rows.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
+        cells = rows.select(F.explode(F.array(*parts)).alias("p")).where("p IS NOT NULL").select("p.*")
         values: dict[int, list[tuple[float, int]]] = {i: [] for i in few}
         if few:
             for r in cells.where(F.col("i").isin(few)).groupBy("i", "x").agg(F.count("*").alias("n")).collect():
