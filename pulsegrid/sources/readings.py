@@ -17,6 +17,8 @@ from pulsegrid.shared import materialize
 
 #: Files whose header table is broadcast.
 FILES = 100_000
+#: Header spellings of the column that names a row's recording.
+NAMES = {"name": ("subject", "recording", "subject name", "subject_name")}
 
 
 def simulated(spark: SparkSession, n: int, hertz: float = 400.0, subject_id: int = 1) -> DataFrame:
@@ -35,58 +37,64 @@ def parse_lines(df: DataFrame, line: str = "value", exact: bool = True) -> DataF
     return out.where(F.col("ir").isNotNull() & F.col("red").isNotNull())
 
 
-def _fields(line: Column | str, width: int) -> Column:
-    """The fields of a CSV line as an array; quotes are understood, lines of fewer fields end with NULL."""
-    parsed = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+def _with_fields(lines: DataFrame, width: int) -> DataFrame:
+    """Adds _fields, the fields of the CSV line value as an array; quotes are understood, lines of fewer fields end with NULL.
+
+    The parsed line is a column of its own: used inside the array, it would be parsed once a field."""
+    parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return lines.withColumn("_parsed", parsed).withColumn("_fields", F.array(*[F.col(f"_parsed.c{i}") for i in range(width)]))
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """Where each file has its columns: _file, n_fields, <canonical name>_at (NULL: not there).
+    """Where each file has its columns: _file, header (the line), n_fields, <canonical name>_at (NULL: not there).
 
     lines: _file, _block (its start in the file), _at (order in the block), value. The first line that is not blank is the header;
     of several spellings in one file the first of the contract's list counts.
     """
     first = lines.where(F.col("_block") == 0).groupBy("_file").agg(F.min_by("value", "_at").alias("header"))
     names = F.transform(F.split(F.regexp_replace("header", "[\ufeff\"]", ""), ","), lambda c: F.lower(F.trim(c)))
-    named = first.select("_file", names.alias("_names"))
+    named = first.select("_file", "header", names.alias("_names"))
     # array_position counts from 1 and gives 0 for what is not there
     at = lambda spellings: F.coalesce(*[F.nullif(F.array_position("_names", s), F.lit(0).cast("long")) for s in spellings])
-    return named.select("_file", F.size("_names").alias("n_fields"), *[(at(spellings) - 1).cast("int").alias(f"{name}_at") for name, spellings in ALIASES.items()])
+    return named.select("_file", "header", F.size("_names").alias("n_fields"), *[(at(spellings) - 1).cast("int").alias(f"{name}_at") for name, spellings in (ALIASES | NAMES).items()])
 
 
 def read_recordings(spark: SparkSession, paths: str | list[str], hertz: float = 400.0, by: str = "file") -> DataFrame:
-    """CSV recordings, each file with a header spelling and order of its own, one subject a file (named by it) or, by "folder",
-    a folder of files.
+    """CSV recordings, each file with a header spelling and order of its own. A recording is a file (named by it), by "folder" a
+    folder of files, by "column" the rows that name it (``NAMES``), in one file or many.
 
     Two phases: every file's header becomes a row of a small table (``headers``), then each line's fields are picked by the
-    places its own file names. A file without a required column is refused by name. NaN and bad numbers are NULL. A recording is
-    known by its whole path, as it is on disk: equal names in two folders are two recordings.
-    Rows keep their order: a file is read in blocks, rows are numbered inside their block and blocks by their place in
-    the file (then by file), so that no task sorts a whole recording.
+    places its own file names, once, and written. A file without a required column is refused by name. NaN and bad numbers are NULL.
+    By file and folder a recording is known by its whole path, as it is on disk: equal names in two folders are two recordings.
+    By column it is known by its name; rows without one are left out, and a line that repeats its file's header is no row.
+    Rows keep their order: a file is read in blocks, rows are numbered inside their recording's part of a block and parts by their
+    place in the file (then by file), so that no task sorts a whole recording.
     """
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(paths).select("value", path.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     lines = lines.where(F.trim("value") != "")
     heads = materialize(headers(lines), "headers")
-    required = [f"{c}_at" for c in ("ir", "red")]
+    required = [f"{c}_at" for c in (("ir", "red", "name") if by == "column" else ("ir", "red"))]
     facts = heads.agg(F.max("n_fields").alias("width"), F.count("*").alias("files")).first()
     if bad := [r[0] for r in heads.where(" OR ".join(f"{c} IS NULL" for c in required)).select("_file").limit(5).collect()]:
-        raise ValueError(f"no IR or no red column in {', '.join(bad)}")
-    heads = F.broadcast(heads) if facts.files <= FILES else heads
-    recording = F.col("_file") if by == "file" else F.regexp_replace("_file", "/[^/]*$", "")
-    counted = lines.withColumn("_recording", recording)
-    blocks = counted.groupBy("_recording", "_file", "_block").agg(F.count("*").alias("_n"))
-    # the header is the first line of a file's first block and no row
-    blocks = blocks.withColumn("_head", (F.col("_block") == 0).cast("int")).withColumn("_n", F.col("_n") - F.col("_head"))
+        raise ValueError(f"no {'IR, no red or no name' if by == 'column' else 'IR or no red'} column in {', '.join(bad)}")
+    rows = lines.join(F.broadcast(heads) if facts.files <= FILES else heads, "_file")
+    if by == "column":
+        rows = rows.where(F.col("value") != F.col("header"))
+    rows, field = _with_fields(rows, facts.width or 1), lambda c: F.get("_fields", F.col(f"{c}_at"))
+    recording = field("name") if by == "column" else F.col("_file") if by == "file" else F.regexp_replace("_file", "/[^/]*$", "")
+    rows = rows.select(recording.alias("_recording"), "_file", "_block", "_at", F.col("ts_at").isNotNull().alias("_timed"), field("ir").alias("ir"), field("red").alias("red"), field("ts").alias("_text"))
+    rows = materialize(rows, "rows").where("_recording <> ''")
+    part = ["_recording", "_file", "_block"]
+    blocks = rows.groupBy(*part).agg(F.count("*").alias("_n"))
+    # by file and folder the header is the first line of a file's first block and no row
+    blocks = blocks.withColumn("_head", F.lit(0) if by == "column" else (F.col("_block") == 0).cast("int")).withColumn("_n", F.col("_n") - F.col("_head"))
     before = Window.partitionBy("_recording").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_file", "_block", "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
-    out = counted.join(starts, ["_file", "_block"]).withColumn("_line", inside - F.col("_head")).where("_line > 0")
-    out = out.withColumn("seq", (F.col("_start") + F.col("_line")).cast("long")).join(heads, "_file")
-    fields = _fields("value", facts.width or 1)
-    out = out.select("_recording", "seq", F.col("ts_at").isNotNull().alias("_timed"), *[F.get(fields, F.col(f"{c}_at")).alias(n) for c, n in (("ir", "ir"), ("red", "red"), ("ts", "_text"))])
-    stem = F.regexp_replace(F.regexp_extract("_recording", "([^/]*)$", 1), r"\.csv(\.gz)?$", "")
+    starts = blocks.select(*part, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("_at"))
+    out = rows.join(starts, part).withColumn("_line", inside - F.col("_head")).where("_line > 0")
+    out = materialize(out.select("_recording", (F.col("_start") + F.col("_line")).cast("long").alias("seq"), "_timed", "ir", "red", "_text"), "numbered")
+    stem = F.col("_recording") if by == "column" else F.regexp_replace(F.regexp_extract("_recording", "([^/]*)$", 1), r"\.csv(\.gz)?$", "")
     out = out.withColumn("subject", scalars.subject_name(stem)).withColumn("win", scalars.window_number(stem))
     out = out.withColumn("ir", number("ir")).withColumn("red", number("red"))
     out = relative_seconds(out, "_text", "_recording", "seq", hertz)

@@ -1,6 +1,7 @@
 """Rows on the bounds of rules, in tables of their own, against the queries' SQL."""
 
 import json
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -28,6 +29,10 @@ def events(user, values):
     return [(i, user, None, v, json.dumps({"k": 1})) for i, v in enumerate(values)]
 
 
+def shared(spark):
+    return Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "pulsegrid"
+
+
 EVENTS = "event_id long, user_id long, event_type string, value double, props string, ts timestamp_ntz"
 
 
@@ -42,6 +47,14 @@ def test_a_plateau_is_no_valley(check, name):
     assert check(name, "events", EVENTS, timed(events(7, map(float, [5, 1, 6, 2, 2, 7, 3, 8, 4, 9, 1, 6, 2, 7, 3, 8])))) == ([], [])
 
 
+def test_files_of_recordings_go_by_the_rows(check, spark):
+    """300 subjects, some of negative number, are few files; the SQL has them all."""
+    before = {*shared(spark).glob("recordings-*")}
+    assert check("csv_recordings", "events", EVENTS, timed([r for u in range(-150, 150) for r in events(u, [1.5, 2.5])])) == ([], [])
+    (at,) = {*shared(spark).glob("recordings-*")} - before
+    assert len([*at.rglob("*.csv")]) < 30
+
+
 ORDERS = "o_orderkey long, o_custkey long"
 
 

@@ -42,6 +42,41 @@ def test_a_file_without_a_channel_is_named(spark, tmp_path):
         readings.read_recordings(spark, str(tmp_path))
 
 
+def test_a_folder_of_files_is_a_recording(spark, tmp_path):
+    for name, text in (("x/one.csv", "ir,red\n1,2\n3,4\n"), ("x/two.csv", "Red_Value,IR_Value\n6,5\n"), ("y/one.csv", "ir,red\n7,8\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = readings.read_recordings(spark, str(tmp_path / "*"), by="folder").collect()
+    assert sorted((r.subject, r.seq, r.ir, r.red) for r in rows) == [("x", 1, 1.0, 2.0), ("x", 2, 3.0, 4.0), ("x", 3, 5.0, 6.0), ("y", 1, 7.0, 8.0)]
+
+
+def test_rows_name_their_recordings(spark, tmp_path):
+    """Recordings that alternate and go on in another file, of other columns; rows without a name; a header repeated inside."""
+    (tmp_path / "a.csv").write_text(" Subject ,IR,Red\nu,1,2\nv/w_Win7,3,4\nu,bad,6\n Subject ,IR,Red\n\n,7,8\nu , 9,10\n")
+    (tmp_path / "b.csv").write_text('red,note,infrared,RECORDING\n12,"x, y",11,"v/w_Win7"\n17\n')
+    (tmp_path / "d.csv").write_text("time,red,ir_raw,subject name\n6,14,13,t\n6.5,16,15,t\n")
+    rows = readings.read_recordings(spark, str(tmp_path), by="column").collect()
+    assert sorted((r.recording, r.subject, r.win, r.seq, r.ts, r.ir, r.red) for r in rows) == [
+        ("t", "t", 999, 1, 0.0, 13.0, 14.0), ("t", "t", 999, 2, 0.5, 15.0, 16.0), ("u", "u", 999, 1, 0.0, 1.0, 2.0), ("u", "u", 999, 3, 0.005, 9.0, 10.0),
+        ("v/w_Win7", "v/w", 7, 1, 0.0, 3.0, 4.0), ("v/w_Win7", "v/w", 7, 2, 0.0025, 11.0, 12.0),
+    ]
+    (tmp_path / "c.csv").write_text("ir,red\n1,2\n")
+    with pytest.raises(ValueError, match="no name column in .*c.csv"):
+        readings.read_recordings(spark, str(tmp_path), by="column")
+
+
+def test_recordings_of_a_long_file_keep_their_order(spark, tmp_path):
+    """Three recordings take turns through a file of many blocks."""
+    (tmp_path / "long.csv").write_text("subject,red,ir\n" + "".join(f"s{i % 3},{i},{i}.5\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = readings.read_recordings(spark, str(tmp_path), by="column").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.red, r.subject, r.seq, r.ir) for r in rows) == [(float(i), f"s{i % 3}", i // 3 + 1, i + 0.5) for i in range(20_000)]
+
+
 DOCUMENTS = [
     (1, r'{"a":{"b":[{"status":"ok \"q\"","list":[1,2]}]},"note":"\"status\": \"no\""}'),
     (2, 'not json "status": "oops"'),
